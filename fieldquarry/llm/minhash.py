@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -104,7 +104,7 @@ def sketches(sets: list[np.ndarray], bins: int, seed: int = 0) -> np.ndarray:
             break
         sizes = np.array([len(sets[i]) for i in live])
         flat = np.concatenate([sets[i] for i in live])
-        h = mix(flat + mix(np.array([_U(turn + 1) * _U(0x9E3779B97F4A7C15) + _U(seed)], _U)))
+        h = mix(flat + mix(np.array([turn + 1], _U) * _U(0x9E3779B97F4A7C15) + _U(seed)))
         into = h % _U(bins) if turn < bins else np.full(len(h), turn - bins, _U)
         value = (_U(turn) << _U(50)) | (mix(h) >> _U(14))
         np.minimum.at(out, np.repeat(live * bins, sizes) + into.astype(np.int64), value)
@@ -191,14 +191,29 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(named.join(materialise(mixed, "dd-mixed"), "key"), "dd-members")
 
 
-def _round(members: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare each bucket's first member with the others; the confirmed edges, and the members without these hubs."""
-    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n", "label")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+def _round(members: DataFrame, docs: DataFrame, percent: int, hubs_each: int) -> tuple[DataFrame, DataFrame]:
+    """Compare each bucket's first ``hubs_each`` members with those after them; the confirmed edges, and the members without these hubs.
+
+    A hub is the first of its component in the bucket, so that large components don't use up the turn.
+    """
+    if hubs_each == 1:
+        hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n", "label")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+    else:
+        firsts = members.groupBy("key", "label").agg(F.min(F.struct("rep", "n")).alias("f"))
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("f"))
+        hubs = firsts.withColumn("turn", turn).filter(F.col("turn") <= hubs_each).select("key", F.struct("f.rep", "f.n", "label").alias("h"))
     hubs = materialise(hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label")), "dd-buckets")
-    rest = materialise(members.join(hubs, "key").filter("rep <> hub"), "dd-rest")
+    met = members.join(hubs, "key")
+    if hubs_each == 1:
+        met = materialise(met.filter("rep <> hub"), "dd-rest")
+        rest = met.select("key", "rep", "n", "label")
+    else:
+        gone = hubs.select("key", F.col("hub").alias("rep"))
+        rest = members.join(gone, ["key", "rep"], "left_anti")
+        met = met.filter("rep <> hub")
     near = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    pairs = materialise(rest.filter(near).select("rep", "hub").distinct(), "dd-pairs")
-    return materialise(verify(pairs, docs, percent), "dd-edges"), rest.select("key", "rep", "n", "label")
+    pairs = met.filter(near).select(F.greatest("rep", "hub").alias("rep"), F.least("rep", "hub").alias("hub")).distinct()
+    return materialise(verify(materialise(pairs, "dd-pairs"), docs, percent), "dd-edges"), rest
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -220,20 +235,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"))
     classes = materialise(classes, "dd-classes")
     members = classes.select(F.explode("keys").alias("key"), "rep", "n", F.col("rep").alias("label"))
-    edges, rest = _round(members, docs, percent)
+    edges, rest = _round(members, docs, percent, 1)
     found = [edges]
     labels = components(edges)
     open_ = _unsettled(rest, labels)
     if not open_.isEmpty():
-        again = materialise(open_.select(F.col("rep").alias("id"), "label").distinct(), "dd-again")
-        fine = signatures(docs.join(again.select("id"), "id", "left_semi"), FINE_BANDS, FINE_ROWS, seed=7).filter("n > 0")
-        fine = materialise(fine.dropDuplicates(["id"]).select(F.explode("keys").alias("key"), F.col("id").alias("rep"), "n"), "dd-fine")
-        open_ = _unsettled(fine, labels)
+        again = materialise(open_.select(F.col("rep").alias("id")).distinct(), "dd-again")
+        texts = materialise(docs.join(again, "id", "left_semi").dropDuplicates(["id"]), "dd-texts")
+        fine = signatures(texts, FINE_BANDS, FINE_ROWS, seed=7).filter("n > 0")
+        fine = materialise(fine.select(F.explode("keys").alias("key"), F.col("id").alias("rep"), "n"), "dd-fine")
+        open_, hubs_each = _unsettled(fine, labels), 4
         while not open_.isEmpty():
-            edges, rest = _round(open_, docs, percent)
-            found.append(edges)
-            labels = components(reduce(DataFrame.unionByName, found))
-            open_ = _unsettled(rest, labels)
+            edges, rest = _round(open_, texts, percent, hubs_each)
+            if not edges.isEmpty():
+                found.append(edges)
+                labels = components(reduce(DataFrame.unionByName, found))
+            open_, hubs_each = _unsettled(rest, labels), 4 * hubs_each
     named = classes.select("print", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     named = materialise(named.select("print", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id")), "dd-final")
     out = signed.select("id", "n", "print").join(named, "print", "left")

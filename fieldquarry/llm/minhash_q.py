@@ -14,11 +14,11 @@ QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
 ORACLE = {
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n, s, hash(list_sort(s)) AS h FROM s),
 reps AS (SELECT h, min(doc_id) AS rep, any_value(n) AS n FROM n WHERE n > 0 GROUP BY h),
 x AS (SELECT rep, reps.n, unnest(s) AS g FROM reps JOIN n ON doc_id = rep),
