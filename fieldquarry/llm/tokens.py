@@ -1,0 +1,40 @@
+"""Token ids of whole texts by a tokenizer file of the tokenizers library, each distinct chunk encoded once per worker."""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+
+from .chunks import Memory, regular_chunks
+
+
+class LibraryEncoder:
+    """Packed little-endian 32-bit ids of texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    ``words``: the tokenizer drops white space, so a text may be cut at every ASCII white space; else it is byte-level
+    with the public split pattern, and a text is cut by ``regular_chunks`` or encoded whole.
+    """
+
+    def __init__(self, path: str, words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.memory = Memory(self._library)
+
+    def _library(self, chunks: list) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), 20_000):
+            part = [c.decode("utf-8") if self.words else c for c in chunks[at : at + 20_000]]
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        if self.words:
+            cut = [t.encode("utf-8").split() for t in texts]
+        else:
+            cut = [regular_chunks(t) for t in texts]
+        self.memory.learn([c for c in cut if c is not None])
+        return [self._library([t])[0] if c is None else self.memory.join(c) for t, c in zip(texts, cut)]
