@@ -22,8 +22,6 @@ from .components import components
 
 WORDS = 5
 BANDS, ROWS = 32, 6
-#: A finer sketch for documents whose buckets hold texts that turned out not to be linked.
-FINE_BANDS, FINE_ROWS = 150, 12
 #: Members compared with one copy of a hub text in one group of the verification.
 GROUP = 32
 
@@ -123,7 +121,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     return mix(key + np.arange(1, bands + 1, dtype=_U) * _U(0xD1B54A32D192ED03)).view(np.int64)
 
 
-def _signed(bands: int, rows: int, seed: int):
+def _signed(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
         for batch in slices(batches, "text", 4 << 20):
@@ -135,7 +133,7 @@ def _signed(bands: int, rows: int, seed: int):
             prints: list = [b"none%d" % (i or 0) if i is not None else b"none" for i in ids.to_pylist()]
             if len(some):
                 kept = [sets[i] for i in some]
-                for i, own, row in zip(some.tolist(), kept, band_keys(sketches(kept, bands * rows, seed), rows)):
+                for i, own, row in zip(some.tolist(), kept, band_keys(sketches(kept, bands * rows), rows)):
                     keys[i] = row
                     prints[i] = mix(np.array([own.sum(dtype=_U), mix(own).sum(dtype=_U) + _U(len(own))], _U)).tobytes()
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
@@ -143,9 +141,9 @@ def _signed(bands: int, rows: int, seed: int):
     return run
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 0) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, print, keys) of (id, text): set size, fingerprint of the whole set, band keys."""
-    return docs.select("id", "text").mapInArrow(_signed(bands, rows, seed), "id long, n long, print binary, keys array<long>")
+    return docs.select("id", "text").mapInArrow(_signed(bands, rows), "id long, n long, print binary, keys array<long>")
 
 
 def _verified(percent: int):
@@ -183,37 +181,71 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_verified(percent), "a long, b long")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their present component, of the buckets that still hold more than one."""
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 4 << 20):
+        sets = shingle_sets(batch.column(1))
+        ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
+
+
+def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, at, first): each text's rarest shingles and their places, so many that a linked text shares one.
+
+    Of linked sets of n <= m shingles, 2 percent n / (100 + percent) of the smaller and percent m / 100 of the larger
+    are shared at least. So in one common order, one of the first n - ceil(2 percent n / (100 + percent)) + 1 of the
+    smaller (``first``) is among the first m - ceil(percent m / 100) + 1 of the larger. In the order of rareness among
+    these texts, passages that many of them share come last.
+    """
+    sets = materialise(texts.select("id", "text").mapInArrow(_shingled, "id long, shingles array<long>"), "dd-sets")
+    flat = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    often = materialise(flat.groupBy("key").agg(F.count("*").alias("df")), "dd-often")
+    ranked = flat.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("by"))
+    n = F.col("n")
+    rare = F.slice("by", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    rows = ranked.select(F.posexplode(rare).alias("at", "x"), F.col("id").alias("rep"), "n").filter("x.df > 1")
+    return materialise(rows.select("x.key", "rep", "n", "at", (F.col("at") <= n - F.ceil(n * (2 * percent) / (100 + percent))).alias("first")), "dd-rare")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their present component, of the buckets that hold more than one and a member yet to be compared."""
     named = members.drop("label").join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = materialise(named, "dd-named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("first").alias("more")).filter("lo < hi and more").select("key")
     return materialise(named.join(materialise(mixed, "dd-mixed"), "key"), "dd-members")
 
 
-def _round(members: DataFrame, docs: DataFrame, percent: int, hubs_each: int) -> tuple[DataFrame, DataFrame]:
-    """Compare each bucket's first ``hubs_each`` members with those after them; the confirmed edges, and the members without these hubs.
-
-    A hub is the first of its component in the bucket, so that large components don't use up the turn.
-    """
-    if hubs_each == 1:
-        hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n", "label")).alias("h"), F.count("*").alias("m")).filter("m > 1")
-    else:
-        firsts = members.groupBy("key", "label").agg(F.min(F.struct("rep", "n")).alias("f"))
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("f"))
-        hubs = firsts.withColumn("turn", turn).filter(F.col("turn") <= hubs_each).select("key", F.struct("f.rep", "f.n", "label").alias("h"))
+def _star(members: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Compare each bucket's first member with the others; the confirmed edges, and those others."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n", "label")).alias("h"), F.count("*").alias("m")).filter("m > 1")
     hubs = materialise(hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label")), "dd-buckets")
-    met = members.join(hubs, "key")
-    if hubs_each == 1:
-        met = materialise(met.filter("rep <> hub"), "dd-rest")
-        rest = met.select("key", "rep", "n", "label")
-    else:
-        gone = hubs.select("key", F.col("hub").alias("rep"))
-        rest = members.join(gone, ["key", "rep"], "left_anti")
-        met = met.filter("rep <> hub")
+    rest = materialise(members.join(hubs, "key").filter("rep <> hub"), "dd-rest")
     near = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    pairs = met.filter(near).select(F.greatest("rep", "hub").alias("rep"), F.least("rep", "hub").alias("hub")).distinct()
-    return materialise(verify(materialise(pairs, "dd-pairs"), docs, percent), "dd-edges"), rest
+    pairs = materialise(rest.filter(near).select("rep", "hub").distinct(), "dd-pairs")
+    return materialise(verify(pairs, docs, percent), "dd-edges"), rest.select("key", "rep", "n", "label", F.lit(True).alias("first"))
+
+
+def _stars(members: DataFrame, docs: DataFrame, percent: int, hubs_each: int) -> tuple[DataFrame, DataFrame]:
+    """Compare up to ``hubs_each`` first members of each bucket with those of other components that are not smaller; the confirmed edges, and the members, these hubs no longer first.
+
+    If this is the rarest shingle of two linked texts, what follows it in either holds all they share, so its places
+    and the sizes rule out most pairs within the join.
+    """
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("n", "rep"))
+    hubs = members.filter("first").withColumn("turn", turn).filter(F.col("turn") <= hubs_each)
+    hubs = materialise(hubs.select(F.col("key").alias("hub_key"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("label").alias("hub_label")), "dd-buckets")
+    shared = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))
+    near = (
+        (F.col("key") == F.col("hub_key"))
+        & (F.col("label") != F.col("hub_label"))
+        & (F.col("n") >= F.col("hub_n"))
+        & (100 * F.col("hub_n") >= percent * F.col("n"))
+        & ((100 + percent) * shared >= percent * (F.col("n") + F.col("hub_n")))
+    )
+    pairs = members.join(hubs, near).select(F.greatest("rep", "hub").alias("rep"), F.least("rep", "hub").alias("hub")).distinct()
+    edges = materialise(verify(materialise(pairs, "dd-pairs"), docs, percent), "dd-edges")
+    gone = hubs.select(F.col("hub_key").alias("key"), F.col("hub").alias("rep"), F.lit(True).alias("done"))
+    return edges, members.join(gone, ["key", "rep"], "left").withColumn("first", F.col("first") & F.col("done").isNull()).drop("done")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -222,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if 100 * intersection >= percent * union of their five-word shingle sets (A-Z lower-cased;
     words are runs without ASCII white space; a text of one to four words is one shingle). Documents with equal sets
     form a class named by its smallest id; sketches of class representatives are banded, each bucket's first member is
-    compared with the others on full sets, and buckets that still hold several components are taken up again, by a
-    finer sketch, until none is left. Links join into components named by their smallest id; ``kept`` marks that
+    compared with the others on full sets, and the texts of buckets that still hold several components meet again by
+    their rarest shingles, which linked texts cannot fail to share, until no such bucket is left. Links join into components named by their smallest id; ``kept`` marks that
     document. No pair of a bucket is listed beyond those with its hub.
 
     Null or empty texts, and texts of white space alone, have no shingles and stay alone. A null id stays alone with a
@@ -235,22 +267,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"))
     classes = materialise(classes, "dd-classes")
     members = classes.select(F.explode("keys").alias("key"), "rep", "n", F.col("rep").alias("label"))
-    edges, rest = _round(members, docs, percent, 1)
+    edges, rest = _star(members, docs, percent)
     found = [edges]
     labels = components(edges)
-    open_ = _unsettled(rest, labels)
+    open_ = _open(rest, labels)
     if not open_.isEmpty():
         again = materialise(open_.select(F.col("rep").alias("id")).distinct(), "dd-again")
         texts = materialise(docs.join(again, "id", "left_semi").dropDuplicates(["id"]), "dd-texts")
-        fine = signatures(texts, FINE_BANDS, FINE_ROWS, seed=7).filter("n > 0")
-        fine = materialise(fine.select(F.explode("keys").alias("key"), F.col("id").alias("rep"), "n"), "dd-fine")
-        open_, hubs_each = _unsettled(fine, labels), 4
+        open_, hubs_each = _open(_rare_shingles(texts, percent), labels), 64
         while not open_.isEmpty():
-            edges, rest = _round(open_, texts, percent, hubs_each)
+            edges, rest = _stars(open_, texts, percent, hubs_each)
             if not edges.isEmpty():
                 found.append(edges)
                 labels = components(reduce(DataFrame.unionByName, found))
-            open_, hubs_each = _unsettled(rest, labels), 4 * hubs_each
+            open_, hubs_each = _open(rest, labels), 16 * hubs_each
     named = classes.select("print", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     named = materialise(named.select("print", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id")), "dd-final")
     out = signed.select("id", "n", "print").join(named, "print", "left")
