@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, slices
-from .tokens import LibraryEncoder
+from .hashed import library_table
 
 MAGIC, BLOCK, RECORD = b"DAC1", 512, 4_000_000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -128,17 +128,20 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     """Encode every whole text, append ``end_id``, and write record files under ``out`` in ascending id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path, words=True)
+        encoder = library_table(path, words=True)
         end = np.array([end_id], "<u4").tobytes()
         held: list[int | None] = []
         packed: list[bytes] = []
         room = RECORD
         schema = pa.schema([("value", pa.binary())])
         for batch in slices(batches, "text", 2 << 20):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+            ids, offsets = encoder.encode(batch.column(1))
+            flat = memoryview(ids.astype("<u4").tobytes())
+            bounds = (4 * offsets).tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
                 held.append(doc)
-                packed.append(ids + end)
-                room -= len(ids) // 4 + 1
+                packed.append(bytes(flat[a:b]) + end)
+                room -= (b - a) // 4 + 1
                 if room <= 0:
                     yield pa.RecordBatch.from_arrays([pa.array([write_record(held, packed)], pa.binary())], schema=schema)
                     held, packed, room = [], [], RECORD
