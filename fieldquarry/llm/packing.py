@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .tokens import LibraryEncoder
+from .hashed import library_table
 
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -73,14 +73,17 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path, words=False)
+        encoder = library_table(path, words=False)
         for batch in slices(batches, "text", 2 << 20):
             rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
+            ids, offsets = encoder.encode(batch.column(1))
+            packed = memoryview(ids.astype("<u4").tobytes())
+            bounds = (4 * offsets).tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                whole = bytes(packed[a:b]) + end
+                n = len(whole) // 4
                 for at in range(0, n, size):
-                    piece = ids[4 * at : 4 * (at + size)]
+                    piece = whole[4 * at : 4 * (at + size)]
                     for column, value in zip(rows, (doc, at, len(piece) // 4, zlib.crc32(piece), n)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
