@@ -162,12 +162,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col`` (double, 0 to 1) of every whole text; all other columns and rows stay; null texts count as empty."""
     names, at = docs.columns, docs.columns.index(text_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*own)
     kind = plain.select("*", F.lit(0.0).alias("s")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, f"c{at}", 4 << 20):
             x, many = passage_features(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.forward(x.astype(np.float64), many)[0], pa.float64())], names=[*plain.columns, "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.forward(x.astype(np.float64), many)[0], pa.float64())], names=[*own, "s"])
 
     return plain.mapInArrow(run, kind).toDF(*names, score_col)

@@ -199,12 +199,12 @@ def secret(f: Feistel, text: str, back: bool = False) -> str | None:
 FORMS: list[tuple[str, str, Callable]] = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("secret", r"(?<=AKIA)[A-Z0-9]{16}\b|(?<=ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}", secret),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", iban),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]+)+\b", iban),
     ("date", r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./-])[0-9]{2}([./-])[0-9]{2}\2[0-9]{4}(?![\w/-])", day),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ip),
-    ("card", r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?![\w])", card),
-    ("phone", r"(?<!\w)\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.+-])1[ .-]\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)", phone),
+    ("card", r"(?<![\w+])[0-9]+(?:[ -][0-9]+)*(?!\w)", card),
+    ("phone", r"(?<![\w.])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<!\w)\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.+-])1[ .-]\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)", phone),
 ]
 _NAMED = re.compile(r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_.~-]{6,})")
 _MAYBE = re.compile(r"[0-9@=:]|A[KS]IA|sk-")
@@ -214,19 +214,43 @@ def _compiled() -> list[tuple[str, re.Pattern, Callable]]:
     return [(kind, re.compile(pattern.replace(r"\2", r"\1")), rule) for kind, pattern, rule in FORMS]
 
 
+#: Kinds whose values may be written in groups, and so run into what is written after them, with their least and most characters.
+_GROUPED = {"card": (13, 19), "iban": (15, 34)}
+
+
+def _groups(text: str, a: int, b: int, sizes: tuple[int, int], found: Callable[[int, int], bool]) -> None:
+    """Try the run from each group on, longest first, up to the most characters; go on after what was found."""
+    groups = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^ -]+", text[a:b])]
+    i = 0
+    while i < len(groups):
+        ends, n = [], 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > sizes[1]:
+                break
+            if n >= sizes[0]:
+                ends.append(j)
+        i = next((j + 1 for j in reversed(ends) if found(groups[i][0], groups[j][1])), i + 1)
+
+
 def _line(text: str, f: Feistel, forms, counts: dict[str, int]) -> str:
     spans: list[tuple[int, int, str]] = []
 
-    def found(kind: str, a: int, b: int, rule: Callable) -> None:
-        if all(b <= x or a >= y for x, y, _ in spans) and (new := rule(f, text[a:b])) is not None:
-            spans.append((a, b, new))
-            counts[kind] = counts.get(kind, 0) + 1
+    def found(kind: str, a: int, b: int, rule: Callable) -> bool:
+        if any(a < y and b > x for x, y, _ in spans) or (new := rule(f, text[a:b])) is None:
+            return False
+        spans.append((a, b, new))
+        counts[kind] = counts.get(kind, 0) + 1
+        return True
 
     for m in _NAMED.finditer(text):
         found("secret", *m.span(2), secret)
     for kind, pattern, rule in forms:
         for m in pattern.finditer(text):
-            found(kind, *m.span(), rule)
+            if kind in _GROUPED:
+                _groups(text, *m.span(), _GROUPED[kind], lambda a, b: found(kind, a, b, rule))
+            else:
+                found(kind, *m.span(), rule)
     out, at = [], 0
     for a, b, new in sorted(spans):
         out += [text[at:a], new]
