@@ -1,0 +1,12 @@
+"""All queries of the library with their SQL, from this package's modules named ``*_q``."""
+
+from importlib import import_module
+from pathlib import Path
+from pkgutil import iter_modules
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+for _found in sorted(x.name for x in iter_modules([str(Path(__file__).parent)]) if x.name.endswith("_q")):
+    _module = import_module(f"{__package__}.{_found}")
+    QUERIES |= _module.BOOK.queries
+    ORACLE |= _module.BOOK.oracle

@@ -1 +1 @@
-
+"""The survey operators have no streaming semantics: nothing is late, and no window is in time. The package is empty on purpose."""
