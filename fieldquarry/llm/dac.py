@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices
+from .common import fresh_path, slices, small_batches
 from .hashed import library_table
 
-MAGIC, BLOCK, RECORD = b"DAC1", 512, 4_000_000
+MAGIC, BLOCK, RECORD = b"DAC1", 512, 1_000_000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
         packed: list[bytes] = []
         room = RECORD
         schema = pa.schema([("value", pa.binary())])
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             ids, offsets = encoder.encode(batch.column(1))
             flat = memoryview(ids.astype("<u4").tobytes())
             bounds = (4 * offsets).tolist()
@@ -151,7 +151,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last())
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(out)
+    with small_batches(spark):
+        dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(out)
 
 
 def read_tokens(spark, out: str, id_col: str = "doc_id") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
@@ -163,7 +163,7 @@ class ChunkTable:
         if 2 * n > len(self.slots):
             used = self.slots != _EMPTY
             keys, number = np.concatenate([self.slots[used], keys]), np.concatenate([self.place[used], number])
-            self.bits = (4 * n).bit_length()
+            self.bits = (3 * n).bit_length()
             self.slots, self.place = np.full(1 << self.bits, _EMPTY, _U), np.zeros(1 << self.bits, np.int32)
         self._insert(keys, number)
 
