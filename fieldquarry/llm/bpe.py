@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memory, regular_chunks
 from .common import slices
+from .hashed import ChunkTable, cut_spaces
 
+#: Distinct pieces that a worker remembers before it starts anew.
+REMEMBERED_PIECES = 200_000
 _NONE = 1 << 62
 
 
@@ -84,39 +86,27 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder:
-    """Text to packed little-endian 32-bit ids; pieces and chunks are remembered."""
+def pattern_table(path: str, pattern: str) -> ChunkTable:
+    """A table of chunks, each encoded piece by piece as ``pattern`` splits it; pieces are remembered too."""
+    import regex
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    ranks, split, known = load_ranks(path), regex.compile(pattern).findall, {}
 
-        self.ranks = load_ranks(path)
-        self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.memory = Memory(lambda chunks: [self.pattern_ids(c) for c in chunks])
+    def encode_all(chunks: list[str]) -> list[np.ndarray]:
+        if len(known) > REMEMBERED_PIECES:
+            known.clear()
+        out = []
+        for chunk in chunks:
+            ids: list[int] = []
+            for piece in split(chunk):
+                own = known.get(piece)
+                if own is None:
+                    own = known[piece] = merge_piece(piece.encode("utf-8"), ranks)
+                ids += own
+            out.append(np.array(ids, np.uint32))
+        return out
 
-    def pattern_ids(self, text: str) -> bytes:
-        known, out = self.pieces, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(merge_piece(piece.encode("utf-8"), self.ranks), "<u4").tobytes()
-                if len(known) > 300_000:
-                    known.clear()
-                known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [regular_chunks(t) for t in texts]
-        self.memory.learn([c for c in cut if c is not None])
-        return [self.pattern_ids(t) if c is None else self.memory.join(c) for t, c in zip(texts, cut)]
-
-
-def id_arrays(packed: list[bytes]) -> pa.Array:
-    """A list<int32> column of packed ids."""
-    ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+    return ChunkTable(cut_spaces, encode_all)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,10 +116,11 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
-        for batch in slices(batches, "text", 2 << 20):
-            packed = encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), id_arrays(packed)], names=["id", "ids"])
+        table = pattern_table(path, pattern)
+        for batch in slices(batches, "text", 1 << 20):
+            ids, offsets = table.encode(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
