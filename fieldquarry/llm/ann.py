@@ -59,7 +59,7 @@ def int8_tile(k: int):
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score double): each query's k smallest Euclidean distances, in double precision.
 
-    ``is_query`` is a column expression over ``id``. All rows but the query's own are candidates, ties go to the smaller
+    ``is_query`` is a condition over ``id``, a column or SQL. All rows but the query's own are candidates, ties go to the smaller
     id, and all candidates return where there are fewer than k: the bounds make the search exact. Rows with a null id,
     or a vector that is null, empty, zero or holds null or non-finite components, take no part; other columns are
     ignored. All vectors are of one dimension.

@@ -37,6 +37,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def block_search(rows: DataFrame, is_query, k: int, tile: Tile, score_type: str, ascending: bool) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all other rows, ties to the smaller id."""
+    is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
     size = rows.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     c_blocks, q_blocks = max(1, math.ceil(size.n / CANDIDATES)), max(1, math.ceil(size.q / QUERIES))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))

@@ -66,7 +66,7 @@ def nra_tile(k: int):
 def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score long): each query's k highest inner products of floor(scale * x) vectors.
 
-    ``is_query`` is a column expression over ``id``. All rows but the query's own are candidates; ties go to the smaller
+    ``is_query`` is a condition over ``id``, a column or SQL. All rows but the query's own are candidates; ties go to the smaller
     id; all candidates return where there are fewer than k. Rows with a null id, or a vector that is null, empty or
     holds null or non-finite components, take no part; other columns are ignored. Components times ``scale`` are
     expected below 2**24, so that sums are exact. All vectors are of one dimension.

@@ -1,13 +1,12 @@
 """Queries of the vector searches, with brute-force SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
 from .topk import exact_topk
 
-EVERY_100TH = F.expr("id % 100 = 0")
+EVERY_100TH = "id % 100 = 0"
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
