@@ -43,7 +43,7 @@ def distance_components(points: DataFrame, radius_m: float, keys: list[str], ide
     return points.join(components(near, nodes=nodes).withColumnRenamed("node", ident), ident)
 
 
-def _metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+def metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
     p, l, ps, ls = np.radians(lat), np.radians(lon), np.radians(lats), np.radians(lons)
     a = np.sin((ps - p) / 2) ** 2 + np.cos(p) * np.cos(ps) * np.sin((ls - l) / 2) ** 2
     return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
@@ -64,12 +64,11 @@ def complete_link(points: DataFrame, threshold_m: float, keys: list[str], ident:
         rows = rows.sort_values(ident, kind="stable")
         lat, lon, ids = (rows[c].to_numpy() for c in ("latitude", "longitude", ident))
         patch = np.full(len(rows), -1)
-        farthest: list[float]
         founders: list = []
         for i in range(len(rows)):
             if i:
                 far = np.zeros(len(founders))
-                np.maximum.at(far, patch[:i], _metres(lat[i], lon[i], lat[:i], lon[:i]))
+                np.maximum.at(far, patch[:i], metres(lat[i], lon[i], lat[:i], lon[:i]))
                 best = int(far.argmin())
                 if far[best] <= threshold_m:
                     patch[i] = best

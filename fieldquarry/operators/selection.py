@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..sources.scratch import materialise
-from .graph import _metres, components, distance_components
+from .graph import components, distance_components, metres
 from .joins import within_radius
 
 Order = Callable[[pd.DataFrame], tuple[list[int], list[float]]]
@@ -67,7 +67,7 @@ def _complementary(k: int, score: str, weight: float, scale_m: float, area: str
             picked.append(int(best))
             values.append(float(utility[best]))
             waiting.discard(areas[best])
-            near = np.minimum(near, _metres(lat[best], lon[best], lat, lon))
+            near = np.minimum(near, metres(lat[best], lon[best], lat, lon))
         return picked, values
 
     return choose
@@ -99,7 +99,7 @@ def group_policy(df: DataFrame, keys: list[str], group: str = "taxon_group", sco
 
 def _geographic(pool: pd.DataFrame) -> np.ndarray:
     lat, lon = pool["latitude"].to_numpy(float), pool["longitude"].to_numpy(float)
-    return np.array([_metres(a, b, lat, lon) for a, b in zip(lat, lon)])
+    return np.array([metres(a, b, lat, lon) for a, b in zip(lat, lon)])
 
 
 def _environmental(pool: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -184,7 +184,7 @@ def greedy_large(work: DataFrame, k: int, ident: str, first, later, update: Call
 
 
 def geographic_maximin_large(df: DataFrame, k: int, ident: str = "row_id") -> DataFrame:
-    """As ``complementary`` in form, for one large pool: the first is the row of the largest score, then the farthest from those chosen."""
+    """One large pool: first the row of the largest score, then always the farthest from those chosen."""
     work = df.withColumn("_near", F.lit(float("inf")))
     return greedy_large(work, k, ident, F.col("priority_score"), F.col("_near"), lambda c: F.least("_near", haversine_m("latitude", "longitude", F.lit(c["latitude"]), F.lit(c["longitude"]))))
 
@@ -338,7 +338,7 @@ def portfolio(df: DataFrame, plan: str, k: int, keys: list[str], area: str = "su
             picked.append(best)
             values.append(float(value[best]))
             left[best] = False
-            near = np.minimum(near, _metres(lat[best], lon[best], lat, lon))
+            near = np.minimum(near, metres(lat[best], lon[best], lat, lon))
         return picked, values
 
     columns = ["candidate_type", area, "latitude", "longitude", "discovery_value", "learning_value", "accessibility_score", "survey_gap"]
@@ -374,7 +374,7 @@ def prototype_greedy(patches: DataFrame, k: int, keys: list[str], patch: str = "
             picked.append(best)
             values.append(float(value[best]))
             left[best] = False
-            state, near = np.maximum(state, r[best]), np.minimum(near, _metres(lat[best], lon[best], lat, lon))
+            state, near = np.maximum(state, r[best]), np.minimum(near, metres(lat[best], lon[best], lat, lon))
             seen.add(component[best])
             reached |= targets[best]
         return picked, values
@@ -434,7 +434,7 @@ def balanced_sample(df: DataFrame, n: int, seed: int = 0, weight: str | None = N
         for i in np.argsort(pool["draw_order"].to_numpy(), kind="stable"):
             if len(picked) == n:
                 break
-            if not picked or _metres(pool["latitude"][i], pool["longitude"][i], pool["latitude"].to_numpy()[picked], pool["longitude"].to_numpy()[picked]).min() > least_m:
+            if not picked or metres(pool["latitude"][i], pool["longitude"][i], pool["latitude"].to_numpy()[picked], pool["longitude"].to_numpy()[picked]).min() > least_m:
                 picked.append(int(i))
         return picked, [0.0] * len(picked)
 
@@ -453,7 +453,7 @@ def distance_thinning(df: DataFrame, radius_m: float, keys: list[str], ident: st
         lat, lon = pool["latitude"].to_numpy(float), pool["longitude"].to_numpy(float)
         picked: list[int] = []
         for i in range(len(pool)):
-            if not picked or _metres(lat[i], lon[i], lat[picked], lon[picked]).min() > radius_m:
+            if not picked or metres(lat[i], lon[i], lat[picked], lon[picked]).min() > radius_m:
                 picked.append(i)
         return picked, [0.0] * len(picked)
 
