@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates; rows without an id stay."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialise(kept, "kept"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
