@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m, id_token
+from ..functions.scoring import candidate_role, with_units
 from ..sources.scratch import materialise
 from .joins import nearest_join, within_radius
 
@@ -49,20 +50,29 @@ def metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.nda
     return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
 
 
-def complete_link(points: DataFrame, threshold_m: float, keys: list[str], ident: str = "row_id") -> DataFrame:
+def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str], ident: str = "row_id") -> DataFrame:
     """``points`` with ``founder``: the first member of the patch that each joined.
 
     In order of ids a point joins the patch whose farthest member is nearest, if that is within the threshold (ties:
     the older patch), else it founds one. A patch's members are all within the threshold of each other, so patches lie
     within components of the radius graph and components are grouped apart, each in one task of its own size.
+    ``threshold_m`` may name a column that is the same for all rows of a key.
     """
-    if threshold_m <= 0:
+    placed = points.filter("latitude is not null and longitude is not null")
+    own = F.col(threshold_m) if isinstance(threshold_m, str) else F.lit(float(threshold_m))
+    placed = placed.withColumn("_limit", own)
+    widest = float(threshold_m) if not isinstance(threshold_m, str) else placed.agg(F.max("_limit").alias("m")).first().m or 1.0
+    if widest <= 0:
         raise ValueError("the merge distance must be positive")
-    named = distance_components(points.filter("latitude is not null and longitude is not null"), threshold_m, keys, ident)
+    near = within_radius(placed, widest, keys, ident)
+    if isinstance(threshold_m, str):
+        near = near.join(placed.select(F.col(ident).alias("a"), "_limit"), "a").filter(F.col("distance_m") <= F.col("_limit"))
+    named = placed.join(components(near, nodes=placed.select(F.col(ident).alias("node"))).withColumnRenamed("node", ident), ident)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(ident, kind="stable")
         lat, lon, ids = (rows[c].to_numpy() for c in ("latitude", "longitude", ident))
+        limit = float(rows["_limit"].iloc[0])
         patch = np.full(len(rows), -1)
         founders: list = []
         for i in range(len(rows)):
@@ -70,7 +80,7 @@ def complete_link(points: DataFrame, threshold_m: float, keys: list[str], ident:
                 far = np.zeros(len(founders))
                 np.maximum.at(far, patch[:i], metres(lat[i], lon[i], lat[:i], lon[:i]))
                 best = int(far.argmin())
-                if far[best] <= threshold_m:
+                if far[best] <= limit:
                     patch[i] = best
                     continue
             patch[i] = len(founders)
@@ -78,7 +88,7 @@ def complete_link(points: DataFrame, threshold_m: float, keys: list[str], ident:
         return pd.DataFrame({ident: ids, "founder": [founders[p] for p in patch]})
 
     kind = dict(named.dtypes)[ident]
-    slim = named.select(ident, "latitude", "longitude", "component")
+    slim = named.select(ident, "latitude", "longitude", "component", "_limit")
     return points.join(slim.groupBy("component").applyInPandas(group, f"{ident} {kind}, founder {kind}"), ident)
 
 
@@ -95,6 +105,67 @@ def patches(cells: DataFrame, threshold_m: float, area: str = "survey_area_id",
     return out.select(*keys, "zone_id", area, "zone_member_count", "zone_radius_m", "zone_merge_threshold_m", "representative_site_id", F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), "member_ids")
 
 
+# fixed values: columns that can stand for each kind of evidence, and what is taken without any
+ZONE_EVIDENCE = {
+    "observed": (["component_observed_score", "occurrence_support_score", "observed_base_priority_score"], 0.0),
+    "local": (["component_local_habitat_score", "analogue_score", "habitat_score", "environmental_similarity"], 0.0),
+    "model": (["component_macro_model_score", "model_support_score", "sdm_suitability", "ssdm_predicted_richness"], 0.0),
+    "access": (["component_access_score", "access_score", "accessibility_score"], 0.5),
+    "agreement": (["evidence_agreement_score", "observed_model_agreement_score"], 0.0),
+    "divergence": (["evidence_divergence_score", "model_analogue_disagreement"], 0.0),
+}
+
+
+def scored_zones(df: DataFrame, merge_m: float | None = None, keys: list[str] = (), area: str = "survey_area_id", ident: str = "row_id", score: str = "priority_score", radius: str = "search_cell_radius_m") -> DataFrame:
+    """Complete-link zones with their score, evidence maxima and where each comes from, roles, text and rank.
+
+    Maxima of independent evidence count, never the number of points. Without ``merge_m`` an area's distance is twice
+    its median cell radius, within 250 to 5000 m, or 1000 m.
+    """
+    keys = [*keys]
+    work = df.filter("latitude is not null and longitude is not null")
+    if merge_m is None:
+        middle = F.percentile(radius, F.lit(0.5)) if radius in df.columns else F.first(F.lit(None).cast("double"))
+        limits = work.groupBy(*keys, area).agg(F.when(middle.isNull(), 1000.0).otherwise(F.least(F.lit(5000.0), F.greatest(F.lit(250.0), 2 * middle))).alias("_merge"))
+        work = work.join(limits, [*keys, area])
+    else:
+        work = work.withColumn("_merge", F.lit(float(merge_m)))
+    defaults = {"priority": 0.0} | {n: d for n, (_, d) in ZONE_EVIDENCE.items()}
+    work = with_units(work, {"_priority": [score]} | {f"_{n}": c for n, (c, _) in ZONE_EVIDENCE.items()}, keys, default=None)
+    work = materialise(work.withColumns({f"_{n}": F.coalesce(f"_{n}", F.lit(d)) for n, d in defaults.items()}), "zones")
+    work = materialise(complete_link(work, "_merge", [*keys, area], ident), "zones")
+    best = 0.8 * F.col("_priority") + 0.1 * F.col("_agreement") + 0.1 * F.col("_access")
+    kind = candidate_role(F.col("candidate_type") if "candidate_type" in df.columns else F.lit(""))
+    source = lambda c: F.max_by(F.col(ident), F.struct(F.col(c), -F.col(ident)))  # noqa: E731 - the first row of the largest value
+    zones = work.withColumns({"_best": best, "_role": kind}).groupBy(*keys, area, "founder").agg(
+        F.min(F.struct((-F.col("_best")).alias("a"), (-F.col("_access")).alias("b"), (-F.col("_priority")).alias("c"), F.col(ident).alias("id"), "latitude", "longitude", F.col("_role").alias("role"))).alias("_r"),
+        F.count("*").alias("zone_member_count"), F.first("_merge").alias("_merge"), F.array_sort(F.collect_set("_role")).alias("_roles"), F.array_sort(F.collect_list(ident)).alias("member_ids"),
+        *[F.max(f"_{n}").alias(f"_{n}") for n in ("priority", *ZONE_EVIDENCE)], *[source(f"_{n}").alias(f"{n}_source_site_id") for n in ("priority", "observed", "local", "model", "access")],
+    )
+    far = work.join(zones.select(*keys, area, "founder", F.col("_r.latitude").alias("_lat"), F.col("_r.longitude").alias("_lon")), [*keys, area, "founder"])
+    far = far.groupBy(*keys, area, "founder").agg(F.max(haversine_m("_lat", "_lon", "latitude", "longitude")).alias("_m"))
+    number = F.row_number().over(Window.partitionBy(*keys, area).orderBy("founder")).cast("string")
+    sources = F.size(F.array_distinct(F.array(*[f"{n}_source_site_id" for n in ("priority", "observed", "local", "model", "access")])))
+    text = F.format_string("Observed %.2f; local habitat %.2f; model %.2f; access %.2f; %d candidate point(s).", "_observed", "_local", "_model", "_access", "zone_member_count")
+    out = zones.join(far, [*keys, area, "founder"]).withColumns({
+        "zone_id": F.concat(id_token(area), F.lit("-Z"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)),
+        "zone_score": F.bround(0.9 * F.col("_priority") + 0.1 * F.col("_agreement"), 6),
+        "zone_radius_m": F.bround("_m", 1),
+        "zone_merge_threshold_m": F.bround("_merge", 1),
+        "representative_site_id": F.col("_r.id"),
+        "latitude": F.col("_r.latitude"),
+        "longitude": F.col("_r.longitude"),
+        "zone_candidate_roles": F.concat_ws("; ", "_roles"),
+        "primary_zone_role": F.col("_r.role"),
+        "zone_evidence_summary": text,
+        "evidence_source_count": sources,
+        **{f"{n}_score": F.bround(f"_{c}", 6) for n, c in (("observed_support", "observed"), ("local_habitat_support", "local"), ("model_support", "model"), ("access_support", "access"), ("zone_agreement_support", "agreement"), ("zone_divergence", "divergence"))},
+    })
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("zone_score"), "zone_id")
+    ranked = out.withColumn("zone_rank", F.row_number().over(order))
+    return ranked.drop("founder", "_r", "_m", "_merge", "_roles", *[f"_{n}" for n in ("priority", *ZONE_EVIDENCE)])
+
+
 def clean_edges(edges: DataFrame, a: str = "from_node_id", b: str = "to_node_id", weight: str = "distance_m") -> DataFrame:
     """Undirected edges once, of least weight, without loops."""
     ordered = edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b), weight)

@@ -20,8 +20,8 @@ def k3_score_top_k(v):
 
 @query()
 def k2_recommended_zones(v):
-    zones = graph.patches(v("candidates").withColumn("ecological_support_rank", 1.0 - F.col("priority_score")), 2000.0)
-    return scoring.top_quota(zones.withColumn("score", F.col("zone_member_count").cast("double")), 3, 8, score="score", ident="zone_id").select("survey_area_id", "zone_id", "score")
+    zones = graph.scored_zones(v("candidates"), 2000.0)
+    return scoring.top_quota(zones, 3, 8, score="zone_score", ident="zone_id").select("survey_area_id", "zone_id", "zone_score")
 
 
 @query()

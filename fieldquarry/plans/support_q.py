@@ -175,7 +175,7 @@ def g5_explicit_edges(v):
 
 @query()
 def g6_zones(v):
-    return rounded(graph.patches(v("candidates").withColumn("ecological_support_rank", 1.0 - F.col("priority_score")), 2000.0).drop("member_ids"), 5)
+    return graph.scored_zones(v("candidates"), 2000.0).drop("member_ids")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a.row_id AS a, b.row_id AS b FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 1500),

@@ -115,6 +115,15 @@ def test_complete_link_by_components_equals_the_sequence(points):
             assert got == want
 
 
+def test_zones_score_maxima_not_counts(spark):
+    rows = [(1, "x", 0.0, 0.0, 0.2, 0.9, 400.0), (2, "x", 0.0, 0.001, 0.8, 0.1, 400.0), (3, "x", 0.0, 0.02, 0.5, None, 400.0), (4, "y", 9.0, 9.0, 0.9, 0.5, None)]
+    frame = spark.createDataFrame(rows, "row_id long, survey_area_id string, latitude double, longitude double, priority_score double, analogue_score double, search_cell_radius_m double")
+    got = {r.zone_id: r for r in graph.scored_zones(frame).collect()}
+    assert {k: (r.zone_member_count, r.zone_score, r.representative_site_id, r.zone_merge_threshold_m) for k, r in got.items()} == {"x-Z001": (2, 0.72, 2, 800.0), "x-Z002": (1, 0.45, 3, 800.0), "y-Z001": (1, 0.81, 4, 1000.0)}
+    first = got["x-Z001"]
+    assert (first.local_source_site_id, first.priority_source_site_id, first.evidence_source_count, got["y-Z001"].zone_rank) == (1, 2, 2, 1)
+
+
 def test_components_and_bounded_paths(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 9.0), (7, 8, 1.0), (2, 1, 0.5)], "from_node_id long, to_node_id long, distance_m double")
     nodes = spark.createDataFrame([(9,)], "node long")
