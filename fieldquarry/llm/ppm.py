@@ -8,6 +8,9 @@ the next shorter context d / (n + d) (method C). After an escape, bytes that the
 n and d of the shorter one too; below the empty context the bytes left are equally likely. A document's score is the
 sum of its bytes' log10 probabilities.
 
+A model of at most ``NODES`` deepest nodes goes to all executors whole. Of a larger one all nodes stay in written tables:
+the most counted ones' probabilities go to all executors, and the other byte and context pairs of the documents are joined.
+
 Beside it stands a unigram model of words, exact over the whole corpus: frequent words, at most ``FREQUENT``, go to all
 executors; all other words are joined.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise, slices
 
 ORDER = 5
-#: Deepest nodes that a model keeps at most, the most counted first, and words that are sent to all executors at most.
+#: Deepest nodes and words that are sent to all executors at most, the most counted first; all others are joined.
 NODES, FREQUENT = 1 << 20, 1 << 17
 
 _U = np.uint64
@@ -91,36 +94,10 @@ def at_most(counts: DataFrame, n_col: str, bound: int) -> int:
     return 1
 
 
-class Trie:
-    """Sorted arrays of nodes and contexts for each order, and a hash table of the deepest nodes' log probabilities."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray):
-        by = np.argsort(grams)
-        keys, counts = grams[by].astype(_U), n[by].astype(np.float64)
-        self.nodes, self.counts, self.contexts, self.n, self.d = {}, {}, {}, {}, {}
-        for k in range(ORDER, -1, -1):
-            if k < ORDER:
-                keys, index = np.unique(keys & _U((1 << 8 * (k + 1)) - 1), return_inverse=True)
-                counts = np.bincount(index, counts, minlength=len(keys))
-            self.nodes[k], self.counts[k] = keys, counts
-            self.contexts[k], index = np.unique(keys >> _U(8), return_inverse=True)
-            self.n[k] = np.bincount(index, counts, minlength=len(self.contexts[k]))
-            self.d[k] = np.bincount(index, minlength=len(self.contexts[k])).astype(np.float64)
-        # of each context of order k: n and d that are left in its suffix once its own bytes are excluded there
-        self.left_n, self.left_d = {}, {}
-        for k in range(1, ORDER + 1):
-            own = np.searchsorted(self.contexts[k], self.nodes[k] >> _U(8))
-            suffix = np.searchsorted(self.nodes[k - 1], self.nodes[k] & _U((1 << 8 * k) - 1))
-            known = np.bincount(own, self.counts[k - 1][suffix], minlength=len(self.contexts[k]))
-            parent = np.searchsorted(self.contexts[k - 1], self.contexts[k] & _U((1 << 8 * (k - 1)) - 1))
-            self.left_n[k] = self.n[k - 1][parent] - known
-            self.left_d[k] = self.d[k - 1][parent] - self.d[k]
-        self._table()
+class Values:
+    """A hash table of log probabilities by key."""
 
-    def _table(self) -> None:
-        keys = self.nodes[ORDER]
-        own = np.searchsorted(self.contexts[ORDER], keys >> _U(8))
-        value = np.log10(self.counts[ORDER] / (self.n[ORDER] + self.d[ORDER])[own]) if len(keys) else np.empty(0)
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
         self.bits = max(4, int(len(keys) * 2).bit_length())
         self.slots = np.full(1 << self.bits, 2**64 - 1, _U)
         self.values = np.zeros(1 << self.bits)
@@ -138,7 +115,7 @@ class Trie:
         return (keys * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """The log10 probability of each key's byte in its context."""
+        """Each key's value, nan where there is none."""
         slot = self._slot(keys)
         there = self.slots[slot]
         out = self.values[slot]
@@ -154,6 +131,40 @@ class Trie:
             hit = there == keys[todo]
             out[todo[hit]] = self.values[slot[hit]]
             todo, slot, there = todo[~hit], slot[~hit], there[~hit]
+        return out
+
+
+class Trie(Values):
+    """Sorted arrays of nodes and contexts for each order, and a hash table of the deepest nodes' log probabilities."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        by = np.argsort(grams)
+        keys, counts = grams[by].astype(_U), n[by].astype(np.float64)
+        self.nodes, self.counts, self.contexts, self.n, self.d = {}, {}, {}, {}, {}
+        for k in range(ORDER, -1, -1):
+            if k < ORDER:
+                keys, index = np.unique(keys & _U((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                counts = np.bincount(index, counts, minlength=len(keys))
+            self.nodes[k], self.counts[k] = keys, counts
+            self.contexts[k], index = np.unique(keys >> _U(8), return_inverse=True)
+            self.n[k] = np.bincount(index, counts, minlength=len(self.contexts[k]))
+            self.d[k] = np.bincount(index, minlength=len(self.contexts[k])).astype(np.float64)
+        # of each context of order k: n and d that are left in its suffix once its own bytes are excluded there
+        self.left_n, self.left_d = {}, {}
+        for k in range(1, ORDER + 1):
+            own = np.searchsorted(self.contexts[k], self.nodes[k] >> _U(8))
+            suffix = np.searchsorted(self.nodes[k - 1], self.nodes[k] & _U((1 << 8 * k) - 1))
+            known = np.bincount(own, self.counts[k - 1][suffix], minlength=len(self.contexts[k]))
+            parent = np.searchsorted(self.contexts[k - 1], self.contexts[k] & _U((1 << 8 * (k - 1)) - 1))
+            self.left_n[k] = self.n[k - 1][parent] - known
+            self.left_d[k] = self.d[k - 1][parent] - self.d[k]
+        keys = self.nodes[ORDER]
+        own = np.searchsorted(self.contexts[ORDER], keys >> _U(8))
+        super().__init__(keys, np.log10(self.counts[ORDER] / (self.n[ORDER] + self.d[ORDER])[own]) if len(keys) else np.empty(0))
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """The log10 probability of each key's byte in its context."""
+        out = super().log10(keys)
         todo = np.flatnonzero(np.isnan(out))
         if len(todo):
             short, index = np.unique(keys[todo], return_inverse=True)
@@ -191,6 +202,60 @@ class Trie:
         return out
 
 
+class Nodes:
+    """The trie of all grams as written tables: nodes (key, c) and contexts (ctx, n, d, left_n, left_d) for each order.
+
+    Keys are counted before they are joined, and a key has at most 256 that are longer by one byte, so no group is hot.
+    """
+
+    def __init__(self, grams: DataFrame):
+        self.nodes, self.contexts = {ORDER: grams.select(F.col("gram").alias("key"), F.col("n").alias("c"))}, {}
+        for k in range(ORDER - 1, -1, -1):
+            self.nodes[k] = materialise(self.nodes[k + 1].groupBy(_low("key", k + 1).alias("key")).agg(F.sum("c").alias("c")), "lm-nodes")
+        for k in range(ORDER + 1):
+            own = self.nodes[k].groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.count("*").alias("d"))
+            if k:
+                suffix = self.nodes[k - 1].select(F.col("key").alias("short"), F.col("c").alias("known"))
+                known = self.nodes[k].select(F.shiftright("key", 8).alias("ctx"), _low("key", k).alias("short")).join(suffix, "short").groupBy("ctx").agg(F.sum("known").alias("known"))
+                parent = self.contexts[k - 1].select(F.col("ctx").alias("short"), F.col("n").alias("all_n"), F.col("d").alias("all_d"))
+                own = own.join(known, "ctx").withColumn("short", _low("ctx", k - 1)).join(parent, "short")
+                own = own.select("ctx", "n", "d", (F.col("all_n") - F.col("known")).alias("left_n"), (F.col("all_d") - F.col("d")).alias("left_d"))
+            self.contexts[k] = materialise(own, "lm-contexts")
+        first = self.contexts[0].first()
+        self.bytes_known = first.d if first else 0
+
+    def seen(self) -> DataFrame:
+        """(gram, n, value) of every deepest node."""
+        value = F.log10(F.col("c") / (F.col("n") + F.col("d")))
+        return self.nodes[ORDER].withColumn("ctx", F.shiftright("key", 8)).join(self.contexts[ORDER], "ctx").select(F.col("key").alias("gram"), F.col("c").alias("n"), value.alias("value"))
+
+    def unseen(self, grams: DataFrame) -> DataFrame:
+        """(gram, value) of distinct grams that aren't deepest nodes."""
+        keys = grams.select(F.col("gram").alias("key"), F.shiftright("gram", 8).alias("ctx"))
+        top = self.contexts[ORDER].select("ctx", F.log10(F.col("d") / (F.col("n") + F.col("d"))).alias("escape"))
+        out = keys.join(self._after(ORDER, keys.select("key")), "key").join(top, "ctx", "left")
+        return out.select(F.col("key").alias("gram"), (F.coalesce("escape", F.lit(0.0)) + F.col("value")).alias("value"))
+
+    def _after(self, k: int, keys: DataFrame) -> DataFrame:
+        """(key, value) of distinct keys that aren't nodes of order k: what the shorter contexts give them."""
+        if k == 0:
+            return keys.select("key", F.lit(-float(np.log10(256 - self.bytes_known)) if self.bytes_known < 256 else 0.0).alias("value"))
+        short = keys.select(_low("key", k).alias("key")).distinct().join(self.nodes[k - 1], "key", "left").withColumn("ctx", F.shiftright("key", 8))
+        short = materialise(short.join(self.contexts[k - 1].select("ctx", "n", "d"), "ctx", "left").select("key", "c", "n", "d"), "lm-short")
+        below = self._after(k - 1, short.filter("c is null").select("key"))
+        short = short.join(below, "key", "left").select(F.col("key").alias("short"), "c", "n", "d", F.col("value").alias("below"))
+        left = self.contexts[k].select("ctx", "left_n", "left_d")
+        met = keys.select("key", F.shiftright("key", 8).alias("ctx"), _low("key", k).alias("short")).join(left, "ctx", "left").join(short, "short")
+        n, d = F.coalesce("left_n", "n"), F.coalesce("left_d", "d")  # without the bytes of the context one byte longer, if there is one
+        escape = F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
+        return materialise(met.select("key", F.when(F.col("c").isNotNull(), F.log10(F.col("c") / (n + d))).otherwise(escape + F.col("below")).alias("value")), "lm-after")
+
+
+def _low(column: str, size: int) -> "F.Column":
+    """The last ``size`` bytes of a key."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
+
+
 def _frequent(counts: DataFrame, bound: int) -> tuple[dict[bytes, int], int]:
     least = at_most(counts, "c", bound)
     got = counts.filter(F.col("c") >= least).toArrow()
@@ -224,7 +289,7 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     ``train`` is a column expression that marks the rows to learn from. Tokens are words and one end for each document.
     base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens; score is the byte model's. Null and empty texts
     are their end alone. Without training rows N and V are 0 and the trie is empty. Null and repeated ids, and equal
-    rows, are scored each; other columns are ignored.
+    rows, are scored each; other columns are ignored. ``nodes`` and ``frequent`` bound what is broadcast, not the models.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -236,46 +301,75 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     known, least = _frequent(words, frequent)
     part = {w: float(np.log10(c + 0.5)) for w, c in known.items()}
     grams = materialise(count_grams(learnt), "lm-grams")
-    deep = grams.filter(F.col("n") >= at_most(grams, "n", nodes)).toArrow()
-    shared = spark.sparkContext.broadcast((part, deep["gram"].to_numpy(), deep["n"].to_numpy()))  # bounded by ``frequent`` and ``nodes``
+    whole = grams.count() <= nodes
+    if whole:
+        deep = grams.select("gram", F.col("n").alias("value")).toArrow()
+    else:
+        trie = Nodes(grams)
+        seen = materialise(trie.seen(), "lm-seen")
+        often = F.col("n") >= at_most(grams, "n", nodes)
+        deep = seen.filter(often).select("gram", "value").toArrow()
+    shared = spark.sparkContext.broadcast((part, deep["gram"].to_numpy(), deep["value"].to_numpy()))  # bounded by ``frequent`` and ``nodes``
     below = float(np.log10(n_all + 0.5 * (v_all + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, keys, n = shared.value
-        trie = Trie(keys, n)
+        part, keys, values = shared.value
+        model = Trie(keys, values) if whole else Values(keys.astype(_U), values)
         end = float(np.log10(ends + 0.5))
-        names = ["row", "id", "word", "times", "tokens", "known", "base", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["row", "id", "word", "times", "tokens", "known", "base", "score", "gram"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         for batch in slices(batches, "text", 1 << 19):
             data, stops, split = plain_bytes(batch.column(2).to_pylist())
             grams, stops = gram_keys(data, stops)
-            sums = np.append(0.0, np.cumsum(trie.log10(grams)))
+            value = model.log10(grams)
+            asked = np.flatnonzero(np.isnan(value))
+            value[asked] = 0.0
+            sums = np.append(0.0, np.cumsum(value))
             score = np.diff(sums[np.append(0, stops)])
+            if len(asked):
+                gram, index = np.unique(grams[asked], return_inverse=True)
+                pair, times = np.unique(np.searchsorted(stops, asked, "right") * len(gram) + index, return_counts=True)
+                columns = [pa.nulls(len(pair), k) for k in kinds]
+                columns[0], columns[3] = batch.column(0).take(pa.array(pair // len(gram))), pa.array(times)
+                columns[-1] = pa.array(gram[pair % len(gram)].astype(np.int64))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
             out: list[list] = [[] for _ in names]
             for row, doc, own, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), split, score.tolist()):
                 base, seen = end, int(ends > 0)
                 for word, times in Counter(own).items():
                     p = part.get(word)
                     if p is None:
-                        for column, value in zip(out, (row, None, word, times, 0, 0, 0.0, 0.0)):
+                        for column, value in zip(out, (row, None, word, times, 0, 0, 0.0, 0.0, None)):
                             column.append(value)
                     else:
                         base += times * p
                         seen += times
                 # no word holds a space: this row meets no other in the join
-                for column, value in zip(out, (row, doc, b" %d" % row, 0, len(own) + 1, seen, base, s)):
+                for column, value in zip(out, (row, doc, b" %d" % row, 0, len(own) + 1, seen, base, s, None)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    asked = keyed.mapInArrow(run, "row long, id long, word binary, times long, tokens long, known long, base double, score double")
-    met = asked.join(words.filter(F.col("c") < least), "word", "left")
+    asked = keyed.mapInArrow(run, "row long, id long, word binary, times long, tokens long, known long, base double, score double, gram long")
+    if not whole:
+        asked = materialise(asked, "lm-asked")
+    met = asked.filter("gram is null").join(words.filter(F.col("c") < least), "word", "left")
     base = F.col("base") + F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
+    known = F.col("known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)
+    met = met.select("row", "id", "tokens", known.alias("known"), base.alias("base"), "score")
+    if not whole:
+        grams = asked.filter("gram is not null").select("row", "gram", "times")
+        rare = seen.filter(~often).select("gram", "value")
+        fresh = materialise(grams.select("gram").distinct().join(rare, "gram", "left_anti"), "lm-fresh")
+        values = materialise(rare.unionByName(trie.unseen(fresh)), "lm-values")
+        none = F.lit(0).cast("long")
+        scored = grams.join(values, "gram").select("row", F.lit(None).cast("long").alias("id"), none.alias("tokens"), none.alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("value")).alias("score"))
+        met = met.unionByName(scored)
     sums = met.groupBy("row").agg(
         F.max("id").alias(id_col),
         F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(base).alias("base"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base"),
         F.sum("score").alias("score"),
     )
     return sums.select(id_col, "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * below).alias("base_score"), "score")

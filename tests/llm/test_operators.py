@@ -307,6 +307,18 @@ def test_lm_scores(spark, docs, texts):
     assert abs(alone.score + len("one two\n") * math.log10(256)) < 1e-9 and alone.n_known == 0 and alone.base_score == 0
 
 
+def test_lm_scores_when_few_nodes_are_broadcast(spark, docs, texts):
+    train = F.coalesce(F.col("doc_id"), F.lit(1)) % 4 != 0
+    rows = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)} | {None: b"no id here at all".split()}
+    learnt = [w for i, w in rows.items() if i is None or i % 4]
+    whole = {r.doc_id: r for r in ppm.score_documents(docs, train, frequent=50).collect()}
+    got = {r.doc_id: r for r in ppm.score_documents(docs, train, frequent=50, nodes=40).collect()}
+    assert got.keys() == rows.keys()
+    for i, w in rows.items():
+        assert abs(got[i].score - slow_ppm(learnt, w)) < 1e-6 * max(1, -got[i].score), i
+        assert got[i][1:4] == whole[i][1:4] and abs(got[i].base_score - whole[i].base_score) < 1e-9 * max(1, -whole[i].base_score)
+
+
 _SLOW: dict = {}
 
 
