@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates; rows without an id stay."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document, that of the smallest id, of each group of near-duplicates (similarity 0.8 or more); rows without an id stay."""
+    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -434,3 +434,17 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert 9 in want and 21 not in want and 33 not in want
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packed(got, want)
+
+
+def test_pipeline_takes_out_copies_of_similarity_080(spark):
+    import corpus_pipeline
+
+    base = words(random.Random(12), 200, 10_000)
+    near, far = base[:], base[:]
+    for k in (30, 80, 130, 180):  # 176 of 216 shingles are shared: 0.815
+        near[k] = f"new{k}"
+    for k in (30, 65, 100, 135, 170):  # 171 of 221: 0.774
+        far[k] = f"old{k}"
+    rows = [(1, " ".join(base), 0), (2, " ".join(near), 0), (3, " ".join(far), 0), (None, " ".join(base), 0)]
+    got = corpus_pipeline.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), "").collect()
+    assert {r.doc_id for r in got} == {1, 3, None} and len(got) == 3
