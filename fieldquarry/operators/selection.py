@@ -2,7 +2,7 @@
 
 Small pools go through ``per_pool``: one group per key, in NumPy, as many pools at once as there are tasks. One large
 pool goes through ``greedy_large``: k rounds, each a distributed argmax and an update of every row's distance to what was
-chosen, never a matrix of pairs.
+chosen, never a matrix of pairs; so do all pools of K7-K9 side by side.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from ..functions.geo import finite, haversine_m
 from ..sources.scratch import materialise
 from .graph import components, distance_components, metres
 from .joins import within_radius
@@ -97,55 +97,116 @@ def group_policy(df: DataFrame, keys: list[str], group: str = "taxon_group", sco
     return per_pool(df, [*keys, group], [score, "latitude", "longitude"], choose, ident)
 
 
-def _geographic(pool: pd.DataFrame) -> np.ndarray:
-    lat, lon = pool["latitude"].to_numpy(float), pool["longitude"].to_numpy(float)
-    return np.array([metres(a, b, lat, lon) for a, b in zip(lat, lon)])
+#: Rows of a block of the first round's sums.
+BLOCK = 1024
 
 
-def _environmental(pool: pd.DataFrame, features: list[str]) -> np.ndarray:
-    x = pool[features].astype(float)
-    x = x.fillna(x.median())
-    if x.isna().any().any():
-        raise ValueError("an environmental column has no finite value")
-    spread = (x.quantile(0.75) - x.quantile(0.25)).to_numpy()
-    keep = np.isfinite(spread) & (spread != 0)  # columns without spread say nothing here
-    z = ((x - x.median()).to_numpy()[:, keep]) / spread[keep]
-    return np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)) if keep.any() else np.zeros((len(x), len(x)))
+def _sums(rows: DataFrame) -> DataFrame:
+    """(_g, _id, geo, geo_top, env, env_top): sum and maximum of each row's distances to all rows of its pool.
 
+    All pairs are in the definition. Pools are dealt into blocks, and each pair of blocks is a row of its own.
+    """
+    many = rows.groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m"))
+    dealt = rows.join(many, "_g").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_m")))
+    blocks = materialise(dealt.groupBy("_g", "_m", "_b").agg(F.collect_list(F.struct("_id", "_lat", "_lon", "_z")).alias("_rows")), "maximin-blocks")
+    first = blocks.select("_g", "_b", F.col("_rows").alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_c"))
+    tiles = first.join(blocks.select("_g", F.col("_b").alias("_c"), "_rows"), ["_g", "_c"]).select("_g", "_own", "_rows").repartition(F.xxhash64("_g", "_own"))
+
+    def part(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([r["_lat"] for r in rows], float), np.array([r["_lon"] for r in rows], float), np.array([list(r["_z"]) for r in rows], float).reshape(len(rows), -1)
+
+    def run(batches):
+        for batch in batches:
+            for g, own, others in zip(batch["_g"], batch["_own"], batch["_rows"]):
+                lat, lon, z = part(own)
+                lats, lons, zs = part(others)
+                geo = metres(lat[:, None], lon[:, None], lats, lons)
+                env = np.zeros_like(geo)
+                for j in range(z.shape[1]):
+                    env += (z[:, j, None] - zs[:, j]) ** 2
+                env = np.sqrt(env)
+                yield pd.DataFrame({"_g": [g] * len(own), "_id": [r["_id"] for r in own], "geo": geo.sum(axis=1), "geo_top": geo.max(axis=1), "env": env.sum(axis=1), "env_top": env.max(axis=1)})
+
+    kinds = dict(rows.dtypes)
+    out = tiles.mapInPandas(run, f"_g {kinds['_g']}, _id {kinds['_id']}, geo double, geo_top double, env double, env_top double")
+    return out.groupBy("_g", "_id").agg(F.sum("geo").alias("geo"), F.max("geo_top").alias("geo_top"), F.sum("env").alias("env"), F.max("env_top").alias("env_top"))
+
+
+def _scaled_features(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with ``_z``: features less median over IQR of their pool, missing ones the median; 0 without IQR, as such columns say nothing here."""
+    present = {f: F.when(~F.isnan(f), F.col(f)) for f in features}
+    middle = rows.groupBy("_g").agg(*[F.percentile(present[f], F.lit(0.5)).alias(f"_med{j}") for j, f in enumerate(features)])
+    none = F.lit(False)
+    for j in range(len(features)):
+        none = none | F.col(f"_med{j}").isNull()
+    middle = materialise(middle, "maximin-medians")
+    if not middle.filter(none).isEmpty():
+        raise ValueError("an environmental column has no finite value")
+    filled = rows.join(middle, "_g").withColumns({f: F.coalesce(present[f], f"_med{j}") for j, f in enumerate(features)}).drop(*[f"_med{j}" for j in range(len(features))])
+    by = filled.groupBy("_g").agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{j}") for j, f in enumerate(features)])
+    z = []
+    for j, f in enumerate(features):
+        q = F.col(f"_q{j}")
+        spread = q[2] - q[0]
+        z.append(F.when(finite(spread) & (spread != 0), (F.col(f) - q[1]) / spread).otherwise(0.0))
+    return filled.join(by, "_g").withColumn("_z", F.array(*z))
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    top = matrix.max() if matrix.size else 0.0
-    return matrix / top if top > 0 else np.zeros_like(matrix)
 
+def _maximin(df: DataFrame, k: int, keys: list[str], ident: str, features: list[str], weight: float | None, value: str) -> DataFrame:
+    """k rounds over all pools: each pool's best row, then every row's distance to what was chosen.
 
-def _maximin(matrix: np.ndarray, k: int) -> tuple[list[int], list[float]]:
-    # sums are compared at a millionth of the largest, so that equal means tie whatever the order of addition
-    mean = np.round(matrix.mean(axis=1) / (matrix.max() or 1.0), 12)
-    picked, values = [int(np.argmax(mean))], [float(matrix.mean(axis=1).max())]
-    near = matrix[picked[0]].copy()
-    while len(picked) < min(k, len(matrix)):
-        near[picked] = -1.0
-        best = int(np.argmax(near))
-        picked.append(best)
-        values.append(float(near[best]))
-        near = np.minimum(near, matrix[best])
-    return picked, values
+    ``weight`` None: metres without ``features``, scaled features with them; else the mixture, each over its pool's largest.
+    """
+    geographic = weight is not None or not features
+    # a pool is one value, so that null keys are pools and no keys are one
+    rows = df.select(F.struct(*keys, F.lit(0).alias("_all")).alias("_g"), F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(n) for c, n in (("latitude", "_lat"), ("longitude", "_lon")) if geographic], *[F.col(f).cast("double") for f in features])
+    if not geographic:
+        rows = rows.withColumns({"_lat": F.lit(0.0), "_lon": F.lit(0.0)})
+    rows = _scaled_features(rows, features) if features else rows.withColumn("_z", F.array().cast("array<double>"))
+    rows = materialise(rows.select("_g", "_id", "_lat", "_lon", "_z"), "maximin")
+    sums = materialise(_sums(rows), "maximin-sums")
+    tops = sums.groupBy("_g").agg(F.max("geo_top").alias("_geo"), F.max("env_top").alias("_env"), F.count("*").alias("_n"))
+    if weight is not None:
+        shares = {"_geo": F.when(F.col("_geo") > 0, (1 - weight) / F.col("_geo")).otherwise(0.0), "_env": F.when(F.col("_env") > 0, weight / F.col("_env")).otherwise(0.0), "_top": F.lit(1.0)}
+    else:
+        shares = {"_geo": F.lit(float(geographic)), "_env": F.lit(float(not geographic)), "_top": F.col("_geo" if geographic else "_env")}
+    left = rows.join(sums.select("_g", "_id", "geo", "env"), ["_g", "_id"]).join(tops.select("_g", "_n", *[c.alias(n) for n, c in shares.items()]), "_g")
+    mean = (F.col("_geo") * F.col("geo") + F.col("_env") * F.col("env")) / F.col("_n")
+    # means are compared at 12 digits of the largest distance, so that equal ones tie whatever the order of addition
+    left = left.withColumns({"_near": mean, "_by": F.round(mean / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0), 12)})
+    left = materialise(left.drop("geo", "env", "_n", "_top"), "maximin-left")
+    chosen = None
+    for turn in range(1, k + 1):
+        best = left.groupBy("_g").agg(F.min_by(F.struct("_id", "_lat", "_lon", "_z", "_near"), F.struct(-F.col("_by"), F.col("_id"))).alias("_c"))
+        best = materialise(best, "maximin-best")
+        if best.isEmpty():
+            break
+        one = best.select("_g", F.col("_c._id").alias("_id"), F.lit(turn).alias("decision_rank"), F.col("_c._near").alias(value))
+        chosen = one if chosen is None else chosen.unionByName(one)
+        if turn < k:
+            env = F.sqrt(F.aggregate(F.zip_with("_z", "_c._z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d))
+            far = F.col("_geo") * haversine_m("_lat", "_lon", "_c._lat", "_c._lon") + F.col("_env") * env
+            near = far if turn == 1 else F.least("_near", far)
+            left = left.join(best, "_g").filter(F.col("_id") != F.col("_c._id")).withColumn("_near", near).withColumn("_by", F.col("_near")).drop("_c")
+            left = materialise(left, "maximin-left")
+    if chosen is None:
+        chosen = rows.select("_g", "_id", F.lit(1).alias("decision_rank"), F.lit(0.0).alias(value)).limit(0)
+    return chosen.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col("_id").alias(ident), "decision_rank", value)
 
 
 def geographic_maximin(df: DataFrame, k: int, keys: list[str], ident: str = "row_id") -> DataFrame:
     """First the row of the largest mean distance, then always the farthest from those chosen; ties to the smaller id (K7)."""
-    return per_pool(df, keys, ["latitude", "longitude"], lambda p: _maximin(_geographic(p), k), ident, value="distance_m")
+    return _maximin(df, k, keys, ident, [], None, "distance_m")
 
 
 def environmental_maximin(df: DataFrame, k: int, features: list[str], keys: list[str], ident: str = "row_id") -> DataFrame:
     """The same in feature space scaled by median and IQR; columns without IQR are dropped (K8)."""
-    return per_pool(df, keys, features, lambda p: _maximin(_environmental(p, features), k), ident, value="distance")
+    return _maximin(df, k, keys, ident, features, None, "distance")
 
 
 def dual_maximin(df: DataFrame, k: int, features: list[str], keys: list[str], weight: float = 0.5, ident: str = "row_id") -> DataFrame:
     """The same in a mixture of both distances, each over its largest (K9)."""
-    mixed = lambda p: (1 - weight) * _unit(_geographic(p)) + weight * _unit(_environmental(p, features))
-    return per_pool(df, keys, [*features, "latitude", "longitude"], lambda p: _maximin(mixed(p), k), ident, value="distance")
+    return _maximin(df, k, keys, ident, features, weight, "distance")
 
 
 def centroid_first(df: DataFrame, k: int, ident: str = "row_id") -> DataFrame:

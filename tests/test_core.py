@@ -278,3 +278,40 @@ def test_climate_by_hand(spark):
     rows = [tuple([10.0] * 12 + [1.0] * 12), tuple([-999.0] + [10.0] * 11 + [1.0] * 12)]
     got = scoring.bioclim(spark.createDataFrame(rows, ", ".join(f"{m} double" for m in months)), months[:12], months[12:]).collect()
     assert len(got) == 1 and got[0].mean_temperature == 10 and got[0].temperature_seasonality == 0 and got[0].annual_rain == 365 and got[0].driest_month == 28
+
+
+def test_maximin_needs_no_matrix_of_a_pool(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(selection, "BLOCK", 16)
+    monkeypatch.setattr(selection, "per_pool", None)  # no pool is a group in one task
+    rng = random.Random(8)
+    rows = [(i, [None, 1, 2][i % 3], 30 + rng.random(), 130 + rng.random(), None if i % 7 == 0 else rng.random(), float(i % 5), 4.0) for i in range(150)]
+    frame = spark.createDataFrame(rows, "row_id long, area int, latitude double, longitude double, a double, b double, c double").repartition(5)
+    for name, out in (
+        ("geo", selection.geographic_maximin(frame, 6, ["area"])),
+        ("env", selection.environmental_maximin(frame, 6, ["a", "b", "c"], ["area"])),
+        ("dual", selection.dual_maximin(frame, 6, ["a", "b", "c"], ["area"], 0.3)),
+    ):
+        got = {(r.area, r.decision_rank): (r.row_id, r[-1]) for r in out.collect()}
+        assert len(got) == 18
+        for area in (None, 1, 2):
+            pool = [r for r in rows if r[1] == area]
+            lat, lon = np.array([r[2] for r in pool]), np.array([r[3] for r in pool])
+            x = np.array([r[4:] for r in pool], float)
+            x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+            low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+            z = (x - mid)[:, :2] / (high - low)[:2]
+            apart = {"geo": graph.metres(lat[:, None], lon[:, None], lat, lon), "env": np.sqrt(((z[:, None] - z) ** 2).sum(axis=2))}
+            apart["dual"] = 0.7 * apart["geo"] / apart["geo"].max() + 0.3 * apart["env"] / apart["env"].max()
+            m = apart[name]
+            picked = [int(np.argmax(np.round(m.mean(axis=1) / m.max(), 12)))]
+            values = [m[picked[0]].mean()]
+            while len(picked) < 6:
+                near = m[picked].min(axis=0)
+                near[picked] = -1
+                picked.append(int(np.argmax(near)))
+                values.append(near[picked[-1]])
+            for turn in range(6):
+                ident, value = got[area, turn + 1]
+                assert ident == pool[picked[turn]][0] and abs(value - values[turn]) < 1e-6 * max(1, value), (name, area, turn)
