@@ -1,7 +1,7 @@
 """Environmental support: distance of cells to known prototypes under perturbation.
 
 Prototypes are few: at most ``MAX_PROTOTYPES`` for each key, so models made from them are broadcast; cells are not
-shuffled until their distances are ranked.
+shuffled until their distances are ranked. Without keys, ranks are distributed: the whole universe is one problem then.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import complete_features, finite
-from .windows import percent_rank_average
+from .windows import finite_rank, numbered, percent_rank_average
 
 MAX_PROTOTYPES = 32
 _MODEL = "world long, median array<double>, scale array<double>, prototypes array<array<double>>, ids array<long>, kernel double"
@@ -81,7 +81,7 @@ def geometry(universe: DataFrame, prototypes: DataFrame, features: list[str], ke
         "nearest": F.coalesce(F.array_min("_d"), F.lit(float("inf"))),
         "responsibility": F.coalesce(F.transform("_d", lambda d: F.exp(-0.5 * (d / F.col("kernel")) * (d / F.col("kernel")))), F.transform("prototypes", lambda _: F.lit(0.0))),
     })
-    return percent_rank_average(out.drop("_d", "median", "scale", "prototypes", "world"), "nearest", keys, "support_rank", distributed)
+    return percent_rank_average(out.drop("_d", "median", "scale", "prototypes", "world"), "nearest", keys, "support_rank", distributed or not keys)
 
 
 def consensus(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], cell: str = "row_id", ident: str = "row_id", distributed: bool = False) -> DataFrame:
@@ -89,7 +89,7 @@ def consensus(universe: DataFrame, prototypes: DataFrame, features: list[str], k
     models = prototype_models(prototypes, features, keys, ident, leave_one_out=True)
     cells = universe.select(*keys, cell, *features)
     worlds = with_distances(cells, models, features, keys).select(*keys, cell, "world", F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("nearest"))
-    ranked = percent_rank_average(worlds, "nearest", [*keys, "world"], "r", distributed).withColumn("r", F.col("r").cast("float"))
+    ranked = percent_rank_average(worlds, "nearest", [*keys, "world"], "r", distributed or not keys).withColumn("r", F.col("r").cast("float"))
     return ranked.groupBy(*keys, cell).agg(F.percentile("r", F.lit(0.5)).cast("float").alias("consensus"), F.stddev_pop("r").alias("uncertainty"))
 
 
@@ -106,23 +106,13 @@ def support_cells(universe: DataFrame, ranks: DataFrame, threshold: float, toler
     return joined.filter(keep).withColumns({"site_id": F.col(cell).cast("string"), "ecological_support_rank": F.col(rank).cast("double"), "priority_score": 1.0 - F.col(rank).cast("double")})
 
 
-def finite_rank(df: DataFrame, value: str, keys: list[str], out: str = "rank") -> DataFrame:
-    """Percentile rank among finite values only; all others get 1."""
-    good = finite(value)
-    marked = df.withColumn("_g", F.coalesce(good, F.lit(False)))
-    one = Window.partitionBy(*keys, "_g")
-    ties = F.count("*").over(Window.partitionBy(*keys, "_g", value))
-    rank = (F.rank().over(one.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(one)
-    return marked.withColumn(out, F.when(F.col("_g"), rank).otherwise(1.0)).drop("_g")
-
-
 def finite_geometry(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id", k: int = 1) -> DataFrame:
     """Finite-only ranks of the mean of the k nearest distances (E4; k > 1: E7)."""
     joined = with_distances(universe, prototype_models(prototypes, features, keys, ident), features, keys)
     near = F.slice(F.array_sort("_d"), 1, k)
     mean = F.aggregate(near, F.lit(0.0), lambda s, d: s + d) / F.size(near)
     out = joined.withColumn("nearest", F.coalesce(F.when(F.size("_d") > 0, mean), F.lit(float("inf")))).drop("_d", "median", "scale", "prototypes", "ids", "kernel", "world")
-    return finite_rank(out, "nearest", keys, "support_rank")
+    return finite_rank(out, "nearest", keys, "support_rank", not keys)
 
 
 def persistent_support(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id") -> DataFrame:
@@ -131,7 +121,7 @@ def persistent_support(universe: DataFrame, prototypes: DataFrame, features: lis
     two = F.slice(F.array_sort("_d"), 1, 2)
     out = joined.withColumns({"second_nearest": F.coalesce(F.element_at(two, -1), F.lit(float("inf"))), "mean_two": F.coalesce((F.element_at(two, 1) + F.element_at(two, -1)) / 2, F.lit(float("inf")))})
     out = out.drop("_d", "median", "scale", "prototypes", "ids", "kernel", "world")
-    return finite_rank(finite_rank(out, "second_nearest", keys, "second_rank"), "mean_two", keys, "mean_two_rank")
+    return finite_rank(finite_rank(out, "second_nearest", keys, "second_rank", not keys), "mean_two", keys, "mean_two_rank", not keys)
 
 
 def local_scale(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], k: int, threshold: float, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
@@ -139,8 +129,7 @@ def local_scale(universe: DataFrame, prototypes: DataFrame, features: list[str],
     one = finite_geometry(universe, prototypes, features, keys, ident, 1)
     target = one.filter(F.col("support_rank") <= threshold).groupBy(*keys).agg(F.count("*").alias("_t"))
     many = finite_geometry(universe, prototypes, features, keys, ident, k)
-    w = Window.partitionBy(*keys).orderBy("nearest", cell)
-    ranked = many.withColumn("_k", F.row_number().over(w))
+    ranked = many.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("nearest", cell))) if keys else numbered(many, ["nearest", cell], "_k")
     return (ranked.join(target, keys) if keys else ranked.crossJoin(F.broadcast(target))).filter(F.col("_k") <= F.col("_t")).drop("_k", "_t")
 
 
@@ -243,7 +232,7 @@ def adaptive_threshold(universe: DataFrame, prototypes: DataFrame, features: lis
     full = finite_geometry(universe, prototypes, features, keys, ident).select(*keys, cell, F.col("support_rank").alias("_full"))
     worlds = with_distances(universe.select(*keys, cell, *features), prototype_models(prototypes, features, keys, ident, leave_one_out=True), features, keys)
     worlds = worlds.select(*keys, cell, "world", F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("_near"))
-    worlds = finite_rank(worlds, "_near", [*keys, "world"], "_r").join(full, [*keys, cell]).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    worlds = finite_rank(worlds, "_near", [*keys, "world"], "_r", not keys).join(full, [*keys, cell]).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     inside, whole = F.col("_r") <= F.col("level"), F.col("_full") <= F.col("level")
     per = worlds.groupBy(*keys, "level", "world").agg(
         F.max((inside & (F.col(cell) == F.col("world"))).cast("int")).alias("recovered"), (F.count_if(inside & whole) / F.greatest(F.count_if(inside | whole), F.lit(1))).alias("jaccard")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import finite
 from ..sources.scratch import materialise
 
 
@@ -21,6 +22,11 @@ def percent_rank_average(df: DataFrame, value: str, keys: list[str], out: str =
         least = F.rank().over(one.orderBy(value))
         ties = F.count("*").over(Window.partitionBy(*keys, value))
         return df.withColumn(out, (least + (ties - 1) / 2) / F.count("*").over(one))
+    return df.join(_distinct_ranks(df, value, keys, out), [*keys, value])
+
+
+def _distinct_ranks(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
+    """(keys, value, rank) of distinct values, by range partitions and the counts before each."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_m"))
     dealt = counts.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_p", F.spark_partition_id())
     dealt = materialise(dealt, "rank")
@@ -30,7 +36,30 @@ def percent_rank_average(df: DataFrame, value: str, keys: list[str], out: str =
     inner = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = dealt.join(totals, [*keys, "_p"]).withColumn("_upto", F.col("_base") + F.sum("_m").over(inner))
     ranked = ranked.select(*keys, value, ((F.col("_upto") - (F.col("_m") - 1) / 2) / F.col("_n")).alias(out))
-    return df.join(materialise(ranked, "ranks"), [*keys, value])
+    return materialise(ranked, "ranks")
+
+
+def finite_rank(df: DataFrame, value: str, keys: list[str], out: str = "rank", distributed: bool = False) -> DataFrame:
+    """Percentile rank among finite values only; all others get 1 (E4). ``distributed`` as in ``percent_rank_average``."""
+    marked = df.withColumn("_g", F.coalesce(finite(value), F.lit(False)))
+    if distributed:
+        good = marked.filter("_g").drop("_g")
+        ranked = good.join(_distinct_ranks(good, value, keys, out), [*keys, value])
+        return ranked.select(*df.columns, out).unionByName(marked.filter("not _g").drop("_g").withColumn(out, F.lit(1.0)))
+    one = Window.partitionBy(*keys, "_g")
+    ties = F.count("*").over(Window.partitionBy(*keys, "_g", value))
+    rank = (F.rank().over(one.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(one)
+    return marked.withColumn(out, F.when(F.col("_g"), rank).otherwise(1.0)).drop("_g")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1, 2, 3, ... over a whole table, by range partitions and the counts before each; only these counts are in one task."""
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_t"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.join(F.broadcast(totals), "_p").withColumn(out, F.col("_base") + inside).drop("_p", "_base")
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str], least: int = 3) -> DataFrame:

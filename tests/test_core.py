@@ -315,3 +315,25 @@ def test_maximin_needs_no_matrix_of_a_pool(spark, monkeypatch):
             for turn in range(6):
                 ident, value = got[area, turn + 1]
                 assert ident == pool[picked[turn]][0] and abs(value - values[turn]) < 1e-6 * max(1, value), (name, area, turn)
+
+
+def test_ranks_without_keys_are_not_one_task(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0.5, 1.5, 2.5, rng.random()]), float(i % 9)) for i in range(300)] + [(300, None, 1.0), (301, math.nan, 1.0), (302, math.inf, 1.0)]
+    universe = spark.createDataFrame(rows, "row_id long, f1 double, f2 double").repartition(5)
+    protos = universe.filter("row_id < 12")
+    features = ["f1", "f2"]
+    keyed = lambda df: df.withColumn("one", F.lit(1))
+    for make, names in (
+        (lambda u, p, k: support.geometry(u, p, features, k), ["support_rank"]),
+        (lambda u, p, k: support.consensus(u, p, features, k), ["consensus", "uncertainty"]),
+        (lambda u, p, k: support.finite_geometry(u, p, features, k), ["support_rank"]),
+        (lambda u, p, k: support.persistent_support(u, p, features, k), ["second_rank", "mean_two_rank"]),
+        (lambda u, p, k: support.local_scale(u, p, features, k, 3, 0.2), ["nearest"]),
+    ):
+        out = make(universe, protos, [])
+        got = {r[0]: r[1:] for r in out.select("row_id", *names).collect()}
+        want = {r[0]: r[1:] for r in make(keyed(universe), keyed(protos), ["one"]).select("row_id", *names).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "rank(" not in plan and "row_number() windowspecdefinition(nearest" not in plan  # these would be one task
