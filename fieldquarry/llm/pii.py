@@ -200,7 +200,7 @@ FORMS: list[tuple[str, str, Callable]] = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("secret", r"(?<=AKIA)[A-Z0-9]{16}\b|(?<=ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}", secret),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]+)+\b", iban),
-    ("date", r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./-])[0-9]{2}([./-])[0-9]{2}\2[0-9]{4}(?![\w/-])", day),
+    ("date", r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9])|(?![\w-]))|(?<![\w./-])[0-9]{4}(?P<y>[./])[0-9]{2}(?P=y)[0-9]{2}(?![\w/-]|\.[0-9])|(?<![\w./-])[0-9]{2}(?P<d>[./-])[0-9]{2}(?P=d)[0-9]{4}(?![\w/-])", day),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ip),
     ("card", r"(?<![\w+])[0-9]+(?:[ -][0-9]+)*(?!\w)", card),
@@ -211,7 +211,7 @@ _MAYBE = re.compile(r"[0-9@=:]|A[KS]IA|sk-")
 
 
 def _compiled() -> list[tuple[str, re.Pattern, Callable]]:
-    return [(kind, re.compile(pattern.replace(r"\2", r"\1")), rule) for kind, pattern, rule in FORMS]
+    return [(kind, re.compile(pattern), rule) for kind, pattern, rule in FORMS]
 
 
 #: Kinds whose values may be written in groups, and so run into what is written after them, with their least and most characters.

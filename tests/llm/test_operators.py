@@ -448,3 +448,13 @@ def test_pipeline_takes_out_copies_of_similarity_080(spark):
     rows = [(1, " ".join(base), 0), (2, " ".join(near), 0), (3, " ".join(far), 0), (None, " ".join(base), 0)]
     got = corpus_pipeline.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), "").collect()
     assert {r.doc_id for r in got} == {1, 3, None} and len(got) == 3
+
+
+def test_dates_of_timestamps_and_year_first_forms_are_linked():
+    f = pii.Feistel(b"k")
+    new, counts = pii.pseudonymise_text("1984-03-05", f)
+    y, m, d = new.split("-")
+    for text, want in (("at 1984-03-05T10:22:01Z.", f"at {new}T10:22:01Z."), ("1984/03/05", f"{y}/{m}/{d}"), ("on 1984.03.05.", f"on {y}.{m}.{d}."), ("05/03/1984", f"{d}/{m}/{y}")):
+        assert pii.pseudonymise_text(text, f) == (want, {"date": 1})
+    for text in ("1984.03.05.7", "1984/03/05/x", "1984/03.05", "1984-03-05Tx", "1984/13/05"):
+        assert pii.pseudonymise_text(text, f)[0] == text
