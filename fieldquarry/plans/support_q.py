@@ -158,7 +158,7 @@ def g3_bounded_paths(v):
 
 
 def _patches(v):
-    return v("candidates").filter("row_id % 3 = 0").select(F.col("row_id").alias("candidate_patch_id"), "survey_area_id", "latitude", "longitude")
+    return v("candidates").select(F.col("row_id").alias("candidate_patch_id"), "survey_area_id", "latitude", "longitude")
 
 
 @query()

@@ -83,3 +83,10 @@ def test_merging_keeps_first_nodes_and_shortest_edges(spark):
     nodes, edges = network.merge_networks([n1, n2], [e1, e2])
     assert {r.network_node_id: r.latitude for r in nodes.collect()} == {"x": 1.0, "y": 3.0}
     assert [(r.distance_m, r.network_mode) for r in edges.collect()] == [(4.0, "ferry")]
+
+
+def test_every_candidate_is_a_patch_of_the_network_queries(spark):
+    from fieldquarry.plans import support_q
+
+    rows = spark.createDataFrame([(i, 1, 30.0, 130.0) for i in range(7)], "row_id long, survey_area_id int, latitude double, longitude double")
+    assert sorted(r.candidate_patch_id for r in support_q._patches({"candidates": rows}.get).collect()) == list(range(7))
