@@ -22,7 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
+    """Write a frame to the shared folder and read it back: its lineage ends there, and lost executors cost nothing earlier."""
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``materialise`` gave and that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_written", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
