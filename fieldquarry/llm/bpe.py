@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .hashed import ChunkTable, cut_spaces
 
 #: Distinct pieces that a worker remembers before it starts anew.
@@ -123,7 +123,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -142,4 +142,4 @@ def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str
                 texts = [None if ids is None else b"".join([of[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]) for ids in part.column(names.index(ids_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
 
-    return tokens.mapInArrow(run, kind)
+    return tokens.mapInArrow(tidy(run), kind)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..sources.scratch import discard, fresh_path, materialise
+
+__all__ = ["crc_fold", "discard", "fresh_path", "materialise", "slices", "small_batches", "table", "tidy", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,28 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, a folder of its own on a local master, else the warehouse."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        local = spark.sparkContext.master.startswith("local[")
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-fq-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _OWN[app]
+def _trim() -> None:
+    """Ask the C library to give freed memory back to the system, where it knows how."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which the worker, which outlives its task, gives back the memory of tables and batches."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there, and lost executors cost nothing earlier."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return wrapped
 
 
 @contextmanager
@@ -56,23 +54,24 @@ def small_batches(spark: SparkSession, rows: int = 1000):
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` (text) holds about ``limit`` bytes in each, a single longer row aside."""
+    """Cut Arrow batches so that ``column`` (text or binary) holds at most ``limit`` bytes in each, a single longer row aside."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        n, at = batch.num_rows, 0
-        if not n:
-            continue
-        mean = max(1, col.nbytes // n)
-        step = max(1, limit // mean)
-        while at < n:
-            part = batch.slice(at, step)
-            if part.column(batch.schema.get_field_index(column)).nbytes > 4 * limit and part.num_rows > 1:
-                half = max(1, part.num_rows // 8)
-                for k in range(0, part.num_rows, half):
-                    yield part.slice(k, half)
-            else:
-                yield part
-            at += step
+        wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+        ends = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + batch.num_rows + 1] if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            after = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + limit, "right")) - 1)
+            yield batch.slice(at, after - at)
+            at = after
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
 
 
 def crc_fold(id_col: str, folds: int = 5) -> "F.Column":

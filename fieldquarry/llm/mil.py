@@ -1,6 +1,6 @@
 """Quality scores by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` bytes. A passage's features (byte classes, hashed byte pairs, word
+A document is a bag of passages of ``PASSAGE`` bytes, features of ``BLOCK`` of them being held at once. A passage's features (byte classes, hashed byte pairs, word
 statistics) go through a learned layer; gated attention, tanh times sigmoid of two more layers, weighs the passages
 against each other; the weighted representation gives the document's score. All of it is learned from document labels,
 on a bounded sample on the driver; every document is scored, whole, on the executors.
@@ -8,6 +8,7 @@ on a bounded sample on the driver; every document is scored, whole, on the execu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
+from .hashed import buffers
 
 PASSAGE = 512
-#: Labelled rows that a model is fitted on at most, and the bytes of the longest text among them.
-TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 16
+#: Labelled rows that a model is fitted on at most, and passages of each of them, evenly spaced over its whole text.
+TRAIN_DOCS, TRAIN_PASSAGES = 6000, 32
+#: Passages whose features are held at once.
+BLOCK = 1024
 PAIRS, HIDDEN, GATE = 128, 24, 12
 
 _CLASS = np.zeros(256, np.int64)
@@ -32,28 +36,32 @@ DIM = CLASSES + PAIRS + 6
 _SPELL = np.random.default_rng(1).integers(1, 2**62, 256)
 
 
-def passage_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, number of passages of each text); an empty text is one empty passage."""
-    text = text.cast(pa.large_string()).fill_null("")
-    n = len(text)
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
-    data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if text.buffers()[2] is not None else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
-    sizes = np.diff(offsets)
-    many = np.maximum(1, -(-sizes // PASSAGE))
-    base = np.cumsum(np.append(0, many))
-    total = int(base[-1])
+def passages(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each passage begins and the last one ends, number of passages of each text); an empty text is one empty passage."""
+    data, offsets = buffers(text)
+    many = np.maximum(1, -(-np.diff(offsets) // PASSAGE))
+    first = np.cumsum(many) - many
+    inside = np.arange(int(many.sum())) - np.repeat(first, many)
+    return data, np.append(np.repeat(offsets[:-1], many) + PASSAGE * inside, len(data)), many
+
+
+def passage_features(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """One row of features for each passage data[edges[i]:edges[i + 1]]; a passage's features depend on its own bytes alone."""
+    total = len(edges) - 1
+    sizes = np.diff(edges)
+    data = data[edges[0] : edges[-1]]
     if not len(data):
-        return np.zeros((total, DIM), np.float32), many
-    doc = np.repeat(np.arange(n), sizes)
-    at = base[doc] + (np.arange(len(data)) - offsets[doc]) // PASSAGE
-    length = np.maximum(np.bincount(at, minlength=total), 1)
+        return np.zeros((total, DIM), np.float32)
+    at = np.repeat(np.arange(total), sizes)
+    length = np.maximum(sizes, 1)
     kinds = np.bincount(at * CLASSES + _CLASS[data], minlength=total * CLASSES).reshape(total, CLASSES)
-    pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 17 + (data[:-1] ^ data[1:])) % PAIRS
-    pairs = np.bincount(at[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS)
+    wide = data.astype(np.int64)
+    pair = (wide[:-1] * 31 + wide[1:] * 17 + (wide[:-1] ^ wide[1:])) % PAIRS
+    same = at[:-1] == at[1:]
+    pairs = np.bincount(at[:-1][same] * PAIRS + pair[same], minlength=total * PAIRS).reshape(total, PAIRS)
     inside = (data != 32) & (data != 10)
     begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
+    begins[1:] &= ~inside[:-1] | ~same
     starts = np.flatnonzero(begins)
     extra = np.zeros((total, 6))
     if len(starts):
@@ -61,17 +69,23 @@ def passage_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         where = at[starts]
         count = np.maximum(np.bincount(where, minlength=total), 1)
         for k, lag in enumerate((1, 2, 3)):
-            same = np.zeros(len(words))
-            same[lag:] = (words[lag:] == words[:-lag]) & (where[lag:] == where[:-lag])
-            extra[:, k] = np.bincount(where, same, minlength=total) / count
+            again = np.zeros(len(words))
+            again[lag:] = (words[lag:] == words[:-lag]) & (where[lag:] == where[:-lag])
+            extra[:, k] = np.bincount(where, again, minlength=total) / count
         by = np.lexsort((words, where))
         fresh = np.ones(len(words))
         fresh[1:] = (words[by][1:] != words[by][:-1]) | (where[by][1:] != where[by][:-1])
         extra[:, 3] = np.bincount(where[by], fresh, minlength=total) / count
         extra[:, 4] = np.log1p(length / count)
-    extra[:, 5] = np.log1p(np.bincount(at, minlength=total))
+    extra[:, 5] = np.log1p(sizes)
     shares = np.sqrt(np.hstack([kinds, pairs]) / length[:, None])
-    return np.hstack([shares, extra]).astype(np.float32), many
+    return np.hstack([shares, extra]).astype(np.float32)
+
+
+def feature_blocks(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first passage, features) of ``BLOCK`` passages at a time, so memory doesn't grow with a text."""
+    for at in range(0, len(edges) - 1, BLOCK):
+        yield at, passage_features(data, edges[at : at + BLOCK + 1])
 
 
 class Model:
@@ -80,20 +94,34 @@ class Model:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
 
-    def forward(self, x: np.ndarray, many: np.ndarray):
+    def encode(self, x: np.ndarray):
+        """Of each passage: standardised features, representation, the two gates, and the logarithm of its weight."""
         p = self.p
         x = (x - p["mean"]) / p["sd"]
-        first = np.cumsum(np.append(0, many))[:-1]
-        bag = np.repeat(np.arange(len(many)), many)
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * g) @ p["w"]
+        return x, h, t, g, (t * g) @ p["w"]
+
+    def pool(self, h: np.ndarray, e: np.ndarray, many: np.ndarray):
+        """Of each bag: its score, and what the gradient needs."""
+        first = np.cumsum(many) - many
+        bag = np.repeat(np.arange(len(many)), many)
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
         a = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(a[:, None] * h, first)
-        score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(z @ self.p["c"] + self.p["d"], -30, 30))), bag, first, a, z
+
+    def forward(self, x: np.ndarray, many: np.ndarray):
+        x, h, t, g, e = self.encode(x)
+        score, bag, first, a, z = self.pool(h, e, many)
         return score, (x, bag, first, h, t, g, a, z)
 
+    def scores(self, text: pa.Array) -> np.ndarray:
+        """The score of each whole text."""
+        data, edges, many = passages(text)
+        parts = [self.encode(x.astype(np.float64)) for _, x in feature_blocks(data, edges)]
+        return self.pool(np.concatenate([p[1] for p in parts]), np.concatenate([p[4] for p in parts]), many)[0]
+
     def gradient(self, x: np.ndarray, many: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         score, (x, bag, first, h, t, g, a, z) = self.forward(x, many)
@@ -136,39 +164,59 @@ def fit(x: np.ndarray, many: np.ndarray, label: np.ndarray, epochs: int = 25, ba
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """A model of at most ``train_docs`` labelled rows, those first by a hash of the id, with texts of at most ``train_bytes``."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> Model:
+    """A model of at most ``train_docs`` labelled rows, those first by a hash of the id (ties: the smaller id), each by at most ``train_passages`` passages.
+
+    Of a longer text, passages are taken at even distances from its first to its last. Labels other than 0 and 1, and
+    null ids, don't count; of an id with several labels the larger counts; equal rows are learnt from each.
+    """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     marked = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= train_bytes)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # bounded by ``train_docs``
     rows = rows.join(F.broadcast(marked), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            x, many = passage_features(batch.column(2))
-            ends = np.cumsum(many)
-            packed = [x[b - k : b].tobytes() for b, k in zip(ends.tolist(), many.tolist())]
+        for batch in slices(batches, "text", 1 << 20):
+            data, edges, many = passages(batch.column(2))
+            first, taken = np.cumsum(many) - many, np.minimum(many, train_passages)
+            place = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
+            wanted = np.repeat(first, taken) + place * (np.repeat(many, taken) - 1) // np.maximum(np.repeat(taken, taken) - 1, 1)
+            x = np.concatenate([part[wanted[(wanted >= at) & (wanted < at + len(part))] - at] for at, part in feature_blocks(data, edges)])
+            ends = np.cumsum(taken)
+            packed = [x[b - k : b].tobytes() for b, k in zip(ends.tolist(), taken.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "x"])
 
-    got = rows.mapInArrow(run, "id long, label int, x binary").toArrow()
-    order = np.argsort(got["id"].to_numpy(), kind="stable")
-    bags = [np.frombuffer(got["x"][int(i)].as_py(), np.float32).reshape(-1, DIM) for i in order]
-    many = np.array([len(b) for b in bags], np.int64)
-    x = np.concatenate(bags) if bags else np.empty((0, DIM), np.float32)
+    got = rows.mapInArrow(tidy(run), "id long, label int, x binary").toArrow()
+    order = np.lexsort((got["label"].to_numpy(), [hash_of(v) for v in got["x"]], got["id"].to_numpy()))
+    many = np.array([len(got["x"][int(i)].as_buffer()) // (4 * DIM) for i in order], np.int64)
+    x = np.empty((int(many.sum()), DIM), np.float32)
+    at = 0
+    for i, k in zip(order.tolist(), many.tolist()):
+        x[at : at + k] = np.frombuffer(got["x"][i].as_buffer(), np.float32).reshape(k, DIM)
+        at += k
     return fit(x, many, got["label"].to_numpy()[order].astype(np.float64))
 
 
+def hash_of(value: pa.Scalar) -> int:
+    """What orders equal ids, so that a fit doesn't depend on the order in which rows arrive."""
+    return zlib.crc32(value.as_buffer())
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col`` (double, 0 to 1) of every whole text; all other columns and rows stay; null texts count as empty."""
+    """``docs`` with ``score_col`` (double, 0 to 1) of every whole text.
+
+    Null and empty texts are one empty passage. All rows and other columns stay; a column called ``score_col`` is
+    replaced. An empty table gives an empty result.
+    """
+    docs = docs.drop(score_col)
     names, at = docs.columns, docs.columns.index(text_col)
     own = [f"c{i}" for i in range(len(names))]
-    plain = docs.toDF(*own)
+    plain = docs.toDF(*own).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
     kind = plain.select("*", F.lit(0.0).alias("s")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, f"c{at}", 4 << 20):
-            x, many = passage_features(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.forward(x.astype(np.float64), many)[0], pa.float64())], names=[*own, "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at)), pa.float64())], names=[*own, "s"])
 
-    return plain.mapInArrow(run, kind).toDF(*names, score_col)
+    return plain.mapInArrow(tidy(run), kind).toDF(*names, score_col)

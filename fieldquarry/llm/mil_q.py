@@ -10,10 +10,10 @@ from .mil import learn, score
 THRESHOLD = 0.3
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``score``, by a model of the labelled rows outside the held-out fold."""
+def scored(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, by a model of the labelled rows outside the held-out fold."""
     model = learn(docs, labels.filter(crc_fold("doc_id") != 0), "doc_id", "text", "quality")
-    return score(docs, model)
+    return score(docs, model, score_col=score_col)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidy
 from .hashed import library_table
 
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -88,7 +88,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("id", "text").mapInArrow(tidy(run), _SCHEMA)
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

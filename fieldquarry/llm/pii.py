@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, tidy
 
 ROUNDS = 8
 
@@ -298,5 +298,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))] + ["n"] * bool(counts_col))
 
     plain = docs.toDF(*[x.name for x in fields]).withColumn(text_name, F.col(text_name).cast("string"))
-    out = plain.mapInArrow(run, T.StructType([x if i != at else T.StructField(text_name, T.StringType()) for i, x in enumerate(fields)] + extra))
+    out = plain.mapInArrow(tidy(run), T.StructType([x if i != at else T.StructField(text_name, T.StringType()) for i, x in enumerate(fields)] + extra))
     return out.toDF(*names, *[counts_col] * bool(counts_col))
