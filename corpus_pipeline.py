@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import materialise, table
+from fieldquarry.llm.common import materialise, table, unused
 from fieldquarry.llm.mil_q import THRESHOLD, scored
 from fieldquarry.llm.minhash import near_duplicates
 from fieldquarry.llm.packing import pack
@@ -16,7 +16,8 @@ from fieldquarry.llm.pii_q import KEY
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones outside the held-out fold, doesn't reject."""
-    return scored(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    own = unused("score", docs.columns)
+    return scored(docs, table(spark, sf_dir, "labels"), own).filter(F.col(own) >= THRESHOLD).select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
