@@ -1,4 +1,4 @@
-"""Legacy ARC archives to WARC records, WARC files by Spark's own writer, and reading them back.
+"""Legacy ARC archives to WARC records, plain WARC files by Spark's own writer, and reading them back.
 
 ARC files open with a version block whose second line names the version and whose third line the fields of the header
 lines; a header line ends in the declared length of the payload that follows. Version 1 has five fields, version 2 ten.
@@ -7,6 +7,7 @@ A WARC record is built from them: an identifier and digests from the content, an
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -20,6 +21,8 @@ from .common import fresh_path, materialise, tidy
 
 #: Payloads under so many bytes are never stored as revisits.
 REVISIT_BYTES = 100
+#: Records in a file at most, and copies of one record that are dealt out together.
+FILE_RECORDS, RUN = 4000, 1000
 # fixed values: the two header layouts of the format and the profile name of revisit records
 FIELDS = {
     b"1": ("url", "ip", "date", "type", "length"),
@@ -101,17 +104,34 @@ def convert(arcs: DataFrame, id_col: str = "id", content_col: str = "content") -
     return rows.mapInArrow(tidy(run), "id long, record_id string, url string, date string, content_type string, payload binary, payload_bytes long, digest string")
 
 
+def _numbered(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """``records`` with ``copy``: 0, and for equal records (one id, url, date and payload) a number of their own each.
+
+    Equal records are counted and stored once, then dealt out again in runs of ``RUN``, so no task takes a hot one's copies.
+    """
+    repeats = materialise(keys.groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1"), "warc-repeats")
+    alone = records.join(repeats, "record_id", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    once = records.join(repeats, "record_id").groupBy("record_id").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in records.columns if c != "record_id"])
+    runs = once.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long")))).repartition("record_id", "run")
+    copies = runs.withColumn("copy", F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("n")) - 1)))
+    first, more = F.col("copy") == 0, F.md5(F.concat_ws(" ", "record_id", "copy"))
+    own = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(more, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-8$4-$5"), F.lit(">"))
+    copies = copies.withColumn("record_id", F.when(first, F.col("record_id")).otherwise(own))
+    return alone.unionByName(copies.select(alone.columns))
+
+
 def write_warc(records: DataFrame, out: str) -> None:
-    """Write converted records as gzip WARC files; of equal payloads of ``REVISIT_BYTES`` or more, only the smallest id's is stored.
+    """Write converted records as WARC files; of equal payloads of ``REVISIT_BYTES`` or more, only the smallest id's is stored.
 
-    A record is one value of the text writer and the blank lines after it its line separator, so Spark commits the
-    files, and a lost executor's are written again.
+    Rows without an id come after all ids. A record is one value of the text writer and the blank lines after it its
+    line separator, so Spark commits the files, and a lost executor's are written again.
     """
-    prints = records.filter(F.col("payload_bytes") >= REVISIT_BYTES).select("digest", "id", "record_id")
-    firsts = prints.groupBy("digest").agg(F.min(F.struct("id", "record_id")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    keys = materialise(records.select("digest", "id", "record_id", "payload_bytes"), "warc-keys")
+    prints = keys.filter(F.col("payload_bytes") >= REVISIT_BYTES)
+    firsts = prints.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "record_id")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     firsts = materialise(firsts.select(F.col("digest").alias("d"), F.col("f.id").alias("first"), F.col("f.record_id").alias("first_record")), "warc-firsts")
-    again = F.col("first").isNotNull() & (F.col("payload_bytes") >= REVISIT_BYTES) & ~(F.col("record_id") == F.col("first_record"))
-    joined = records.join(firsts, F.col("digest") == F.col("d"), "left").withColumn("again", again)
+    again = F.col("first_record").isNotNull() & (F.col("payload_bytes") >= REVISIT_BYTES) & ~(F.col("record_id") == F.col("first_record"))
+    joined = _numbered(records, keys).join(firsts, F.col("digest") == F.col("d"), "left").withColumn("again", again)
     line = lambda name, value: F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.0\r\n"),
@@ -120,7 +140,8 @@ def write_warc(records: DataFrame, out: str) -> None:
         line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("again"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("first_record")), line("X-Refers-To-Page", F.col("first")))).otherwise(""),
+        F.when(F.col("again"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("first_record")))).otherwise(""),
+        F.when(F.col("again") & F.col("first").isNotNull(), line("X-Refers-To-Page", F.col("first"))).otherwise(""),
         F.when(F.col("id").isNotNull(), line("X-Page", F.col("id"))).otherwise(""),
         line("X-Payload-Length", F.col("payload_bytes")),
         line("Content-Type", F.col("content_type")),
@@ -129,27 +150,83 @@ def write_warc(records: DataFrame, out: str) -> None:
     )
     body = F.when(F.col("again"), F.lit("")).otherwise(F.col("payload").cast("string"))
     values = joined.select(F.concat(head, body).alias("value"))
-    values.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(out)
+    values.write.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(out)
 
 
-def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record, by declared lengths."""
+def inflated(content: bytes | memoryview, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, plain or of any number of gzip members, some at a time."""
+    view = memoryview(content)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        for at in range(0, len(view), step):
+            yield bytes(view[at : at + step])
+        return
     at = 0
-    while at < len(content):
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].split(b"\r\n")[1:]
-        head = {k.decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
-        size = int(head["Content-Length"])
-        yield head, content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            given = bytes(view[at : at + step])
+            if not given:
+                raise ValueError("a gzip member is cut off")
+            at += len(given)
+            while given and not member.eof:
+                yield member.decompress(given, step)
+                given = member.unconsumed_tail
+            at -= len(member.unused_data)
+
+
+def warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record, by declared lengths."""
+    held = bytearray()
+
+    def fill(enough) -> bool:
+        while not enough():
+            more = next(chunks, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while fill(lambda: len(held.lstrip(b"\r\n")) >= 5):
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no record at {bytes(held[:20])!r}")
+        if not fill(lambda: b"\r\n\r\n" in held):
+            raise ValueError("a header is cut off")
+        end = held.index(b"\r\n\r\n") + 4
+        lines = bytes(held[: end - 4]).split(b"\r\n")[1:]
+        head = {k.decode().strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
+        size = int(head["content-length"])
+        if not fill(lambda: len(held) >= end + size):
+            raise ValueError("a record is shorter than its declared length")
+        yield head, bytes(held[end : end + size])
+        del held[: end + size]
+    if held.strip(b"\r\n"):
+        raise ValueError(f"no record at {bytes(held[:20])!r}")
+
+
+def _payload(head: dict[str, str], block: bytes) -> bytes:
+    """The block without the HTTP header that it may begin with."""
+    if head.get("content-type", "").replace(" ", "").lower().startswith("application/http") and block.startswith(b"HTTP/"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def _agrees(told: str, payload: bytes) -> bool:
+    """Whether a digest field is the payload's; algorithms other than SHA-256 and SHA-1 are not looked at."""
+    kind, _, value = told.partition(":")
+    if kind.lower() not in ("sha256", "sha1"):
+        return True
+    own = hashlib.new(kind.lower(), payload)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
 
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """One row per record of the files: page_id, record_type, refers_to, payload_bytes, payload_digest, record_id, url, date, payload (null for revisits).
 
-    A response's size and digest are taken from the block itself, and its header must agree.
+    Files are plain or gzip, of one member or one for each record. A response's size and SHA-256 are taken from its
+    payload, without an HTTP header if there is one, and the digest field must agree. Page ids come from this writer's
+    own fields and are null in other archives, as is the size of a revisit's payload there; its digest is what the
+    field tells. A cut-off record is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +237,24 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
-            for zipped in batch.column(0):
-                rows: list[tuple] = []
-                for head, block in warc_records(zlib.decompress(zipped.as_py(), 47)):
-                    told = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    size, response = int(head["X-Payload-Length"]), head["WARC-Type"] == "response"
-                    if response and (len(block) != size or hashlib.sha256(block).hexdigest() != told):
-                        raise ValueError(f"record {head['WARC-Record-ID']} does not match its header")
-                    page, first = head.get("X-Page"), head.get("X-Refers-To-Page")
-                    rows.append((page and int(page), head["WARC-Type"], first and int(first), size, told, head["WARC-Record-ID"], head["WARC-Target-URI"], head["WARC-Date"], block if response else None))
-                    if len(rows) == 500:
+            for content in batch.column(0):
+                rows, held = [], 0
+                for head, block in warc_records(inflated(content.as_buffer())):
+                    told, kind = head.get("warc-payload-digest", ""), head.get("warc-type", "")
+                    payload = None if kind == "revisit" else _payload(head, block)
+                    if payload is None:
+                        size, digest = head.get("x-payload-length"), told.partition(":")[2]
+                        size = size and int(size)
+                    else:
+                        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                        if not _agrees(told, payload):
+                            raise ValueError(f"record {head.get('warc-record-id')} does not match its digest")
+                    page, first = head.get("x-page"), head.get("x-refers-to-page")
+                    rows.append((page and int(page), kind, first and int(first), size, digest, head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), payload))
+                    held += len(block)
+                    if len(rows) == 500 or held > 4 << 20:
                         yield batch_of(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
 
@@ -182,9 +265,10 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
 def archive(pages: DataFrame, out: str | None = None) -> DataFrame:
     """Pages as legacy archives, converted, written as WARC files and read back.
 
-    Null html is an empty payload and a null or blank url ``urn:none``; pages of equal id and payload are records of
-    their own, of which one is the response; a page without an id keeps a record without one. Other columns are
-    ignored. An empty table gives an empty result.
+    Null html is an empty payload and a null or blank url ``urn:none``. Equal rows are records of their own, each with
+    an identifier of its own, of which one is the response. A page without an id keeps a record without one; it is the
+    response of its payload only where no page with an id holds it. Other columns are ignored. An empty table gives an
+    empty result.
     """
     out = out or fresh_path(pages.sparkSession, "warc")
     write_warc(convert(to_arc(pages)), out)

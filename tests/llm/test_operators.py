@@ -1,6 +1,8 @@
 """The ten operators and the pipeline against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
+import base64
 import collections
+import gzip
 import hashlib
 import heapq
 import math
@@ -358,11 +360,14 @@ def test_trie_probabilities_sum_to_one():
         assert abs((10 ** trie.log10(every)).sum() - 1) < 1e-9
 
 
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, digest string").repartition(3)
+
+
 def test_archives(spark):
     same, short = "<p>" + "s" * 200, "tiny"
-    rows = [(5, "http://a/ x\n", same), (2, "http://b", same), (7, None, None), (8, "u", short), (9, "u", short), (11, "u", "é\r\n\r\nWARC/1.0\r\n\r\n" * 20), (12, "u", ""), (13, "v", "z" * 100), (14, "v", "z" * 100), (15, "v", "y" * 99), (16, "v", "y" * 99)]
-    frame = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, digest string")
-    got = {r.page_id: r for r in warc.archive(frame).collect()}
+    rows = [(5, "http://a/ x\n", same), (2, "http://b", same), (7, None, None), (8, "u", short), (9, "u", short), (11, "u", "é\r\n\r\nWARC/1.0\r\n\r\n" * 20), (12, "u", ""), (13, "v", "z" * 100), (14, "v", "z" * 100), (15, "v", "y" * 99), (16, "v", "y" * 99), (17, "v", "long " * 600_000)]
+    got = {r.page_id: r for r in warc.archive(pages(spark, rows)).collect()}
     assert got.keys() == {r[0] for r in rows}
     for i, _, h in rows:
         data = (h or "").encode()
@@ -372,6 +377,39 @@ def test_archives(spark):
     assert warc.archive(empty(spark, "page_id long, url string, html string")).collect() == []
 
 
+def test_archives_with_rows_without_id_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN", 2)
+    same = "p" * 300
+    rows = [(5, "u", same), (None, "u", same), (2, "u", same), (None, "u", "q" * 300), (None, "u", "q" * 300), (None, "v", "q" * 300), *[(9, "w", "r" * 300)] * 5, (10, "w", "r" * 300), *[(11, "w", "tiny")] * 3]
+    got = warc.archive(pages(spark, rows)).collect()
+    assert len({r.record_id for r in got}) == len(got) == len(rows)
+    kinds = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.payload_digest != hashlib.sha256(b"q" * 300).hexdigest())
+    assert kinds == {(2, 300, "response", None): 1, (5, 300, "revisit", 2): 1, (None, 300, "revisit", 2): 1, (9, 300, "response", None): 1, (9, 300, "revisit", 9): 4, (10, 300, "revisit", 9): 1, (11, 4, "response", None): 3}
+    none = sorted(r.record_type for r in got if r.payload_digest == hashlib.sha256(b"q" * 300).hexdigest())
+    assert none == ["response", "revisit", "revisit"]
+
+
+def test_archives_of_other_writers_are_read(spark, tmp_path):
+    def record(kind, body, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", "warc-date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello"
+    sha1 = base64.b32encode(hashlib.sha1(b"<p>hello").digest()).decode()
+    response = record("response", http, "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Target-URI: http://a/")
+    info, again = record("warcinfo", b"software: x"), record("revisit", b"", f"WARC-Payload-Digest: sha1:{sha1}")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, (info, response, again))))
+    (tmp_path / "b.warc").write_bytes(info + response)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(response + again))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.record_type, r.payload_bytes, r.page_id) for r in got) == {("warcinfo", 11, None): 2, ("response", 8, None): 3, ("revisit", None, None): 2}
+    assert {bytes(r.payload) for r in got if r.record_type == "response"} == {b"<p>hello"}
+    for broken in (info[:-10], info + b"junk", gzip.compress(info)[:-9], response.replace(b"hello", b"hallo")):
+        with pytest.raises(ValueError):
+            for head, block in warc.warc_records(warc.inflated(broken)):
+                if not warc._agrees(head.get("warc-payload-digest", ""), warc._payload(head, block)):
+                    raise ValueError
+
+
 def test_arc_versions():
     one = b"filedesc://x 0.0.0.0 19970301000000 text/plain 9\n1 0 me\nab\n\nhttp://u 1.2.3.4 199703 text/html 5\nhello\nhttp://v 1.2.3.4 19970302030405 text/html 0\n\n"
     got = list(warc.arc_records(one))
