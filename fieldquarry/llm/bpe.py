@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
-from .hashed import ChunkTable, cut_spaces
+from .common import in_batches, slices
+from .hashed import SLICE, ChunkTable, cut_spaces
 
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED_PIECES = 200_000
+#: Chunks that a worker's table keeps, and distinct pieces that it remembers before it starts anew.
+REMEMBERED, REMEMBERED_PIECES = 1_000_000, 200_000
 _NONE = 1 << 62
 
 
@@ -86,8 +86,9 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=2)
 def pattern_table(path: str, pattern: str) -> ChunkTable:
-    """A table of chunks, each encoded piece by piece as ``pattern`` splits it; pieces are remembered too."""
+    """A worker's table of chunks, each encoded piece by piece as ``pattern`` splits it; pieces are remembered too."""
     import regex
 
     ranks, split, known = load_ranks(path), regex.compile(pattern).findall, {}
@@ -106,7 +107,7 @@ def pattern_table(path: str, pattern: str) -> ChunkTable:
             out.append(np.array(ids, np.uint32))
         return out
 
-    return ChunkTable(cut_spaces, encode_all)
+    return ChunkTable(cut_spaces, encode_all, remembered=REMEMBERED)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,13 +118,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pattern_table(path, pattern)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             ids, offsets = table.encode(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return in_batches(rows, run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -142,4 +143,4 @@ def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str
                 texts = [None if ids is None else b"".join([of[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]) for ids in part.column(names.index(ids_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
 
-    return tokens.mapInArrow(tidy(run), kind)
+    return in_batches(tokens, run, kind)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, fresh_path, materialise
 
-__all__ = ["crc_fold", "discard", "fresh_path", "materialise", "slices", "small_batches", "table", "tidy", "unused"]
+__all__ = ["crc_fold", "discard", "fresh_path", "in_batches", "materialise", "slices", "table", "unused"]
+
+#: Bytes of an Arrow batch between Spark and a worker, a longer row aside.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,16 +45,17 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of at most ``rows`` texts for what runs inside, as long ones would fill an executor."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with tidy workers and Arrow batches of at most about ``BATCH_BYTES``.
+
+    Spark takes the size of batches from the session when the plan runs, so the session's setting is lowered, never raised.
+    """
+    spark = df.sparkSession
+    told = spark.conf.get(_BATCHES, None)
+    number = re.fullmatch(r"(\d+)b?", told or "")
+    if number is None or int(number[1]) > BATCH_BYTES:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices, small_batches, tidy
-from .hashed import library_table
+from .common import fresh_path, in_batches, slices
+from .hashed import SLICE, library_table
 
 MAGIC, BLOCK, RECORD = b"DAC1", 512, 1_000_000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
         packed: list[bytes] = []
         room = RECORD
         schema = pa.schema([("value", pa.binary())])
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             ids, offsets = encoder.encode(batch.column(1))
             flat = memoryview(ids.astype("<u4").tobytes())
             bounds = (4 * offsets).tolist()
@@ -151,8 +151,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last())
-    with small_batches(spark):
-        dealt.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(out)
+    in_batches(dealt, run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(out)
 
 
 def read_tokens(spark, out: str, id_col: str = "doc_id") -> DataFrame:
@@ -172,7 +171,7 @@ def read_tokens(spark, out: str, id_col: str = "doc_id") -> DataFrame:
                     at += record.tokens
 
     files = spark.read.format("binaryFile").load(out).filter("length > 0").select("path", "content")
-    rows = files.mapInArrow(tidy(run), "file string, id long, at long, n_tokens long, ids_crc32 long")
+    rows = in_batches(files, run, "file string, id long, at long, n_tokens long, ids_crc32 long")
     # one row for each file; the writer numbers its files by partition, so their names are in document order
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     starts = totals.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -1,19 +1,24 @@
 """Whole batches of text to token ids through a table of chunks that a worker has met before.
 
 Text is cut where the tokenizer's own split always cuts. Chunks are found, hashed and looked up as arrays; only chunks
-that are new to the worker are encoded, once each, so cost is mostly that of reading bytes. Tables are keyed by 64-bit
-hashes of chunk and length: with four million chunks known, a new one is taken for another with a chance below 1e-12.
+that are new to the worker are encoded, so cost is mostly that of reading bytes. A table serves all tasks of its worker;
+once it holds ``remembered`` chunks, the first it met and so the most usual ones, others are encoded where they stand,
+and if too many are unknown it starts anew. Tables are keyed by 64-bit hashes of chunk and length: with a million chunks
+known, a new one is taken for another with a chance below 1e-13.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+#: Chunks that a worker's table keeps from task to task, and bytes of text that it looks up at once.
+REMEMBERED, SLICE = 500_000, 1 << 19
+#: Share of unknown chunks at which a full table is given up for a new one.
+STALE = 0.3
 
 _U = np.uint64
 _EMPTY = _U(2**64 - 1)
@@ -106,9 +111,9 @@ def cut_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class ChunkTable:
     """Token ids of chunks by hash: an open-addressing table of places in one flat array of ids."""
 
-    def __init__(self, cut: Callable, encode_all: Callable[[list[str]], list[np.ndarray]], lower: bool = False):
+    def __init__(self, cut: Callable, encode_all: Callable[[list[str]], list[np.ndarray]], lower: bool = False, remembered: int = REMEMBERED):
         """``lower``: the tokenizer lower-cases, so A-Z may be before."""
-        self.cut, self.encode_all, self.lower = cut, encode_all, lower
+        self.cut, self.encode_all, self.lower, self.remembered = cut, encode_all, lower, remembered
         self._clear()
 
     def _clear(self) -> None:
@@ -146,7 +151,7 @@ class ChunkTable:
             self.place[slot[won]] = number[todo[won]]
             todo, slot = todo[~won], slot[~won] + 1 & (1 << self.bits) - 1
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, chunks: list[str], insert: bool = True) -> None:
         lists = self.encode_all(chunks)
         sizes = np.array([len(x) for x in lists], np.int64)
         start = int(self.first[self.known])
@@ -160,6 +165,8 @@ class ChunkTable:
         self.first[self.known + 1 : n + 1] = start + np.cumsum(sizes)
         number = np.arange(self.known, n, dtype=np.int32)
         self.known = n
+        if not insert:
+            return
         if 2 * n > len(self.slots):
             used = self.slots != _EMPTY
             keys, number = np.concatenate([self.slots[used], keys]), np.concatenate([self.place[used], number])
@@ -179,31 +186,52 @@ class ChunkTable:
             data = _LOWER[data]
         doc = np.searchsorted(offsets, starts, "right") - 1
         sizes = ends - starts
-        if len(starts):
-            # each byte's value times a power of its place in the chunk, summed; bytes between chunks count nothing
-            lone = np.diff(np.append(starts, len(data)))
-            place = np.arange(int(starts[0]), len(data), dtype=np.int64) - np.repeat(starts, lone)
-            power = np.full(int(lone.max()), _BASE, _U)
-            power[0] = 1
-            value = _BYTE[data[int(starts[0]) :]] * np.multiply.accumulate(power)[place]
-            if not (sizes == lone).all():
-                value[place >= np.repeat(sizes, lone)] = 0
-            keys = mix(np.add.reduceat(value, starts - starts[0]) + sizes.astype(_U) * _U(0xA24BAED4963EE407))
-        else:
-            keys = np.empty(0, _U)
+        keys = self._keys(data, starts, sizes)
         use = ~whole[doc]
         starts, ends, doc, keys = starts[use], ends[use], doc[use], keys[use]
         number = self._find(keys)
         fresh = np.flatnonzero(number < 0)
+        full = self.known >= self.remembered
+        if full and len(fresh) > STALE * len(keys):
+            self._clear()
+            fresh, full = np.arange(len(keys)), False
+        known = self.known
         if len(fresh):
-            if self.known + len(fresh) > REMEMBERED:
-                self._clear()
-                fresh = np.arange(len(keys))
             new, at = np.unique(keys[fresh], return_index=True)
             at = fresh[at]
             raw = data.tobytes()
-            self._learn(new, [raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            number[fresh] = self._find(keys[fresh])
+            # a full table forgets them after this call
+            self._learn(new, [raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())], not full)
+            number[fresh] = known + np.searchsorted(new, keys[fresh])
+        out = self._gather(given, offsets, whole, doc, number, n)
+        if full:
+            self.known = known
+        return out
+
+    @staticmethod
+    def _keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A hash of each chunk: its bytes' values times powers of their places, summed; bytes between chunks count nothing.
+
+        Chunks are taken in runs of some bytes, so the arrays of a long text stay small beside it.
+        """
+        keys = np.empty(len(starts), _U)
+        at = 0
+        while at < len(starts):
+            after = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE, "right")) - 1) if starts[-1] > starts[at] + SLICE else len(starts)
+            lo, hi = int(starts[at]), int(starts[after]) if after < len(starts) else len(data)
+            own, size = starts[at:after] - lo, sizes[at:after]
+            lone = np.diff(np.append(own, hi - lo))
+            place = np.arange(hi - lo, dtype=np.int64) - np.repeat(own, lone)
+            power = np.full(int(lone.max()), _BASE, _U)
+            power[0] = 1
+            value = _BYTE[data[lo:hi]] * np.multiply.accumulate(power)[place]
+            if not (size == lone).all():
+                value[place >= np.repeat(size, lone)] = 0
+            keys[at:after] = mix(np.add.reduceat(value, own) + size.astype(_U) * _U(0xA24BAED4963EE407))
+            at = after
+        return keys
+
+    def _gather(self, given, offsets, whole, doc, number, n):
         first = self.first[number]
         many = self.first[number + 1] - first
         if whole.any():
@@ -228,8 +256,9 @@ class ChunkTable:
         return np.concatenate(lists).astype(np.uint32), np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
 def library_table(path: str, words: bool) -> ChunkTable:
-    """A table for a tokenizer file, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives ids.
+    """A worker's table for a tokenizer file, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives ids.
 
     ``words``: the tokenizer drops white space, so a text may be cut at every ASCII white space; else it is byte-level.
     """

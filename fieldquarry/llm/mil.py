@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import in_batches, slices
 from .hashed import buffers
 
 PASSAGE = 512
@@ -187,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             packed = [x[b - k : b].tobytes() for b, k in zip(ends.tolist(), taken.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "x"])
 
-    got = rows.mapInArrow(tidy(run), "id long, label int, x binary").toArrow()
+    got = in_batches(rows, run, "id long, label int, x binary").toArrow()
     order = np.lexsort((got["label"].to_numpy(), [hash_of(v) for v in got["x"]], got["id"].to_numpy()))
     many = np.array([len(got["x"][int(i)].as_buffer()) // (4 * DIM) for i in order], np.int64)
     x = np.empty((int(many.sum()), DIM), np.float32)
@@ -219,4 +219,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in slices(batches, f"c{at}", 4 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at)), pa.float64())], names=[*own, "s"])
 
-    return plain.mapInArrow(tidy(run), kind).toDF(*names, score_col)
+    return in_batches(plain, run, kind).toDF(*names, score_col)

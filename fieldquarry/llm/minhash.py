@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidy
+from .common import in_batches, materialise, slices
 from .components import components
 
 WORDS = 5
@@ -143,7 +143,7 @@ def _signed(bands: int, rows: int):
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, print, keys) of (id, text): set size, fingerprint of the whole set, band keys."""
-    return docs.select("id", "text").mapInArrow(tidy(_signed(bands, rows)), "id long, n long, print binary, keys array<long>")
+    return in_batches(docs.select("id", "text"), _signed(bands, rows), "id long, n long, print binary, keys array<long>")
 
 
 def _verified(percent: int):
@@ -178,7 +178,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     copies = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).otherwise(F.array("part"))
     dealt = texts.select("hub", F.explode(copies).alias("part"), "id", "text")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-    return dealt.mapInArrow(tidy(_verified(percent)), "a long, b long")
+    return in_batches(dealt, _verified(percent), "a long, b long")
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
     smaller (``first``) is among the first m - ceil(percent m / 100) + 1 of the larger. In the order of rareness among
     these texts, passages that many of them share come last.
     """
-    sets = materialise(texts.select("id", "text").mapInArrow(tidy(_shingled), "id long, shingles array<long>"), "dd-sets")
+    sets = materialise(in_batches(texts.select("id", "text"), _shingled, "id long, shingles array<long>"), "dd-sets")
     flat = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
     often = materialise(flat.groupBy("key").agg(F.count("*").alias("df")), "dd-often")
     ranked = flat.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("by"))

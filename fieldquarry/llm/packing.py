@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidy
-from .hashed import library_table
+from .common import in_batches, materialise, slices
+from .hashed import SLICE, library_table
 
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -74,7 +74,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_table(path, words=False)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             rows: list[list] = [[], [], [], [], []]
             ids, offsets = encoder.encode(batch.column(1))
             packed = memoryview(ids.astype("<u4").tobytes())
@@ -88,7 +88,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("id", "text").mapInArrow(tidy(run), _SCHEMA)
+    return in_batches(docs.select("id", "text"), run, _SCHEMA)
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

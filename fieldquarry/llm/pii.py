@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, tidy
+from .common import in_batches, slices
 
 ROUNDS = 8
 
@@ -100,20 +100,49 @@ def _hexadecimal(text: str) -> bool:
 
 
 def email(f: Feistel, text: str, back: bool = False) -> str | None:
-    """All but the last label of the host is permuted."""
+    """All but the last label of the host is permuted, without regard to case, which stays where it is."""
     head, dot, top = text.rpartition(".")
-    return _letters(f, head, b"email", back) + dot + top
+    new = _letters(f, head.lower(), b"email", back)
+    return "".join(c.upper() if old.isupper() else c for old, c in zip(head, new)) + dot + top
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Where addresses stand, looked for outward from each @, within the lengths that local parts and hosts may have."""
+    at, after = text.find("@"), 0
+    while at >= 0:
+        local, host = _LOCAL.search(text, max(after, at - 64), at), _HOST.match(text, at + 1, at + 254)
+        if local and host:
+            after = host.end()
+            yield local.start(), after
+        at = text.find("@", max(at + 1, after))
+
+
+# fixed values: first digits of payment card numbers and how long these may be
+NETWORKS = [
+    ("4", (13, 16, 19)),
+    ("5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)", (16,)),
+    ("3[47]", (15,)),
+    ("3[0689]", (14, 15, 16, 17, 18, 19)),
+    ("35", (16, 17, 18, 19)),
+    ("5[0678]|6", (13, 14, 15, 16, 17, 18, 19)),
+]
+_NETWORKS = [(re.compile(first), sizes) for first, sizes in NETWORKS]
+
+
+def issued(digits: str) -> bool:
+    """Whether a network has numbers that begin so and are so long."""
+    return any(len(digits) in sizes and first.match(digits) for first, sizes in _NETWORKS)
 
 
 def card(f: Feistel, text: str, back: bool = False) -> str | None:
-    """13 to 19 digits of a right Luhn sum, not all alike: the digits between the first and the check digit are permuted."""
+    """A number of a payment network with a right Luhn sum: the digits between the first and the check digit are permuted among its networks' numbers."""
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
+    if not issued(digits) or not luhn(digits):
         return None
     n = len(digits) - 2
-    inner = f"{f.walk(int(digits[1:-1]), 10**n, b'card' + digits[0].encode(), back=back):0{n}d}"
-    check = -_luhn_sum(digits[0] + inner + "0") % 10
-    return _fill(text, digits[0] + inner + str(check))
+    fits = lambda x: issued(f"{digits[0]}{x:0{n}d}0")
+    inner = f"{f.walk(int(digits[1:-1]), 10**n, b'card' + digits[0].encode(), fits, back):0{n}d}"
+    return _fill(text, digits[0] + inner + str(-_luhn_sum(digits[0] + inner + "0") % 10))
 
 
 def phone(f: Feistel, text: str, back: bool = False) -> str | None:
@@ -168,26 +197,26 @@ def iban(f: Feistel, text: str, back: bool = False) -> str | None:
 
 
 def day(f: Feistel, text: str, back: bool = False) -> str | None:
-    """A calendar date: permuted among the days of its century; of day and month, the form that is a date is taken, day first if both are."""
-    parts = [int(x) for x in re.split(r"\D", text)]
-    year_first = len(re.split(r"\D", text)[0]) == 4
-    orders = [(0, 1, 2)] if year_first else [(2, 1, 0), (2, 0, 1)]
-    for y, m, d in orders:
+    """A calendar date: permuted among the days of its century, whatever the form it is written in.
+
+    Of day and month, the order that is a date is taken, day first if both are. Days up to the 12th and later ones
+    are permuted apart, so a date that can only be read month first stays one. A date without leading zeros stays so.
+    """
+    given, seps = re.split(r"\D", text), re.findall(r"\D", text)
+    parts = [int(x) for x in given]
+    for y, m, d in [(0, 1, 2)] if len(given[0]) == 4 else [(2, 1, 0), (2, 0, 1)]:
         try:
             found = date(parts[y], parts[m], parts[d])
         except ValueError:
             continue
-        lo = date(max(1, found.year // 100 * 100), 1, 1).toordinal()
-        hi = min(date(found.year // 100 * 100 + 99, 12, 31).toordinal(), date.max.toordinal())
-        month_first = (y, m, d) == (2, 0, 1)
-        # a month-first date stays one that can't be read day first, and a day-first date one that is read so
-        fits = lambda x: not month_first or date.fromordinal(lo + x).day > 12
-        new = date.fromordinal(lo + f.walk(found.toordinal() - lo, hi - lo + 1, b"date%d%d" % (lo, month_first), fits, back))
-        out = [0, 0, 0]
-        out[y], out[m], out[d] = new.year, new.month, new.day
-        widths = [4 if i == y else 2 for i in range(3)]
-        seps = re.findall(r"\D", text)
-        return f"{out[0]:0{widths[0]}d}{seps[0]}{out[1]:0{widths[1]}d}{seps[1]}{out[2]:0{widths[2]}d}"
+        century = found.year // 100 * 100
+        lo, hi = date(max(1, century), 1, 1).toordinal(), date(century + 99, 12, 31).toordinal()
+        late = found.day > 12
+        fits = lambda x: (date.fromordinal(lo + x).day > 12) == late
+        new = date.fromordinal(lo + f.walk(found.toordinal() - lo, hi - lo + 1, b"date%d" % lo, fits, back))
+        out, width = ["", "", ""], 1 if min(len(given[m]), len(given[d])) == 1 else 2
+        out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:0{width}d}", f"{new.day:0{width}d}"
+        return out[0] + seps[0] + out[1] + seps[1] + out[2]
     return None
 
 
@@ -195,23 +224,40 @@ def secret(f: Feistel, text: str, back: bool = False) -> str | None:
     return _letters(f, text, b"secret", back, _hexadecimal(text))
 
 
-# fixed values: the forms that are looked for, each with the check it must pass
-FORMS: list[tuple[str, str, Callable]] = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
-    ("secret", r"(?<=AKIA)[A-Z0-9]{16}\b|(?<=ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}", secret),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]+)+\b", iban),
-    ("date", r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9])|(?![\w-]))|(?<![\w./-])[0-9]{4}(?P<y>[./])[0-9]{2}(?P=y)[0-9]{2}(?![\w/-]|\.[0-9])|(?<![\w./-])[0-9]{2}(?P<d>[./-])[0-9]{2}(?P=d)[0-9]{4}(?![\w/-])", day),
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.~-]{6,})")
+
+
+def named(text: str) -> Iterator[tuple[int, int]]:
+    """Values after words that announce a secret."""
+    return (m.span(1) for m in _NAMED.finditer(text))
+
+
+# fixed values: the forms that are looked for, as patterns or functions that find them, each with the check it must pass.
+# No pattern can match one text in two ways, so none tries more than a line's length from any place.
+FORMS: list[tuple[str, str | Callable, Callable]] = [
+    ("secret", named, secret),
+    ("email", emails, email),
+    ("secret", r"(?<=AKIA)[A-Z0-9]{16}\b|(?<=ASIA)[A-Z0-9]{16}\b|(?<=\bgh[pousr]_)[A-Za-z0-9]{36,}|(?<=\bsk-)(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}", secret),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]*(?: [A-Z0-9]+)*\b", iban),
+    ("date", r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9])|(?![\w-]))|(?<![\w./-])[0-9]{4}(?P<y>[./])[0-9]{1,2}(?P=y)[0-9]{1,2}(?![\w/-]|\.[0-9])|(?<![\w./-])[0-9]{1,2}(?P<d>[./-])[0-9]{1,2}(?P=d)[0-9]{4}(?![\w/-]|\.[0-9])", day),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ip),
     ("card", r"(?<![\w+])[0-9]+(?:[ -][0-9]+)*(?!\w)", card),
     ("phone", r"(?<![\w.])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<!\w)\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.+-])1[ .-]\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)", phone),
 ]
-_NAMED = re.compile(r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_.~-]{6,})")
-_MAYBE = re.compile(r"[0-9@=:]|A[KS]IA|sk-")
+#: What every line with a value of one of the forms holds.
+_MAYBE = re.compile(r"[0-9@=:]|A[KS]IA|sk-|gh[pousr]_")
+
+
+def _spans(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    find = re.compile(pattern).finditer
+    return lambda text: (m.span() for m in find(text))
 
 
-def _compiled() -> list[tuple[str, re.Pattern, Callable]]:
-    return [(kind, re.compile(pattern), rule) for kind, pattern, rule in FORMS]
+def _compiled() -> list[tuple[str, Callable, Callable]]:
+    return [(kind, _spans(how) if isinstance(how, str) else how, rule) for kind, how, rule in FORMS]
 
 
 #: Kinds whose values may be written in groups, and so run into what is written after them, with their least and most characters.
@@ -235,22 +281,22 @@ def _groups(text: str, a: int, b: int, sizes: tuple[int, int], found: Callable[[
 
 def _line(text: str, f: Feistel, forms, counts: dict[str, int]) -> str:
     spans: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
 
     def found(kind: str, a: int, b: int, rule: Callable) -> bool:
-        if any(a < y and b > x for x, y, _ in spans) or (new := rule(f, text[a:b])) is None:
+        if taken.find(1, a, b) >= 0 or (new := rule(f, text[a:b])) is None:
             return False
         spans.append((a, b, new))
+        taken[a:b] = b"\1" * (b - a)
         counts[kind] = counts.get(kind, 0) + 1
         return True
 
-    for m in _NAMED.finditer(text):
-        found("secret", *m.span(2), secret)
-    for kind, pattern, rule in forms:
-        for m in pattern.finditer(text):
+    for kind, find, rule in forms:
+        for a, b in find(text):
             if kind in _GROUPED:
-                _groups(text, *m.span(), _GROUPED[kind], lambda a, b: found(kind, a, b, rule))
+                _groups(text, a, b, _GROUPED[kind], lambda x, y: found(kind, x, y, rule))
             else:
-                found(kind, *m.span(), rule)
+                found(kind, a, b, rule)
     out, at = [], 0
     for a, b, new in sorted(spans):
         out += [text[at:a], new]
@@ -273,11 +319,12 @@ def pseudonymise_text(text: str, f: Feistel, forms=None) -> tuple[str, dict[str,
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; ``counts_col`` adds a map from kind to values replaced.
 
-    Looked for: e-mail and IPv4 addresses, payment cards (Luhn), IBANs (mod 97), North American and international phone
+    Looked for: e-mail and IPv4 addresses, payment cards (network and Luhn), IBANs (mod 97), North American and international phone
     numbers, social security numbers, calendar dates, access keys, and values after password, token, secret or api key.
-    All other columns, rows and their number stay as they are, whatever they are called. A null text stays null, an
-    empty one empty; numbers that don't pass their check stay.
+    All other columns, rows and their number stay as they are, whatever they are called; a column called ``counts_col``
+    is replaced. A null text stays null, an empty one empty; numbers that don't pass their check stay.
     """
+    docs = docs.drop(counts_col) if counts_col else docs
     names, at = docs.columns, docs.columns.index(text_col)
     fields = [T.StructField(f"c{i}", x.dataType) for i, x in enumerate(docs.schema.fields)]
     kind = pa.map_(pa.string(), pa.int64())
@@ -298,5 +345,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))] + ["n"] * bool(counts_col))
 
     plain = docs.toDF(*[x.name for x in fields]).withColumn(text_name, F.col(text_name).cast("string"))
-    out = plain.mapInArrow(tidy(run), T.StructType([x if i != at else T.StructField(text_name, T.StringType()) for i, x in enumerate(fields)] + extra))
+    out = in_batches(plain, run, T.StructType([x if i != at else T.StructField(text_name, T.StringType()) for i, x in enumerate(fields)] + extra))
     return out.toDF(*names, *[counts_col] * bool(counts_col))

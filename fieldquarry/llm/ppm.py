@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidy
+from .common import in_batches, materialise, slices
 
 ORDER = 5
 #: Deepest nodes and words that are sent to all executors at most, the most counted first; all others are joined.
@@ -78,7 +78,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
             keys, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    grams = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "gram long, n long")
+    grams = in_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "gram long, n long")
     return grams.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -280,7 +280,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield sent()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
@@ -350,7 +350,7 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    asked = keyed.mapInArrow(tidy(run), "row long, id long, word binary, times long, tokens long, known long, base double, score double, gram long")
+    asked = in_batches(keyed, run, "row long, id long, word binary, times long, tokens long, known long, base double, score double, gram long")
     if not whole:
         asked = materialise(asked, "lm-asked")
     met = asked.filter("gram is null").join(words.filter(F.col("c") < least), "word", "left")

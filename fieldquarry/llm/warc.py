@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, tidy
+from .common import fresh_path, in_batches, materialise
 
 #: Payloads under so many bytes are never stored as revisits.
 REVISIT_BYTES = 100
@@ -101,7 +101,7 @@ def convert(arcs: DataFrame, id_col: str = "id", content_col: str = "content") -
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     rows = arcs.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).alias("content"))
-    return rows.mapInArrow(tidy(run), "id long, record_id string, url string, date string, content_type string, payload binary, payload_bytes long, digest string")
+    return in_batches(rows, run, "id long, record_id string, url string, date string, content_type string, payload binary, payload_bytes long, digest string")
 
 
 def _numbered(records: DataFrame, keys: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").load(out).filter("length > 0").select("content")
-    return files.mapInArrow(tidy(run), "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, url string, date string, payload binary")
+    return in_batches(files, run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, url string, date string, payload binary")
 
 
 def archive(pages: DataFrame, out: str | None = None) -> DataFrame:
