@@ -11,7 +11,7 @@ from fieldquarry.llm.mil_q import THRESHOLD, scored
 from fieldquarry.llm.minhash import near_duplicates
 from fieldquarry.llm.packing import pack
 from fieldquarry.llm.pii import pseudonymise
-from fieldquarry.llm.pii_q import KEY
+from fieldquarry.llm.pii_q import key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become pseudonyms; ``n_chars`` follows the text."""
-    out = pseudonymise(docs, KEY)
+    out = pseudonymise(docs, key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
