@@ -25,35 +25,39 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def int8_tile(k: int):
-    def tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray):
-        none = np.empty(0, np.int64)
-        n, m = len(x), len(q)
-        if not n or not m:
-            return none, none, np.empty(0)
-        (qc, qs, qe), (xc, xs, xe) = quantise(q), quantise(x)
+    def prepare(ids: np.ndarray, x: np.ndarray):
+        """The codes of a tile, made once for all its queries."""
+        xc, xs, xe = quantise(x)
+        xn, n = np.linalg.norm(x, axis=1), len(x)
         # sums of products of int8 are exact in single precision up to 1,040 dimensions
-        exact = np.float32 if q.shape[1] <= 1040 else np.float64
-        product = (qc.astype(exact) @ xc.astype(exact).T).astype(np.float64) * qs[:, None] * xs[None, :]
-        qn, xn = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
-        error = qe[:, None] * xn[None, :] + (qn + qe)[:, None] * xe[None, :]
-        middle = qn[:, None] ** 2 + xn[None, :] ** 2 - 2 * product
-        slack = 2 * error + 1e-9 * (qn[:, None] + xn[None, :]) ** 2
-        own = q_ids[:, None] == ids[None, :]
-        upper = np.where(own, np.inf, middle + slack)
-        bar = np.partition(upper, k - 1, axis=1)[:, k - 1] if n > k else np.full(m, np.inf)
-        asked, cand = np.nonzero((middle - slack <= bar[:, None]) & ~own)
-        score = np.concatenate([np.sqrt(((q[asked[a : a + 65536]] - x[cand[a : a + 65536]]) ** 2).sum(axis=1)) for a in range(0, len(asked), 65536)] or [np.empty(0)])
-        out_q, out_v, out_s = [], [], []
-        ends = np.searchsorted(asked, np.arange(m + 1))
-        for i in range(m):
-            a, b = ends[i], ends[i + 1]
-            for s, v in heapq.nsmallest(k, zip(score[a:b].tolist(), ids[cand[a:b]].tolist())):
-                out_q.append(q_ids[i])
-                out_v.append(v)
-                out_s.append(s)
-        return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s)
+        exact = np.float32 if x.shape[1] <= 1040 else np.float64
+        codes = xc.astype(exact).T
 
-    return tile
+        def tile(q_ids: np.ndarray, q: np.ndarray):
+            qc, qs, qe = quantise(q)
+            m, qn = len(q), np.linalg.norm(q, axis=1)
+            product = (qc.astype(exact) @ codes).astype(np.float64) * qs[:, None] * xs[None, :]
+            error = qe[:, None] * xn[None, :] + (qn + qe)[:, None] * xe[None, :]
+            middle = qn[:, None] ** 2 + xn[None, :] ** 2 - 2 * product
+            slack = 2 * error + 1e-9 * (qn[:, None] + xn[None, :]) ** 2
+            own = q_ids[:, None] == ids[None, :]
+            upper = np.where(own, np.inf, middle + slack)
+            bar = np.partition(upper, k - 1, axis=1)[:, k - 1] if n > k else np.full(m, np.inf)
+            asked, cand = np.nonzero((middle - slack <= bar[:, None]) & ~own)
+            score = np.concatenate([np.sqrt(((q[asked[a : a + 65536]] - x[cand[a : a + 65536]]) ** 2).sum(axis=1)) for a in range(0, len(asked), 65536)] or [np.empty(0)])
+            out_q, out_v, out_s = [], [], []
+            ends = np.searchsorted(asked, np.arange(m + 1))
+            for i in range(m):
+                a, b = ends[i], ends[i + 1]
+                for s, v in heapq.nsmallest(k, zip(score[a:b].tolist(), ids[cand[a:b]].tolist())):
+                    out_q.append(q_ids[i])
+                    out_v.append(v)
+                    out_s.append(s)
+            return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, np.float64)
+
+        return tile
+
+    return prepare
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -62,6 +66,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     ``is_query`` is a condition over ``id``, a column or SQL. All rows but the query's own are candidates, ties go to the smaller
     id, and all candidates return where there are fewer than k: the bounds make the search exact. Rows with a null id,
     or a vector that is null, empty, zero or holds null or non-finite components, take no part; other columns are
-    ignored. All vectors are of one dimension.
+    ignored. Vectors of another dimension than the query's are not its candidates.
     """
     return block_search(usable(vectors, id_col, vector_col, zero=False), is_query, k, int8_tile(k), "double", ascending=True)

@@ -1,8 +1,9 @@
 """Queries and candidates in blocks: the skeleton of the two vector searches.
 
 Candidates are dealt into blocks of bounded size by a hash of their id and queries into blocks likewise; each query
-block meets each candidate block in one group of bounded size, which gives each of its queries at most k rows. The best
-k of those are taken per query after a second, small shuffle.
+block meets each candidate block in one group of bounded size, which gives each of its queries at most k rows. Within a
+group, tiles of ``TILE_QUERIES`` by ``TILE`` are computed one after another, so large blocks, of which few copies travel,
+need little memory. The best k of all groups are taken per query after a second, small shuffle.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 1024, 512
+#: Candidates and queries of a group at most, and of a tile.
+CANDIDATES, QUERIES = 8192, 16384
+TILE, TILE_QUERIES = 1024, 512
 
-#: (query ids, query matrix, candidate ids, candidate matrix) to (query id, candidate id, score) of at most k each
-Tile = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (candidate ids, candidate matrix) to a function of (query ids, query matrix), which gives (query id, candidate id, score), at most k of each query
+Prepare = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -35,15 +38,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def block_search(rows: DataFrame, is_query, k: int, tile: Tile, score_type: str, ascending: bool) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best of all other rows, ties to the smaller id."""
+def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, ascending: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, candidate, score) of each query, best first, ties to the smaller candidate id."""
+    by = np.lexsort((v, s if ascending else -s, q))
+    q, v, s = q[by], v[by], s[by]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], v[first], s[first]
+
+
+def block_search(rows: DataFrame, is_query, k: int, prepare: Prepare, score_type: str, ascending: bool) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best of all other rows of its dimension, ties to the smaller id."""
     is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
     size = rows.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    c_blocks, q_blocks = max(1, math.ceil(size.n / CANDIDATES)), max(1, math.ceil(size.q / QUERIES))
+    q_blocks = max(1, math.ceil(size.q / QUERIES))
+    # no smaller than a tile, no larger than a group, and if there is choice enough groups for all tasks
+    tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c_blocks = max(1, math.ceil(size.n / CANDIDATES), min(math.ceil(size.n / TILE), tasks // q_blocks))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    rows = rows.withColumn("d", F.size("x"))
     cands = rows.withColumn("c", deal(c_blocks, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>"))).withColumn("kind", F.lit(1))
     asked = rows.filter(is_query).withColumn("q", deal(q_blocks, 2)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<long>"))).withColumn("kind", F.lit(0))
-    names = ["id", "x", "c", "q", "kind"]
+    names = ["id", "x", "d", "c", "q", "kind"]
     both = asked.select(names).unionByName(cands.select(names))
 
     kind_of = pa.float64() if score_type == "double" else pa.int64()
@@ -51,10 +66,18 @@ def block_search(rows: DataFrame, is_query, k: int, tile: Tile, score_type: str,
     def run(group: pa.Table) -> pa.Table:
         kind = group["kind"].to_numpy()
         ids, x = group["id"].to_numpy(), _matrix(group["x"].combine_chunks())
-        q, v, s = tile(ids[kind == 0], x[kind == 0], ids[kind == 1], x[kind == 1])
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, kind_of)})
+        q_ids, q, ids, x = ids[kind == 0], x[kind == 0], ids[kind == 1], x[kind == 1]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind_of.to_pandas_dtype()))]
+        for a in range(0, len(ids) if len(q_ids) else 0, TILE):
+            tile = prepare(ids[a : a + TILE], x[a : a + TILE])
+            for b in range(0, len(q_ids), TILE_QUERIES):
+                found.append(tile(q_ids[b : b + TILE_QUERIES], q[b : b + TILE_QUERIES]))
+            if len(found) > 64:
+                found = [best_of(*map(np.concatenate, zip(*found)), k, ascending)]
+        best = best_of(*map(np.concatenate, zip(*found)), k, ascending)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, t) for c, t in zip(best, (pa.int64(), pa.int64(), kind_of))))))
 
-    found = both.groupBy("c", "q").applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    found = both.groupBy("c", "q", "d").applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = [F.col("score").asc() if ascending else F.col("score").desc(), F.col("vec_id").asc()]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")
     return found.select("query_id", "vec_id", "score", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

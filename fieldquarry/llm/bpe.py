@@ -128,7 +128,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds ``out_col`` (binary): the bytes that the ids stand for; a null array gives null, an unknown id is an error."""
+    """Adds ``out_col`` (binary), in place of a column of that name: the bytes that the ids stand for; a null array gives null, an unknown id is an error."""
+    tokens = tokens.drop(out_col)
     names = tokens.columns
     kind = tokens.select("*", F.lit(b"").alias(out_col)).schema
 

@@ -10,8 +10,9 @@ One record (all integers little-endian)::
     i64 document id x D | u8 1 where that id is null x D | u64 first token x (D + 1)
     per level: u64 chunks M | M chunk bytes | ceil(M / 8) bitmap bytes, lowest bit first | u32 ones before each 512 bits
 
-Spark's text writer commits the files: a record is one value, and the line feed after it isn't part of it. One file is
-one partition, its records in ascending document order; a record is closed once it holds about ``RECORD`` tokens.
+Spark's text writer commits the files: a record is one value, and the line feed after it isn't part of it. Files are
+numbered by partition, and within one from its first record on, so ids ascend from file to file and within each. A
+record is closed once it holds about ``RECORD`` tokens, a file once it holds ``RECORDS`` records.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, in_batches, slices
 from .hashed import SLICE, library_table
 
-MAGIC, BLOCK, RECORD = b"DAC1", 512, 1_000_000
+MAGIC, BLOCK = b"DAC1", 512
+RECORD, RECORDS = 1_000_000, 64
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -149,9 +151,12 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([write_record(held, packed)], pa.binary())], schema=schema)
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last())
-    in_batches(dealt, run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(out)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    # rows without an id, or of one id, may be many: where they stand deals them out
+    order = [F.col("id").asc_nulls_last(), F.col("row")]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("id", "text")
+    values = in_batches(dealt, run, "value binary").select(F.col("value").cast("string"))
+    values.write.option("compression", "none").option("maxRecordsPerFile", RECORDS).text(out)
 
 
 def read_tokens(spark, out: str, id_col: str = "doc_id") -> DataFrame:
@@ -172,9 +177,11 @@ def read_tokens(spark, out: str, id_col: str = "doc_id") -> DataFrame:
 
     files = spark.read.format("binaryFile").load(out).filter("length > 0").select("path", "content")
     rows = in_batches(files, run, "file string, id long, at long, n_tokens long, ids_crc32 long")
-    # one row for each file; the writer numbers its files by partition, so their names are in document order
+    # one row for each file; names hold the numbers of the partition and of the file in it
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    order = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/]*$")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    starts = totals.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    starts = totals.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     return rows.join(starts, "file").select(F.col("id").alias(id_col), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

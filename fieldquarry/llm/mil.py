@@ -50,8 +50,6 @@ def passage_features(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     total = len(edges) - 1
     sizes = np.diff(edges)
     data = data[edges[0] : edges[-1]]
-    if not len(data):
-        return np.zeros((total, DIM), np.float32)
     at = np.repeat(np.arange(total), sizes)
     length = np.maximum(sizes, 1)
     kinds = np.bincount(at * CLASSES + _CLASS[data], minlength=total * CLASSES).reshape(total, CLASSES)
@@ -64,6 +62,7 @@ def passage_features(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     begins[1:] &= ~inside[:-1] | ~same
     starts = np.flatnonzero(begins)
     extra = np.zeros((total, 6))
+    count = np.ones(total)
     if len(starts):
         words = np.add.reduceat(np.where(inside, _SPELL[data], 0), starts)
         where = at[starts]
@@ -76,7 +75,7 @@ def passage_features(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
         fresh = np.ones(len(words))
         fresh[1:] = (words[by][1:] != words[by][:-1]) | (where[by][1:] != where[by][:-1])
         extra[:, 3] = np.bincount(where[by], fresh, minlength=total) / count
-        extra[:, 4] = np.log1p(length / count)
+    extra[:, 4] = np.log1p(sizes / count)
     extra[:, 5] = np.log1p(sizes)
     shares = np.sqrt(np.hstack([kinds, pairs]) / length[:, None])
     return np.hstack([shares, extra]).astype(np.float32)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, materialise, slices
 from .hashed import SLICE, library_table
 
+#: Pieces of one length that are ranked in one group, on average.
+RUN = 50_000
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -100,19 +102,20 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    salts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salt = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(salts))
-    pieces = materialise(cut_pieces(rows, path, size, end_id).withColumn("salt", salt), "pk-pieces")
-    counts = materialise(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "pk-counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(slots(patterns(histogram, size)), "length long, first long, after long, sequence long, offset long")
+    # equal rows are told apart by where they stand, which is written with them
+    pieces = materialise(cut_pieces(rows, path, size, end_id).withColumn("row", F.monotonically_increasing_id()), "pk-pieces")
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # both tables have a few rows for each length at most, which are ``size``, not for each document
+    places = F.broadcast(spark.createDataFrame(slots(patterns(histogram, size)), "length long, first long, after long, sequence long, offset long"))
+    many = F.broadcast(spark.createDataFrame([(k, -(-n // RUN)) for k, n in histogram.items()], "length long, salts long"))
+    salted = pieces.join(many, "length").withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).drop("salts")
+    # one row for each length and run of pieces of it
+    counts = materialise(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "pk-counts")
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialise(counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "pk-bases")
-    within = Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32")
-    ranked = pieces.withColumn("k", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("k"))
-    # at most ``size`` lengths and a few slots for each pattern: the table is bounded by ``size``, not by the documents
-    there = F.broadcast(places)
-    placed = ranked.join(there, (ranked.length == there.length) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after")))
+    bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("length", "salt").orderBy("row")
+    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("k"))
+    placed = ranked.join(places, (ranked.length == places.length) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after")))
     return placed.select(
         F.col("id").alias(id_col), "start", ranked.length.alias("length"), "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("offset")
     )

@@ -12,55 +12,64 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_search, usable
+from .blocks import best_of, block_search, usable
 
-FIRST_DEPTH = 64
+#: Entries read of every list at first, and how many times more with each further reading.
+FIRST_DEPTH, DEEPER = 64, 4
 
 
 def nra_tile(k: int):
-    def tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray):
-        n, d = x.shape
-        m = len(q)
+    def prepare(ids: np.ndarray, x: np.ndarray):
+        """The lists of a tile, sorted once for all its queries."""
+        n = len(x)
         order = np.argsort(-x, axis=0, kind="stable")
         ranks = np.empty_like(order)
         np.put_along_axis(ranks, order, np.arange(n)[:, None], axis=0)
         down = np.take_along_axis(x, order, axis=0)
-        up, un = np.maximum(q, 0.0), np.minimum(q, 0.0)
-        # bounds are sums of d products in floating point; this slack covers their rounding
-        slack = 1e-9 * (np.abs(q) @ np.abs(x).max(axis=0)) + 1e-9
-        live, depth = np.arange(m), min(FIRST_DEPTH, n)
-        out_q, out_v, out_s = [], [], []
-        while len(live):
-            top, low = ranks < depth, ranks >= n - depth
-            p, u = up[live].T, un[live].T
-            seen = np.where(top, x, 0.0) @ p + np.where(low, x, 0.0) @ u
-            # what the unseen entries can add: at most the list's value at this depth, at least its last value
-            best, worst = down[depth - 1][:, None], down[n - depth][:, None]
-            most = seen + ~top @ (p * best) + ~low @ (u * worst)
-            least = seen + ~top @ (p * down[n - 1][:, None]) + ~low @ (u * down[0][:, None])
-            own = ids[:, None] == q_ids[live][None, :]
-            most[own], least[own] = -np.inf, -np.inf
-            bar = np.partition(least, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
-            open_ = (most >= bar - 2 * slack[live]) & ~own
-            done = (open_.sum(axis=0) <= 4 * k) | (depth == n)
-            cand, col = np.nonzero(open_[:, done])
-            if len(cand):
-                asked = live[done][col]
-                out_q.append(asked)
-                out_v.append(cand)
-                out_s.append((q[asked].astype(np.int64) * x[cand].astype(np.int64)).sum(axis=1))
-            live, depth = live[~done], min(2 * depth, n)
-        if not out_q:
-            none = np.empty(0, np.int64)
-            return none, none, none
-        asked, cand, score = map(np.concatenate, (out_q, out_v, out_s))
-        by = np.lexsort((ids[cand], -score, asked))
-        asked, cand, score = asked[by], cand[by], score[by]
-        place = np.arange(len(asked)) - np.searchsorted(asked, asked)
-        best_k = place < k
-        return q_ids[asked[best_k]], ids[cand[best_k]], score[best_k]
+        largest = np.abs(x).max(axis=0)
+        ints = x.astype(np.int64)
 
-    return tile
+        def tile(q_ids: np.ndarray, q: np.ndarray):
+            m = len(q)
+            up, un = np.maximum(q, 0.0), np.minimum(q, 0.0)
+            # bounds are sums of d products in floating point; this slack covers their rounding
+            slack = 1e-9 * (np.abs(q) @ largest) + 1e-9
+            live, depth, read = np.arange(m), min(FIRST_DEPTH, n), 0
+            seen = np.zeros((n, m))
+            out_q, out_v, out_s = [], [], []
+            while len(live):
+                top, low = ranks < depth, ranks >= n - depth
+                p, u = up[live].T, un[live].T
+                # only entries between the last depth and this one are added to what was seen
+                seen += np.where(top & (ranks >= read), x, 0.0) @ p + np.where(low & (ranks < n - read), x, 0.0) @ u
+                if depth == n:
+                    most = least = seen.copy()
+                else:
+                    # what the unseen entries can add: at most the list's value at this depth, at least its last value
+                    rest_top, rest_low = (~top).astype(np.float64), (~low).astype(np.float64)
+                    most = seen + rest_top @ (p * down[depth - 1][:, None]) + rest_low @ (u * down[n - depth][:, None])
+                    least = seen + rest_top @ (p * down[n - 1][:, None]) + rest_low @ (u * down[0][:, None])
+                own = ids[:, None] == q_ids[live][None, :]
+                most[own], least[own] = -np.inf, -np.inf
+                bar = np.partition(least, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
+                open_ = (most >= bar - 2 * slack[live]) & ~own
+                done = (open_.sum(axis=0) <= 4 * k) | (depth == n)
+                cand, col = np.nonzero(open_[:, done])
+                if len(cand):
+                    asked = live[done][col]
+                    out_q.append(asked)
+                    out_v.append(cand)
+                    out_s.append((q[asked].astype(np.int64) * ints[cand]).sum(axis=1))
+                live, seen, read, depth = live[~done], seen[:, ~done], depth, min(DEEPER * depth, n)
+            if not out_q:
+                none = np.empty(0, np.int64)
+                return none, none, none
+            asked, cand, score = map(np.concatenate, (out_q, out_v, out_s))
+            return best_of(q_ids[asked], ids[cand], score, k, ascending=False)
+
+        return tile
+
+    return prepare
 
 
 def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -69,7 +78,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_
     ``is_query`` is a condition over ``id``, a column or SQL. All rows but the query's own are candidates; ties go to the smaller
     id; all candidates return where there are fewer than k. Rows with a null id, or a vector that is null, empty or
     holds null or non-finite components, take no part; other columns are ignored. Components times ``scale`` are
-    expected below 2**24, so that sums are exact. All vectors are of one dimension.
+    expected below 2**24, so that sums are exact. Vectors of another dimension than the query's are not its candidates.
     """
     rows = usable(vectors, id_col, vector_col, zero=True)
     rows = rows.withColumn("x", F.transform("x", lambda v: F.floor(v * scale).cast("double")))

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldquarry.llm import ann, bpe, dac, mil, minhash, packing, pii, pii_q, ppm, topk, warc
+from fieldquarry.llm import ann, blocks, bpe, dac, mil, minhash, packing, pii, pii_q, ppm, topk, warc
 from fieldquarry.llm.components import components
 
 DOCS = "doc_id long, text string, id string, key int"  # the last two clash with names used inside
@@ -172,12 +172,27 @@ def test_nra_tile_in_small_depths(monkeypatch):
     monkeypatch.setattr(topk, "FIRST_DEPTH", 2)
     rng = np.random.default_rng(3)
     x = rng.integers(-50, 50, (400, 5)).astype(float)
-    q, v, s = topk.nra_tile(3)(np.arange(20), x[:20], np.arange(400), x)
+    q, v, s = topk.nra_tile(3)(np.arange(400), x)(np.arange(20), x[:20])
     for i in range(20):
         want = sorted((-int(x[i] @ x[j]), j) for j in range(400) if j != i)[:3]
         assert sorted((-b, a) for a, b in zip(v[q == i].tolist(), s[q == i].tolist())) == want
 
 
+def test_vector_searches_in_many_blocks_and_dimensions(spark, vectors, monkeypatch):
+    for name, size in (("CANDIDATES", 64), ("QUERIES", 2), ("TILE", 20), ("TILE_QUERIES", 1)):
+        monkeypatch.setattr(blocks, name, size)
+    frame, good = vectors
+    wide = [(1000 + i, [float(i), 1.0]) for i in range(6)]
+    frame = frame.unionByName(spark.createDataFrame([(i, v, "x", 1) for i, v in wide], frame.schema))
+    near = lambda a, b: (lambda s: (s, s))(math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b))))
+    got = sorted(map(tuple, ann.nearest(frame, "id % 100 = 0").collect()))
+    want = sorted(ranked({i: v for i, v in good.items() if any(v)}, 10, near) + ranked(dict(wide), 10, near))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-12)
+    high = lambda a, b: (lambda s: (-s, s))(sum(x * y for x, y in zip(a, b)))
+    ints = [{i: [math.floor(1024 * x) for x in v] for i, v in some.items()} for some in (good, dict(wide))]
+    assert sorted(map(tuple, topk.exact_topk(frame, "id % 100 = 0").collect())) == sorted(ranked(ints[0], 10, high) + ranked(ints[1], 10, high))
+
+
 def test_nearest(spark, vectors):
     frame, good = vectors
     good = {i: v for i, v in good.items() if any(v)}
@@ -279,7 +294,7 @@ def check_packed(rows, want):
     assert sorted(by_sequence) == list(range(len(by_sequence)))
 
 
-def test_packing(spark, docs, texts):
+def test_packing(spark, docs, texts, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -287,6 +302,10 @@ def test_packing(spark, docs, texts):
     encode = lambda t: library.encode(t or "", add_special_tokens=False).ids + [0]
     check_packed(rows, {i: encode(t) for i, t in enumerate(texts)} | {None: encode("no id here at all")})
     assert packing.pack(empty(spark), P.path("byte_bpe_50k.json")).collect() == []
+    monkeypatch.setattr(packing, "RUN", 3)  # equal rows are placed each, in many runs
+    again = packing.pack(docs.filter("doc_id in (3, 5, 10)").crossJoin(spark.range(40).select(F.col("id").alias("copy"))).drop("copy"), P.path("byte_bpe_50k.json")).collect()
+    places = [(r.sequence_id, at) for r in again for at in range(r.offset, r.offset + r.length)]
+    assert len(again) == 120 and len(set(places)) == len(places) == 40 * sum(len(encode(texts[i])) for i in (3, 5, 10))
 
 
 def test_patterns_use_the_histogram_and_waste_little():
@@ -338,18 +357,18 @@ def test_lm_scores_when_few_nodes_are_broadcast(spark, docs, texts):
 _SLOW: dict = {}
 
 
-def slow_ppm(learnt, w):
-    if not _SLOW:
+def slow_ppm(learnt, w, table=_SLOW):
+    if not table:
         for own in learnt:
             data = b"\n" * ppm.ORDER + b" ".join(own) + b"\n"
             for i in range(ppm.ORDER, len(data)):
                 for k in range(ppm.ORDER + 1):
-                    _SLOW.setdefault(data[i - k : i], collections.Counter())[data[i]] += 1
+                    table.setdefault(data[i - k : i], collections.Counter())[data[i]] += 1
     data, total = b"\n" * ppm.ORDER + b" ".join(w) + b"\n", 0.0
     for i in range(ppm.ORDER, len(data)):
         out: set = set()
         for k in range(ppm.ORDER, -1, -1):
-            seen = _SLOW.get(data[i - k : i])
+            seen = table.get(data[i - k : i])
             if seen is None:
                 continue
             n, d = sum(x for s, x in seen.items() if s not in out), sum(s not in out for s in seen)
@@ -451,6 +470,23 @@ def test_token_files(spark, docs, texts):
     assert dac.token_files(empty(spark), P.path("word_bpe_49k.json")).collect() == []
 
 
+def test_token_files_of_many_records_and_rows_of_one_id(spark, docs, texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(dac, "RECORD", 100)
+    monkeypatch.setattr(dac, "RECORDS", 1)
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(7 if i % 3 else i, t) for i, t in enumerate(texts)]
+    got = dac.token_files(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids + [1]
+    crc = lambda t: zlib.crc32(np.array(ids(t), "<u4").tobytes())
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == collections.Counter((i, len(ids(t)), crc(t)) for i, t in rows)
+    start, last = 0, -1
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start and r.doc_id >= last
+        start, last = start + r.n_tokens, r.doc_id
+
+
 def test_codes_give_any_token():
     rng = np.random.default_rng(8)
     ids = [rng.integers(0, 2 ** rng.integers(1, 32, n), n).astype("<u4") for n in (0, 1, 700, 4096, 3)]
