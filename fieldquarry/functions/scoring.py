@@ -306,21 +306,32 @@ def region_of(df: DataFrame, boxes: DataFrame) -> DataFrame:
     return df.join(best, "row_id", "left")
 
 
-def bioclim(df: DataFrame, temperature: list[str], rain: list[str]) -> DataFrame:
-    """Climate variables of twelve monthly means: mean temperature, seasonality, annual, driest month, rain's variation.
+# fixed values: months of the climatologies, and their mean lengths in days
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+MONTH_DAYS = [31, 28.25, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
-    -999 is missing, and a row with a missing month goes. ``rain`` is a daily rate; months have their own days.
+
+def bioclim(temperature: DataFrame, rain_rate: DataFrame) -> DataFrame:
+    """Climate variables of the cells that both monthly climatologies have: bio1, bio4, bio12, bio14, bio15.
+
+    Both tables have latitude, longitude and ``MONTHS``; rain is a daily rate. -999 and text that is no number are
+    missing, and months without a value are left out of a cell's figures. Cells without any temperature, any rain
+    value, or with a mean rain that isn't positive go. Of rows of one place the first by its values stays.
     """
-    clean = lambda cs: F.array(*[F.when(F.col(c) != -999.0, F.col(c).cast("double")) for c in cs])
-    days = F.array(*[F.lit(float(d)) for d in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)])
-    out = df.withColumns({"_t": clean(temperature), "_r": F.zip_with(clean(rain), days, lambda a, b: a * b)})
-    out = out.filter(~F.exists("_t", lambda x: x.isNull()) & ~F.exists("_r", lambda x: x.isNull()))
+
+    def months(df: DataFrame, name: str, weights: list[float]) -> DataFrame:
+        number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+        clean = df.select(number("latitude").alias("latitude"), number("longitude").alias("longitude"), F.array(*[number(c) * w for c, w in zip(MONTHS, weights)]).alias(name), F.array(*[number(c) == -999.0 for c in MONTHS]).alias("_gone"))
+        clean = clean.filter("latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)")
+        kept = F.filter(F.zip_with(name, "_gone", lambda x, gone: F.when(~gone & ~F.isnan(x), x)), lambda x: x.isNotNull())
+        return clean.groupBy("latitude", "longitude").agg(F.min(kept).alias(name))
+
+    both = months(temperature, "_t", [1.0] * 12).join(months(rain_rate, "_r", MONTH_DAYS), ["latitude", "longitude"]).filter("size(_t) > 0 and size(_r) > 0")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    sd = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: F.pow(x - total(c) / 12, 2)), F.lit(0.0), lambda s, x: s + x) / 12)
-    return out.withColumns({
-        "mean_temperature": total("_t") / 12, "temperature_seasonality": sd("_t") * 100, "annual_rain": total("_r"), "driest_month": F.array_min("_r"),
-        "rain_variation": F.when(total("_r") > 0, sd("_r") / (total("_r") / 12) * 100).otherwise(0.0),
-    }).drop("_t", "_r")
+    mean = lambda c: total(c) / F.size(c)
+    sd = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + (x - F.col(f"{c}m")) * (x - F.col(f"{c}m"))) / F.size(c))
+    both = both.withColumns({"_tm": mean("_t"), "_rm": mean("_r")}).filter("_rm > 0")
+    return both.select("latitude", "longitude", F.col("_tm").alias("bio1"), (sd("_t") * 100).alias("bio4"), total("_r").alias("bio12"), F.array_min("_r").alias("bio14"), (sd("_r") * 100 / F.col("_rm")).alias("bio15"))
 
 
 def covered_within(coverage: DataFrame, radius_km: float) -> DataFrame:
@@ -360,5 +371,5 @@ def top_quota(df: DataFrame, per_area: int, total: int, area: str = "survey_area
         return chosen.withColumn("recommendation_rank", F.row_number().over(Window.orderBy(*order)))
     k = F.row_number().over(Window.partitionBy(area).orderBy(*order))
     chosen = df.withColumn("_k", k).filter(F.col("_k") <= per_area).drop("_k")
-    # as many rows as areas times the quota
+    # as many rows as areas times the quota, which is a report to read
     return chosen.withColumn("recommendation_rank", F.row_number().over(Window.orderBy(F.asc(area), *order)))

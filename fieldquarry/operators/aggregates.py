@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from .pairs import distance_sums
 from .windows import percent_rank_average
 
 
 def medoid(points: DataFrame, keys: list[str], ident: str = "row_id") -> DataFrame:
-    """The member of each small group with the least sum of distances, ties to the smaller id (A1)."""
-    other = points.select(*keys, F.col("latitude").alias("_lat2"), F.col("longitude").alias("_lon2"))
-    sums = points.join(other, keys).groupBy(*keys, ident).agg(F.round(F.sum(haversine_m("latitude", "longitude", "_lat2", "_lon2")), 6).alias("total_m"))
+    """The member of each group with the least sum of distances, ties to the smaller id (A1).
+
+    Sums are compared at a micrometre, so that equal ones tie whatever the order of addition.
+    """
+    sums = distance_sums(points, keys, ident).withColumn("total_m", F.round("total_m", 6))
     best = sums.groupBy(*keys).agg(F.min(F.struct("total_m", ident)).alias("b"))
     return best.select(*keys, F.col(f"b.{ident}").alias(ident), F.col("b.total_m").alias("total_m"))
 

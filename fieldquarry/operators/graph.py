@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, haversine_m, id_token
+from ..functions.geo import haversine_m, id_token
 from ..functions.scoring import candidate_role, with_units
-from ..sources.scratch import materialise
-from .joins import nearest_join, within_radius
+from ..sources.scratch import discard, materialise
+from .joins import nearest_join, radius_join, within_radius
+from .pairs import distance_sums, metres
+from .windows import numbered
+
+#: Points of a component that one task takes in order; larger components are taken in rounds.
+COMPONENT = 20_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", nodes: DataFrame | None = None) -> DataFrame:
@@ -25,16 +32,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", nodes: DataFrame |
     if nodes is not None:
         own = own.union(nodes.select("node"))
     labels = materialise(own.distinct().withColumn("component", F.col("node")), "cc-labels")
+    # labels only fall, and a sum of hashes tells whether any did, without a join
+    told = lambda df: df.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
+    before = told(labels)
     while True:
         near = both.join(labels.select(F.col("node").alias("u"), "component"), "u").select(F.col("v").alias("node"), "component")
         spread = materialise(near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component")), "cc-spread")
         up = spread.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = spread.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"))
-        jumped = materialise(jumped, "cc-labels")
-        moved = jumped.join(labels.withColumnRenamed("component", "was"), "node").filter(~F.col("component").eqNullSafe(F.col("was")))
+        jumped = materialise(spread.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component")), "cc-labels")
+        now = told(jumped)
+        discard(labels, spread)
         labels = jumped
-        if moved.isEmpty():
+        if now == before:
+            discard(both)
             return labels
+        before = now
 
 
 def distance_components(points: DataFrame, radius_m: float, keys: list[str], ident: str = "row_id") -> DataFrame:
@@ -44,10 +56,28 @@ def distance_components(points: DataFrame, radius_m: float, keys: list[str], ide
     return points.join(components(near, nodes=nodes).withColumnRenamed("node", ident), ident)
 
 
-def metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
-    p, l, ps, ls = np.radians(lat), np.radians(lon), np.radians(lats), np.radians(lons)
-    a = np.sin((ps - p) / 2) ** 2 + np.cos(p) * np.cos(ps) * np.sin((ls - l) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
+def in_waves(nodes: DataFrame, before: DataFrame, decide: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """Decisions over ``nodes`` (node) of which each needs those of all b in ``before`` (a, b), in as few rounds as that allows.
+
+    ``decide`` takes the nodes that wait for nothing, and all decisions so far (None at first), to one row per node.
+    """
+    open_, before, done, turn = materialise(nodes, "wave-open"), materialise(before.select("a", "b"), "wave-before"), None, 0
+    while not open_.isEmpty():
+        ready = materialise(open_.join(before.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "wave-ready")
+        got = materialise(decide(ready, done), "wave-done")
+        done, turn = got if done is None else done.unionByName(got), turn + 1
+        done = materialise(done, "wave-done") if turn % 16 == 0 else done
+        rest = materialise(open_.join(ready, "node", "left_anti"), "wave-open")
+        later = materialise(before.join(ready.withColumnRenamed("node", "b"), "b", "left_anti"), "wave-before")
+        discard(open_, before, ready)
+        open_, before = rest, later
+    return done if done is not None else decide(open_, None)
+
+
+def by_size(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of components that a task takes, and of those that are larger."""
+    large = materialise(named.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") > COMPONENT).select("component"), "large")
+    return named.join(large, "component", "left_anti"), named.join(large, "component", "left_semi")
 
 
 def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str], ident: str = "row_id") -> DataFrame:
@@ -55,8 +85,9 @@ def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str],
 
     In order of ids a point joins the patch whose farthest member is nearest, if that is within the threshold (ties:
     the older patch), else it founds one. A patch's members are all within the threshold of each other, so patches lie
-    within components of the radius graph and components are grouped apart, each in one task of its own size.
-    ``threshold_m`` may name a column that is the same for all rows of a key.
+    within components of the radius graph. Components of at most ``COMPONENT`` points are a group each. In larger ones
+    a point's choice depends on earlier points within twice the threshold alone, so rounds decide all points that wait
+    for none of these. ``threshold_m`` may name a column that is the same for all rows of a key.
     """
     placed = points.filter("latitude is not null and longitude is not null")
     own = F.col(threshold_m) if isinstance(threshold_m, str) else F.lit(float(threshold_m))
@@ -67,7 +98,10 @@ def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str],
     near = within_radius(placed, widest, keys, ident)
     if isinstance(threshold_m, str):
         near = near.join(placed.select(F.col(ident).alias("a"), "_limit"), "a").filter(F.col("distance_m") <= F.col("_limit"))
+    near = materialise(near.select("a", "b", "distance_m"), "link-near")
     named = placed.join(components(near, nodes=placed.select(F.col(ident).alias("node"))).withColumnRenamed("node", ident), ident)
+    slim = materialise(named.select(*keys, ident, "latitude", "longitude", "component", "_limit"), "link-points")
+    small, large = by_size(slim)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(ident, kind="stable")
@@ -87,9 +121,31 @@ def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str],
             founders.append(ids[i])
         return pd.DataFrame({ident: ids, "founder": [founders[p] for p in patch]})
 
-    kind = dict(named.dtypes)[ident]
-    slim = named.select(ident, "latitude", "longitude", "component", "_limit")
-    return points.join(slim.groupBy("component").applyInPandas(group, f"{ident} {kind}, founder {kind}"), ident)
+    kind = dict(slim.dtypes)[ident]
+    found = small.groupBy("component").applyInPandas(group, f"{ident} {kind}, founder {kind}")
+    if not large.isEmpty():
+        found = found.unionByName(_linked_in_waves(large, near, widest, keys, ident))
+    return points.join(found, ident)
+
+
+def _linked_in_waves(rows: DataFrame, near: DataFrame, widest: float, keys: list[str], ident: str) -> DataFrame:
+    """(ident, founder) of large components' points, the same that taking them in order gives."""
+    earlier = near.filter("b < a")
+    # a little wider, as rounding must not part what is exactly twice the threshold away
+    wide = within_radius(rows, 2 * widest * (1 + 1e-9) + 1e-3, keys, ident).filter("b < a")
+
+    def decide(ready: DataFrame, done: DataFrame | None) -> DataFrame:
+        if done is None:
+            return ready.select("node", F.col("node").alias("founder"))
+        met = earlier.join(ready.withColumnRenamed("node", "a"), "a").join(done.withColumnRenamed("node", "b"), "b")
+        met = met.groupBy("a", "founder").agg(F.max("distance_m").alias("far"), F.count("*").alias("n"))
+        # all decided members of a patch that it touches are earlier ones: it may join if it is near them all
+        sizes = done.groupBy("founder").agg(F.count("*").alias("size"))
+        best = met.join(sizes, "founder").filter("n = size").groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", "founder")).alias("m"))
+        return ready.join(best, "node", "left").select("node", F.coalesce("m.founder", "node").alias("founder"))
+
+    nodes = rows.select(F.col(ident).alias("node"))
+    return in_waves(nodes, wide, decide).withColumnRenamed("node", ident)
 
 
 def patches(cells: DataFrame, threshold_m: float, area: str = "survey_area_id", ident: str = "row_id", rank: str = "ecological_support_rank", keys: list[str] = ()) -> DataFrame:
@@ -161,8 +217,7 @@ def scored_zones(df: DataFrame, merge_m: float | None = None, keys: list[str] =
         "evidence_source_count": sources,
         **{f"{n}_score": F.bround(f"_{c}", 6) for n, c in (("observed_support", "observed"), ("local_habitat_support", "local"), ("model_support", "model"), ("access_support", "access"), ("zone_agreement_support", "agreement"), ("zone_divergence", "divergence"))},
     })
-    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("zone_score"), "zone_id")
-    ranked = out.withColumn("zone_rank", F.row_number().over(order))
+    ranked = numbered(out.withColumn("_down", -F.col("zone_score")), ["_down", "zone_id"], "zone_rank", keys).drop("_down").withColumn("zone_rank", F.col("zone_rank").cast("int"))
     return ranked.drop("founder", "_r", "_m", "_merge", "_roles", *[f"_{n}" for n in ("priority", *ZONE_EVIDENCE)])
 
 
@@ -223,50 +278,158 @@ def explicit_edges(patches_: DataFrame, edges: DataFrame, patch_id: str = "candi
 def detection_clusters(points: DataFrame, radius_m: float = 500.0, area: str = "island", ident: str = "row_id") -> DataFrame:
     """Single-link clusters within areas: medoid, members, radius."""
     named = materialise(distance_components(points, radius_m, [area], ident), "clusters")
-    other = named.select("component", F.col("latitude").alias("_lat2"), F.col("longitude").alias("_lon2"))
-    sums = named.join(other, "component").groupBy(area, "component", ident, "latitude", "longitude").agg(F.sum(haversine_m("latitude", "longitude", "_lat2", "_lon2")).alias("_s"), F.max(haversine_m("latitude", "longitude", "_lat2", "_lon2")).alias("_m"))
     # sums are compared at a micrometre, so that equal ones tie whatever the order of addition
-    medoid = sums.groupBy(area, "component").agg(F.min(F.struct(F.round("_s", 6).alias("s"), F.col(ident).alias("id"), "latitude", "longitude", "_m")).alias("_b"), F.count("*").alias("n_source_points"), F.array_sort(F.collect_list(ident)).alias("source_field_row_ids"))
+    sums = distance_sums(named, ["component"], ident).select(ident, F.round("total_m", 6).alias("_s"), F.col("far_m").alias("_m"))
+    medoid = named.join(sums, ident).groupBy(area, "component").agg(F.min(F.struct(F.col("_s").alias("s"), F.col(ident).alias("id"), "latitude", "longitude", "_m")).alias("_b"), F.count("*").alias("n_source_points"), F.array_sort(F.collect_list(ident)).alias("source_field_row_ids"))
     return medoid.select(F.col("component").alias("detection_cluster_id"), area, F.col("_b.latitude").alias("latitude"), F.col("_b.longitude").alias("longitude"), F.col("_b.id").alias("medoid_id"), "n_source_points", "source_field_row_ids", F.col("_b._m").alias("cluster_radius_m"))
 
 
-def survey_scope(points: DataFrame, keys: list[str], ident: str = "row_id", low_km: float = 10.0, high_km: float = 120.0) -> DataFrame:
-    """Each point's range: ``main`` (largest component), ``disjunct`` (at least max(3, 1 %)) or ``noise``.
+def survey_scope(points: DataFrame, keys: list[str], ident: str = "row_id", low_km: float = 10.0, high_km: float = 120.0, least: int = 5) -> DataFrame:
+    """Each point's ``component`` and ``scope_class``: main_range, disjunct_range or possible_remote_noise.
 
-    The step is three times the 75th percentile of nearest-neighbour distances, clipped; neighbours are looked for
-    within ``high_km``.
+    Points link by steps of ``cluster_eps_m``: three times the 75th percentile of the positive distances to the nearest
+    other point (5 km where there is none), within ``low_km`` to ``high_km``. The largest component is the main range
+    (ties: the smaller id), others of max(3, 1 %) points are disjunct ranges, what is left is possible noise. Keys of
+    fewer than ``least`` points, and those without a component of two, are main range as a whole.
     """
-    near = within_radius(points, high_km * 1000.0, keys, ident)
-    one = near.filter("a <> b").groupBy(*keys, "a").agg(F.min("distance_m").alias("_d"))
-    joined = points.select(*keys, F.col(ident).alias("a")).join(one, [*keys, "a"], "left").withColumn("_d", F.coalesce("_d", F.lit(high_km * 1000.0)))
-    eps = joined.groupBy(*keys).agg(F.greatest(F.lit(low_km * 1000.0), F.least(F.lit(high_km * 1000.0), 3 * F.percentile("_d", F.lit(0.75)))).alias("eps_m"))
-    beside = lambda df: df.join(eps, keys) if keys else df.crossJoin(F.broadcast(eps))  # noqa: E731 - one row without keys
-    links = beside(near).filter(F.col("distance_m") <= F.col("eps_m"))
-    named = points.join(components(links, nodes=points.select(F.col(ident).alias("node"))).withColumnRenamed("node", ident), ident)
-    sizes = named.groupBy(*keys, "component").agg(F.count("*").alias("size"))
-    total = F.sum("size").over(Window.partitionBy(*keys))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "component"))
-    kind = F.when(F.col("_k") == 1, "main").when(F.col("size") >= F.greatest(F.lit(3), F.ceil(F.col("_t") * 0.01)), "disjunct").otherwise("noise")
-    sizes = sizes.withColumns({"_k": place, "_t": total}).withColumn("range_role", kind).select(*keys, "component", "size", "range_role")
-    return beside(named.join(sizes, [*keys, "component"]))
+    beside = lambda df, one: df.join(one, keys) if keys else df.crossJoin(F.broadcast(one))  # noqa: E731 - one row without keys
+    placed = materialise(points.filter("latitude is not null and longitude is not null"), "scope")
+    right = placed.select(*keys, F.col(ident).alias("_other"), "latitude", "longitude")
+    near = nearest_join(placed.select(*keys, ident, "latitude", "longitude"), right, keys, ident, "_other", other=True)
+    step = 3 * F.coalesce(F.percentile(F.when(F.col("distance_m") > 0, F.col("distance_m")), F.lit(0.75)), F.lit(5000.0))
+    eps = near.groupBy(*keys).agg(F.greatest(F.lit(low_km * 1000.0), F.least(F.lit(high_km * 1000.0), step)).alias("cluster_eps_m"), F.count("*").alias("_t"))
+    eps = materialise(eps, "scope-eps")
+    widest = eps.agg(F.max("cluster_eps_m").alias("m")).first().m or low_km * 1000.0
+    links = beside(within_radius(placed, widest, keys, ident), eps).filter("a <> b and distance_m <= cluster_eps_m")
+    named = materialise(placed.join(components(links, nodes=placed.select(F.col(ident).alias("node"))).withColumnRenamed("node", ident), ident), "scope-named")
+    sizes = beside(named.groupBy(*keys, "component").agg(F.count("*").alias("size")), eps)
+    place = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("size"), "component"))
+    top = sizes.withColumn("_k", place).filter("_k = 1").select(*keys, F.col("component").alias("_main"), F.col("size").alias("_largest"))
+    sizes = beside(sizes, top)
+    kind = F.when((F.col("_t") < least) | (F.col("_largest") < 2) | (F.col("component") == F.col("_main")), "main_range")
+    kind = kind.when((F.col("size") >= 2) & (F.col("size") >= F.greatest(F.lit(3), F.ceil(F.col("_t") * 0.01))), "disjunct_range").otherwise("possible_remote_noise")
+    few = F.when(F.col("_t") >= least, F.col("cluster_eps_m"))
+    return named.join(sizes.select(*keys, "component", "size", kind.alias("scope_class"), few.alias("cluster_eps_m")), [*keys, "component"])
+
+
+def survey_regions(points: DataFrame, radius_m: float, keys: list[str] = (), ident: str = "row_id", most: int | None = None) -> DataFrame:
+    """``points`` with ``hub`` and ``region_id``: again and again the point with the most points left around it, itself included, takes them.
+
+    Ties go to the smaller id. Rounds run for all keys side by side, up to ``most`` or until every point has its
+    region; each counts pairs anew among the points that are left, so no list of pairs is kept.
+    """
+    keys = [*keys]
+    left = materialise(points.filter("latitude is not null and longitude is not null").select(*keys, ident, "latitude", "longitude"), "hubs")
+    taken, turn = None, 0
+    while not left.isEmpty() and (most is None or turn < most):
+        turn += 1
+        near = within_radius(left, radius_m, keys, ident)
+        counts = near.groupBy(*keys, "a").agg(F.count("*").alias("members"))
+        best = materialise(counts.groupBy(*keys).agg(F.min(F.struct((-F.col("members")).alias("n"), "a")).alias("b")).select(*keys, F.col("b.a").alias("hub")), "hub")
+        centre = left.join(best.withColumnRenamed("hub", ident), [*keys, ident], "left_semi")
+        got = radius_join(centre.withColumnRenamed(ident, "hub"), left, radius_m, keys, left_id="hub", right_id=ident)
+        got = materialise(got.select(*keys, ident, "hub", F.lit(turn).alias("region_id")), "hubs-taken")
+        taken = got if taken is None else taken.unionByName(got)
+        rest = materialise(left.join(got.select(ident), ident, "left_anti"), "hubs")
+        discard(left)
+        left = rest
+    if taken is None:
+        return points.limit(0).withColumns({"hub": F.col(ident), "region_id": F.lit(0)})
+    return points.join(taken.drop(*keys), ident)
 
 
 def region_hubs(points: DataFrame, radius_m: float, most: int, keys: list[str] = (), ident: str = "row_id") -> DataFrame:
-    """Up to ``most`` hubs for each key: again and again the point with the most points left around it takes them."""
+    """(keys, hub, members, hub_rank) of the first ``most`` regions of each key."""
+    return survey_regions(points, radius_m, keys, ident, most).groupBy(*keys, "hub", F.col("region_id").alias("hub_rank")).agg(F.count("*").alias("members"))
+
+
+# fixed values: the three cards and their reasons
+CARDS = [
+    ("Recommended", "Best-supported compact region; default for an immediate field proposal."),
+    ("Discovery", "Alternative region balancing record support with geographic separation from the default."),
+    ("Range contrast", "Geographically complementary region for population comparison or range-boundary learning."),
+]
+
+
+def region_table(regions: DataFrame, keys: list[str] = (), ident: str = "row_id") -> DataFrame:
+    """One row per region of ``survey_regions``: medoid, records and their share, extent, diameter and radius."""
+    keys = [*keys]
+    by = [*keys, "region_id"]
+    sums = distance_sums(regions, by, ident).select(ident, F.round("total_m", 6).alias("_s"), "far_m")
+    rows = regions.join(sums, ident).groupBy(*by).agg(
+        F.min(F.struct("_s", F.col(ident).alias("id"), "latitude", "longitude", "far_m")).alias("_c"), F.count("*").alias("record_count"), F.bround(F.max("far_m") / 1000.0, 1).alias("diameter_km"),
+        F.min("latitude").alias("lat_min"), F.max("latitude").alias("lat_max"), F.min("longitude").alias("lon_min"), F.max("longitude").alias("lon_max"),
+    )
+    whole = regions.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = rows.join(whole, keys) if keys else rows.crossJoin(F.broadcast(whole))  # one row without keys
+    return rows.select(
+        *by, F.col("_c.id").alias("medoid_id"), F.col("_c.latitude").alias("center_latitude"), F.col("_c.longitude").alias("center_longitude"), "record_count", F.bround(F.col("record_count") / F.col("_n"), 4).alias("record_share"),
+        "diameter_km", F.bround(F.col("_c.far_m") / 1000.0, 1).alias("center_radius_km"), "lat_min", "lat_max", "lon_min", "lon_max",
+    )
+
+
+def region_cards(table: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Up to three regions of each key with their card (G9): the best supported, one that is far and well supported, one far from both.
+
+    Regions of three records or more are preferred to smaller ones, if there are any. Ties go to the smaller region id.
+    """
+    keys = [*keys]
+    beside = lambda df, one: df.join(one, keys) if keys else df.crossJoin(F.broadcast(one))  # noqa: E731 - one row without keys
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    rows = table.withColumn("_stable", F.max((F.col("record_count") >= 3).cast("int")).over(w)).filter("_stable = 0 or record_count >= 3")
+    rows = materialise(rows.drop("_stable"), "cards")
+    place = lambda n: [F.col("center_latitude").alias(f"_la{n}"), F.col("center_longitude").alias(f"_lo{n}")]
+    far = lambda n: haversine_m("center_latitude", "center_longitude", f"_la{n}", f"_lo{n}")
+    names = rows.columns
+
+    def pick(df: DataFrame, value) -> DataFrame:
+        best = df.withColumn("_v", value).groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct("_v", -F.col("region_id"))).alias("_p"))
+        return materialise(best.select(*keys, *[F.col(f"_p.{c}").alias(c) for c in names if c not in keys]), "card")
+
+    first = pick(rows, F.col("record_count"))
+    rest = beside(rows, first.select(*keys, F.col("region_id").alias("_one"), *place(1))).filter("region_id <> _one")
+    tops = rest.groupBy(*keys).agg(F.max(far(1)).alias("_far"))
+    many = rows.groupBy(*keys).agg(F.max("record_count").alias("_many"))
+    tops = tops.join(many, keys) if keys else tops.crossJoin(F.broadcast(many))
+    second = pick(beside(rest, tops), 0.45 * F.col("record_count") / F.greatest(F.lit(1), "_many") + 0.55 * far(1) / F.when(F.col("_far") > 0, F.col("_far")).otherwise(1.0))
+    rest = beside(rest, second.select(*keys, F.col("region_id").alias("_two"), *place(2))).filter("region_id <> _two")
+    third = pick(rest, F.least(far(1), far(2)))
+    out = None
+    for rank, (chosen, (role, reason)) in enumerate(zip((first, second, third), CARDS), 1):
+        one = chosen.withColumns({"card_rank": F.lit(rank), "card_role": F.lit(role), "card_reason": F.lit(reason), "recommended": F.lit(rank == 1)})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def distribution_regime(regions: DataFrame, table: DataFrame, keys: list[str] = (), ident: str = "row_id") -> DataFrame:
+    """(keys, eligible_records, stable_regions, total_span_km, distribution_regime).
+
+    The span is the largest distance of two points. Each point is compared with the farthest ones in 64 directions;
+    only points for which that distance is near the largest can be ends of the span, and pairs are taken of these.
+    """
     keys = [*keys]
-    near = materialise(within_radius(points, radius_m, keys, ident).select(*keys, "a", "b"), "hubs")
-    hubs = None
-    left = near
-    for rank in range(1, most + 1):
-        counts = left.groupBy(*keys, "a").agg(F.count("*").alias("members"))
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        best = materialise(counts.withColumn("_k", F.row_number().over(w.orderBy(F.desc("members"), "a"))).filter("_k = 1").select(*keys, F.col("a").alias("hub"), "members", F.lit(rank).alias("hub_rank")), "hub")
-        hubs = best if hubs is None else hubs.unionByName(best)
-        taken = left.join(best.select(*keys, F.col("hub").alias("a")), [*keys, "a"], "left_semi").select(*keys, "b").distinct()
-        left = materialise(left.join(taken, [*keys, "b"], "left_anti").join(taken.withColumnRenamed("b", "a"), [*keys, "a"], "left_anti"), "hubs")
-        if left.isEmpty():
-            break
-    return hubs
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    x, y, z = F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+    ends = []
+    for i in range(64):
+        # directions spread evenly over the sphere
+        up = 1 - 2 * (i + 0.5) / 64
+        turn, flat = i * np.pi * (3 - 5**0.5), (1 - up * up) ** 0.5
+        ends.append(F.max_by(F.struct("latitude", "longitude"), F.struct(x * float(flat * np.cos(turn)) + y * float(flat * np.sin(turn)) + z * float(up), -F.col(ident))))
+    rim = regions.groupBy(*keys).agg(F.count("*").alias("eligible_records"), F.array(*ends).alias("_rim"))
+    apart = F.aggregate("_rim", F.lit(0.0), lambda most, e: F.greatest(most, haversine_m("latitude", "longitude", e["latitude"], e["longitude"])))
+    beside = lambda df, one: df.join(one, keys) if keys else df.crossJoin(F.broadcast(one))  # noqa: E731 - one row without keys
+    far = materialise(beside(regions, rim).withColumn("_far", apart).select(*keys, ident, "latitude", "longitude", "_far"), "span")
+    top = far.groupBy(*keys).agg(F.max("_far").alias("_top"))
+    # of some direction within 0.3 rad of the span's own, its end is at least so near to what is seen
+    share = F.when(F.col("_top") < 5e6, 0.93).otherwise(0.7)
+    rim_points = beside(far, top).filter(F.col("_far") >= share * F.col("_top"))
+    span = distance_sums(rim_points, keys, ident).groupBy(*keys).agg((F.max("far_m") / 1000.0).alias("_km"))
+    span = beside(span, rim.drop("_rim"))
+    stable = table.groupBy(*keys).agg(F.count_if(F.col("record_count") >= 3).alias("stable_regions"))
+    both = beside(span, stable)
+    kind = F.when(F.col("_km") <= 80, "narrow/local").when(F.col("_km") <= 300, "regional").when(F.col("stable_regions") <= 3, "disjunct").otherwise("widespread")
+    return both.select(*keys, "eligible_records", "stable_regions", F.bround("_km", 1).alias("total_span_km"), kind.alias("distribution_regime"))
 
 
 def catchments(members: DataFrame, radius_m: float, keys: list[str], patch_id: str = "candidate_patch_id", ident: str = "row_id", power: float = 1.0) -> DataFrame:

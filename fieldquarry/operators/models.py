@@ -74,7 +74,7 @@ def calibrate_weights(candidates: DataFrame, coverage: DataFrame, heldout: DataF
     all_ = heldout.groupBy(*keys).agg(F.countDistinct("occ_id").alias("_all"))
     hit = chosen.join(coverage.select(*keys, "cand_id", "occ_id"), [*keys, "cand_id"]).groupBy(*keys, "weight_id").agg(F.countDistinct("occ_id").alias("_hit"))
     frame = all_.crossJoin(F.broadcast(weights.select("weight_id"))).join(hit, [*keys, "weight_id"], "left")
-    recall = frame.withColumn("recall", F.coalesce("_hit", F.lit(0)) / F.col("_all")).join(F.broadcast(split), taxon)
+    recall = frame.withColumn("recall", F.coalesce("_hit", F.lit(0)) / F.col("_all")).join(split, taxon)
     by = recall.groupBy("weight_id").agg(F.avg(F.when(F.col("calibration"), F.col("recall"))).alias("calibration_recall"), F.avg(F.when(~F.col("calibration"), F.col("recall"))).alias("unseen_recall"))
     best = F.row_number().over(Window.orderBy(F.round("calibration_recall", 9).desc_nulls_last(), "weight_id"))  # one row for each weight
     return by.withColumn("recommended", best == 1)
@@ -226,7 +226,7 @@ def shrinkage_search(predictions: DataFrame, names: list[str], weights: DataFram
     """
     base = predictions.withColumns({"_n": F.count("*").over(Window.partitionBy(taxon, fold)), "_prev": F.avg(F.col(label).cast("double")).over(Window.partitionBy(taxon, fold))})
     settings = weights.select("weight_id", *[F.col(n).alias(f"_w_{n}") for n in names]).withColumn("shrinkage", F.explode(F.array(*map(F.lit, shrinkages))))
-    rows = base.crossJoin(F.broadcast(settings)).join(F.broadcast(calibration), taxon)
+    rows = base.crossJoin(F.broadcast(settings)).join(calibration, taxon)
     mean = sum((F.col(n) * F.col(f"_w_{n}") for n in names), F.lit(0.0))
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (1 - F.col("shrinkage")) * mean + F.col("shrinkage") * F.col("_prev")))
     y, w = F.col(label).cast("double"), 1.0 / F.col("_n")

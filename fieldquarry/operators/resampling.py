@@ -153,18 +153,16 @@ def leave_one_out_range(values: DataFrame, keys: list[str], value: str = "lift",
     return leave_one_out_means(values, keys, value, order).groupBy(*keys).agg(F.min("mean_without").alias("least_mean"), F.max("mean_without").alias("largest_mean"))
 
 
-def half_subsets(values: DataFrame, value: str = "lift", order: str = "pair_id", most: int = 3_000_000) -> DataFrame:
-    """Over all subsets of half the rows: their number and the share with a positive mean (R11); more than ``most`` are an error."""
-    import math
-
-    n = values.filter(F.col(value).isNotNull()).count()
-    half = n // 2
-    if math.comb(n, half) > most or n > 24:
-        raise ValueError("too many subsets")
-    rows = values.filter(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]).alias("_vs"))
-    masks = values.sparkSession.range(2**n).filter(F.bit_count("id") == half)
-    total = F.aggregate(F.transform("_vs", lambda v, i: F.when(F.expr("id").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, v).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    return masks.crossJoin(F.broadcast(rows)).select(total.alias("_t")).agg(F.count("*").alias("subsets"), F.avg((F.col("_t") > 1e-12).cast("double")).alias("positive_share"))
+def half_subsets(values: DataFrame, keys: list[str] = (), value: str = "lift", order: str = "pair_id", most: int = 24) -> DataFrame:
+    """Over all subsets of half of each key's rows: their number and the share with a positive mean (R11); more than ``most`` rows are an error."""
+    keys = [*keys]
+    rows = values.filter(F.col(value).isNotNull())
+    lists = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]).alias("_vs"))
+    if (rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0) > most:
+        raise ValueError(f"subsets are for at most {most} values")
+    masks = lists.withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2), F.col("_n")) - 1).cast("long")))).filter(F.bit_count("_m") == F.floor(F.col("_n") / 2))
+    total = F.aggregate(F.transform("_vs", lambda v, i: F.when(F.expr("_m").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, v).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    return masks.select(*keys, total.alias("_t")).groupBy(*keys).agg(F.count("*").alias("subsets"), F.avg((F.col("_t") > 1e-12).cast("double")).alias("positive_share"))
 
 
 def clustered_inference(declared: DataFrame, folds: DataFrame, repeats: int, draws: int, keys: list[str], method: str, reference: str, pair: str = "pair_id", seed: int = 0) -> DataFrame:

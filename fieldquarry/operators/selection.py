@@ -1,8 +1,8 @@
 """Choosing finite survey sets.
 
-Small pools go through ``per_pool``: one group per key, in NumPy, as many pools at once as there are tasks. One large
-pool goes through ``greedy_large``: k rounds, each a distributed argmax and an update of every row's distance to what was
-chosen, never a matrix of pairs; so do all pools of K7-K9 side by side.
+Pools of at most ``POOL`` rows go through ``per_pool``: one group per key, in NumPy, as many pools at once as there are
+tasks. Larger pools, and all pools of K7-K9 and K11, go through rounds for all keys side by side, each a distributed
+argmax and an update of every row's distance to what was chosen, never a matrix of pairs.
 """
 
 from __future__ import annotations
@@ -16,15 +16,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import finite, haversine_m
-from ..sources.scratch import materialise
-from .graph import components, distance_components, metres
-from .joins import within_radius
+from ..sources.scratch import discard, materialise
+from .graph import by_size, components, in_waves
+from .joins import radius_join, within_radius
+from .pairs import metres, pair_sums
 
 Order = Callable[[pd.DataFrame], tuple[list[int], list[float]]]
 
 
-def per_pool(df: DataFrame, keys: list[str], columns: list[str], choose: Order, ident: str, rank: str = "decision_rank", value: str = "utility") -> DataFrame:
-    """(keys, ident, rank, value) of the rows that ``choose`` picks from each pool, whose rows come in order of ``ident``."""
+#: Rows of a pool that one task takes.
+POOL = 100_000
+
+
+def largest_pool(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+
+
+def per_pool(df: DataFrame, keys: list[str], columns: list[str], choose: Order, ident: str, rank: str = "decision_rank", value: str = "utility", checked: bool = False) -> DataFrame:
+    """(keys, ident, rank, value) of the rows that ``choose`` picks from each pool, whose rows come in order of ``ident``.
+
+    A pool of more than ``POOL`` rows is an error, unless the caller has ``checked`` that there is none.
+    """
+    if not checked and largest_pool(df, keys) > POOL:
+        raise ValueError(f"a pool has more than {POOL} rows")
     kinds = dict(df.dtypes)
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
@@ -73,14 +87,52 @@ def _complementary(k: int, score: str, weight: float, scale_m: float, area: str
     return choose
 
 
+def _complementary_rounds(df: DataFrame, k: int, keys: list[str], score: str, weight, scale_m: float, area: str | None, ident: str) -> DataFrame:
+    """The choice of ``_complementary`` for pools of any size: k rounds over all pools side by side."""
+    number = F.expr(f"try_cast(`{score}` AS double)")
+    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0))))
+    place = lambda c: F.col(c).cast("double")
+    rows = df.filter(finite("latitude") & finite("longitude"))
+    w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight if not isinstance(weight, float) else F.lit(weight)))
+    rows = rows.select(F.struct(*keys, F.lit(0).alias("_all")).alias("_g"), F.col(ident).alias("_id"), place("latitude").alias("_lat"), place("longitude").alias("_lon"), unit.alias("_s"), w.alias("_w"), (F.col(area).cast("string") if area else F.lit("")).alias("_area"))
+    rows = materialise(rows, "complementary")
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"), F.countDistinct("_area").alias("_areas"))
+    # every area gets one first if there are places enough
+    left = rows.join(sizes, "_g").withColumn("_wait", F.lit(area is not None) & (F.least(F.lit(max(1, k)), "_n") >= F.col("_areas"))).drop("_n", "_areas").withColumn("_near", F.lit(float("inf")))
+    left, chosen, scale_m = materialise(left, "complementary"), None, max(1.0, scale_m)
+    for turn in range(1, max(1, k) + 1):
+        gain = F.lit(0.5) if turn == 1 else 1 - F.exp(-F.col("_near") / scale_m)
+        utility = F.col("_w") * F.col("_s") + (1 - F.col("_w")) * gain
+        best = left.groupBy("_g").agg(F.min_by(F.struct("_id", "_lat", "_lon", "_area", utility.alias("_u")), F.struct(~F.col("_wait"), -utility, -F.col("_s"), F.col("_id"))).alias("_c"))
+        best = materialise(best, "complementary-best")
+        if best.isEmpty():
+            break
+        one = best.select("_g", F.col("_c._id").alias("_id"), F.lit(turn).alias("decision_rank"), F.col("_c._u").alias("utility"))
+        chosen = one if chosen is None else chosen.unionByName(one)
+        near = F.least("_near", haversine_m("_lat", "_lon", "_c._lat", "_c._lon"))
+        rest = left.join(best, "_g").filter(F.col("_id") != F.col("_c._id")).withColumns({"_near": near, "_wait": F.col("_wait") & (F.col("_area") != F.col("_c._area"))}).drop("_c")
+        rest = materialise(rest, "complementary")
+        discard(left)
+        left = rest
+    if chosen is None:
+        chosen = rows.select("_g", "_id", F.lit(1).alias("decision_rank"), F.lit(0.0).alias("utility")).limit(0)
+    return chosen.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col("_id").alias(ident), "decision_rank", "utility")
+
+
+def _balanced(df: DataFrame, k: int, keys: list[str], score: str, weight: float, scale_m: float, area: str | None, ident: str) -> DataFrame:
+    if largest_pool(df, keys) > POOL:
+        return _complementary_rounds(df, k, keys, score, weight, scale_m, area, ident)
+    return per_pool(df, keys, [score, *([area] if area else []), "latitude", "longitude"], _complementary(k, score, weight, scale_m, area), ident, checked=True)
+
+
 def complementary(df: DataFrame, k: int, keys: list[str], score: str = "priority_score", weight: float = 0.25, scale_m: float = 25_000.0, ident: str = "row_id") -> DataFrame:
     """Greedy weight * score + (1 - weight) * (1 - exp(-distance to chosen / scale)); the first sees 0.5; ties by utility, score, first row (K4)."""
-    return per_pool(df, keys, [score, "latitude", "longitude"], _complementary(k, score, weight, scale_m, None), ident)
+    return _balanced(df, k, keys, score, weight, scale_m, None, ident)
 
 
 def area_balanced(df: DataFrame, k: int, keys: list[str], area: str = "survey_area_id", score: str = "priority_score", weight: float = 0.25, scale_m: float = 25_000.0, ident: str = "row_id") -> DataFrame:
     """As ``complementary``, but every area gets one before any gets two, if k allows (K5)."""
-    return per_pool(df, keys, [score, area, "latitude", "longitude"], _complementary(k, score, weight, scale_m, area), ident)
+    return _balanced(df, k, keys, score, weight, scale_m, area, ident)
 
 
 # fixed values: evidence weights and size of the frozen group policy
@@ -90,46 +142,17 @@ GROUP_K = 5
 
 def group_policy(df: DataFrame, keys: list[str], group: str = "taxon_group", score: str = "priority_score", ident: str = "row_id") -> DataFrame:
     """``complementary`` with the weight of the pool's group (K6); any other group is an error."""
+    known = F.create_map(*[x for g, w in GROUP_POLICY.items() for x in (F.lit(g), F.lit(w))])
+    odd = df.select(group).distinct().filter(known[F.col(group)].isNull()).limit(1).collect()
+    if odd:
+        raise ValueError(f"no policy for group {odd[0][0]!r}")
+    if largest_pool(df, [*keys, group]) > POOL:
+        return _complementary_rounds(df, GROUP_K, [*keys, group], score, known[F.col(group)], 25_000.0, None, ident)
 
     def choose(pool: pd.DataFrame):
         return _complementary(GROUP_K, score, GROUP_POLICY[pool[group].iloc[0]], 25_000.0, None)(pool)
 
-    return per_pool(df, [*keys, group], [score, "latitude", "longitude"], choose, ident)
-
-
-#: Rows of a block of the first round's sums.
-BLOCK = 1024
-
-
-def _sums(rows: DataFrame) -> DataFrame:
-    """(_g, _id, geo, geo_top, env, env_top): sum and maximum of each row's distances to all rows of its pool.
-
-    All pairs are in the definition. Pools are dealt into blocks, and each pair of blocks is a row of its own.
-    """
-    many = rows.groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m"))
-    dealt = rows.join(many, "_g").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_m")))
-    blocks = materialise(dealt.groupBy("_g", "_m", "_b").agg(F.collect_list(F.struct("_id", "_lat", "_lon", "_z")).alias("_rows")), "maximin-blocks")
-    first = blocks.select("_g", "_b", F.col("_rows").alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_c"))
-    tiles = first.join(blocks.select("_g", F.col("_b").alias("_c"), "_rows"), ["_g", "_c"]).select("_g", "_own", "_rows").repartition(F.xxhash64("_g", "_own"))
-
-    def part(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([r["_lat"] for r in rows], float), np.array([r["_lon"] for r in rows], float), np.array([list(r["_z"]) for r in rows], float).reshape(len(rows), -1)
-
-    def run(batches):
-        for batch in batches:
-            for g, own, others in zip(batch["_g"], batch["_own"], batch["_rows"]):
-                lat, lon, z = part(own)
-                lats, lons, zs = part(others)
-                geo = metres(lat[:, None], lon[:, None], lats, lons)
-                env = np.zeros_like(geo)
-                for j in range(z.shape[1]):
-                    env += (z[:, j, None] - zs[:, j]) ** 2
-                env = np.sqrt(env)
-                yield pd.DataFrame({"_g": [g] * len(own), "_id": [r["_id"] for r in own], "geo": geo.sum(axis=1), "geo_top": geo.max(axis=1), "env": env.sum(axis=1), "env_top": env.max(axis=1)})
-
-    kinds = dict(rows.dtypes)
-    out = tiles.mapInPandas(run, f"_g {kinds['_g']}, _id {kinds['_id']}, geo double, geo_top double, env double, env_top double")
-    return out.groupBy("_g", "_id").agg(F.sum("geo").alias("geo"), F.max("geo_top").alias("geo_top"), F.sum("env").alias("env"), F.max("env_top").alias("env_top"))
+    return per_pool(df, [*keys, group], [score, "latitude", "longitude"], choose, ident, checked=True)
 
 
 def _scaled_features(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -164,7 +187,7 @@ def _maximin(df: DataFrame, k: int, keys: list[str], ident: str, features: list[
         rows = rows.withColumns({"_lat": F.lit(0.0), "_lon": F.lit(0.0)})
     rows = _scaled_features(rows, features) if features else rows.withColumn("_z", F.array().cast("array<double>"))
     rows = materialise(rows.select("_g", "_id", "_lat", "_lon", "_z"), "maximin")
-    sums = materialise(_sums(rows), "maximin-sums")
+    sums = materialise(pair_sums(rows), "maximin-sums")
     tops = sums.groupBy("_g").agg(F.max("geo_top").alias("_geo"), F.max("env_top").alias("_env"), F.count("*").alias("_n"))
     if weight is not None:
         shares = {"_geo": F.when(F.col("_geo") > 0, (1 - weight) / F.col("_geo")).otherwise(0.0), "_env": F.when(F.col("_env") > 0, weight / F.col("_env")).otherwise(0.0), "_top": F.lit(1.0)}
@@ -253,27 +276,34 @@ def geographic_maximin_large(df: DataFrame, k: int, ident: str = "row_id") -> Da
 def max_coverage(df: DataFrame, radius_km: float, sites: int, keys: list[str], group: list[str] = (), ident: str = "row_id") -> DataFrame:
     """Greedy cover of as many rows as possible by discs: rank, marginal and cumulative coverage; ties to the first row.
 
-    ``keys`` are problems that run side by side, ``group`` bounds what a site covers. Neighbours are listed once; each
-    round takes every problem's best row and lowers only the gains of rows that covered what it now covers.
+    ``keys`` are problems that run side by side, ``group`` bounds what a site covers. No list of pairs is kept: pairs
+    are counted once, and each round finds only the neighbours of what each problem's best site newly covers, and lowers
+    their gains.
     """
-    near = within_radius(df, radius_km * 1000.0, [*keys, *group], ident).select(*keys, "a", "b")
-    near = materialise(near, "cover")
-    total = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
-    gains = near.groupBy(*keys, "a").agg(F.count("*").alias("gain"))
-    open_, chosen = near, None
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    by, radius = [*keys, *group], radius_km * 1000.0
+    points = materialise(df.filter("latitude is not null and longitude is not null").select(*by, F.col(ident).alias("a"), "latitude", "longitude", F.col("latitude").alias("_y"), F.col("longitude").alias("_x")), "cover")
+    total = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    gains = materialise(within_radius(points.withColumnRenamed("a", ident), radius, by, ident).groupBy(*keys, "a").agg(F.count("*").alias("gain")), "cover-gains")
+    covered, chosen = None, None
     for turn in range(1, sites + 1):
-        best = materialise(gains.groupBy(*keys).agg(F.max(F.struct("gain", (-F.col("a")).alias("na"))).alias("m")).select(*keys, (-F.col("m.na")).alias("a"), F.col("m.gain").alias("marginal_covered_candidates"), F.lit(turn).alias("coverage_rank")), "cover-best")
-        chosen = best if chosen is None else chosen.unionByName(best)
-        now = open_.join(best.select(*keys, "a"), [*keys, "a"], "left_semi").select(*keys, "b").distinct()
-        now = materialise(now, "cover-now")
-        lost = open_.join(now, [*keys, "b"], "left_semi").groupBy(*keys, "a").agg(F.count("*").alias("lost"))
-        open_ = open_.join(now, [*keys, "b"], "left_anti")
-        gains = gains.join(lost, [*keys, "a"], "left").select(*keys, "a", (F.col("gain") - F.coalesce("lost", F.lit(0))).alias("gain")).join(best.select(*keys, "a"), [*keys, "a"], "left_anti")
-        open_, gains = materialise(open_, "cover"), materialise(gains, "cover-gains")
-        if gains.isEmpty():
+        best = gains.groupBy(*keys).agg(F.max(F.struct("gain", (-F.col("a")).alias("na"))).alias("m"))
+        best = materialise(best.select(*keys, (-F.col("m.na")).alias("a"), F.col("m.gain").alias("marginal_covered_candidates"), F.lit(turn).alias("coverage_rank")).filter("a is not null"), "cover-best")
+        if best.isEmpty():
             break
+        chosen = best if chosen is None else chosen.unionByName(best)
+        centre = points.join(best.select(*keys, "a"), [*keys, "a"], "left_semi").select(*by, F.col("a").alias("site"), "latitude", "longitude")
+        now = radius_join(centre, points, radius, by, left_id="site", right_id="a", carry=["_y", "_x"]).select(*by, "a", F.col("_y").alias("latitude"), F.col("_x").alias("longitude"))
+        now = materialise(now if covered is None else now.join(covered.select(*keys, "a"), [*keys, "a"], "left_anti"), "cover-now")
+        covered = now if covered is None else covered.unionByName(now)
+        lost = radius_join(now.withColumnRenamed("a", "b"), points, radius, by, left_id="b", right_id="a").groupBy(*keys, "a").agg(F.count("*").alias("lost"))
+        rest = gains.join(best.select(*keys, "a"), [*keys, "a"], "left_anti").join(lost, [*keys, "a"], "left")
+        rest = materialise(rest.select(*keys, "a", (F.col("gain") - F.coalesce("lost", F.lit(0))).alias("gain")), "cover-gains")
+        discard(gains)
+        gains = rest
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # as many rows as sites
     share = F.sum("marginal_covered_candidates").over(w.orderBy("coverage_rank")) / F.col("_n")
+    if chosen is None:
+        chosen = gains.select(*keys, "a", F.col("gain").alias("marginal_covered_candidates"), F.lit(1).alias("coverage_rank")).limit(0)
     out = chosen.join(total, keys) if keys else chosen.crossJoin(F.broadcast(total))
     return out.withColumn("cumulative_coverage_fraction", share).drop("_n").withColumnRenamed("a", ident)
 
@@ -292,12 +322,53 @@ def coverage_scale_km(df: DataFrame, radius: str = "candidate_patch_radius_m", m
     raise ValueError("no coverage scale: neither one merge distance nor positive radii")
 
 
-def _connected_cover(step_edges: DataFrame, cover: DataFrame, nodes: DataFrame, keys: list[str] = ()) -> DataFrame:
+def _connected_cover(step_edges: DataFrame, cover: DataFrame, nodes: DataFrame) -> DataFrame:
     """(component, node, step, marginal, fraction, parent): for each component of the movement graph a connected set, grown by
-    the largest gain on its frontier, until it covers the component; one task for each component."""
+    the largest gain on its frontier, until it covers the component. Components of at most ``COMPONENT`` nodes are a task each,
+    larger ones grow side by side in rounds."""
     named = materialise(components(step_edges.select("a", "b"), nodes=nodes), "move")
-    of = lambda df: df.join(named.select(F.col("node").alias("a"), "component"), "a").join(named.select(F.col("node").alias("b"), F.col("component").alias("_c2")), "b").filter("component = _c2")
-    lists = of(step_edges.select("a", "b")).select("component", "a", "b", F.lit(0).alias("kind")).unionByName(of(cover.select("a", "b")).select("component", "a", "b", F.lit(1).alias("kind")))
+    named, large = by_size(named)
+    of = lambda df, named: df.join(named.select(F.col("node").alias("a"), "component"), "a").join(named.select(F.col("node").alias("b"), F.col("component").alias("_c2")), "b").filter("component = _c2")
+    if not large.isEmpty():
+        rest = _cover_rounds(of(step_edges.select("a", "b"), large), of(cover.select("a", "b"), large), large)
+        return _cover_tasks(of(step_edges.select("a", "b"), named), of(cover.select("a", "b"), named), named).unionByName(rest)
+    return _cover_tasks(of(step_edges.select("a", "b"), named), of(cover.select("a", "b"), named), named)
+
+
+def _cover_rounds(steps: DataFrame, cover: DataFrame, named: DataFrame) -> DataFrame:
+    """The choice of ``_cover_tasks``: each round takes every open component's best frontier node."""
+    steps = steps.select("component", "a", "b").filter("a <> b")
+    steps = materialise(steps.unionByName(steps.select("component", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "grow-steps")
+    open_ = cover.select("component", "a", "b").unionByName(named.select("component", F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
+    open_, frontier, picked, turn = materialise(open_, "grow-open"), named.select("component", "node"), None, 0
+    sizes = named.groupBy("component").agg(F.count("*").alias("_n"))
+    while not open_.isEmpty():
+        turn += 1
+        gains = open_.groupBy("component", F.col("a").alias("node")).agg(F.count("*").alias("gain"))
+        live = frontier.join(open_.select("component").distinct(), "component", "left_semi").join(gains, ["component", "node"], "left")
+        best = live.groupBy("component").agg(F.min(F.struct((-F.coalesce("gain", F.lit(0))).alias("g"), "node")).alias("m"))
+        best = best.select("component", F.col("m.node").alias("node"), (-F.col("m.g")).cast("int").alias("gain"), F.lit(turn).alias("step"))
+        if picked is not None:
+            parent = steps.withColumnsRenamed({"a": "node", "b": "_p"}).join(picked.select("component", F.col("node").alias("_p"), F.col("step").alias("_s")), ["component", "_p"]).groupBy("component", "node").agg(F.min_by("_p", "_s").alias("parent"))
+            best = best.join(parent, ["component", "node"], "left")
+        else:
+            best = best.withColumn("parent", F.lit(None).cast(dict(named.dtypes)["node"]))
+        best = materialise(best, "grow-best")
+        picked = best if picked is None else picked.unionByName(best)
+        now = open_.join(best.select("component", F.col("node").alias("a")), ["component", "a"], "left_semi").select("component", "b").distinct()
+        rest = materialise(open_.join(now, ["component", "b"], "left_anti"), "grow-open")
+        around = steps.join(best.select("component", F.col("node").alias("a")), ["component", "a"], "left_semi").select("component", F.col("b").alias("node"))
+        edge = around if turn == 1 else frontier.unionByName(around)
+        frontier = materialise(edge.distinct().join(picked.select("component", "node"), ["component", "node"], "left_anti"), "grow-frontier")
+        discard(open_)
+        open_ = rest
+    w = Window.partitionBy("component").orderBy("step")
+    out = picked.join(sizes, "component").withColumn("segment_coverage_fraction", F.sum("gain").over(w) / F.col("_n"))
+    return out.select("component", "node", F.col("step").alias("operational_selection_step"), F.col("gain").alias("marginal_covered_patches"), "segment_coverage_fraction", F.col("parent").alias("movement_parent"))
+
+
+def _cover_tasks(steps: DataFrame, cover: DataFrame, named: DataFrame) -> DataFrame:
+    lists = steps.select("component", "a", "b", F.lit(0).alias("kind")).unionByName(cover.select("component", "a", "b", F.lit(1).alias("kind")))
     lists = lists.unionByName(named.select("component", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("kind"))).distinct()
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
@@ -506,9 +577,13 @@ def balanced_sample(df: DataFrame, n: int, seed: int = 0, weight: str | None = N
 def distance_thinning(df: DataFrame, radius_m: float, keys: list[str], ident: str = "row_id") -> DataFrame:
     """Rows kept when taken in order, each only if farther than the radius from all kept ones.
 
-    What is kept in one component of the radius graph depends on nothing outside it: a task per component.
+    What is kept in one component of the radius graph depends on nothing outside it: a task per component of at most
+    ``COMPONENT`` rows. In larger ones a row waits for its earlier neighbours only, and rounds decide all that wait for none.
     """
-    named = distance_components(df, radius_m, keys, ident)
+    near = materialise(within_radius(df, radius_m, keys, ident).select("a", "b"), "thin-near")
+    nodes = df.filter("latitude is not null and longitude is not null").select(F.col(ident).alias("node"))
+    named = materialise(df.select(*keys, ident, "latitude", "longitude").join(components(near, nodes=nodes).withColumnRenamed("node", ident), ident), "thin")
+    small, large = by_size(named)
 
     def thin(pool: pd.DataFrame):
         lat, lon = pool["latitude"].to_numpy(float), pool["longitude"].to_numpy(float)
@@ -518,7 +593,19 @@ def distance_thinning(df: DataFrame, radius_m: float, keys: list[str], ident: st
                 picked.append(i)
         return picked, [0.0] * len(picked)
 
-    kept = per_pool(named, ["component"], ["latitude", "longitude"], thin, ident).select(ident)
+    kept = per_pool(small, ["component"], ["latitude", "longitude"], thin, ident, checked=True).select(ident)
+    if not large.isEmpty():
+        earlier = near.filter("b < a")
+
+        def decide(ready: DataFrame, done: DataFrame | None) -> DataFrame:
+            if done is None:
+                return ready.withColumn("kept", F.lit(True))
+            close = earlier.join(done.filter("kept").select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), F.lit(False).alias("far")).distinct()
+            return ready.join(close, "node", "left").select("node", F.coalesce("far", F.lit(True)).alias("kept"))
+
+        rows = large.select(F.col(ident).alias("node"))
+        own = earlier.join(rows.withColumnRenamed("node", "a"), "a", "left_semi")
+        kept = kept.unionByName(in_waves(rows, own, decide).filter("kept").select(F.col("node").alias(ident)))
     return df.join(kept, ident, "left_semi")
 
 

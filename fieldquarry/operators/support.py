@@ -1,7 +1,7 @@
 """Environmental support: distance of cells to known prototypes under perturbation.
 
-Prototypes are few: at most ``MAX_PROTOTYPES`` for each key, so models made from them are broadcast; cells are not
-shuffled until their distances are ranked. Without keys, ranks are distributed: the whole universe is one problem then.
+Prototypes are few: at most ``MAX_PROTOTYPES`` for each key, so cells meet their key's models and their distances are
+computed in the row. Ranks are by range partitions and the counts before each, so no key, hot as it may be, is a task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import complete_features, finite
+from ..sources.scratch import materialise
+from .joins import radius_join
 from .windows import finite_rank, numbered, percent_rank_average
 
 MAX_PROTOTYPES = 32
@@ -69,27 +71,27 @@ def with_distances(universe: DataFrame, models: DataFrame, features: list[str],
     complete = F.lit(True)
     for f in features:
         complete = complete & F.coalesce(finite(f), F.lit(False))
-    # models are bounded by MAX_PROTOTYPES squared numbers for a key
-    joined = universe.join(F.broadcast(models), keys) if keys else universe.crossJoin(F.broadcast(models))
+    # models are bounded by MAX_PROTOTYPES squared rows for a key: with keys, their written size says whether they are sent out
+    joined = universe.join(materialise(models, "models"), keys) if keys else universe.crossJoin(F.broadcast(models))
     return joined.withColumn("_z", scaled(features)).withColumn("_d", F.when(complete, distances(features))).drop("_z")
 
 
-def geometry(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id", distributed: bool = False) -> DataFrame:
+def geometry(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id") -> DataFrame:
     """Nearest distance (infinite for incomplete cells), its average-tie percentile rank among all cells, responsibilities of prototypes."""
     joined = with_distances(universe, prototype_models(prototypes, features, keys, ident), features, keys)
     out = joined.withColumns({
         "nearest": F.coalesce(F.array_min("_d"), F.lit(float("inf"))),
         "responsibility": F.coalesce(F.transform("_d", lambda d: F.exp(-0.5 * (d / F.col("kernel")) * (d / F.col("kernel")))), F.transform("prototypes", lambda _: F.lit(0.0))),
     })
-    return percent_rank_average(out.drop("_d", "median", "scale", "prototypes", "world"), "nearest", keys, "support_rank", distributed or not keys)
+    return percent_rank_average(out.drop("_d", "median", "scale", "prototypes", "world"), "nearest", keys, "support_rank", True)
 
 
-def consensus(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], cell: str = "row_id", ident: str = "row_id", distributed: bool = False) -> DataFrame:
+def consensus(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], cell: str = "row_id", ident: str = "row_id") -> DataFrame:
     """(keys, cell, consensus float, uncertainty float): median and population deviation of single-precision ranks over leave-one-out worlds."""
     models = prototype_models(prototypes, features, keys, ident, leave_one_out=True)
     cells = universe.select(*keys, cell, *features)
     worlds = with_distances(cells, models, features, keys).select(*keys, cell, "world", F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("nearest"))
-    ranked = percent_rank_average(worlds, "nearest", [*keys, "world"], "r", distributed or not keys).withColumn("r", F.col("r").cast("float"))
+    ranked = percent_rank_average(worlds, "nearest", [*keys, "world"], "r", True).withColumn("r", F.col("r").cast("float"))
     return ranked.groupBy(*keys, cell).agg(F.percentile("r", F.lit(0.5)).cast("float").alias("consensus"), F.stddev_pop("r").alias("uncertainty"))
 
 
@@ -112,7 +114,7 @@ def finite_geometry(universe: DataFrame, prototypes: DataFrame, features: list[s
     near = F.slice(F.array_sort("_d"), 1, k)
     mean = F.aggregate(near, F.lit(0.0), lambda s, d: s + d) / F.size(near)
     out = joined.withColumn("nearest", F.coalesce(F.when(F.size("_d") > 0, mean), F.lit(float("inf")))).drop("_d", "median", "scale", "prototypes", "ids", "kernel", "world")
-    return finite_rank(out, "nearest", keys, "support_rank", not keys)
+    return finite_rank(out, "nearest", keys, "support_rank", True)
 
 
 def persistent_support(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id") -> DataFrame:
@@ -121,7 +123,7 @@ def persistent_support(universe: DataFrame, prototypes: DataFrame, features: lis
     two = F.slice(F.array_sort("_d"), 1, 2)
     out = joined.withColumns({"second_nearest": F.coalesce(F.element_at(two, -1), F.lit(float("inf"))), "mean_two": F.coalesce((F.element_at(two, 1) + F.element_at(two, -1)) / 2, F.lit(float("inf")))})
     out = out.drop("_d", "median", "scale", "prototypes", "ids", "kernel", "world")
-    return finite_rank(finite_rank(out, "second_nearest", keys, "second_rank", not keys), "mean_two", keys, "mean_two_rank", not keys)
+    return finite_rank(finite_rank(out, "second_nearest", keys, "second_rank", True), "mean_two", keys, "mean_two_rank", True)
 
 
 def local_scale(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], k: int, threshold: float, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
@@ -129,7 +131,7 @@ def local_scale(universe: DataFrame, prototypes: DataFrame, features: list[str],
     one = finite_geometry(universe, prototypes, features, keys, ident, 1)
     target = one.filter(F.col("support_rank") <= threshold).groupBy(*keys).agg(F.count("*").alias("_t"))
     many = finite_geometry(universe, prototypes, features, keys, ident, k)
-    ranked = many.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("nearest", cell))) if keys else numbered(many, ["nearest", cell], "_k")
+    ranked = numbered(many, ["nearest", cell], "_k", keys)
     return (ranked.join(target, keys) if keys else ranked.crossJoin(F.broadcast(target))).filter(F.col("_k") <= F.col("_t")).drop("_k", "_t")
 
 
@@ -137,77 +139,173 @@ def multi_view(views: dict[str, DataFrame], keys: list[str], target: DataFrame,
     """For each view (keys, cell, support_rank) its best cells up to the target area ``target_cells`` of the key."""
     out = None
     for name, view in views.items():
-        k = F.row_number().over(Window.partitionBy(*keys).orderBy("support_rank", cell))
-        best = view.withColumn("_k", k).join(target, keys).filter(F.col("_k") <= F.col("target_cells")).select(*keys, cell, F.lit(name).alias("view"))
+        best = numbered(view, ["support_rank", cell], "_k", keys).join(target, keys).filter(F.col("_k") <= F.col("target_cells")).select(*keys, cell, F.lit(name).alias("view"))
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _tree(apart: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges of the minimum spanning tree of a matrix of distances, grown from the first point; ties to the smaller place."""
+    n = len(apart)
+    best, link, waiting, edges = apart[0].copy(), np.zeros(n, int), np.ones(n, bool), []
+    waiting[0] = False
+    for _ in range(n - 1):
+        j = int(np.where(waiting, best, np.inf).argmin())
+        edges.append((int(link[j]), j, float(apart[link[j], j])))
+        waiting[j] = False
+        closer = waiting & (apart[j] < best)
+        best[closer], link[closer] = apart[j][closer], j
+    return edges
+
+
+def _cut(lengths: np.ndarray, deviations: float) -> float:
+    """The length above which edges are cut: median + ``deviations`` scaled MAD, or halfway to the least clearly longer edge."""
+    if len(lengths) < 2:
+        return np.inf
+    middle = float(np.median(lengths))
+    mad = 1.4826 * float(np.median(np.abs(lengths - middle)))
+    longer = lengths[lengths > middle + max(1e-12, 1e-9 * middle)]
+    if mad > 0:
+        return middle + deviations * mad
+    return 0.5 * (middle + float(longer.min())) if len(longer) else np.inf
+
+
 def environmental_modes(prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id", deviations: float = 3.0) -> DataFrame:
     """(keys, id, mode, gap): components of the minimum spanning tree in scaled space after its long edges are cut.
 
-    An edge is long above median + 3 MAD of the tree's edges; with a MAD of zero, above 1.5 times the median. ``gap``
-    is the shortest cut edge over the longest kept one (0 without a cut).
+    Among edges of positive length, one is long above median + 3 x 1.4826 MAD; with a MAD of zero, above the middle of
+    the median and the least clearly longer edge. ``gap`` is the longest edge over the median one, 1 without edges.
+    Modes are numbered from 0 by their first prototype.
     """
     models = prototype_models(prototypes, features, keys, ident)
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
         row = group.iloc[0]
         z, ids = np.array([list(p) for p in row["prototypes"]]), np.array(row["ids"])
-        n = len(z)
-        apart = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
-        inside, edges = [0], []
-        best, link = apart[0].copy(), np.zeros(n, int)
-        while len(inside) < n:
-            best[inside] = np.inf
-            j = int(best.argmin())
-            edges.append((float(best[j]), int(link[j]), j))
-            inside.append(j)
-            closer = apart[j] < best
-            link[closer], best = j, np.minimum(best, apart[j])
-        lengths = np.array([e[0] for e in edges])
-        mode = list(range(n))
-        cut = np.inf
-        if n > 1:
-            middle = np.median(lengths)
-            mad = np.median(np.abs(lengths - middle))
-            cut = middle + deviations * mad if mad > 0 else 1.5 * middle
-        for length, a, b in edges:
+        edges = _tree(np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)))
+        positive = np.array([length for _, _, length in edges if length > 0])
+        cut = _cut(positive, deviations)
+        mode = np.arange(len(z))
+        for a, b, length in edges:
             if length <= cut:
-                old, new = max(mode[a], mode[b]), min(mode[a], mode[b])
-                mode = [new if m == old else m for m in mode]
-        names = {m: i for i, m in enumerate(sorted(set(mode)))}
-        long_, short = lengths[lengths > cut], lengths[lengths <= cut]
-        gap = float(long_.min() / short.max()) if len(long_) and len(short) and short.max() > 0 else 0.0
-        return pd.DataFrame([[*group[keys].iloc[0].tolist(), int(i), names[m], gap] for i, m in zip(ids, mode)], columns=[*keys, ident, "mode", "gap"])
+                mode[mode == max(mode[a], mode[b])] = min(mode[a], mode[b])
+        gap = float(positive.max() / np.median(positive)) if len(positive) else 1.0
+        return pd.DataFrame([[*group[keys].iloc[0].tolist(), int(i), int(m), gap] for i, m in zip(ids, np.unique(mode, return_inverse=True)[1])], columns=[*keys, ident, "mode", "gap"])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in models.schema.fields if f.name in keys)
     return (models.groupBy(*keys) if keys else models.groupBy(F.lit("all"))).applyInPandas(split, f"{kinds}{ident} long, mode int, gap double")
 
 
-def mode_balanced(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], total: int, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
-    """Round-robin over modes: each takes its nearest cells that no mode took before, up to ``total`` for the key.
+#: Cells of a key that modes may take in turn at most.
+BALANCED = 200_000
+
 
-    A cell is offered at its place in each mode's order; it goes to the mode where that place, then the mode's number,
-    is smallest, and modes' queues are then read in turn, so no round needs the one before it.
+def mode_balanced(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], threshold: float, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
+    """(keys, cell, mode, selection_rank): modes take in turn their nearest cell that none took, until as many are taken as the plain mask has.
+
+    The plain mask is that of ranks of at most ``threshold``; with one mode it is the result. No mode looks further down
+    its order than the target, so each key's group is modes x target rows; a target above ``BALANCED`` is an error.
     """
     modes = environmental_modes(prototypes, features, keys, ident).select(*keys, F.col(ident).alias("_pid"), "mode")
+    plain = finite_geometry(universe, prototypes, features, keys, ident).filter(F.col("support_rank") <= threshold + 1e-12)
+    target = materialise(plain.groupBy(*keys).agg(F.count("*").alias("_t")), "modes-target")
+    if not target.filter(F.col("_t") > BALANCED).isEmpty():
+        raise ValueError(f"modes would take more than {BALANCED} cells of a key")
     joined = with_distances(universe, prototype_models(prototypes, features, keys, ident), features, keys).filter("_d is not null")
     flat = joined.select(*keys, cell, F.explode(F.arrays_zip(F.col("ids").alias("i"), F.col("_d").alias("d"))).alias("_x"))
-    flat = flat.select(*keys, cell, F.col("_x.i").alias("_pid"), F.col("_x.d").alias("_dist")).join(F.broadcast(modes), [*keys, "_pid"])
+    flat = flat.select(*keys, cell, F.col("_x.i").alias("_pid"), F.col("_x.d").alias("_dist")).join(modes, [*keys, "_pid"])
     by_mode = flat.groupBy(*keys, cell, "mode").agg(F.min("_dist").alias("_dist"))
-    placed = by_mode.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "mode").orderBy("_dist", cell)))
-    owner = placed.groupBy(*keys, cell).agg(F.min(F.struct("_place", "mode", "_dist")).alias("_o")).select(*keys, cell, "_o.*")
-    turn = owner.withColumn("turn", F.row_number().over(Window.partitionBy(*keys, "mode").orderBy("_place", cell)))
-    order = Window.partitionBy(*keys).orderBy("turn", "mode")
-    return turn.withColumn("selection_rank", F.row_number().over(order)).filter(F.col("selection_rank") <= total).select(*keys, cell, "mode", "selection_rank")
+    placed = numbered(by_mode, ["_dist", cell], "_place", [*keys, "mode"])
+    placed = (placed.join(target, keys) if keys else placed.crossJoin(F.broadcast(target))).filter(F.col("_place") <= F.col("_t"))
+    kinds = dict(placed.dtypes)
+
+    def turns(group: pd.DataFrame) -> pd.DataFrame:
+        total = int(group["_t"].iloc[0])
+        queues = {m: iter(rows.sort_values("_place")[cell].tolist()) for m, rows in sorted(group.groupby("mode"))}
+        taken: dict = {}
+        while len(taken) < total and queues:
+            for m in list(queues):
+                own = next((c for c in queues[m] if c not in taken), None)
+                if own is None:
+                    del queues[m]
+                    continue
+                taken[own] = m
+                if len(taken) == total:
+                    break
+        head = group[keys].iloc[0].tolist()
+        return pd.DataFrame([[*head, c, m, i + 1] for i, (c, m) in enumerate(taken.items())], columns=[*keys, cell, "mode", "selection_rank"])
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in [*keys, cell]) + "mode int, selection_rank int"
+    return (placed.groupBy(*keys) if keys else placed.groupBy(F.lit("all"))).applyInPandas(turns, schema)
+
+
+#: Restarts of the mode search, and its rounds at most.
+STARTS, LLOYD = 50, 300
+
+
+def _k_means(z: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centres of least total squared distance over ``STARTS`` runs from far-apart first centres."""
+    best, least = None, np.inf
+    for run in range(STARTS):
+        rng = np.random.default_rng((seed, k, run))
+        centres = z[[rng.integers(len(z))]]
+        while len(centres) < k:
+            d = ((z[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+            p = d / d.sum() if d.sum() > 0 else np.full(len(z), 1 / len(z))
+            centres = np.vstack([centres, z[rng.choice(len(z), p=p)]])
+        for _ in range(LLOYD):
+            own = ((z[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([z[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+            if np.array_equal(new, centres):
+                break
+            centres = new
+        inertia = ((z[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        if inertia < least - 1e-12:
+            best, least = centres, inertia
+    return best[np.lexsort(best.T[::-1])]
+
+
+def mode_centres(prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id", most: int = 6, seed: int = 0) -> DataFrame:
+    """(keys, k, median, scale, centroids, medoids) of the k-means modes of each key's scaled prototypes, k = 2 .. min(most, prototypes - 1).
+
+    A medoid is the prototype nearest to its centroid (ties: the smaller id). Prototypes are at most ``MAX_PROTOTYPES``.
+    """
+    models = prototype_models(prototypes, features, keys, ident)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        z, out = np.array([list(p) for p in row["prototypes"]]), []
+        for k in range(2, min(most, len(z) - 1) + 1):
+            centres = _k_means(z, k, seed)
+            medoids = z[((z[None] - centres[:, None]) ** 2).sum(axis=2).argmin(axis=1)]
+            out.append([*group[keys].iloc[0].tolist(), k, list(row["median"]), list(row["scale"]), centres.tolist(), medoids.tolist()])
+        return pd.DataFrame(out, columns=[*keys, "k", "median", "scale", "centroids", "medoids"])
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in models.schema.fields if f.name in keys)
+    schema = kinds + "k int, median array<double>, scale array<double>, centroids array<array<double>>, medoids array<array<double>>"
+    return (models.groupBy(*keys) if keys else models.groupBy(F.lit("all"))).applyInPandas(fit, schema)
+
+
+def mode_distances(universe: DataFrame, centres: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Every cell with each k's distance to the nearest centroid and to the nearest medoid, infinite for incomplete cells."""
+    out = None
+    for kind in ("centroids", "medoids"):
+        models = centres.select(*keys, "k", "median", "scale", F.col(kind).alias("prototypes"))
+        base = universe if out is None else out
+        if out is None:
+            joined = with_distances(base, models, features, keys)
+        else:
+            joined = base.join(materialise(models, "models"), [*keys, "k"]).withColumn("_z", scaled(features)).withColumn("_d", F.when(F.col("kmeans_centroid_distance") < float("inf"), distances(features))).drop("_z")
+        name = "kmeans_centroid_distance" if kind == "centroids" else "kmeans_medoid_distance"
+        out = joined.withColumn(name, F.coalesce(F.array_min("_d"), F.lit(float("inf")))).drop("_d", "median", "scale", "prototypes")
+    return out
 
 
 def prototype_quota(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], quota: int, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
     """Union of each prototype's ``quota`` cells of highest responsibility."""
     joined = geometry(universe, prototypes, features, keys, ident)
     flat = joined.select(*keys, cell, F.explode(F.arrays_zip(F.col("ids").alias("i"), F.col("responsibility").alias("r"))).alias("_x")).select(*keys, cell, "_x.i", "_x.r")
-    k = F.row_number().over(Window.partitionBy(*keys, "i").orderBy(F.desc("r"), cell))
+    k = F.row_number().over(Window.partitionBy(*keys, "i").orderBy(F.desc("r"), cell))  # a limit for each prototype, taken in each task first
     return flat.withColumn("_k", k).filter(F.col("_k") <= quota).groupBy(*keys, cell).agg(F.count("*").alias("prototypes"))
 
 
@@ -232,7 +330,7 @@ def adaptive_threshold(universe: DataFrame, prototypes: DataFrame, features: lis
     full = finite_geometry(universe, prototypes, features, keys, ident).select(*keys, cell, F.col("support_rank").alias("_full"))
     worlds = with_distances(universe.select(*keys, cell, *features), prototype_models(prototypes, features, keys, ident, leave_one_out=True), features, keys)
     worlds = worlds.select(*keys, cell, "world", F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("_near"))
-    worlds = finite_rank(worlds, "_near", [*keys, "world"], "_r", not keys).join(full, [*keys, cell]).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    worlds = finite_rank(worlds, "_near", [*keys, "world"], "_r", True).join(full, [*keys, cell]).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     inside, whole = F.col("_r") <= F.col("level"), F.col("_full") <= F.col("level")
     per = worlds.groupBy(*keys, "level", "world").agg(
         F.max((inside & (F.col(cell) == F.col("world"))).cast("int")).alias("recovered"), (F.count_if(inside & whole) / F.greatest(F.count_if(inside | whole), F.lit(1))).alias("jaccard")
@@ -258,6 +356,30 @@ def tier_masks(ranks: DataFrame, thresholds: list[float], rank: str = "consensus
     return ranks.withColumn("support_tier", F.explode(F.array(*map(F.lit, thresholds)))).filter(F.col(rank).cast("double") <= F.col("support_tier"))
 
 
+def tier_evaluation(ranks: DataFrame, cells: DataFrame, detections: DataFrame, thresholds: list[float], radii_km: list[float], area: str, draws: int, seed: int = 0, rank: str = "consensus", cell: str = "row_id", detection_id: str = "detection_cluster_id") -> DataFrame:
+    """Recall of each area's detections by each tier's cells at each radius, and of as many random cells of the area.
+
+    ``cells`` and ``detections`` have the area, their id and coordinates. A detection is recovered by a cell of its area
+    within the radius; areas without cells in a tier stay with recall 0.
+    """
+    by = [area, "support_tier", "radius_km"]
+    tiers = materialise(tier_masks(ranks.join(cells.select(cell, area), cell), thresholds, rank).select(area, cell, "support_tier"), "tiers")
+    near = radius_join(detections.select(area, detection_id, "latitude", "longitude"), cells.select(area, F.col(cell).alias("_cell_id"), "latitude", "longitude"), max(radii_km) * 1000.0, [area], left_id=detection_id, right_id="_cell_id")
+    near = near.select(area, detection_id, F.col("_cell_id").alias(cell), "distance_m", F.explode(F.array(*[F.lit(float(r)) for r in radii_km])).alias("radius_km")).filter(F.col("distance_m") <= F.col("radius_km") * 1000.0)
+    near = materialise(near.drop("distance_m"), "tiers-near")
+    seen = tiers.join(near, [area, cell]).groupBy(*by).agg(F.countDistinct(detection_id).alias("n_recovered"))
+    declared = detections.groupBy(area).agg(F.countDistinct(detection_id).alias("n_detections"))
+    out = tier_recovery(declared, seen, thresholds, [float(r) for r in radii_km], [area])
+    quota = tiers.groupBy(area, "support_tier").agg(F.count("*").alias("_quota"))
+    drawn = cells.select(area, cell).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    k = F.row_number().over(Window.partitionBy(area, "draw").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "draw", cell)), cell))
+    drawn = drawn.withColumn("_k", k).join(quota, area).filter(F.col("_k") <= F.col("_quota"))
+    got = drawn.join(near, [area, cell]).groupBy(*by, "draw").agg(F.countDistinct(detection_id).alias("_got"))
+    chance = got.groupBy(*by).agg(F.sum("_got").alias("_sum"))
+    out = out.join(chance, by, "left").withColumn("random_recall", F.coalesce(F.col("_sum") / (F.col("n_detections") * draws), F.lit(0.0))).drop("_sum")
+    return out.withColumns({"n_recovered": F.coalesce("n_recovered", F.lit(0).cast("long")), "lift": F.col("recall") - F.col("random_recall")})
+
+
 def tier_recovery(declared: DataFrame, recovered: DataFrame, thresholds: list[float], radii: list[float], keys: list[str]) -> DataFrame:
     """Recall of each declared key, tier and radius, 0 where nothing came back.
 

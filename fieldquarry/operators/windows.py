@@ -52,14 +52,16 @@ def finite_rank(df: DataFrame, value: str, keys: list[str], out: str = "rank", d
     return marked.withColumn(out, F.when(F.col("_g"), rank).otherwise(1.0)).drop("_g")
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """1, 2, 3, ... over a whole table, by range partitions and the counts before each; only these counts are in one task."""
-    dealt = materialise(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
-    totals = dealt.groupBy("_p").agg(F.count("*").alias("_t"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return dealt.join(F.broadcast(totals), "_p").withColumn(out, F.col("_base") + inside).drop("_p", "_base")
+def numbered(df: DataFrame, order: list[str], out: str, keys: list[str] = ()) -> DataFrame:
+    """1, 2, 3, ... within keys, or over the whole table, by range partitions and the counts before each; only these counts are in one task."""
+    keys = [*keys]
+    dealt = materialise(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "numbered")
+    totals = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_t"))
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = by_key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order))
+    return dealt.join(totals, [*keys, "_p"]).withColumn(out, F.col("_base") + inside).drop("_p", "_base")
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str], least: int = 3) -> DataFrame:

@@ -31,10 +31,14 @@ VIEWS = {
     "occurrences": """SELECT event_id AS row_id, event_id AS occ_id, event_type AS taxon, 34e0 + CAST((user_id*7919 + event_id%7)%997 AS DOUBLE)/997e0 AS latitude,
   138e0 + CAST((user_id*104729 + event_id%11)%991 AS DOUBLE)/991e0 AS longitude FROM events""",
     "edges": """SELECT DISTINCT least(a.l_suppkey,b.l_suppkey) AS from_node_id, greatest(a.l_suppkey,b.l_suppkey) AS to_node_id
-FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_suppkey<>b.l_suppkey AND a.l_orderkey%40=0""",
+FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_suppkey<>b.l_suppkey""",
     "folds": """SELECT o_custkey%48 AS pair_id, CAST(o_orderkey%5+1 AS INT) AS repeat, CASE CAST(floor(o_orderkey/5e0) AS BIGINT)%3 WHEN 0 THEN 'rule' WHEN 1 THEN 'random' ELSE 'environment' END AS method,
   CASE o_custkey%2 WHEN 0 THEN 'plant' ELSE 'animal' END AS taxon_group, CAST(min(o_orderkey%101) AS DOUBLE)/100e0 AS recall, CAST(count(*) AS DOUBLE) AS candidate_pool, count(*)>2 AS rankable_fold, min(o_orderkey)%9<>0 AS usable
-  FROM orders WHERE o_orderkey%2=0 GROUP BY 1,2,3,4""",
+  FROM orders GROUP BY 1,2,3,4""",
+    # points of ways: an order is a way, a supplier a place; places have a number of their own for every two areas
+    "ways": """SELECT CAST(floor(o_orderkey/1024e0) AS BIGINT) AS area, o_orderkey AS way, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey) AS pos, l_suppkey + 10000000*CAST(floor(o_orderkey/2048e0) AS BIGINT) AS node,
+  30e0 + s_nationkey*0.25e0 + CAST((s_suppkey*6007)%10007 AS DOUBLE)/10007e0*0.2e0 AS latitude, 130e0 + s_nationkey*0.25e0 + CAST((s_suppkey*90001)%10009 AS DOUBLE)/10009e0*0.2e0 AS longitude,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'ferry' WHEN '2-HIGH' THEN 'path' ELSE 'residential' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
     "cells": """SELECT CAST(p_partkey%4 AS INT) AS area, CAST(floor(floor(p_partkey/4)/20) AS INT) AS r, CAST(floor(p_partkey/4)%20 AS INT) AS c, p_partkey AS row_id,
   CASE WHEN p_partkey%13=0 THEN NULL ELSE CAST((p_partkey*7919)%1009 AS DOUBLE) END AS height, CAST((p_partkey*31)%3 AS INT) AS kind FROM part
   WHERE floor(floor(p_partkey/4)/20) < (SELECT floor(count(*)/80) FROM part)""",
@@ -51,12 +55,19 @@ def _universe(index: str) -> str:
   139e0 + label*0.5e0 + CAST((vec_id*104729)%1013 AS DOUBLE)/1013e0*0.1e0 AS longitude, {features} FROM embeddings"""
 
 
-#: One row in this many of the universe is a prototype, of the first 512 rows at most: never more than 32.
-PROTOTYPES = "row_id%16=0 AND row_id<512"
+def _top(index: str, feature: str, n: int) -> str:
+    """The cells of each area where a feature is highest."""
+    columns = ", ".join(["row_id", "row_id AS detection_cluster_id", "survey_area_id", "latitude", "longitude", *FEATURES])
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY survey_area_id ORDER BY {feature} DESC, row_id) AS place FROM ({_universe(index)}) AS u) AS t WHERE place <= {n}"
+
+
+def _derived(index: str) -> dict[str, str]:
+    """The universe of cells, its known points (prototypes), and points found later."""
+    return {"universe": _universe(index), "known": _top(index, "f6", 12), "later": _top(index, "f5", 8)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = _universe("spark") if name == "universe" else VIEWS[name]
+    sql = (VIEWS | _derived("spark"))[name]
     tables = [t for t in ("customer", "supplier", "events", "lineitem", "orders", "part", "embeddings") if f"FROM {t}" in sql or f"JOIN {t}" in sql]
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
@@ -67,7 +78,7 @@ def with_views(sql: str) -> str:
     """The statement with the views that it names in front."""
     import re
 
-    both = VIEWS | {"universe": _universe("duckdb")}
+    both = VIEWS | _derived("duckdb")
     used = [n for n in both if re.search(rf"(FROM|JOIN|,) {n}\b", sql)]
     if not used:
         return sql
