@@ -154,6 +154,27 @@ def p27_rank_blends(v):
     return v("candidates").select("row_id", F.coalesce(scoring.rank_blend(a, b, 0.25), F.lit(-1.0)).alias("blend"), scoring.rank_and(F.coalesce(a, F.lit(0.0)), b).alias("worse"))
 
 
+def _month(i: int, scale: str) -> str:
+    return f"CASE WHEN (row_id + {i})%17 = 0 THEN -999e0 ELSE CAST((row_id*{7 + 3 * i} + {11 * i})%400 AS DOUBLE)/{scale} END"
+
+
+_MEANS = "list_filter([{0}], lambda x: x <> -999)"
+_T = _MEANS.format(", ".join(_month(i, "10e0") for i in range(12)))
+_R = _MEANS.format(", ".join(f"CASE WHEN row_id%29 = 0 THEN 0e0 WHEN (row_id + {i})%17 = 0 THEN -999e0 ELSE {d}*({_month(i, '50e0')}) END" for i, d in enumerate(scoring.MONTH_DAYS)))
+
+
+@query(f"""WITH m AS (SELECT latitude, longitude, {_T} AS t, {_R} AS r FROM candidates WHERE row_id%13 <> 0)
+SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(list_avg(t), 6) AS bio1, round(list_stddev_pop(t)*100, 4) AS bio4, round(list_sum(r), 4) AS bio12, round(list_min(r), 6) AS bio14, round(list_stddev_pop(r)*100/list_avg(r), 4) AS bio15 FROM m WHERE len(t) > 0 AND len(r) > 0 AND list_avg(r) > 0""")
+def p22_bioclim(v):
+    c = v("candidates")
+    gone = lambda i: (F.col("row_id") + i) % 17 == 0
+    month = lambda i, scale: F.when(gone(i), -999.0).otherwise((F.col("row_id") * (7 + 3 * i) + 11 * i) % 400 / F.lit(scale))
+    heat = c.select("latitude", "longitude", *[month(i, 10.0).alias(m) for i, m in enumerate(scoring.MONTHS)])
+    # the other climatology lacks some cells, and some are dry
+    rain = c.filter("row_id % 13 <> 0").select("latitude", "longitude", *[F.when(F.col("row_id") % 29 == 0, 0.0).otherwise(month(i, 50.0)).alias(m) for i, m in enumerate(scoring.MONTHS)])
+    return rounded(scoring.bioclim(heat, rain), 4, latitude=6, longitude=6, bio1=6, bio14=6)
+
+
 _BOXES = [("north", 130.0, 33.0, 134.0, 37.0), ("south", 129.0, 29.0, 133.0, 34.0)]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates, models, resampling
 from ..operators.joins import fold_coverage, nearest_candidate_recovery
 from ..operators.selection import score_top_k
+from .selection_q import cover_sql
 from .views import Book, hav, rounded
 
 BOOK = Book()
@@ -34,10 +35,10 @@ def a2_recovered_fraction(v):
     return rounded(aggregates.recovered_fraction(score_top_k(v("candidates"), 3, AREA, ident="cand_id"), _cover(v), _held(v), AREA))
 
 
-@query(f"""WITH n AS (SELECT a.detection_cluster_id, min({_D})/1000 AS km FROM detections a JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1)
+@query(f"""WITH n AS (SELECT a.detection_cluster_id, min({_D})/1000 AS km FROM detections a LEFT JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1)
 SELECT radius_km, count(*) AS n_detections, count(*) FILTER (km <= radius_km) AS n_recovered, round(avg(CASE WHEN km <= radius_km THEN 1e0 ELSE 0e0 END), 6) AS recall, round(quantile_cont(km, 0.5), 6) AS median_km, round(max(km), 6) AS max_km FROM n, (VALUES (1e0), (2e0), (10e0)) r(radius_km) GROUP BY 1""")
 def a3_recovery_summary(v):
-    near = nearest_candidate_recovery(v("detections"), v("candidates"), [1.0], AREA).filter("site_id is not null")
+    near = nearest_candidate_recovery(v("detections"), v("candidates"), [1.0], AREA)
     return rounded(aggregates.recovery_summary(near, [1, 2, 10]))
 
 
@@ -139,9 +140,9 @@ def a16_robustness(v):
     return rounded(aggregates.robustness_summary(v("folds").withColumn("success", F.col("usable")), ["method"]))
 
 
-@query("SELECT taxon, count(*) AS records FROM occurrences WHERE latitude < 34.5 GROUP BY 1 HAVING count(*) >= 100")
+@query("SELECT taxon, count(*) AS records FROM occurrences GROUP BY 1 HAVING count(*) >= 100")
 def a17_facets(v):
-    return aggregates.facet_counts(v("occurrences").filter("latitude < 34.5"), "taxon", 100)
+    return aggregates.facet_counts(v("occurrences"), "taxon", 100)
 
 
 @query("SELECT survey_area_id, round(avg(CASE WHEN sdm_suitability IS NOT NULL THEN 1e0 ELSE 0e0 END), 6) AS land_fraction FROM candidates GROUP BY 1")
@@ -154,10 +155,10 @@ def a19_two_stage_means(v):
     return rounded(aggregates.two_stage_means(v("folds"), ["method", "pair_id"], ["method"], "recall"))
 
 
-@query(f"""WITH n AS (SELECT a.survey_area_id, a.detection_cluster_id, min({_D})/1000 AS km FROM detections a JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1, 2)
+@query(f"""WITH n AS (SELECT a.survey_area_id, a.detection_cluster_id, min({_D})/1000 AS km FROM detections a LEFT JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1, 2)
 SELECT survey_area_id, count(*) AS n_detections, count(*) FILTER (km <= 2) AS n_recovered FROM n GROUP BY 1""")
 def a20_area_recovery(v):
-    near = nearest_candidate_recovery(v("detections"), v("candidates"), [2.0], AREA).filter("site_id is not null")
+    near = nearest_candidate_recovery(v("detections"), v("candidates"), [2.0], AREA)
     return aggregates.recovery_summary(near, [2], AREA).select("survey_area_id", "n_detections", "n_recovered")
 
 
@@ -211,11 +212,11 @@ def r2_random_recovery(v):
     return rounded(resampling.random_recovery_test(observed, f.filter("method = 'random'").select("taxon_group", "recall"), ["taxon_group"]))
 
 
-_BLOCKS = f"""WITH b AS (SELECT DISTINCT CAST(floor(latitude/0.5e0) AS BIGINT) || ':' || CAST(floor(longitude/0.5e0) AS BIGINT) AS block FROM detections),
-k AS (SELECT block, repeat, row_number() OVER (PARTITION BY repeat ORDER BY {_DRAW.format(draw='repeat', id='block')}, block) AS k, count(*) OVER (PARTITION BY repeat) AS n FROM b, range(1, 4) r(repeat))"""
+_BLOCKS = lambda n: f"""WITH b AS (SELECT DISTINCT CAST(floor(latitude/0.5e0) AS BIGINT) || ':' || CAST(floor(longitude/0.5e0) AS BIGINT) AS block FROM detections),
+k AS (SELECT block, repeat, row_number() OVER (PARTITION BY repeat ORDER BY {_DRAW.format(draw='repeat', id='block')}, block) AS k, count(*) OVER (PARTITION BY repeat) AS n FROM b, range(1, {n}) r(repeat))"""
 
 
-@query(_BLOCKS + "SELECT repeat, block, k <= greatest(1, least(n-1, round_even(n*0.2e0, 0))) AS held_out FROM k")
+@query(_BLOCKS(4) + "SELECT repeat, block, k <= greatest(1, least(n-1, round_even(n*0.2e0, 0))) AS held_out FROM k")
 def r3_spatial_folds(v):
     from ..functions.geo import block_key
 
@@ -223,7 +224,9 @@ def r3_spatial_folds(v):
     return resampling.spatial_folds(points, 3, []).select(F.col("repeat").cast("long").alias("repeat"), "block", "held_out").distinct()
 
 
-@query()
+@query(_BLOCKS(9) + """, h AS (SELECT repeat, block, k <= greatest(1, least(n-1, round_even(n*0.2e0, 0))) AS held FROM k), o AS (SELECT CAST(floor(latitude/0.5e0) AS BIGINT) || ':' || CAST(floor(longitude/0.5e0) AS BIGINT) AS block FROM detections),
+s AS (SELECT repeat, count(*) FILTER (held) AS h, count(*) FILTER (NOT held) AS t, array_to_string(list_sort(list_distinct(list(block) FILTER (held))), '|') AS sig FROM o JOIN h USING (block) GROUP BY 1),
+g AS (SELECT sig, min(repeat) AS attempt, any_value(h) AS h FROM s WHERE h >= 5 AND t >= 10 GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY attempt) AS INT) AS repeat, h AS held FROM g QUALIFY row_number() OVER (ORDER BY attempt) <= 3""")
 def r4_usable_folds(v):
     from ..functions.geo import block_key
 
@@ -238,12 +241,11 @@ def r5_stratified_sample(v):
     return resampling.stratified_sample(v("candidates"), 6, "slope", 3, AREA, "row_id").select("survey_area_id", "row_id")
 
 
-@query()
+@query(f"""SELECT row_id AS taxon, region, candidate_type, CAST(k AS INT) AS cell_rank FROM (SELECT row_id, survey_area_id%2 AS region, candidate_type, row_number() OVER (PARTITION BY survey_area_id%2, candidate_type ORDER BY md5(concat_ws(':', 0, (survey_area_id%2) || '|' || candidate_type, row_id)), row_id) AS k FROM candidates WHERE candidate_type IN ('Habitat-match', 'Survey-gap')) WHERE k <= 4""")
 def r6_factorial_cohort(v):
     taxa = v("candidates").select(F.col("row_id").alias("taxon"), (F.col("survey_area_id") % 2).alias("region"), "candidate_type")
     cells = [(r, t) for r in (0, 1) for t in ("Habitat-match", "Survey-gap")]
-    cohort = resampling.factorial_cohort(taxa, cells, 4, ["region", "candidate_type"])
-    return resampling.balance_audit(cohort, ["region", "candidate_type"], 4)
+    return resampling.factorial_cohort(taxa, cells, 4, ["region", "candidate_type"])
 
 
 _LIFT = "SELECT pair_id, taxon_group, avg(recall) - 0.45e0 AS lift FROM folds GROUP BY 1, 2"
@@ -266,10 +268,13 @@ def r8_sign_flip(v):
     return rounded(resampling.sign_flip(_lifts(v), 200, ["taxon_group"]).select("taxon_group", "p_one_sided", "p_two_sided"))
 
 
-@query(f"""WITH l AS (SELECT lift, row_number() OVER (ORDER BY pair_id) - 1 AS i FROM ({_LIFT}) WHERE pair_id < 12), s AS (SELECT m.range AS m, sum(CASE WHEN (m.range >> i) & 1 = 1 THEN lift ELSE -lift END) AS t FROM l, range(0, CAST(pow(2, (SELECT count(*) FROM l)) AS BIGINT)) m GROUP BY 1)
-SELECT round(count(*) FILTER (t >= (SELECT sum(lift) FROM l) - 1e-12)/CAST(count(*) AS DOUBLE), 6) AS p_one_sided FROM s""")
+_SUBSETS = f"""WITH l AS (SELECT pair_id%4 AS cohort, lift, row_number() OVER (PARTITION BY pair_id%4 ORDER BY pair_id) - 1 AS i FROM ({_LIFT})), n AS (SELECT cohort, count(*) AS n, sum(lift) AS whole FROM l GROUP BY 1),
+m AS (SELECT cohort, n, whole, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS m FROM n)"""
+
+
+@query(_SUBSETS + ", s AS (SELECT cohort, whole, m, sum(CASE WHEN (m >> i) & 1 = 1 THEN lift ELSE -lift END) AS t FROM m JOIN l USING (cohort) GROUP BY 1, 2, 3) SELECT cohort, round(count(*) FILTER (t >= whole - 1e-12)/count(*), 6) AS p_one_sided, round(count(*) FILTER (abs(t) >= abs(whole) - 1e-12)/count(*), 6) AS p_two_sided FROM s GROUP BY 1")
 def r9_exact_sign_flip(v):
-    return rounded(resampling.exact_sign_flip(_lifts(v).filter("pair_id < 12"), []).select("p_one_sided"))
+    return rounded(resampling.exact_sign_flip(_lifts(v).withColumn("cohort", F.col("pair_id") % 4), ["cohort"]).select("cohort", "p_one_sided", "p_two_sided"))
 
 
 @query(f"WITH l AS ({_LIFT}), w AS (SELECT taxon_group, (sum(lift) OVER (PARTITION BY taxon_group) - lift)/(count(*) OVER (PARTITION BY taxon_group) - 1) AS w FROM l) SELECT taxon_group, round(min(w), 6) AS least_mean, round(max(w), 6) AS largest_mean FROM w GROUP BY 1")
@@ -277,29 +282,46 @@ def r10_leave_one_out(v):
     return rounded(resampling.leave_one_out_range(_lifts(v), ["taxon_group"]))
 
 
-@query(f"""WITH l AS (SELECT lift, row_number() OVER (ORDER BY pair_id) - 1 AS i FROM ({_LIFT}) WHERE pair_id < 12), n AS (SELECT count(*) AS n FROM l), s AS (SELECT m.range AS m, sum(CASE WHEN (m.range >> i) & 1 = 1 THEN lift ELSE 0e0 END) AS t FROM l, range(0, CAST(pow(2, (SELECT n FROM n)) AS BIGINT)) m WHERE bit_count(m.range) = (SELECT n//2 FROM n) GROUP BY 1)
-SELECT count(*) AS subsets, round(avg(CASE WHEN t > 1e-12 THEN 1e0 ELSE 0e0 END), 6) AS positive_share FROM s""")
+@query(_SUBSETS + ", s AS (SELECT cohort, m, sum(CASE WHEN (m >> i) & 1 = 1 THEN lift ELSE 0e0 END) AS t FROM m JOIN l USING (cohort) WHERE bit_count(m) = n//2 GROUP BY 1, 2) SELECT cohort, count(*) AS subsets, round(avg(CASE WHEN t > 1e-12 THEN 1e0 ELSE 0e0 END), 6) AS positive_share FROM s GROUP BY 1")
 def r11_half_subsets(v):
-    return rounded(resampling.half_subsets(_lifts(v).filter("pair_id < 12")))
+    return rounded(resampling.half_subsets(_lifts(v).withColumn("cohort", F.col("pair_id") % 4), ["cohort"]))
 
 
-@query()
+def _boot(rows: str, key: str, draws: int, seeds: str = "(VALUES (0)) sd(seed)") -> str:
+    """CTEs l (key, pair_id, lift), boot (key, seed, ci_low, ci_high, p_positive) and flip (key, p_one_sided, p_two_sided)."""
+    one = f"md5(concat_ws(':', seed, draw, {{0}}))"
+    return f"""l AS ({rows}), k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY pair_id) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM l WHERE lift IS NOT NULL),
+bp AS (SELECT k.{key}, seed, draw, CAST('0x' || substr({one.format('i')}, 1, 15) AS BIGINT) % n AS j FROM k, range(1, {draws + 1}) d(draw), {seeds}),
+bm AS (SELECT bp.{key}, seed, draw, avg(k.lift) AS m FROM bp JOIN k ON k.{key} = bp.{key} AND k.i = bp.j GROUP BY 1, 2, 3),
+boot AS (SELECT {key}, seed, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, avg(CASE WHEN m > 0 THEN 1e0 ELSE 0e0 END) AS p_positive FROM bm GROUP BY 1, 2),
+whole AS (SELECT {key}, avg(lift) AS mean, count(lift) AS pairs FROM l GROUP BY 1),
+fm AS (SELECT {key}, draw, avg(CASE WHEN CAST('0x' || substr({one.format('pair_id')}, 1, 15) AS BIGINT) % 2 = 0 THEN lift ELSE -lift END) AS m FROM k, range(1, {draws + 1}) d(draw), (VALUES (0)) z(seed) GROUP BY 1, 2),
+flip AS (SELECT {key}, (1+count(*) FILTER (m >= mean - 1e-12))/CAST(count(*)+1 AS DOUBLE) AS p_one_sided, (1+count(*) FILTER (abs(m) >= abs(mean) - 1e-12))/CAST(count(*)+1 AS DOUBLE) AS p_two_sided FROM fm JOIN whole USING ({key}) GROUP BY {key}, mean)"""
+
+
+_PAIRED = """SELECT d.taxon_group, d.pair_id, coalesce(sum(recall) FILTER (method = 'rule'), 0)/5 - coalesce(sum(recall) FILTER (method = 'random'), 0)/5 AS lift
+FROM (SELECT DISTINCT taxon_group, pair_id FROM folds) d LEFT JOIN (SELECT * FROM folds WHERE usable) f ON f.taxon_group = d.taxon_group AND f.pair_id = d.pair_id GROUP BY 1, 2"""
+
+
+@query("WITH " + _boot(_PAIRED, "taxon_group", 200) + "SELECT taxon_group, round(mean, 6) AS mean, pairs, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_positive, 6) AS p_positive, round(p_one_sided, 6) AS p_one_sided, round(p_two_sided, 6) AS p_two_sided FROM whole JOIN boot USING (taxon_group) JOIN flip USING (taxon_group)")
 def r7_clustered_inference(v):
     f = v("folds")
     return rounded(resampling.clustered_inference(f.select("taxon_group", "pair_id").distinct(), f.filter("usable"), 5, 200, ["taxon_group"], "rule", "random"))
 
 
-@query()
+@query("WITH " + _boot(_LIFT, "taxon_group", 100, "(VALUES (0), (1), (2)) sd(seed)") + """, b AS (SELECT taxon_group, min(ci_low) AS lo, max(ci_low) AS hi FROM boot GROUP BY 1), o AS (SELECT taxon_group, (sum(lift) OVER p - lift)/(count(*) OVER p - 1) AS w FROM l WINDOW p AS (PARTITION BY taxon_group)), r AS (SELECT taxon_group, min(w) AS least_mean, max(w) AS largest_mean FROM o GROUP BY 1)
+SELECT taxon_group, round(lo, 6) AS least_ci_low, round(hi, 6) AS largest_ci_low, round(mean, 6) AS mean, round(least_mean, 6) AS least_mean, round(largest_mean, 6) AS largest_mean, CASE WHEN lo > 0 AND least_mean > 0 THEN 'stable positive' WHEN hi > 0 THEN 'seed dependent' ELSE 'not established' END AS verdict FROM b JOIN whole USING (taxon_group) JOIN r USING (taxon_group)""")
 def r12_stability_audit(v):
     return rounded(resampling.stability_audit(_lifts(v), [0, 1, 2], 100, ["taxon_group"]))
 
 
-@query(f"WITH m AS ({_ITE}), c AS (SELECT m.method, m.pair_mean - r.pair_mean AS c FROM m JOIN m r ON r.pair_id = m.pair_id AND r.method = 'random' WHERE m.method <> 'random' AND m.pair_mean IS NOT NULL AND r.pair_mean IS NOT NULL) SELECT method, round(avg(c), 5) AS mean, count(*) AS pairs FROM c GROUP BY 1")
+@query("WITH " + _boot(f"SELECT m.method, m.pair_id, m.pair_mean - r.pair_mean AS lift FROM ({_ITE}) m JOIN ({_ITE}) r ON r.pair_id = m.pair_id AND r.method = 'random' WHERE m.method <> 'random' AND m.pair_mean IS NOT NULL AND r.pair_mean IS NOT NULL", "method", 50) + "SELECT method, round(mean, 5) AS mean, pairs, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high FROM whole JOIN boot USING (method)")
 def r13_method_contrasts(v):
-    return rounded(resampling.method_contrasts(_means(v), "random", 50).select("method", "mean", "pairs"), 5)
+    return rounded(resampling.method_contrasts(_means(v), "random", 50).select("method", "mean", "pairs", "ci_low", "ci_high"), 5, ci_low=4, ci_high=4)
 
 
-@query()
+@query("WITH " + _boot(_LIFT, "taxon_group", 200) + """, s AS (SELECT * FROM whole JOIN boot USING (taxon_group) JOIN flip USING (taxon_group)), q AS (SELECT coalesce((SELECT CASE taxon_group WHEN 'plant' THEN 0.1e0 ELSE 0.2e0 END FROM s WHERE ci_low > 0 AND p_one_sided < 0.05 ORDER BY mean DESC, 1 DESC LIMIT 1), 1e0) AS support_level)
+SELECT taxon_group, mean >= 0.015 AS mean_gate, ci_low > 0 AS interval_gate, p_one_sided < 0.05 AS p_gate, pairs = 24 AS size_gate, mean >= 0.015 AND ci_low > 0 AND p_one_sided < 0.05 AND pairs = 24 AS claim_supported, support_level FROM s, q""")
 def r14_r15_claims(v):
     base = resampling.bootstrap(_lifts(v), 200, ["taxon_group"]).join(resampling.sign_flip(_lifts(v), 200, ["taxon_group"]).drop("mean"), "taxon_group")
     gated = resampling.claim_gates(base, 24)
@@ -339,7 +361,17 @@ def _taxa(v):
     return v("detections").withColumns({"occ_id": F.col("detection_cluster_id"), "taxon": (F.col("detection_cluster_id") % 5).cast("string"), "block": block_key("latitude", "longitude", 0.5)}).select("taxon", "occ_id", "latitude", "longitude", "block")
 
 
-@query()
+_CHANCE = f"md5(concat_ws(':', 0, draw, cand_id))"
+
+
+@query(f"""WITH t AS (SELECT CAST(detection_cluster_id%5 AS VARCHAR) AS taxon, detection_cluster_id AS occ, latitude, longitude, CAST(floor(latitude/0.5e0) AS BIGINT) || ':' || CAST(floor(longitude/0.5e0) AS BIGINT) AS block FROM detections),
+k AS (SELECT taxon, block, repeat, row_number() OVER (PARTITION BY taxon, repeat ORDER BY md5(concat_ws(':', 0, repeat, block)), block) AS k, count(*) OVER (PARTITION BY taxon, repeat) AS n FROM (SELECT DISTINCT taxon, block FROM t), range(1, 4) r(repeat)),
+f AS (SELECT t.*, repeat, k <= greatest(1, least(n-1, round_even(n*0.2e0, 0))) AS held FROM t JOIN k USING (taxon, block)), pools AS (SELECT DISTINCT taxon, repeat FROM f WHERE NOT held),
+c AS (SELECT taxon, repeat, cand_id, latitude, longitude, priority_score FROM pools, candidates WHERE NOT regexp_matches(candidate_type, '(?i)occurrence|known')),
+n AS (SELECT taxon, repeat, count(DISTINCT occ) AS n FROM f WHERE held GROUP BY 1, 2), cov AS (SELECT a.taxon, a.repeat, b.cand_id, a.occ FROM f a JOIN c b ON a.taxon = b.taxon AND a.repeat = b.repeat WHERE a.held AND {_D} <= 10000),
+top AS (SELECT taxon, repeat, cand_id FROM c QUALIFY row_number() OVER (PARTITION BY taxon, repeat ORDER BY priority_score DESC NULLS LAST, cand_id) <= 10), hit AS (SELECT taxon, repeat, count(DISTINCT occ) AS hit FROM top JOIN cov USING (taxon, repeat, cand_id) GROUP BY 1, 2),
+dr AS (SELECT taxon, repeat, draw, cand_id FROM c, range(1, 21) d(draw) QUALIFY row_number() OVER (PARTITION BY taxon, repeat, draw ORDER BY {_CHANCE}, cand_id) <= 10), got AS (SELECT taxon, repeat, draw, count(DISTINCT occ) AS got FROM dr LEFT JOIN cov USING (taxon, repeat, cand_id) GROUP BY 1, 2, 3), rnd AS (SELECT taxon, repeat, avg(got/CAST(n AS DOUBLE)) AS r FROM got JOIN n USING (taxon, repeat) GROUP BY 1, 2)
+SELECT taxon, CAST(repeat AS INT) AS repeat, round(coalesce(hit, 0)/n, 6) AS top_k_recall, round(r, 6) AS random_recall, round(coalesce(hit, 0)/n - r, 6) AS lift FROM n LEFT JOIN hit USING (taxon, repeat) LEFT JOIN rnd USING (taxon, repeat)""")
 def m1_recovery_validation(v):
     return rounded(models.recovery_validation(_taxa(v), _builder(v), ["taxon"], 3, 10.0, 10, 20))
 
@@ -358,12 +390,17 @@ def m5_fold_comparator(v):
     return rounded(models.fold_comparator(v("candidates"), _cover(v), _held(v), 5, AREA, ["slope", "aspect"], 10))
 
 
-@query()
+@query(cover_sql(f"SELECT DISTINCT {{'area': survey_area_id, 'km': radius_km}} AS g, cand_id AS a, occ_id AS b FROM ({_COVER}), (VALUES (2e0), (6e0)) r(radius_km) WHERE dist_km <= radius_km", 3) + f""", frame AS (SELECT survey_area_id, radius_km, count(DISTINCT detection_cluster_id) AS n FROM detections, (VALUES (2e0), (6e0)) r(radius_km) GROUP BY 1, 2),
+own AS (SELECT g.area AS survey_area_id, g.km AS radius_km, count(DISTINCT b) AS hit FROM n JOIN ({_TOP}) t ON t.survey_area_id = n.g.area AND t.cand_id = n.a GROUP BY 1, 2), best AS (SELECT g.area AS survey_area_id, g.km AS radius_km, sum(gain) AS hit FROM every GROUP BY 1, 2),
+dr AS (SELECT survey_area_id, draw, cand_id FROM candidates, range(1, 11) d(draw) QUALIFY row_number() OVER (PARTITION BY survey_area_id, draw ORDER BY {_CHANCE}, cand_id) <= 3),
+got AS (SELECT dr.survey_area_id, radius_km, draw, count(DISTINCT n.b) AS got FROM dr CROSS JOIN (VALUES (2e0), (6e0)) r(radius_km) LEFT JOIN n ON n.g.area = dr.survey_area_id AND n.g.km = radius_km AND n.a = dr.cand_id GROUP BY 1, 2, 3), rnd AS (SELECT survey_area_id, radius_km, avg(got/CAST(f.n AS DOUBLE)) AS r FROM got JOIN frame f USING (survey_area_id, radius_km) GROUP BY 1, 2)
+SELECT survey_area_id, radius_km, round(coalesce(own.hit, 0)/f.n, 6) AS default_recall, round(coalesce(best.hit, 0)/f.n, 6) AS greedy_oracle_recall, round(r, 6) AS random_recall FROM frame f LEFT JOIN own USING (survey_area_id, radius_km) LEFT JOIN best USING (survey_area_id, radius_km) LEFT JOIN rnd USING (survey_area_id, radius_km)""")
 def m6_recovery_at_radii(v):
     return rounded(models.recovery_at_radii(v("candidates"), _cover(v), _held(v), [2.0, 6.0], 3, AREA, 10))
 
 
-@query()
+@query("""WITH m AS (SELECT taxon_group, method AS policy, pair_id%4/4e0 AS q, avg(recall - 0.4e0) AS mean_lift, count(*) AS folds FROM folds GROUP BY 1, 2, 3), b AS (SELECT * FROM m WHERE mean_lift > 0 QUALIFY row_number() OVER (PARTITION BY taxon_group ORDER BY round(mean_lift, 9) DESC, q DESC, policy) = 1)
+SELECT k.taxon_group, coalesce(policy, 'fallback') AS policy, coalesce(q, 1e0) AS q, round(mean_lift, 6) AS mean_lift, folds FROM (SELECT DISTINCT taxon_group FROM folds) k LEFT JOIN b USING (taxon_group)""")
 def m7_policy_choice(v):
     inner = v("folds").select("taxon_group", F.col("method").alias("policy"), (F.col("pair_id") % 4 / 4.0).alias("q"), F.col("repeat").alias("fold"), (F.col("recall") - 0.4).alias("lift"))
     return rounded(models.nested_policy_choice(inner, ["taxon_group"]))
@@ -377,13 +414,13 @@ def _labelled(v):
 def m8_suitability_ensemble(v):
     rows = _labelled(v)
     scored = models.suitability_ensemble(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1").drop("sdm_suitability"), ["slope", "aspect", "analogue_score"])
-    wide = scored.select(F.lit(0).alias("fold"), F.lit("ensemble").alias("algorithm"), "presence", F.col("sdm_suitability").alias("p"))
-    return models.probability_metrics(wide, ["fold", "algorithm"]).select("n", (F.col("roc_auc") > 0.8).alias("separates"))
+    members = [c for c in scored.columns if c.startswith("p_")]
+    return rounded(scored.select("row_id", "presence", "sdm_suitability", *members), 4)
 
 
 @query()
 def m9_spatial_accuracy(v):
-    return models.spatial_model_accuracy(_labelled(v), ["slope", "aspect"], 1).select("fold", "algorithm", "n", (F.col("roc_auc") > 0.7).alias("separates"))
+    return rounded(models.spatial_model_accuracy(_labelled(v), ["slope", "aspect"], 1).select("fold", "algorithm", "n", "positives", "roc_auc", "average_precision", "brier", "log_loss", "tss"), 4)
 
 
 @query()

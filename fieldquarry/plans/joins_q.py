@@ -38,10 +38,11 @@ def j4_inverse_distance(v):
 
 
 @query(f"""SELECT a.detection_cluster_id, arg_min(b.site_id, {_D}) AS site_id, round(min({_D})/1000, 6) AS nearest_km, coalesce(min({_D}) <= 2000, false) AS recovered_2km, coalesce(min({_D}) <= 10000, false) AS recovered_10km
-FROM detections a JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1""")
+FROM detections a LEFT JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1""")
 def j5_recovery(v):
     out = joins.nearest_candidate_recovery(v("detections"), v("candidates"), [2.0, 10.0], ["survey_area_id"])
-    return rounded(out.select("detection_cluster_id", "site_id", "nearest_km", "recovered_2km", "recovered_10km").filter("site_id is not null"))
+    out = out.withColumn("nearest_km", F.when(F.col("site_id").isNotNull(), F.col("nearest_km")))
+    return rounded(out.select("detection_cluster_id", "site_id", "nearest_km", "recovered_2km", "recovered_10km"))
 
 
 _COVER = f"SELECT a.survey_area_id, a.detection_cluster_id AS occ_id, b.cand_id, {_D}/1000 AS dist_km FROM detections a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 10000"
@@ -156,7 +157,17 @@ def w8_gradient(v):
     return rounded(out.select("row_id", "dz_dx", "dz_dy"))
 
 
-@query()
+_SUNS = [(90, 20), (135, 45), (180, 60), (225, 45), (270, 20)]
+_SOLAR = " + ".join(f"greatest(0e0, nx*cos(radians({h}))*sin(radians({a})) + ny*cos(radians({h}))*cos(radians({a})) + nz*sin(radians({h})))" for a, h in _SUNS)
+
+
+@query(_FOCAL.format(h=1) + f""", f AS (SELECT row_id, avg(coalesce(height, 0e0)) AS mean, stddev_pop(coalesce(height, 0e0)) AS sd FROM w GROUP BY 1),
+g AS (SELECT row_id, h, CASE WHEN lag(h) OVER x IS NOT NULL AND lead(h) OVER x IS NOT NULL THEN (lead(h) OVER x - lag(h) OVER x)/600e0 WHEN lead(h) OVER x IS NOT NULL THEN (lead(h) OVER x - h)/300e0 ELSE (h - lag(h) OVER x)/300e0 END AS dx,
+  CASE WHEN lag(h) OVER y IS NOT NULL AND lead(h) OVER y IS NOT NULL THEN (lead(h) OVER y - lag(h) OVER y)/600e0 WHEN lead(h) OVER y IS NOT NULL THEN (lead(h) OVER y - h)/300e0 ELSE (h - lag(h) OVER y)/300e0 END AS dy
+  FROM (SELECT row_id, area, r, c, coalesce(height, 0e0) AS h FROM cells) WINDOW x AS (PARTITION BY area, r ORDER BY c), y AS (PARTITION BY area, c ORDER BY r)),
+s AS (SELECT *, degrees(atan(sqrt(dx*dx + dy*dy))) AS slope, degrees(atan2(-dx, dy)) AS turn FROM g), a AS (SELECT *, CASE WHEN turn < 0 THEN turn + 360 ELSE turn END AS aspect FROM s),
+n AS (SELECT *, sin(radians(slope))*sin(radians(aspect)) AS nx, sin(radians(slope))*cos(radians(aspect)) AS ny, cos(radians(slope)) AS nz FROM a)
+SELECT row_id, round(slope, 4) AS slope, round(aspect, 4) AS aspect, round(h - mean, 4) + 0e0 AS relative_height, round(sd, 4) AS roughness, round(({_SOLAR})/5, 4) AS solar, round(nz, 4) AS normal_z FROM n JOIN f USING (row_id)""")
 def w8_p26_terrain(v):
     out = windows.terrain(v("cells").withColumn("height", F.coalesce("height", F.lit(0.0))), "height", 300.0)
     return rounded(windows.solar_proxy(out).select("row_id", "slope", "aspect", "relative_height", "roughness", "solar", "normal_z"), 4)

@@ -1,5 +1,7 @@
 """Queries of selections: form a over areas, form b over all candidates."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -11,6 +13,32 @@ BOOK = Book()
 query = BOOK.query
 AREA = ["survey_area_id"]
 _D = hav("a.latitude", "a.longitude", "b.latitude", "b.longitude")
+_PICK = hav("b.latitude", "b.longitude", "p.latitude", "p.longitude")
+
+
+def greedy_sql(base: str, columns: list[str], k: int, first: str, later: str, order: str = "v DESC, row_id", seen: str = "", start: str = "") -> str:
+    """CTEs b and p1 .. pk: k rounds over the pools g of ``base``, each taking a pool's best row by its value v.
+
+    ``later`` is a value over what ``seen`` aggregates from the rows picked before (p); ``start`` names the same for the first round.
+    """
+    own = ", ".join(f"b.{c}" for c in columns)
+    pick = "SELECT * FROM ({0}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY {1}) = 1"
+    parts = [f"b AS ({base})", "p1 AS (" + pick.format(f"SELECT {own}{start}, 1 AS decision_rank, {first} AS v FROM b", order) + ")"]
+    for i in range(2, k + 1):
+        picked = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
+        inner = f"SELECT {own}{seen}, count(*) FILTER (p.row_id = b.row_id) AS own FROM b JOIN ({picked}) p ON p.g = b.g GROUP BY {own}"
+        names = ", ".join([*columns, *re.findall(r" AS (\w+)(?=,|$)", seen)])
+        parts.append(f"p{i} AS (" + pick.format(f"SELECT {names}, {i} AS decision_rank, {later} AS v FROM ({inner}) WHERE own = 0", order) + ")")
+    return "WITH " + ", ".join(parts) + " "
+
+
+def _picks(k: int, select: str) -> str:
+    return " UNION ALL ".join(f"SELECT {select} FROM p{i}" for i in range(1, k + 1))
+
+
+_SCORED = "SELECT {g} AS g, row_id, survey_area_id AS area, latitude, longitude, greatest(0e0, least(1e0, priority_score)) AS s, {w} AS w FROM candidates"
+_NEAR = f", min({_PICK}) AS near"
+_UTILITY = "w*s + (1-w)*(1-exp(-near/25000e0))"
 
 
 @query("SELECT survey_area_id, site_id FROM candidates QUALIFY row_number() OVER (PARTITION BY survey_area_id ORDER BY sdm_suitability DESC NULLS LAST, site_id) <= 5")
@@ -24,49 +52,75 @@ def k2_recommended_zones(v):
     return scoring.top_quota(zones, 3, 8, score="zone_score", ident="zone_id").select("survey_area_id", "zone_id", "zone_score")
 
 
-@query()
+@query(greedy_sql(_SCORED.format(g="survey_area_id", w="0.25e0"), ["g", "row_id", "latitude", "longitude", "s", "w"], 5, "w*s + (1-w)*0.5e0", _UTILITY, "v DESC, s DESC, row_id", _NEAR, ", NULL AS near")
+    + _picks(5, "g AS survey_area_id, row_id, decision_rank, round(v, 6) AS utility"))
 def k4_complementary(v):
     return rounded(selection.complementary(v("candidates"), 5, AREA))
 
 
-@query()
+@query(greedy_sql(_SCORED.format(g="survey_area_id%5", w="0.25e0"), ["g", "row_id", "area", "latitude", "longitude", "s", "w"], 8, "w*s + (1-w)*0.5e0", _UTILITY, "open DESC, v DESC, s DESC, row_id", _NEAR + ", count(*) FILTER (p.area = b.area) = 0 AS open", ", NULL AS near, true AS open")
+    + _picks(8, "g AS pool, row_id, decision_rank, round(v, 6) AS utility"))
 def k5_area_balanced(v):
     return rounded(selection.area_balanced(v("candidates").withColumn("pool", F.col("survey_area_id") % 5), 8, ["pool"]))
 
 
-@query()
+@query(greedy_sql(_SCORED.format(g="survey_area_id", w="CASE survey_area_id%2 WHEN 0 THEN 1e0 ELSE 0.75e0 END"), ["g", "row_id", "latitude", "longitude", "s", "w"], 5, "w*s + (1-w)*0.5e0", _UTILITY, "v DESC, s DESC, row_id", _NEAR, ", NULL AS near")
+    + _picks(5, "g AS survey_area_id, CASE g%2 WHEN 0 THEN 'plant' ELSE 'animal' END AS taxon_group, row_id, decision_rank, round(v, 6) AS utility"))
 def k6_group_policy(v):
     return rounded(selection.group_policy(v("candidates").withColumn("taxon_group", F.when(F.col("survey_area_id") % 2 == 0, "plant").otherwise("animal")), AREA))
 
 
-@query()
+_SCALED = """WITH f AS (SELECT survey_area_id AS g, row_id, latitude, longitude, unnest(range(1, {n} + 1)) AS j, unnest([{features}]) AS v FROM candidates), m AS (SELECT g, j, quantile_cont(v, 0.5) AS med FROM f GROUP BY 1, 2),
+h AS (SELECT g, row_id, latitude, longitude, j, coalesce(v, med) AS v FROM f JOIN m USING (g, j)), q AS (SELECT g, j, quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.5) AS mid, quantile_cont(v, 0.75) AS hi FROM h GROUP BY 1, 2),
+z AS (SELECT g, row_id, latitude, longitude, list(CASE WHEN hi <> lo THEN (v - mid)/(hi - lo) ELSE 0e0 END ORDER BY j) AS z FROM h JOIN q USING (g, j) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(greedy_sql(f"SELECT a.survey_area_id AS g, a.row_id, a.latitude, a.longitude, sum({_D})/count(*) AS mean FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id GROUP BY 1, 2, 3, 4", ["g", "row_id", "latitude", "longitude", "mean"], 5, "mean", "near", seen=_NEAR, start=", NULL AS near")
+    + _picks(5, "g AS survey_area_id, row_id, decision_rank, round(v, 3) AS distance_m"))
 def k7_geographic_maximin(v):
     return rounded(selection.geographic_maximin(v("candidates"), 5, AREA), 3)
 
 
-@query()
+@query(greedy_sql(_SCALED.format(n=3, features="slope, aspect, analogue_score") + " SELECT a.g, a.row_id, a.z, avg(list_distance(a.z, b.z)) AS mean FROM z a JOIN z b ON a.g = b.g GROUP BY 1, 2, 3", ["g", "row_id", "z", "mean"], 5, "mean", "near", seen=", min(list_distance(b.z, p.z)) AS near", start=", NULL AS near")
+    + _picks(5, "g AS survey_area_id, row_id, decision_rank, round(v, 6) AS distance"))
 def k8_environmental_maximin(v):
     return rounded(selection.environmental_maximin(v("candidates"), 5, ["slope", "aspect", "analogue_score"], AREA))
 
 
-@query()
+@query(greedy_sql(_SCALED.format(n=2, features="slope, aspect") + f""", d AS (SELECT a.g, a.row_id, a.latitude, a.longitude, a.z, {_D} AS geo, list_distance(a.z, b.z) AS env FROM z a JOIN z b ON a.g = b.g), t AS (SELECT g, 0.5e0/max(geo) AS sg, 0.5e0/max(env) AS se FROM d GROUP BY 1)
+    SELECT g, row_id, latitude, longitude, z, sg, se, avg(sg*geo + se*env) AS mean FROM d JOIN t USING (g) GROUP BY 1, 2, 3, 4, 5, 6, 7""", ["g", "row_id", "latitude", "longitude", "z", "sg", "se", "mean"], 5, "mean", "near", seen=f", min(b.sg*{_PICK} + b.se*list_distance(b.z, p.z)) AS near", start=", NULL AS near")
+    + _picks(5, "g AS survey_area_id, row_id, decision_rank, round(v, 6) AS distance"))
 def k9_dual_maximin(v):
     return rounded(selection.dual_maximin(v("candidates"), 5, ["slope", "aspect"], AREA))
 
 
-@query()
+@query(greedy_sql("SELECT 1 AS g, row_id, (longitude - lo)*111.32e0*cos(radians(la)) AS x, (latitude - la)*110.574e0 AS y FROM candidates, (SELECT avg(latitude) AS la, avg(longitude) AS lo FROM candidates)", ["g", "row_id", "x", "y"], 12, "-(x*x + y*y)", "near", seen=", min(sqrt(pow(b.x - p.x, 2) + pow(b.y - p.y, 2))) AS near", start=", NULL AS near")
+    + _picks(12, "row_id, decision_rank, round(v, 6) AS utility"))
 def k10_centroid_first(v):
     return rounded(selection.centroid_first(v("candidates").select("row_id", "latitude", "longitude"), 12).select("row_id", "decision_rank", "utility"))
 
 
-@query(f"""WITH n AS (SELECT a.survey_area_id, a.row_id AS a, b.row_id AS b FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 3000),
-g AS (SELECT survey_area_id, a, count(*) AS gain FROM n GROUP BY 1, 2), one AS (SELECT survey_area_id, a, gain FROM g QUALIFY row_number() OVER (PARTITION BY survey_area_id ORDER BY gain DESC, a) = 1),
-o2 AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM one JOIN n x ON x.a = one.a WHERE x.b = n.b)),
-g2 AS (SELECT n.survey_area_id, n.a, count(o2.b) AS gain FROM n LEFT JOIN o2 ON o2.a = n.a AND o2.b = n.b WHERE n.a NOT IN (SELECT a FROM one) GROUP BY 1, 2),
-two AS (SELECT survey_area_id, a, gain FROM g2 QUALIFY row_number() OVER (PARTITION BY survey_area_id ORDER BY gain DESC, a) = 1)
-SELECT survey_area_id, a AS row_id, gain AS marginal_covered_candidates, 1 AS coverage_rank FROM one UNION ALL SELECT survey_area_id, a, gain, 2 FROM two""")
+def cover_sql(pairs: str, k: int) -> str:
+    """CTEs n and p1 .. pk: rounds of the most uncovered b of the pairs (g, a, b), ties to the smaller a."""
+    parts = [f"n AS ({pairs})", "p1 AS (SELECT g, a, count(*) AS gain, 1 AS turn FROM n GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY gain DESC, a) = 1)"]
+    for i in range(2, k + 1):
+        picked = " UNION ALL ".join(f"SELECT g, a FROM p{j}" for j in range(1, i))
+        parts.append(f"c{i} AS (SELECT DISTINCT n.g, n.b FROM n JOIN ({picked}) p ON n.g = p.g AND n.a = p.a)")
+        left = f"SELECT n.g, n.a, count(*) - count(c.b) AS gain, {i} AS turn FROM n LEFT JOIN c{i} c ON n.g = c.g AND n.b = c.b WHERE (n.g, n.a) NOT IN ({picked}) GROUP BY 1, 2"
+        parts.append(f"p{i} AS (SELECT * FROM ({left}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY gain DESC, a) = 1)")
+    return "WITH " + ", ".join(parts) + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1)) + ") "
+
+
+@query(cover_sql(f"SELECT a.survey_area_id AS g, a.row_id AS a, b.row_id AS b FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 3000", 5)
+    + """SELECT g AS survey_area_id, a AS row_id, gain AS marginal_covered_candidates, turn AS coverage_rank, round(sum(gain) OVER (PARTITION BY g ORDER BY turn)/m, 6) AS cumulative_coverage_fraction FROM every JOIN (SELECT survey_area_id AS g, count(*) AS m FROM candidates GROUP BY 1) USING (g)""")
 def k11_max_coverage(v):
-    return selection.max_coverage(v("candidates"), 3.0, 2, AREA).select("survey_area_id", "row_id", "marginal_covered_candidates", "coverage_rank")
+    return rounded(selection.max_coverage(v("candidates"), 3.0, 5, AREA))
+
+
+@query("SELECT round(quantile_cont(row_id%5*400e0 + 400e0, 0.5)/1000, 6) AS scale_km, 'median_candidate_patch_radius_m' AS source FROM candidates")
+def k12_coverage_scale(v):
+    scale, source = selection.coverage_scale_km(v("candidates").select("row_id", (F.col("row_id") % 5 * 400.0 + 400.0).alias("candidate_patch_radius_m")))
+    return rounded(v("candidates").select(F.lit(scale).alias("scale_km"), F.lit(source).alias("source")).distinct())
 
 
 @query()
@@ -86,12 +140,12 @@ def k14_reachability_cover(v):
 _COVER = f"SELECT a.survey_area_id, a.detection_cluster_id AS occ_id, b.cand_id FROM detections a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 6000"
 
 
-@query(f"SELECT survey_area_id, cand_id, 1 AS decision_rank, n AS gain FROM (SELECT survey_area_id, cand_id, count(*) AS n FROM ({_COVER}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY survey_area_id ORDER BY n DESC, cand_id) = 1")
+@query(cover_sql(f"SELECT DISTINCT survey_area_id AS g, cand_id AS a, occ_id AS b FROM ({_COVER})", 3) + "SELECT g AS survey_area_id, a AS cand_id, turn AS decision_rank, gain FROM every WHERE gain > 0")
 def k15_heldout_oracle(v):
     from ..operators.joins import fold_coverage
 
     held = v("detections").select("survey_area_id", F.col("detection_cluster_id").alias("occ_id"), "latitude", "longitude")
-    return selection.heldout_oracle(fold_coverage(held, v("candidates"), 6.0, AREA, "occ_id", "cand_id"), 1, AREA)
+    return selection.heldout_oracle(fold_coverage(held, v("candidates"), 6.0, AREA, "occ_id", "cand_id"), 3, AREA)
 
 
 @query()
@@ -101,10 +155,15 @@ def k16_portfolios(v):
     for plan in selection.PLANS:
         one = selection.portfolio(scored, plan, 8, ["pool"])
         out = one if out is None else out.unionByName(one)
-    return rounded(selection.portfolio_summary(out, ["pool"]))
+    return rounded(out)
 
 
-@query()
+@query(greedy_sql("""SELECT *, len(t) AS everything FROM (SELECT survey_area_id AS g, row_id, latitude, longitude, coalesce(analogue_score, 0e0) AS r1, coalesce(sdm_suitability, 0e0) AS r2, row_id%3 AS part, [row_id%7, row_id%5] AS targets, 0.25e0*priority_score - 0.1e0*slope/600 + 0.1e0*aspect/3600 AS fixed FROM candidates)
+    JOIN (SELECT survey_area_id AS g, list_distinct(flatten(list([row_id%7, row_id%5]))) AS t FROM candidates GROUP BY 1) USING (g)""",
+    ["g", "row_id", "latitude", "longitude", "r1", "r2", "part", "targets", "fixed", "everything"], 4, "(r1 + r2)/2 + fixed + 0.25e0 + 0.1e0*0.5e0 + 0.1e0*len(list_distinct(targets))/everything",
+    "(greatest(r1 - s1, 0) + greatest(r2 - s2, 0))/2 + fixed + CASE WHEN fresh THEN 0.25e0 ELSE 0e0 END + 0.1e0*(1 - exp(-near/25000e0)) + 0.1e0*len(list_filter(list_distinct(targets), lambda x: NOT list_contains(reached, x)))/everything",
+    seen=_NEAR + ", max(p.r1) AS s1, max(p.r2) AS s2, count(*) FILTER (p.part = b.part) = 0 AS fresh, flatten(list(p.targets)) AS reached", start=", NULL AS near, 0e0 AS s1, 0e0 AS s2, true AS fresh, [] AS reached")
+    + _picks(4, "g AS survey_area_id, row_id AS candidate_patch_id, decision_rank, round(v, 6) AS utility"))
 def k17_k18_k19_prototype_greedy(v):
     rows = v("candidates").select(F.col("row_id").alias("candidate_patch_id"), "survey_area_id", "latitude", "longitude", F.col("priority_score").alias("support"), (F.col("row_id") % 3).alias("component"), (F.col("slope") / 600).alias("cost"), (F.col("aspect") / 3600).alias("gap"), F.array(F.coalesce("analogue_score", F.lit(0.0)), F.coalesce("sdm_suitability", F.lit(0.0))).alias("responsibility"), F.array(F.col("row_id") % 7, F.col("row_id") % 5).alias("targets"))
     return rounded(selection.prototype_greedy(rows, 4, AREA, weights=(1.0, 0.25, 0.25, 0.1, 0.1, 0.1, 0.1)))
@@ -122,11 +181,20 @@ def k21_balanced_sample(v):
     return selection.balanced_sample(v("candidates").select("row_id", "latitude", "longitude", "priority_score"), 40, weight="priority_score", least_m=500.0).select("row_id", "draw_order")
 
 
-@query()
+def thinning_sql(points: str, radius_m: str) -> str:
+    """CTEs o and t: the points (g, row_id, y, x) of each g in order of ids, kept if farther than the radius from all kept ones."""
+    return f"""o AS (SELECT g, {{'id': row_id, 'y': y, 'x': x}} AS p, {radius_m} AS radius, row_number() OVER (PARTITION BY g ORDER BY row_id) AS k FROM ({points})),
+t AS (SELECT g, 1 AS k, [p] AS kept FROM o WHERE k = 1 UNION ALL SELECT t.g, o.k, CASE WHEN list_min(list_transform(kept, lambda q: {hav('q.y', 'q.x', 'o.p.y', 'o.p.x')})) > radius THEN list_append(kept, o.p) ELSE kept END FROM t JOIN o ON o.g = t.g AND o.k = t.k + 1),
+whole AS (SELECT g, kept FROM t QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1)"""
+
+
+@query("WITH RECURSIVE " + thinning_sql("SELECT survey_area_id AS g, row_id, latitude AS y, longitude AS x FROM candidates", "1000e0") + " SELECT g AS survey_area_id, unnest(kept).id AS row_id FROM whole")
 def s5_thinning(v):
     return selection.distance_thinning(v("candidates"), 1000.0, AREA).select("survey_area_id", "row_id")
 
 
-@query()
+@query("WITH RECURSIVE " + thinning_sql("SELECT {'taxon': survey_area_id%3, 'level': level, 'm': [5e0, 10e0, 20e0, 40e0, 80e0][level + 1]*1000} AS g, row_id, latitude AS y, longitude AS x FROM detections, range(5) l(level)", "g.m")
+    + """, n AS (SELECT g.taxon AS taxon, g.level AS level, len(kept) AS n, kept FROM whole), pick AS (SELECT taxon, coalesce(min(level) FILTER (n <= 32), max(level)) AS level FROM n WHERE n >= 5 GROUP BY 1), rows AS (SELECT taxon, level, unnest(kept).id AS row_id FROM n JOIN pick USING (taxon, level))
+SELECT taxon, row_id, CAST(level AS INT) AS level FROM rows QUALIFY row_number() OVER (PARTITION BY taxon ORDER BY row_id) <= 32""")
 def s4_prototype_ladder(v):
     return selection.prototype_ladder(v("detections").withColumn("taxon", F.col("survey_area_id") % 3), ["taxon"]).select("taxon", "row_id", "level")

@@ -33,7 +33,7 @@ VIEWS = {
     "edges": """SELECT DISTINCT least(a.l_suppkey,b.l_suppkey) AS from_node_id, greatest(a.l_suppkey,b.l_suppkey) AS to_node_id
 FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_suppkey<>b.l_suppkey""",
     "folds": """SELECT o_custkey%48 AS pair_id, CAST(o_orderkey%5+1 AS INT) AS repeat, CASE CAST(floor(o_orderkey/5e0) AS BIGINT)%3 WHEN 0 THEN 'rule' WHEN 1 THEN 'random' ELSE 'environment' END AS method,
-  CASE o_custkey%2 WHEN 0 THEN 'plant' ELSE 'animal' END AS taxon_group, CAST(min(o_orderkey%101) AS DOUBLE)/100e0 AS recall, CAST(count(*) AS DOUBLE) AS candidate_pool, count(*)>2 AS rankable_fold, min(o_orderkey)%9<>0 AS usable
+  CASE o_custkey%2 WHEN 0 THEN 'plant' ELSE 'animal' END AS taxon_group, CAST(min(o_orderkey)%101 AS DOUBLE)/100e0 AS recall, CAST(count(*) AS DOUBLE) AS candidate_pool, count(*)>2 AS rankable_fold, min(o_orderkey)%9<>0 AS usable
   FROM orders GROUP BY 1,2,3,4""",
     # points of ways: an order is a way, a supplier a place; places have a number of their own for every two areas
     "ways": """SELECT CAST(floor(o_orderkey/1024e0) AS BIGINT) AS area, o_orderkey AS way, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey) AS pos, l_suppkey + 10000000*CAST(floor(o_orderkey/2048e0) AS BIGINT) AS node,
