@@ -4,11 +4,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldquarry.functions import geo, scoring
-from fieldquarry.operators import aggregates, graph, joins, models, resampling, selection, support, windows
+from fieldquarry.operators import aggregates, graph, joins, models, pairs, resampling, selection, support, windows
 from fieldquarry.sources import exports, tables
 
 
@@ -274,16 +275,137 @@ def test_reading_bad_numbers_and_names(spark, tmp_path):
 
 
 def test_climate_by_hand(spark):
-    months = [f"t{i}" for i in range(12)] + [f"r{i}" for i in range(12)]
-    rows = [tuple([10.0] * 12 + [1.0] * 12), tuple([-999.0] + [10.0] * 11 + [1.0] * 12)]
-    got = scoring.bioclim(spark.createDataFrame(rows, ", ".join(f"{m} double" for m in months)), months[:12], months[12:]).collect()
-    assert len(got) == 1 and got[0].mean_temperature == 10 and got[0].temperature_seasonality == 0 and got[0].annual_rain == 365 and got[0].driest_month == 28
+    kind = "latitude double, longitude double, " + ", ".join(f"{m} double" for m in scoring.MONTHS)
+    heat = spark.createDataFrame([(1.0, 1.0, *[10.0] * 12), (2.0, 1.0, -999.0, *[10.0] * 11), (3.0, 1.0, *[5.0] * 12), (4.0, 1.0, *[-999.0] * 12), (5.0, 1.0, *[5.0] * 12), (6.0, 1.0, *[float(i) for i in range(6)] * 2)], kind)
+    rain = spark.createDataFrame([(1.0, 1.0, *[1.0] * 12), (2.0, 1.0, *[1.0] * 11, -999.0), (3.0, 1.0, *[0.0] * 12), (4.0, 1.0, *[1.0] * 12), (6.0, 1.0, 2.0, *[0.0] * 11)], kind)
+    got = {r.latitude: r for r in scoring.bioclim(heat, rain).collect()}
+    assert set(got) == {1.0, 2.0, 6.0}  # 3 is dry, 4 has no temperature, 5 no rain
+    assert (got[1.0].bio1, got[1.0].bio4, got[1.0].bio12, got[1.0].bio14) == (10.0, 0.0, 365.25, 28.25)
+    assert (got[2.0].bio1, got[2.0].bio12) == (10.0, 334.25)  # months without a value are left out
+    assert got[6.0].bio4 == pytest.approx(100 * math.sqrt(35 / 12)) and got[6.0].bio12 == 62 and got[6.0].bio15 == pytest.approx(100 * math.sqrt(11))
 
 
-def test_maximin_needs_no_matrix_of_a_pool(spark, monkeypatch):
-    import numpy as np
+def test_large_components_are_linked_and_thinned_in_rounds(points, monkeypatch):
+    rows, frame = points
+    rows, frame = rows[:36], frame.filter("row_id < 36")
+    whole = {r.row_id for r in selection.distance_thinning(frame, 5000.0, ["survey_area_id"]).collect()}
+    steps = {r[:5] for r in selection.movement_cover(frame, 5.0, 8.0).collect()}
+    monkeypatch.setattr(graph, "COMPONENT", 3)
+    want = {}
+    for area in "ab":
+        want |= sequential_patches([r for r in rows if r[1] == area], 6000.0)
+    assert {r.row_id: r.founder for r in graph.complete_link(frame.repartition(5), 6000.0, ["survey_area_id"]).collect()} == want
+    assert {r.row_id for r in selection.distance_thinning(frame, 5000.0, ["survey_area_id"]).collect()} == whole
+    assert {r[:5] for r in selection.movement_cover(frame, 5.0, 8.0).collect()} == steps
+
+
+def test_large_pools_are_chosen_in_rounds(points, monkeypatch):
+    _, frame = points
+    frame = frame.withColumns({"pool": F.col("row_id") % 3, "area": F.col("row_id") % 7, "taxon_group": F.when(F.col("row_id") % 3 == 1, "plant").otherwise("animal")}).unionByName(frame.limit(0).withColumns({"pool": F.lit(0), "area": F.lit(0), "taxon_group": F.lit("x")}))
+    rules = [lambda d: selection.complementary(d, 6, ["pool"]), lambda d: selection.area_balanced(d, 9, ["pool"], "area"), lambda d: selection.group_policy(d, ["pool"])]
+    small = [sorted((*r[:-1], round(r[-1], 9)) for r in rule(frame).collect()) for rule in rules]
+    monkeypatch.setattr(selection, "POOL", 5)
+    assert [sorted((*r[:-1], round(r[-1], 9)) for r in rule(frame).collect()) for rule in rules] == small
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        selection.per_pool(frame, ["pool"], [], lambda pool: ([], []), "row_id")
 
-    monkeypatch.setattr(selection, "BLOCK", 16)
+
+def test_ring_searches_equal_all_pairs(points):
+    rows, frame = points
+    stations = [r for r in rows if r[0] % 4 == 0]
+    held = frame.filter("row_id % 4 = 0").withColumnRenamed("row_id", "station_id")
+    got = {r.row_id: r.priority_score for r in joins.inverse_distance(frame.drop("priority_score"), held, ["priority_score"]).collect()}
+    bounds = {r.row_id: r for r in joins.footprint_bounds(frame, held.withColumn("radius", F.col("station_id") * 20.0), 500.0, "row_id", "station_id", "radius").collect()}
+    for r in rows:
+        near = sorted((metres(r[2:4], s[2:4]), s[0], s[4]) for s in stations)
+        w = [1 / max(d / geo.EARTH_RADIUS_M, 1e-10) ** 2 for d, _, _ in near[:4]]
+        assert got[r[0]] == pytest.approx(sum(a * v for a, (_, _, v) in zip(w, near)) / sum(w))
+        least = min((max(0.0, d - 20.0 * i), i) for d, i, _ in near)
+        assert bounds[r[0]].bound_m == pytest.approx(least[0], abs=1e-6) and bounds[r[0]].pruned == (least[0] > 500 + 1e-9)
+    other = {r.row_id: r.n for r in joins.nearest_join(frame, frame.withColumnRenamed("row_id", "n"), ["survey_area_id"], "row_id", "n", other=True).collect()}
+    for r in rows:
+        assert other[r[0]] == min((metres(r[2:4], s[2:4]), s[0]) for s in rows if s[1] == r[1] and s[0] != r[0])[1]
+
+
+def test_modes_by_hand(spark):
+    # two groups of three points far apart, and the unit scale of a constant column
+    protos = spark.createDataFrame([(i, x, 1.0) for i, x in enumerate([0.0, 1.0, 2.0, 20.0, 21.0, 22.0])], "row_id long, f1 double, f2 double")
+    got = {r.row_id: (r["mode"], r.gap) for r in support.environmental_modes(protos, FEATURES, []).collect()}
+    assert [got[i][0] for i in range(6)] == [0, 0, 0, 1, 1, 1] and got[0][1] == pytest.approx(18.0)
+    even = protos.withColumn("f1", F.col("row_id").cast("double"))
+    assert {(r["mode"], r.gap) for r in support.environmental_modes(even, FEATURES, []).collect()} == {(0, 1.0)}
+    assert support._cut(np.array([1.0, 1.0, 1.0, 2.0]), 3.0) == 1.5 and support._cut(np.array([1.0]), 3.0) == math.inf
+    universe = spark.createDataFrame([(i, float(x), 1.0) for i, x in enumerate([0, 1, 2, 3, 4, 20, 21, 22, 23, 9, 10, 11])], "row_id long, f1 double, f2 double")
+    taken = support.mode_balanced(universe, protos, FEATURES, [], 0.5).orderBy("selection_rank").collect()
+    ranks = support.finite_geometry(universe, protos, FEATURES, []).filter("support_rank <= 0.5").count()
+    order, z = {}, {0: [0.0, 1.0, 2.0], 1: [20.0, 21.0, 22.0]}
+    for m in (0, 1):
+        order[m] = [i for _, i in sorted((min(abs(x - p) for p in z[m]), i) for i, x in enumerate([0, 1, 2, 3, 4, 20, 21, 22, 23, 9, 10, 11]))]
+    want: list = []
+    while len(want) < ranks:
+        for m in (0, 1):
+            if len(want) < ranks:
+                want.append((next(i for i in order[m] if i not in [w[0] for w in want]), m))
+    assert [(r.row_id, r["mode"]) for r in taken] == want
+    one = support.mode_balanced(universe, even, FEATURES, [], 0.5).collect()
+    assert {r.row_id for r in one} == {r.row_id for r in support.finite_geometry(universe, even, FEATURES, []).filter("support_rank <= 0.5").collect()}
+
+
+def test_mode_centres_are_the_best_partition(spark):
+    rng = random.Random(5)
+    protos = [(i, rng.random(), rng.random()) for i in range(7)]
+    frame = spark.createDataFrame(protos, "row_id long, f1 double, f2 double")
+    model = support.prototype_models(frame, FEATURES, []).first()
+    z = [tuple(p) for p in model.prototypes]
+    centres = {r.k: r for r in support.mode_centres(frame, FEATURES, []).collect()}
+    assert set(centres) == {2, 3, 4, 5, 6}
+    for k in (2, 3):
+        least = math.inf
+        for labels in itertools.product(range(k), repeat=7):
+            parts = [[p for p, j in zip(z, labels) if j == c] for c in range(k)]
+            if all(parts):
+                middles = [[sum(x) / len(part) for x in zip(*part)] for part in parts]
+                least = min(least, sum(math.dist(p, middles[j]) ** 2 for p, j in zip(z, labels)))
+        found = sum(min(math.dist(p, c) ** 2 for c in centres[k].centroids) for p in z)
+        assert found == pytest.approx(least)
+        assert all(tuple(m) in z and math.dist(m, c) == min(math.dist(p, c) for p in z) for m, c in zip(centres[k].medoids, centres[k].centroids))
+    universe = spark.createDataFrame([*protos, (50, None, 0.5)], "row_id long, f1 double, f2 double")
+    keyed = universe.withColumn("one", F.lit(1))
+    far = {(r.row_id, r.k): r for r in support.mode_distances(keyed, support.mode_centres(frame.withColumn("one", F.lit(1)), FEATURES, ["one"]), FEATURES, ["one"]).collect()}
+    assert len(far) == 40 and far[50, 2].kmeans_centroid_distance == math.inf == far[50, 2].kmeans_medoid_distance
+    for i, p in enumerate(z):
+        assert far[i, 3].kmeans_centroid_distance == pytest.approx(min(math.dist(p, c) for c in centres[3].centroids))
+        assert far[i, 6].kmeans_medoid_distance == pytest.approx(min(math.dist(p, c) for c in centres[6].medoids))
+
+
+def test_survey_scopes(spark):
+    kind = "taxon string, row_id long, latitude double, longitude double"
+    rows = [("few", i, 1.0 * i, 0.0) for i in range(4)] + [("apart", 10 + i, 4.0 * i, 0.0) for i in range(6)]
+    # a range of six, another of three, two strays together and one alone, and a repeated place
+    rows += [("many", 20 + i, 0.0, 0.05 * i) for i in range(6)] + [("many", 30 + i, 10.0, 0.05 * i) for i in range(3)] + [("many", 40, 20.0, 0.0), ("many", 41, 20.0, 0.05), ("many", 50, 30.0, 0.0), ("many", 51, 0.0, 0.0)]
+    got = {r.row_id: r for r in graph.survey_scope(spark.createDataFrame(rows, kind), ["taxon"]).collect()}
+    assert {got[i].scope_class for i in range(4)} == {"main_range"} and got[0].cluster_eps_m is None
+    assert {got[10 + i].scope_class for i in range(6)} == {"main_range"} and got[10].cluster_eps_m == 120_000.0
+    assert {i: got[i].scope_class[:4] for i in got if i >= 20} == {**{20 + i: "main" for i in range(6)}, 51: "main", **{30 + i: "disj" for i in range(3)}, 40: "poss", 41: "poss", 50: "poss"}
+    assert got[20].cluster_eps_m == pytest.approx(3 * metres((0, 0), (0, 0.05)), rel=1e-3)
+
+
+def test_regions_cards_and_regimes(spark):
+    rows = [(i, 0.0, 0.02 * i) for i in range(5)] + [(10 + i, 0.0, 2.0 + 0.02 * i) for i in range(3)] + [(20 + i, 3.0, 0.02 * i) for i in range(4)] + [(30, 8.0, 8.0)]
+    frame = spark.createDataFrame(rows, "row_id long, latitude double, longitude double")
+    regions = graph.survey_regions(frame, 40_000.0)
+    table = graph.region_table(regions)
+    got = {r.region_id: r for r in table.collect()}
+    assert [got[i].record_count for i in (1, 2, 3, 4)] == [5, 4, 3, 1] and got[1].medoid_id == 2 and got[1].record_share == round(5 / 13, 4)
+    cards = {r.card_rank: (r.region_id, r.card_role, r.recommended) for r in graph.region_cards(table).collect()}
+    assert cards == {1: (1, "Recommended", True), 2: (2, "Discovery", False), 3: (3, "Range contrast", False)}
+    regime = graph.distribution_regime(regions, table).first()
+    span = max(metres(a[1:], b[1:]) for a in rows for b in rows) / 1000
+    assert (regime.distribution_regime, regime.stable_regions, regime.eligible_records) == ("disjunct", 3, 13) and regime.total_span_km == round(span, 1)
+
+
+def test_maximin_needs_no_matrix_of_a_pool(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 16)
     monkeypatch.setattr(selection, "per_pool", None)  # no pool is a group in one task
     rng = random.Random(8)
     rows = [(i, [None, 1, 2][i % 3], 30 + rng.random(), 130 + rng.random(), None if i % 7 == 0 else rng.random(), float(i % 5), 4.0) for i in range(150)]
@@ -302,7 +424,7 @@ def test_maximin_needs_no_matrix_of_a_pool(spark, monkeypatch):
             x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
             low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
             z = (x - mid)[:, :2] / (high - low)[:2]
-            apart = {"geo": graph.metres(lat[:, None], lon[:, None], lat, lon), "env": np.sqrt(((z[:, None] - z) ** 2).sum(axis=2))}
+            apart = {"geo": pairs.metres(lat[:, None], lon[:, None], lat, lon), "env": np.sqrt(((z[:, None] - z) ** 2).sum(axis=2))}
             apart["dual"] = 0.7 * apart["geo"] / apart["geo"].max() + 0.3 * apart["env"] / apart["env"].max()
             m = apart[name]
             picked = [int(np.argmax(np.round(m.mean(axis=1) / m.max(), 12)))]
