@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, materialise, slices
 from .hashed import SLICE, library_table
 
-#: Pieces of one length that are ranked in one group, on average.
-RUN = 50_000
+#: Pieces of one length that are ranked in one group on average, at most, and at least where tasks are idle.
+RUN, SHORT = 50_000, 500
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -107,7 +107,9 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # both tables have a few rows for each length at most, which are ``size``, not for each document
     places = F.broadcast(spark.createDataFrame(slots(patterns(histogram, size)), "length long, first long, after long, sequence long, offset long"))
-    many = F.broadcast(spark.createDataFrame([(k, -(-n // RUN)) for k, n in histogram.items()], "length long, salts long"))
+    # a frequent length is ranked in runs: short ones, for all tasks, while these are few, and then of ``RUN`` pieces
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = F.broadcast(spark.createDataFrame([(k, max(-(-n // RUN), min(-(-n // SHORT), tasks))) for k, n in histogram.items()], "length long, salts long"))
     salted = pieces.join(many, "length").withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).drop("salts")
     # one row for each length and run of pieces of it
     counts = materialise(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "pk-counts")
