@@ -89,6 +89,7 @@ def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str],
     a point's choice depends on earlier points within twice the threshold alone, so rounds decide all points that wait
     for none of these. ``threshold_m`` may name a column that is the same for all rows of a key.
     """
+    points = materialise(points, "link-in")  # read again and again below
     placed = points.filter("latitude is not null and longitude is not null")
     own = F.col(threshold_m) if isinstance(threshold_m, str) else F.lit(float(threshold_m))
     placed = placed.withColumn("_limit", own)
@@ -151,7 +152,7 @@ def _linked_in_waves(rows: DataFrame, near: DataFrame, widest: float, keys: list
 def patches(cells: DataFrame, threshold_m: float, area: str = "survey_area_id", ident: str = "row_id", rank: str = "ecological_support_rank", keys: list[str] = ()) -> DataFrame:
     """One row per complete-link patch: zone_id, member count, radius from its representative (best rank, then site id), members."""
     keys = [*keys]
-    linked = complete_link(cells.withColumn("site_id", F.col(ident).cast("string")), threshold_m, [*keys, area], ident)
+    linked = materialise(complete_link(cells.withColumn("site_id", F.col(ident).cast("string")), threshold_m, [*keys, area], ident), "linked")
     best = linked.groupBy(*keys, area, "founder").agg(F.min(F.struct(F.col(rank), "site_id", "latitude", "longitude")).alias("_r"), F.count("*").alias("zone_member_count"), F.array_sort(F.collect_list(ident)).alias("member_ids"))
     number = F.row_number().over(Window.partitionBy(*keys, area).orderBy("founder"))
     best = best.withColumn("_number", number).select("*", F.col("_r.site_id").alias("representative_site_id"), F.col("_r.latitude").alias("_lat"), F.col("_r.longitude").alias("_lon")).drop("_r")

@@ -580,9 +580,10 @@ def distance_thinning(df: DataFrame, radius_m: float, keys: list[str], ident: st
     What is kept in one component of the radius graph depends on nothing outside it: a task per component of at most
     ``COMPONENT`` rows. In larger ones a row waits for its earlier neighbours only, and rounds decide all that wait for none.
     """
-    near = materialise(within_radius(df, radius_m, keys, ident).select("a", "b"), "thin-near")
-    nodes = df.filter("latitude is not null and longitude is not null").select(F.col(ident).alias("node"))
-    named = materialise(df.select(*keys, ident, "latitude", "longitude").join(components(near, nodes=nodes).withColumnRenamed("node", ident), ident), "thin")
+    points = materialise(df.select(*keys, ident, "latitude", "longitude"), "thin-in")
+    near = materialise(within_radius(points, radius_m, keys, ident).select("a", "b"), "thin-near")
+    nodes = points.filter("latitude is not null and longitude is not null").select(F.col(ident).alias("node"))
+    named = materialise(points.join(components(near, nodes=nodes).withColumnRenamed("node", ident), ident), "thin")
     small, large = by_size(named)
 
     def thin(pool: pd.DataFrame):

@@ -111,10 +111,10 @@ def cover_sql(pairs: str, k: int) -> str:
     return "WITH " + ", ".join(parts) + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1)) + ") "
 
 
-@query(cover_sql(f"SELECT a.survey_area_id AS g, a.row_id AS a, b.row_id AS b FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 3000", 5)
+@query(cover_sql(f"SELECT a.survey_area_id AS g, a.row_id AS a, b.row_id AS b FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 3000", 3)
     + """SELECT g AS survey_area_id, a AS row_id, gain AS marginal_covered_candidates, turn AS coverage_rank, round(sum(gain) OVER (PARTITION BY g ORDER BY turn)/m, 6) AS cumulative_coverage_fraction FROM every JOIN (SELECT survey_area_id AS g, count(*) AS m FROM candidates GROUP BY 1) USING (g)""")
 def k11_max_coverage(v):
-    return rounded(selection.max_coverage(v("candidates"), 3.0, 5, AREA))
+    return rounded(selection.max_coverage(v("candidates"), 3.0, 3, AREA))
 
 
 @query("SELECT round(quantile_cont(row_id%5*400e0 + 400e0, 0.5)/1000, 6) AS scale_km, 'median_candidate_patch_radius_m' AS source FROM candidates")
