@@ -433,13 +433,26 @@ def distribution_regime(regions: DataFrame, table: DataFrame, keys: list[str] =
     return both.select(*keys, "eligible_records", "stable_regions", F.bround("_km", 1).alias("total_span_km"), kind.alias("distribution_regime"))
 
 
-def catchments(members: DataFrame, radius_m: float, keys: list[str], patch_id: str = "candidate_patch_id", ident: str = "row_id", power: float = 1.0) -> DataFrame:
-    """(keys, patch, target, weight): patches with a member within the radius of a member; targets weigh degree ** -power."""
-    near = within_radius(members, radius_m, keys, ident)
+def catchments(members: DataFrame, radius_m: float, keys: list[str], component: str = "survey_area_id", patch_id: str = "candidate_patch_id", ident: str = "row_id", rarity: float = 1.0, balance: float = 0.5) -> DataFrame:
+    """(keys, patch, target, weight): patches of a component with a member within the radius of a member, and themselves.
+
+    A target's weight is the number of patches that cover it to the power -``rarity``, over the number of its component's
+    patches to the power ``balance``, divided by the sum of all targets' of the keys. A patch without coordinates covers
+    itself alone.
+    """
+    by = [*dict.fromkeys([*keys, component])]
+    placed = members.filter("latitude is not null and longitude is not null")
+    near = within_radius(placed, radius_m, by, ident)
     of = members.select(F.col(ident), F.col(patch_id))
-    pairs = near.join(of.withColumnsRenamed({ident: "a", patch_id: "patch"}), "a").join(of.withColumnsRenamed({ident: "b", patch_id: "target"}), "b").select(*keys, "patch", "target").distinct()
-    degree = pairs.groupBy(*keys, "target").agg(F.count("*").alias("degree"))
-    return pairs.join(degree, [*keys, "target"]).withColumn("weight", F.pow("degree", F.lit(-power)))
+    all_ = materialise(members.select(*by, F.col(patch_id).alias("target")).distinct(), "catchment-patches")
+    pairs = near.join(of.withColumnsRenamed({ident: "a", patch_id: "patch"}), "a").join(of.withColumnsRenamed({ident: "b", patch_id: "target"}), "b")
+    pairs = materialise(pairs.select(*by, "patch", "target").unionByName(all_.withColumn("patch", F.col("target"))).distinct(), "catchments")
+    degree = pairs.groupBy(*by, "target").agg(F.count("*").alias("_degree"))
+    size = all_.groupBy(*by).agg(F.count("*").alias("_size"))
+    raw = degree.join(size, by).withColumn("_raw", F.pow("_degree", F.lit(-rarity)) / F.pow("_size", F.lit(balance)))
+    total = raw.groupBy(*keys).agg(F.sum("_raw").alias("_all"))
+    raw = raw.join(total, keys) if keys else raw.crossJoin(F.broadcast(total))
+    return pairs.join(raw.select(*by, "target", (F.col("_raw") / F.col("_all")).alias("weight")), [*by, "target"]).select(*by, "patch", "target", "weight")
 
 
 def patch_responsibility(cells: DataFrame, members: DataFrame, keys: list[str], patch_id: str = "candidate_patch_id", cell: str = "row_id") -> DataFrame:

@@ -1,8 +1,9 @@
 """Choosing finite survey sets.
 
-Pools of at most ``POOL`` rows go through ``per_pool``: one group per key, in NumPy, as many pools at once as there are
-tasks. Larger pools, and all pools of K7-K9 and K11, go through rounds for all keys side by side, each a distributed
-argmax and an update of every row's distance to what was chosen, never a matrix of pairs.
+Pools of at most ``POOL`` rows of K4-K6 go through ``per_pool``: one group per key, in NumPy, as many pools at once as there
+are tasks. Larger ones, and all pools of K7-K9 and K11, go through rounds for all keys side by side, each a distributed
+argmax and an update of every row's distance to what was chosen, never a matrix of pairs. K16-K19 go through
+``lazy_greedy``: passes over all rows, after each of which a task picks from the best rows of a pool.
 """
 
 from __future__ import annotations
@@ -53,6 +54,63 @@ def per_pool(df: DataFrame, keys: list[str], columns: list[str], choose: Order,
     return (slim.groupBy(*keys) if keys else slim.groupBy(F.lit("all"))).applyInPandas(run, schema)
 
 
+#: Rows of a pool that a task of ``lazy_greedy`` takes; rows of a stratum, where a pool has several. Spark drops others early up to 1,000.
+BLOCK, STRATUM = 999, 128
+
+
+def lazy_greedy(rows: DataFrame, k: int, keys: list[str], scored: Callable, choose: Callable, carry: list[str], block: int, attach: Callable | None = None) -> DataFrame:
+    """(keys, _id, decision_rank, utility): up to k greedy picks of each pool by values that only fall as rows are chosen.
+
+    ``rows``: _g (the pool as text), _s (its stratum: rows that may be chosen at the same time), _id, keys and what values need.
+    Each pass, ``scored`` gives all rows left their present ``_key``, a struct that starts with the value v; the best
+    ``block`` rows of each stratum and the next one, whose value bounds all others' from then on, go to one task for the pool. There
+    ``choose`` gives (row, value, bound) again and again; as long as the row's value is above the bound it is picked, as
+    no row outside can be better. The first of a pass always is, so passes are few where bounds are loose and no pool
+    needs more than k. ``choose`` is sent whether its row was taken; rows come in order of ids. ``attach`` adds to the
+    rows that go to tasks.
+    """
+    kinds = dict(rows.dtypes)
+    want = materialise(rows.groupBy("_g").agg(F.least(F.lit(k), F.count("*")).cast("int").alias("_want")), "lazy-want")
+    done_type = "array<struct<decision_rank:int," + ",".join(f"{c}:{kinds[c]}" for c in carry) + ">>"
+    schema = "".join(f"{c} {kinds[c]}, " for c in dict.fromkeys(["_g", "_id", *keys, *carry])) + "decision_rank int, utility double"
+    picks, open_ = None, want.filter("_want > 0")
+
+    def run(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values("_id", kind="stable")
+        inside = pool[pool["_k"] <= block].reset_index(drop=True)
+        done = sorted(({} if d is None else d for d in pool["_done"].iloc[0]), key=lambda d: d["decision_rank"])
+        size, picked, values = int(pool["_want"].iloc[0]), [], []
+        steps = choose(inside, pool[pool["_k"] > block].reset_index(drop=True), done, size)
+        best, value, bar = next(steps)
+        while best >= 0 and (not picked or round(value, 12) > bar):
+            picked.append(best)
+            values.append(float(value))
+            if len(done) + len(picked) == size:
+                break
+            best, value, bar = steps.send(True)
+        out = inside.loc[picked, [*dict.fromkeys(["_g", "_id", *keys, *carry])]].copy()
+        out["decision_rank"], out["utility"] = np.arange(len(picked)) + len(done) + 1, np.asarray(values, float)
+        return out
+
+    while not open_.isEmpty():
+        left = rows.join(open_, "_g")
+        if picks is None:
+            left = left.withColumn("_done", F.array().cast(done_type))
+        else:
+            left = left.join(picks.select("_g", "_id"), ["_g", "_id"], "left_anti")
+            left = left.join(picks.groupBy("_g").agg(F.collect_list(F.struct("decision_rank", *carry)).alias("_done")), "_g")
+        best_first = Window.partitionBy("_g", "_s").orderBy(F.col("_key").desc(), "_id")
+        top = materialise(scored(left, picks).withColumn("_k", F.row_number().over(best_first)).filter(F.col("_k") <= block + 1), "lazy-top")
+        got = (attach(top, picks) if attach else top).groupBy("_g").applyInPandas(run, schema)
+        now = materialise(got if picks is None else picks.unionByName(got), "lazy-picks")
+        discard(top, *([picks] if picks is not None else []))
+        picks = now
+        open_ = materialise(want.join(picks.groupBy("_g").agg(F.count("*").alias("_have")), "_g", "left").filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have"), "lazy-open")
+    if picks is None:
+        return rows.select(*keys, "_id", F.lit(0).alias("decision_rank"), F.lit(0.0).alias("utility")).limit(0)
+    return picks.select(*keys, "_id", "decision_rank", "utility")
+
+
 def score_top_k(df: DataFrame, k: int, keys: list[str], score: str = "priority_score", ident: str = "site_id") -> DataFrame:
     """The k best scores, missing ones last, ties to the smaller id (K3)."""
     w = Window.partitionBy(*keys).orderBy(F.coalesce(F.col(score), F.lit(float("-inf"))).desc(), F.asc(ident))
@@ -309,17 +367,31 @@ def max_coverage(df: DataFrame, radius_km: float, sites: int, keys: list[str], g
 
 
 def coverage_scale_km(df: DataFrame, radius: str = "candidate_patch_radius_m", merge: str = "patch_merge_distance_m") -> tuple[float, str]:
-    """The cover radius that a patch table implies: its one merge distance, else its median positive radius, else an error."""
-    have = [c for c in (merge, radius) if c in df.columns]
-    if merge in have:
-        r = df.agg(F.min(merge).alias("lo"), F.max(merge).alias("hi"), F.count_if(F.col(merge).isNull()).alias("gone")).first()
-        if r.lo is not None and r.lo == r.hi and not r.gone and r.lo > 0:
-            return r.lo / 1000.0, "patch_merge_distance_m"
-    if radius in have:
-        middle = df.filter(F.col(radius) > 0).agg(F.percentile(radius, F.lit(0.5)).alias("m")).first().m
-        if middle:
-            return middle / 1000.0, "median_candidate_patch_radius_m"
-    raise ValueError("no coverage scale: neither one merge distance nor positive radii")
+    """(km, where from): the cover radius that a patch table implies.
+
+    Where there is a merge distance, it must be one finite positive number for all rows, within 1e-9 of the first, else it
+    is an error. Without that column it is the median of the positive finite radii; without any of these an error. An
+    empty table has 0.
+    """
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+    if merge in df.columns:
+        r = df.agg(F.count("*").alias("n"), F.count_if(finite(number(merge)) & (number(merge) > 0)).alias("good"), F.min(number(merge)).alias("lo"), F.max(number(merge)).alias("hi")).first()
+    else:
+        r = df.agg(F.count("*").alias("n")).first()
+    if not r.n:
+        return 0.0, "empty"
+    if merge in df.columns:
+        if r.good < r.n:
+            raise ValueError(f"{merge}: {r.n - r.good} rows lack a finite positive value")
+        if r.hi - r.lo > max(1e-9, 1e-9 * abs(r.lo)):
+            raise ValueError(f"{merge}: values from {r.lo} to {r.hi}, one is needed")
+        return r.lo / 1000.0, merge
+    if radius in df.columns:
+        good = F.when(finite(number(radius)) & (number(radius) > 0), number(radius))
+        middle = df.agg(F.percentile(good, F.lit(0.5)).alias("m")).first().m
+        if middle is not None:
+            return middle / 1000.0, f"median {radius}"
+    raise ValueError("no coverage scale: neither merge distances nor positive radii")
 
 
 def _connected_cover(step_edges: DataFrame, cover: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -434,47 +506,63 @@ PLANS = {
 TYPE_WORDS = {"known": "occurrence|known", "discovery": "habitat|analogue|survey-gap|under-surveyed", "learning": "environmental-test|environmental contrast|sdm-high|ssdm-high"}
 
 
-def portfolio(df: DataFrame, plan: str, k: int, keys: list[str], area: str = "survey_area_id", ident: str = "row_id") -> DataFrame:
+def portfolio(df: DataFrame, plan: str, k: int, keys: list[str], area: str = "survey_area_id", ident: str = "row_id", block: int = STRATUM) -> DataFrame:
     """A quota portfolio: areas first, then types short of their number, then value, spread, access and redundancy.
 
-    ``df`` comes from ``discovery_learning``; travel along a hub route takes no part.
+    ``df`` comes from ``discovery_learning``; travel along a hub route takes no part. Where k allows for every area, each
+    gets one first; among what is allowed, types below their least number go first. Values fall as rows are chosen, so
+    pools of any size go through ``lazy_greedy`` by areas (if each is to get one) and types. Values are compared at 12 digits.
     """
     weights, least = PLANS[plan]
-
-    def choose(pool: pd.DataFrame):
-        n = len(pool)
-        lat, lon = pool["latitude"].to_numpy(float), pool["longitude"].to_numpy(float)
-        kind = pool["candidate_type"].fillna("").str.lower()
-        mask = {c: kind.str.contains(words).to_numpy(bool) for c, words in TYPE_WORDS.items()}
-        want = {c: min(m, int(mask[c].sum())) for c, m in least.items()}
-        size = min(k, n)
+    kind, zero = F.lower(F.coalesce("candidate_type", F.lit(""))), F.lit(0.0)
+    types = {c: kind.rlike(words) for c, words in TYPE_WORDS.items()}
+    fixed = weights["discovery"] * F.col("discovery_value") + weights["learning"] * F.col("learning_value") + weights["survey_gap"] * F.coalesce("survey_gap", zero) + weights["accessibility"] * F.col("accessibility_score")
+    rows = df.select(F.to_json(F.struct(*keys)).alias("_g"), F.col(ident).alias("_id"), *keys, F.col(area).cast("string").alias("_area"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), fixed.alias("_fixed"), *[t.alias(f"_{c}") for c, t in types.items()])
+    pool = rows.groupBy("_g").agg(F.count("*").alias("_n"), F.countDistinct(F.coalesce("_area", F.lit(""))).alias("_areas"), *[F.count_if(f"_{c}").alias(f"_n_{c}") for c in types])
+    rows = rows.join(pool, "_g").withColumn("_first", F.lit(k) >= F.col("_areas"))
+    rows = materialise(rows.withColumn("_s", F.concat_ws("|", *[F.col(f"_{c}").cast("string") for c in types], F.when(F.col("_first"), F.coalesce("_area", F.lit(""))).otherwise(""))), "portfolio")
+
+    def scored(left: DataFrame, picks: DataFrame | None) -> DataFrame:
+        near = F.coalesce(F.array_min(F.transform("_done", lambda c: haversine_m("_lat", "_lon", c["_lat"], c["_lon"]))), F.lit(float("inf")))
+        left = left.withColumn("_near", near)
+        spread = F.when(F.col("_near") == float("inf"), 1.0).otherwise(1 - F.exp(-F.col("_near") / 25_000.0))
+        close = F.when(F.col("_near") == float("inf"), 0.0).otherwise(F.exp(-F.col("_near") / 1_000.0))
+        return left.withColumn("_key", F.struct(F.coalesce(F.round(F.col("_fixed") + weights["representation"] * spread - weights["redundancy"] * close, 12), F.lit(-1e300)).alias("v")))
+
+    names = [*types]
+
+    def choose(rows: pd.DataFrame, hidden: pd.DataFrame, done: list[dict], size: int):
+        both = pd.concat([rows, hidden])
+        mask, total = {c: both[f"_{c}"].to_numpy(bool) for c in names}, both.iloc[0]
+        want = {c: min(m, int(total[f"_n_{c}"])) for c, m in least.items()}
         while sum(want.values()) > size:
             want[max(want, key=want.get)] -= 1
-        areas = pool[area].astype(str).to_numpy()
-        fixed = weights["discovery"] * pool["discovery_value"].to_numpy(float) + weights["learning"] * pool["learning_value"].to_numpy(float)
-        fixed = fixed + weights["survey_gap"] * pool["survey_gap"].fillna(0.0).to_numpy(float) + weights["accessibility"] * pool["accessibility_score"].to_numpy(float)
-        near, left = np.full(n, np.inf), np.ones(n, bool)
-        picked: list[int] = []
-        values: list[float] = []
-        while len(picked) < size:
-            may = left.copy()
-            missing = set(areas) - set(areas[picked])
-            if k >= len(set(areas)) and missing:
-                may &= np.isin(areas, list(missing))
-            short = [c for c in want if mask[c][picked].sum() < want[c] and (mask[c] & left).any()]
+        n, areas = len(rows), both["_area"].fillna("").to_numpy(str)
+        had = {c: sum(bool(d[f"_{c}"]) for d in done) for c in names}
+        met = {d["_area"] or "" for d in done}
+        lat, lon, fix, near = (rows[c].to_numpy(float) for c in ("_lat", "_lon", "_fixed", "_near"))
+        near, live = near.copy(), np.ones(len(both), bool)
+        bars = np.array([key["v"] for key in hidden["_key"]], float)
+        while True:
+            may = live.copy()
+            if total["_first"] and (waiting := set(areas) - met):
+                may &= np.isin(areas, list(waiting))
+            short = [c for c in names if had[c] < want[c] and (mask[c] & live).any()]
             typed = np.any([mask[c] for c in short], axis=0) & may if short else may
             may = typed if typed.any() else may
-            spread = np.where(np.isinf(near), 1.0, 1 - np.exp(-near / 25_000.0))
-            value = fixed + weights["representation"] * spread - weights["redundancy"] * np.where(np.isinf(near), 0.0, np.exp(-near / 1_000.0))
-            best = int(np.argmax(np.where(may, value, -np.inf)))
-            picked.append(best)
-            values.append(float(value[best]))
-            left[best] = False
-            near = np.minimum(near, metres(lat[best], lon[best], lat, lon))
-        return picked, values
+            far = np.isinf(near)
+            value = np.round(fix + weights["representation"] * np.where(far, 1.0, 1 - np.exp(-near / 25_000.0)) - weights["redundancy"] * np.where(far, 0.0, np.exp(-near / 1_000.0)), 12)
+            value = np.nan_to_num(value, nan=-1e300)
+            best = int(np.argmax(np.where(may[:n], value, -np.inf))) if may[:n].any() else -1
+            if not (yield best, value[best] if best >= 0 else 0.0, bars[may[n:]].max(initial=-np.inf)):
+                return
+            live[best] = False
+            met.add(areas[best])
+            for c in names:
+                had[c] += int(mask[c][best])
+            near = np.fmin(near, metres(lat[best], lon[best], lat, lon))
 
-    columns = ["candidate_type", area, "latitude", "longitude", "discovery_value", "learning_value", "accessibility_score", "survey_gap"]
-    return per_pool(df, keys, columns, choose, ident).withColumn("plan", F.lit(plan))
+    return lazy_greedy(rows, k, keys, scored, choose, ["_area", "_lat", "_lon", *[f"_{c}" for c in types]], block).withColumnRenamed("_id", ident).withColumn("plan", F.lit(plan))
 
 
 def portfolio_summary(chosen: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -482,36 +570,86 @@ def portfolio_summary(chosen: DataFrame, keys: list[str] = ()) -> DataFrame:
     return chosen.groupBy(*keys, "plan").agg(F.count("*").alias("selected"), F.avg("utility").alias("mean_utility"))
 
 
-def prototype_greedy(patches: DataFrame, k: int, keys: list[str], patch: str = "candidate_patch_id", weights: tuple[float, ...] = (1.0, 0.25, 0.25, 0.1, 0.0, 0.0, 0.0)) -> DataFrame:
+def prototype_greedy(patches: DataFrame, k: int, keys: list[str], patch: str = "candidate_patch_id", weights: tuple[float, ...] = (1.0, 0.25, 0.25, 0.1, 0.0, 0.0, 0.0), targets: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Patches by gain in prototype coverage + support + new component - cost (K17), + spread + survey gap (K18), + catchment gain.
 
     ``patches`` hold one row per patch: ``responsibility`` (array over prototypes), ``support``, ``component``, ``cost``,
-    ``latitude``, ``longitude``, ``gap`` and ``targets`` (array of catchment patches, each weighing 1). ``weights`` are
-    those of coverage, support, new component, cost, spread, gap and catchment.
+    and where they weigh ``latitude``, ``longitude``, ``spatial_scale_km`` and ``gap``. ``weights`` are those of coverage (a
+    mean over prototypes), support, new component, cost, spread, gap and catchment. Spread is 1 in a component without a
+    chosen patch, else the distance to the nearest chosen one of the component over the component's scale, 1 at most.
+    Catchment gain is the weight of the targets (keys, patch, target, weight) that no chosen patch covers. Ties go by
+    catchment gain, coverage gain, spread, gap, support and cost, as far as they weigh, then to the smaller id; all at 12
+    digits. Every gain falls as patches are chosen, so pools of any size go through ``lazy_greedy``.
     """
-    w = weights
-
-    def choose(pool: pd.DataFrame):
-        r = np.array(pool["responsibility"].tolist(), float)
-        lat, lon = pool["latitude"].to_numpy(float), pool["longitude"].to_numpy(float)
-        fixed = w[1] * pool["support"].to_numpy(float) - w[3] * pool["cost"].to_numpy(float) + w[5] * pool["gap"].to_numpy(float)
-        component, targets = pool["component"].to_numpy(), [set(t) for t in pool["targets"]]
-        state, near, seen, reached = np.zeros(r.shape[1]), np.full(len(pool), np.inf), set(), set()
-        everything = max(1, len(set().union(*targets)))
-        left, picked, values = np.ones(len(pool), bool), [], []
-        while len(picked) < min(k, len(pool)):
-            value = w[0] * np.maximum(r - state, 0).sum(axis=1) / r.shape[1] + fixed + w[2] * ~np.isin(component, list(seen))
-            value = value + w[4] * np.where(np.isinf(near), 0.5, 1 - np.exp(-near / 25_000.0)) + w[6] * np.array([len(t - reached) for t in targets]) / everything
-            best = int(np.argmax(np.where(left, value, -np.inf)))
-            picked.append(best)
-            values.append(float(value[best]))
-            left[best] = False
-            state, near = np.maximum(state, r[best]), np.minimum(near, metres(lat[best], lon[best], lat, lon))
+    w_cover, w_support, w_new, w_cost, w_spread, w_gap, w_catch = weights
+    optional = {"latitude": "_lat", "longitude": "_lon", "spatial_scale_km": "_scale", "gap": "_gap"}
+    pool = F.to_json(F.struct(*keys))
+    rows = patches.select(
+        pool.alias("_g"), F.lit("").alias("_s"), F.col(patch).alias("_id"), *keys, "responsibility", "support", "component", "cost", *[(F.col(c) if c in patches.columns else F.lit(0.0)).cast("double").alias(n) for c, n in optional.items()]
+    )
+    rows = materialise(rows, "greedy")
+    reach = materialise(targets.select(pool.alias("_g"), F.col("patch").alias("_id"), "target", "weight"), "greedy-targets") if targets is not None and w_catch else None
+    ties = [c for c, on in (("catch", w_catch), ("cover", True), ("spread", w_spread), ("gap", w_gap), ("support", True), ("cost", True)) if on]
+
+    def uncovered(picks: DataFrame | None) -> DataFrame:
+        if picks is None:
+            return reach
+        return reach.join(reach.join(picks.select("_g", "_id"), ["_g", "_id"], "left_semi").select("_g", "target").distinct(), ["_g", "target"], "left_anti")
+
+    def scored(left: DataFrame, picks: DataFrame | None) -> DataFrame:
+        state = F.aggregate("_done", F.transform("responsibility", lambda _: F.lit(0.0)), lambda s, c: F.zip_with(s, c["responsibility"], lambda a, b: F.greatest(a, b)))
+        own = F.filter("_done", lambda c: c["component"] == F.col("component"))
+        left = left.withColumns({"_state": state, "_near": F.coalesce(F.array_min(F.transform(own, lambda c: haversine_m("_lat", "_lon", c["_lat"], c["_lon"]))), F.lit(float("inf")))})
+        if reach is not None:
+            left = left.join(uncovered(picks).groupBy("_g", "_id").agg(F.sum("weight").alias("_catch")), ["_g", "_id"], "left").withColumn("_catch", F.coalesce("_catch", F.lit(0.0)))
+        else:
+            left = left.withColumn("_catch", F.lit(0.0))
+        gain = F.aggregate(F.zip_with("responsibility", "_state", lambda r, s: F.greatest(r - s, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b) / F.greatest(F.lit(1), F.size("responsibility"))
+        new = ~F.exists("_done", lambda c: c["component"].eqNullSafe(F.col("component")))
+        part = {"catch": F.col("_catch"), "cover": gain, "spread": F.when(new, 1.0).otherwise(F.least(F.lit(1.0), F.col("_near") / 1000.0 / F.greatest(F.col("_scale"), F.lit(1e-6)))), "gap": F.col("_gap"), "support": F.col("support"), "cost": -F.col("cost")}
+        value = w_cover * part["cover"] + w_support * F.col("support") + w_new * new.cast("double") + w_spread * part["spread"] + w_gap * F.col("_gap") + w_catch * F.col("_catch") - w_cost * F.col("cost")
+        return left.withColumn("_key", F.struct(F.coalesce(F.round(value, 12), F.lit(-1e300)).alias("v"), *[F.round(part[c].cast("double"), 12).alias(c) for c in ties]))
+
+    def with_targets(top: DataFrame, picks: DataFrame | None) -> DataFrame:
+        if reach is None:
+            return top.withColumn("_open", F.lit(None).cast("array<struct<target:long,weight:double>>"))
+        lists = uncovered(picks).join(top.select("_g", "_id"), ["_g", "_id"], "left_semi").groupBy("_g", "_id").agg(F.collect_list(F.struct("target", "weight")).alias("_open"))
+        return top.join(lists, ["_g", "_id"], "left")
+
+    def choose(rows: pd.DataFrame, hidden: pd.DataFrame, done: list[dict], size: int):
+        r = np.array(rows["responsibility"].tolist(), float).reshape(len(rows), -1)
+        lat, lon, scale, near = (rows[c].to_numpy(float) for c in ("_lat", "_lon", "_scale", "_near"))
+        component, near = rows["component"].to_numpy(), near.copy()
+        state, seen = np.array(rows["_state"].iloc[0], float), {d["component"] for d in done}
+        open_ = [{t["target"]: t["weight"] for t in (() if x is None else x)} for x in rows["_open"]]
+        holders: dict = {}
+        for i, own in enumerate(open_):
+            for t in own:
+                holders.setdefault(t, []).append(i)
+        fixed = {"gap": rows["_gap"].to_numpy(float), "support": rows["support"].to_numpy(float), "cost": -rows["cost"].to_numpy(float), "catch": np.array([sum(x.values()) for x in open_])}
+        live = np.ones(len(rows), bool)
+        bar = max((key["v"] for key in hidden["_key"]), default=-np.inf)
+        while True:
+            new = ~np.isin(component, list(seen))
+            part = fixed | {"cover": np.maximum(r - state, 0).sum(axis=1) / max(1, r.shape[1]), "spread": np.where(new, 1.0, np.minimum(1.0, near / 1000.0 / np.maximum(scale, 1e-6)))}
+            value = w_cover * part["cover"] + w_support * part["support"] + w_new * new + w_spread * part["spread"] + w_gap * part["gap"] + w_catch * part["catch"] + w_cost * part["cost"]
+            value = np.nan_to_num(value, nan=-1e300)
+            key = [np.round(value, 12), *[np.round(part[c], 12) for c in ties]]
+            order = np.lexsort([np.arange(len(rows)), *[-c for c in reversed(key)], ~live])
+            best = int(order[0]) if live.any() else -1
+            if not (yield best, value[best] if best >= 0 else 0.0, bar):
+                return
+            live[best] = False
+            state = np.maximum(state, r[best])
             seen.add(component[best])
-            reached |= targets[best]
-        return picked, values
-
-    return per_pool(patches, keys, ["responsibility", "support", "component", "cost", "latitude", "longitude", "gap", "targets"], choose, patch)
+            near = np.where(component == component[best], np.fmin(near, metres(lat[best], lon[best], lat, lon)), near)
+            for t, weight in open_[best].items():
+                for i in holders.pop(t, ()):
+                    fixed["catch"][i] -= weight
+            open_ = [x if i != best else {} for i, x in enumerate(open_)]
+
+    out = lazy_greedy(rows, k, keys, scored, choose, ["responsibility", "component", "_lat", "_lon"], block, with_targets)
+    return out.withColumnRenamed("_id", patch)
 
 
 def largest_remainder(df: DataFrame, total: int, keys: list[str], weight: str = "weight", name: str = "area") -> DataFrame:

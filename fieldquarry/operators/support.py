@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import complete_features, finite
 from ..sources.scratch import materialise
-from .joins import radius_join
+from .joins import pair_distances, radius_join
 from .windows import finite_rank, numbered, percent_rank_average
 
 MAX_PROTOTYPES = 32
@@ -144,30 +144,29 @@ def multi_view(views: dict[str, DataFrame], keys: list[str], target: DataFrame,
     return out
 
 
-def _tree(apart: np.ndarray) -> list[tuple[int, int, float]]:
-    """Edges of the minimum spanning tree of a matrix of distances, grown from the first point; ties to the smaller place."""
-    n = len(apart)
-    best, link, waiting, edges = apart[0].copy(), np.zeros(n, int), np.ones(n, bool), []
-    waiting[0] = False
-    for _ in range(n - 1):
-        j = int(np.where(waiting, best, np.inf).argmin())
-        edges.append((int(link[j]), j, float(apart[link[j], j])))
-        waiting[j] = False
-        closer = waiting & (apart[j] < best)
-        best[closer], link[closer] = apart[j][closer], j
-    return edges
+def _spanning_edges(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, length) of a minimum spanning tree of a matrix of distances: pairs from the shortest on that join two groups."""
+    group = np.arange(len(apart))
+    a, b = np.triu_indices(len(apart), 1)
+    joins = []
+    for pair in np.argsort(apart[a, b], kind="stable"):
+        one, other = group[a[pair]], group[b[pair]]
+        if one != other:
+            group[group == other] = one
+            joins.append(pair)
+    return a[joins], b[joins], apart[a[joins], b[joins]]
 
 
-def _cut(lengths: np.ndarray, deviations: float) -> float:
-    """The length above which edges are cut: median + ``deviations`` scaled MAD, or halfway to the least clearly longer edge."""
+def _long_above(lengths: np.ndarray, deviations: float) -> float:
+    """The length above which an edge is long: median + ``deviations`` x 1.4826 MAD, or halfway to the least edge clearly above the median."""
     if len(lengths) < 2:
         return np.inf
-    middle = float(np.median(lengths))
-    mad = 1.4826 * float(np.median(np.abs(lengths - middle)))
-    longer = lengths[lengths > middle + max(1e-12, 1e-9 * middle)]
-    if mad > 0:
-        return middle + deviations * mad
-    return 0.5 * (middle + float(longer.min())) if len(longer) else np.inf
+    middle = np.median(lengths)
+    spread = np.median(np.abs(lengths - middle))
+    if spread > 0:
+        return float(middle + deviations * 1.4826 * spread)
+    above = lengths[lengths - middle > max(1e-12, 1e-9 * middle)]
+    return float((middle + above.min()) / 2) if len(above) else np.inf
 
 
 def environmental_modes(prototypes: DataFrame, features: list[str], keys: list[str], ident: str = "row_id", deviations: float = 3.0) -> DataFrame:
@@ -182,13 +181,12 @@ def environmental_modes(prototypes: DataFrame, features: list[str], keys: list[s
     def split(group: pd.DataFrame) -> pd.DataFrame:
         row = group.iloc[0]
         z, ids = np.array([list(p) for p in row["prototypes"]]), np.array(row["ids"])
-        edges = _tree(np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)))
-        positive = np.array([length for _, _, length in edges if length > 0])
-        cut = _cut(positive, deviations)
+        one, other, lengths = _spanning_edges(np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)))
+        positive = lengths[lengths > 0]
+        short = lengths <= _long_above(positive, deviations)
         mode = np.arange(len(z))
-        for a, b, length in edges:
-            if length <= cut:
-                mode[mode == max(mode[a], mode[b])] = min(mode[a], mode[b])
+        for a, b in zip(one[short], other[short]):
+            mode[mode == max(mode[a], mode[b])] = min(mode[a], mode[b])
         gap = float(positive.max() / np.median(positive)) if len(positive) else 1.0
         return pd.DataFrame([[*group[keys].iloc[0].tolist(), int(i), int(m), gap] for i, m in zip(ids, np.unique(mode, return_inverse=True)[1])], columns=[*keys, ident, "mode", "gap"])
 
@@ -322,33 +320,63 @@ def perturbations(prototypes: DataFrame, keys: list[str], draws: int, share: flo
     return whole.unionByName(one).unionByName(drawn)
 
 
-def adaptive_threshold(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], levels: list[float], target: float, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
-    """The smallest level at which at least ``target`` of the omitted prototypes' own cells are recovered by the world without them.
+def adaptive_levels(universe: DataFrame, prototypes: DataFrame, features: list[str], keys: list[str], levels: list[float], target: float, ident: str = "row_id", cell: str = "row_id") -> DataFrame:
+    """(keys, level, recovery, median_jaccard, support_quantile): how well each level holds when one prototype is left out.
 
-    Prototypes are cells of the universe. Also the median Jaccard index of a world's mask with the full one.
+    A left-out prototype's rank is that of its distance, in the world without it, among the key's complete cells and itself,
+    ties averaged; with fewer than three prototypes left it is 1, as all cells' ranks are. ``recovery`` is the share of
+    prototypes of rank at most the level, ``median_jaccard`` the median over worlds of the overlap of their mask with that of
+    all prototypes (1 for two empty masks). ``support_quantile`` is the smallest level with a recovery of at least
+    ``target``, 1 if none has it. Levels are met within 1e-12.
     """
-    full = finite_geometry(universe, prototypes, features, keys, ident).select(*keys, cell, F.col("support_rank").alias("_full"))
-    worlds = with_distances(universe.select(*keys, cell, *features), prototype_models(prototypes, features, keys, ident, leave_one_out=True), features, keys)
-    worlds = worlds.select(*keys, cell, "world", F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("_near"))
-    worlds = finite_rank(worlds, "_near", [*keys, "world"], "_r", True).join(full, [*keys, cell]).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    inside, whole = F.col("_r") <= F.col("level"), F.col("_full") <= F.col("level")
-    per = worlds.groupBy(*keys, "level", "world").agg(
-        F.max((inside & (F.col(cell) == F.col("world"))).cast("int")).alias("recovered"), (F.count_if(inside & whole) / F.greatest(F.count_if(inside | whole), F.lit(1))).alias("jaccard")
-    )
-    by_level = per.groupBy(*keys, "level").agg(F.avg("recovered").alias("recovery"), F.percentile("jaccard", F.lit(0.5)).alias("median_jaccard"))
-    best = Window.partitionBy(*keys).orderBy((F.col("recovery") < target).cast("int"), F.when(F.col("recovery") >= target, F.col("level")).otherwise(-F.col("level")))
-    return by_level.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
+    worlds_of = prototype_models(prototypes, features, keys, ident, leave_one_out=True)
+    few = F.size("prototypes") < 3
+    full = with_distances(universe.select(*keys, cell, *features), prototype_models(prototypes, features, keys, ident), features, keys)
+    full = full.select(*keys, cell, few.alias("_few"), F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("_near"))
+    full = finite_rank(full, "_near", keys, "_full", True).select(*keys, cell, F.when(F.col("_few"), 1.0).otherwise(F.col("_full")).alias("_full"))
+    worlds = with_distances(universe.select(*keys, cell, *features), worlds_of, features, keys)
+    worlds = worlds.select(*keys, cell, "world", few.alias("_few"), F.coalesce(F.array_min("_d"), F.lit(float("inf"))).alias("_near"))
+    worlds = materialise(finite_rank(worlds, "_near", [*keys, "world"], "_r", True).withColumn("_r", F.when(F.col("_few"), 1.0).otherwise(F.col("_r"))), "adaptive")
+    left_out = with_distances(complete_features(prototypes, features).select(*keys, F.col(ident).cast("long").alias("_out"), *features), worlds_of, features, keys)
+    left_out = left_out.filter("_out = world").select(*keys, "world", F.array_min("_d").alias("_own"))
+    # average rank of one more value among the finite ones: those below, and half of the ties and itself
+    below, ties, n = F.count_if(F.col("_near") < F.col("_own")), F.count_if(F.col("_near") == F.col("_own")), F.count_if(F.col("_near") < float("inf"))
+    own = worlds.join(left_out, [*keys, "world"]).groupBy(*keys, "world").agg(F.when(F.first("_few") | (n == 0), 1.0).otherwise((below + (ties + 2) / 2) / (n + 1)).alias("_rank"))
+    at = F.explode(F.array(*[F.lit(float(q)) for q in levels])).alias("level")
+    recovery = own.select(*keys, "_rank", at).groupBy(*keys, "level").agg(F.avg((F.col("_rank") <= F.col("level") + 1e-12).cast("double")).alias("recovery"))
+    both = worlds.join(full, [*keys, cell]).select(*keys, "world", "_r", "_full", at)
+    inside, whole = F.col("_r") <= F.col("level") + 1e-12, F.col("_full") <= F.col("level") + 1e-12
+    share = F.when(F.count_if(inside | whole) > 0, F.count_if(inside & whole) / F.count_if(inside | whole)).otherwise(1.0)
+    overlap = both.groupBy(*keys, "level", "world").agg(share.alias("_j")).groupBy(*keys, "level").agg(F.percentile("_j", F.lit(0.5)).alias("median_jaccard"))
+    chosen = F.coalesce(F.min(F.when(F.col("recovery") >= target, F.col("level"))).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))), F.lit(1.0))
+    return recovery.join(overlap, [*keys, "level"]).withColumn("support_quantile", chosen)  # a window over a key's levels
 
 
 def survey_gap(rows: DataFrame, area: str, distance: str = "nearest_training_km") -> DataFrame:
-    """Distance over the area's own 95th percentile, at most 1."""
-    top = rows.groupBy(area).agg(F.percentile(distance, F.lit(0.95)).alias("_p"))
-    return rows.join(top, area).withColumn("gap", F.when(F.col("_p") > 0, F.least(F.lit(1.0), F.col(distance) / F.col("_p"))).otherwise(0.0)).drop("_p")
+    """``gap``: distance to the nearest training point over the area's own 95th percentile, 1e-6 at least, within 0 to 1.
+
+    Rows without a finite distance, so all of an area without training points, have the largest gap, 1.
+    """
+    known = F.when(finite(distance), F.col(distance))
+    top = rows.groupBy(area).agg(F.percentile(known, F.lit(0.95)).alias("_p"))
+    share = known / F.greatest(F.col("_p"), F.lit(1e-6))
+    return rows.join(top, area).withColumn("gap", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(1.0))).drop("_p")
 
 
-def spatial_scale(pairs: DataFrame, keys: list[str], floor: float = 0.25) -> DataFrame:
-    """90th percentile of pair distances, ``floor`` at least."""
-    return pairs.groupBy(*keys).agg(F.greatest(F.lit(floor), F.percentile("distance_m", F.lit(0.9))).alias("spatial_scale"))
+def spatial_scale(points: DataFrame, keys: list[str], ident: str = "row_id", floor_km: float = 0.25) -> DataFrame:
+    """(keys, spatial_scale_km): the 90th percentile of the distances of a key's pairs, ``floor_km`` at least; 1 for a single point.
+
+    The percentile is of all pairs by definition: they are sorted by range partitions, and the two around it are taken by place.
+    """
+    apart = pair_distances(points.withColumnRenamed(ident, "_a"), points.withColumnRenamed(ident, "_b"), keys, "_a", "_b").filter("_a < _b")
+    placed = numbered(apart.select(*keys, "distance_m", "_a", "_b"), ["distance_m", "_a", "_b"], "_k", keys)
+    n = points.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_h", F.lit(0.9) * (F.col("_n") * (F.col("_n") - 1) / 2 - 1))
+    met = placed.join(n, keys) if keys else placed.crossJoin(F.broadcast(n))
+    low, part = F.floor("_h"), F.col("_h") - F.floor("_h")
+    two = met.filter((F.col("_k") - 1 >= low) & (F.col("_k") - 1 <= low + 1)).withColumn("_w", F.when(F.col("_k") - 1 == low, 1 - part).otherwise(part))
+    at = two.groupBy(*keys).agg((F.sum(F.col("distance_m") * F.col("_w")) / 1000.0).alias("_km"))
+    whole = n.select(*keys, "_n").join(at, keys, "left") if keys else n.select("_n").crossJoin(F.broadcast(at))
+    return whole.select(*keys, F.when(F.col("_n") <= 1, 1.0).otherwise(F.greatest(F.lit(floor_km), "_km")).alias("spatial_scale_km"))
 
 
 def tier_masks(ranks: DataFrame, thresholds: list[float], rank: str = "consensus") -> DataFrame:

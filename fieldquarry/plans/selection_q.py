@@ -5,9 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import graph, selection
+from ..operators import graph, joins, selection, support
 from .views import Book, hav, rounded
-from .support_q import _network, _patches
+from .support_q import _CATCHMENT, _network, _patches
 
 BOOK = Book()
 query = BOOK.query
@@ -117,10 +117,41 @@ def k11_max_coverage(v):
     return rounded(selection.max_coverage(v("candidates"), 3.0, 3, AREA))
 
 
-@query("SELECT round(quantile_cont(row_id%5*400e0 + 400e0, 0.5)/1000, 6) AS scale_km, 'median_candidate_patch_radius_m' AS source FROM candidates")
+@query("SELECT round(quantile_cont(row_id%5*400e0, 0.5) FILTER (row_id%5 > 0)/1000, 6) AS scale_km, 'median candidate_patch_radius_m' AS source FROM candidates UNION ALL SELECT 1.5e0, 'patch_merge_distance_m' UNION ALL SELECT 0e0, 'empty'")
 def k12_coverage_scale(v):
-    scale, source = selection.coverage_scale_km(v("candidates").select("row_id", (F.col("row_id") % 5 * 400.0 + 400.0).alias("candidate_patch_radius_m")))
-    return rounded(v("candidates").select(F.lit(scale).alias("scale_km"), F.lit(source).alias("source")).distinct())
+    patches = v("candidates").select("row_id", (F.col("row_id") % 5 * 400.0).alias("candidate_patch_radius_m"))
+    out = None
+    for one in (patches, patches.withColumn("patch_merge_distance_m", F.lit(1500.0)), patches.filter("row_id < 0")):
+        scale, source = selection.coverage_scale_km(one)
+        row = v("candidates").limit(1).select(F.lit(scale).alias("scale_km"), F.lit(source).alias("source"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
+# which rows have no scale: each table breaks one rule in some rows
+@query("""SELECT * FROM (VALUES ('no column', true), ('null', true), ('infinite', true), ('zero', true), ('two values', true), ('within tolerance', false), ('no positive radius', true)) t(fixture, refused) WHERE EXISTS (FROM candidates)""")
+def k12_refused_scales(v):
+    base = v("candidates").select("row_id")
+    first = F.col("row_id") % 7 == 0
+    tables = {
+        "no column": base,
+        "null": base.withColumn("patch_merge_distance_m", F.when(~first, 500.0)),
+        "infinite": base.withColumn("patch_merge_distance_m", F.when(first, float("inf")).otherwise(500.0)),
+        "zero": base.withColumn("patch_merge_distance_m", F.when(first, 0.0).otherwise(500.0)),
+        "two values": base.withColumns({"patch_merge_distance_m": F.when(first, 700.0).otherwise(500.0), "candidate_patch_radius_m": F.lit(300.0)}),
+        "within tolerance": base.withColumn("patch_merge_distance_m", F.when(first, 500.0 + 1e-7).otherwise(500.0)),
+        "no positive radius": base.withColumn("candidate_patch_radius_m", F.lit(0.0)),
+    }
+    out = None
+    for name, table in tables.items():
+        try:
+            selection.coverage_scale_km(table)
+            refused = False
+        except ValueError:
+            refused = True
+        row = base.limit(1).select(F.lit(name).alias("fixture"), F.lit(refused).alias("refused"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query()
@@ -158,15 +189,88 @@ def k16_portfolios(v):
     return rounded(out)
 
 
-@query(greedy_sql("""SELECT *, len(t) AS everything FROM (SELECT survey_area_id AS g, row_id, latitude, longitude, coalesce(analogue_score, 0e0) AS r1, coalesce(sdm_suitability, 0e0) AS r2, row_id%3 AS part, [row_id%7, row_id%5] AS targets, 0.25e0*priority_score - 0.1e0*slope/600 + 0.1e0*aspect/3600 AS fixed FROM candidates)
-    JOIN (SELECT survey_area_id AS g, list_distinct(flatten(list([row_id%7, row_id%5]))) AS t FROM candidates GROUP BY 1) USING (g)""",
-    ["g", "row_id", "latitude", "longitude", "r1", "r2", "part", "targets", "fixed", "everything"], 4, "(r1 + r2)/2 + fixed + 0.25e0 + 0.1e0*0.5e0 + 0.1e0*len(list_distinct(targets))/everything",
-    "(greatest(r1 - s1, 0) + greatest(r2 - s2, 0))/2 + fixed + CASE WHEN fresh THEN 0.25e0 ELSE 0e0 END + 0.1e0*(1 - exp(-near/25000e0)) + 0.1e0*len(list_filter(list_distinct(targets), lambda x: NOT list_contains(reached, x)))/everything",
-    seen=_NEAR + ", max(p.r1) AS s1, max(p.r2) AS s2, count(*) FILTER (p.part = b.part) = 0 AS fresh, flatten(list(p.targets)) AS reached", start=", NULL AS near, 0e0 AS s1, 0e0 AS s2, true AS fresh, [] AS reached")
-    + _picks(4, "g AS survey_area_id, row_id AS candidate_patch_id, decision_rank, round(v, 6) AS utility"))
+_PORTFOLIO = """SELECT survey_area_id%5 AS g, row_id, survey_area_id AS area, latitude, longitude, {weights}, candidate_type IN ('Occurrence-supported survey range') AS t1, candidate_type IN ('Habitat-match', 'Survey-gap') AS t2, candidate_type = 'Environmental-test' AS t3 FROM candidates"""
+_TYPED = "((t1 AND had1 < {w1}) OR (t2 AND had2 < {w2}) OR (t3 AND had3 < {w3})) DESC"
+
+
+def portfolio_sql(plan: str, k: int) -> str:
+    """Rounds of a plan's choice: rows of areas without one first, then rows of types short of their number, then the value."""
+    weights, least = selection.PLANS[plan]
+    fixed = f"{weights['discovery']}e0*priority_score + {weights['learning']}e0*coalesce(analogue_score, 0e0) + {weights['survey_gap']}e0*(row_id%11)/10e0 + {weights['accessibility']}e0*(1 - slope/60e0) AS fixed"
+    value = f"round(fixed + {weights['representation']}e0*(1 - exp(-near/25000e0)) - {weights['redundancy']}e0*exp(-near/1000e0), 12)"
+    # the types' least numbers never exceed k here, and every pool has rows of all types beyond them
+    order = "open DESC, " + _TYPED.format(w1=least["known"], w2=least["discovery"], w3=least["learning"]) + ", v DESC, row_id"
+    seen = _NEAR + ", count(*) FILTER (p.area = b.area) = 0 AS open" + "".join(f", count(*) FILTER (p.t{i}) AS had{i}" for i in (1, 2, 3))
+    start = ", NULL AS near, true AS open, 0 AS had1, 0 AS had2, 0 AS had3"
+    columns = ["g", "row_id", "area", "latitude", "longitude", "fixed", "t1", "t2", "t3"]
+    return greedy_sql(_PORTFOLIO.format(weights=fixed), columns, k, f"round(fixed + {weights['representation']}e0, 12)", value, order, seen, start) + _picks(k, f"g AS pool, row_id, decision_rank, round(v, 6) AS utility, '{plan}' AS plan")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({portfolio_sql(p, 8)})" for p in selection.PLANS))
+def k16_portfolio_choice(v):
+    rows = v("candidates").select(
+        "row_id", "survey_area_id", (F.col("survey_area_id") % 5).alias("pool"), "latitude", "longitude", "candidate_type", F.col("priority_score").alias("discovery_value"), F.coalesce("analogue_score", F.lit(0.0)).alias("learning_value"), (1 - F.col("slope") / 60).alias("accessibility_score"), (F.col("row_id") % 11 / 10).alias("survey_gap")
+    )
+    out = None
+    for plan in selection.PLANS:
+        one = selection.portfolio(rows, plan, 8, ["pool"])
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+# patches are candidates, pools are of five areas, an area is a component; a scale is 90 % of an area's pair distances
+_GREEDY = f"""{_CATCHMENT.format(g="survey_area_id%5", patch="row_id", d=_D)}, scales AS (SELECT a.survey_area_id AS part, greatest(0.25e0, quantile_cont({_D}, 0.9)/1000) AS scale FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id AND a.row_id < b.row_id GROUP BY 1),
+near AS (SELECT a.row_id, min({_D})/1000 AS km FROM candidates a LEFT JOIN detections b ON a.survey_area_id = b.survey_area_id GROUP BY 1), gaps AS (SELECT row_id, CASE WHEN km IS NULL THEN 1e0 ELSE least(1e0, km/greatest(quantile_cont(km, 0.95) OVER (PARTITION BY survey_area_id), 1e-6)) END AS gap FROM near JOIN candidates USING (row_id)),
+reach AS (SELECT g, patch AS row_id, list({{'t': target, 'w': weight}}) AS targets FROM catchment GROUP BY 1, 2)
+SELECT survey_area_id%5 AS g, row_id, survey_area_id AS part, latitude, longitude, coalesce(analogue_score, 0e0) AS r1, coalesce(sdm_suitability, 0e0) AS r2, priority_score AS support, slope/60 AS cost, scale, gap, targets FROM candidates c JOIN scales ON scales.part = c.survey_area_id JOIN gaps USING (row_id) JOIN reach USING (row_id)"""
+_COVER_GAIN = "(greatest(r1 - s1, 0) + greatest(r2 - s2, 0))/2"
+_SPREAD = "CASE WHEN fresh THEN 1e0 ELSE least(1e0, near/1000/scale) END"
+_CAUGHT = "coalesce(list_sum(list_transform(list_filter(targets, lambda x: NOT list_contains(reached, x.t)), lambda x: x.w)), 0e0)"
+_GREEDY_COLUMNS = ["g", "row_id", "part", "latitude", "longitude", "r1", "r2", "support", "cost", "scale", "gap", "targets"]
+
+
+def patch_sql(k: int, w_cover: float, w_support: float, w_new: float, w_cost: float, w_spread: float, w_gap: float, w_catch: float) -> str:
+    value = f"round({w_cover}e0*{_COVER_GAIN} + {w_support}e0*support + CASE WHEN fresh THEN {w_new}e0 ELSE 0e0 END - {w_cost}e0*cost"
+    ties = [f"round({_COVER_GAIN}, 12) DESC"]
+    for w, term in ((w_spread, _SPREAD), (w_gap, "gap"), (w_catch, _CAUGHT)):
+        if w:
+            value += f" + {w}e0*({term})"
+            ties = [f"round({term}, 12) DESC", *ties] if term == _CAUGHT else [*ties, f"round({term}, 12) DESC"]
+    order = ", ".join(["v DESC", *ties, "support DESC", "cost", "row_id"])
+    near = hav("b.latitude", "b.longitude", "p.latitude", "p.longitude")
+    seen = f", min({near}) FILTER (p.part = b.part) AS near, max(p.r1) AS s1, max(p.r2) AS s2, count(*) FILTER (p.part = b.part) = 0 AS fresh, flatten(list(list_transform(p.targets, lambda x: x.t))) AS reached"
+    start = ", NULL AS near, 0e0 AS s1, 0e0 AS s2, true AS fresh, [] AS reached"
+    parts = greedy_sql(_GREEDY, _GREEDY_COLUMNS, k, "{first}", value + ", 12)", order, seen, start)
+    first = (value + ", 12)").replace(_CAUGHT, "coalesce(list_sum(list_transform(targets, lambda x: x.w)), 0e0)").replace(_SPREAD, "1e0").replace("CASE WHEN fresh THEN", "CASE WHEN true THEN").replace("s1", "0e0").replace("s2", "0e0")
+    return parts.replace("{first}", first) + _picks(k, "g AS pool, row_id AS candidate_patch_id, decision_rank, round(v, 6) AS utility")
+
+
+def _greedy_patches(v):
+    """Candidates as patches with their component's scale and survey gap, and their catchments' targets."""
+    rows = v("candidates").withColumn("pool", F.col("survey_area_id") % 5)
+    members = rows.withColumns({"candidate_patch_id": F.col("row_id"), "latitude": F.when(F.col("row_id") % 23 != 0, F.col("latitude"))})
+    targets = graph.catchments(members, 2500.0, ["pool"])
+    near = joins.nearest_training_km(rows, v("detections").withColumnRenamed("row_id", "training_id"), AREA)
+    gaps = support.survey_gap(near, "survey_area_id").select("row_id", "gap")
+    scales = support.spatial_scale(rows.select("survey_area_id", "row_id", "latitude", "longitude"), AREA)
+    rows = rows.join(gaps, "row_id").join(scales, AREA)
+    return rows.select(F.col("row_id").alias("candidate_patch_id"), "pool", F.col("survey_area_id").alias("component"), "latitude", "longitude", F.col("priority_score").alias("support"), (F.col("slope") / 60).alias("cost"), "gap", "spatial_scale_km", F.array(F.coalesce("analogue_score", F.lit(0.0)), F.coalesce("sdm_suitability", F.lit(0.0))).alias("responsibility")), targets
+
+
+@query(patch_sql(6, 1.0, 0.25, 0.25, 0.1, 0.0, 0.0, 0.0))
+def k17_prototype_greedy(v):
+    return rounded(selection.prototype_greedy(_greedy_patches(v)[0], 6, ["pool"], weights=(1.0, 0.25, 0.25, 0.1, 0.0, 0.0, 0.0)))
+
+
+@query(patch_sql(6, 1.0, 0.25, 0.25, 0.1, 0.3, 0.2, 0.0))
+def k18_spatial_greedy(v):
+    return rounded(selection.prototype_greedy(_greedy_patches(v)[0], 6, ["pool"], weights=(1.0, 0.25, 0.25, 0.1, 0.3, 0.2, 0.0)))
+
+
+@query(patch_sql(6, 1.0, 0.1, 0.1, 0.02, 0.3, 0.2, 4.0))
 def k17_k18_k19_prototype_greedy(v):
-    rows = v("candidates").select(F.col("row_id").alias("candidate_patch_id"), "survey_area_id", "latitude", "longitude", F.col("priority_score").alias("support"), (F.col("row_id") % 3).alias("component"), (F.col("slope") / 600).alias("cost"), (F.col("aspect") / 3600).alias("gap"), F.array(F.coalesce("analogue_score", F.lit(0.0)), F.coalesce("sdm_suitability", F.lit(0.0))).alias("responsibility"), F.array(F.col("row_id") % 7, F.col("row_id") % 5).alias("targets"))
-    return rounded(selection.prototype_greedy(rows, 4, AREA, weights=(1.0, 0.25, 0.25, 0.1, 0.1, 0.1, 0.1)))
+    patches, targets = _greedy_patches(v)
+    return rounded(selection.prototype_greedy(patches, 6, ["pool"], weights=(1.0, 0.1, 0.1, 0.02, 0.3, 0.2, 4.0), targets=targets))
 
 
 @query("""WITH w AS (SELECT survey_area_id AS area, CAST(count(*) AS DOUBLE) AS weight FROM candidates GROUP BY 1), e AS (SELECT *, weight*37/sum(weight) OVER () AS e FROM w),

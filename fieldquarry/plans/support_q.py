@@ -165,24 +165,36 @@ def e12_perturbations(v):
     return support.perturbations(_both(v)[1], AREA, 5).select("survey_area_id", "world", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
 
 
-_BOTH_RANKS = f"""WITH loo AS (SELECT a, world, row_id, rank FROM ({_LOO} SELECT a, world, row_id, rank FROM r)), whole AS (SELECT a, row_id, rank AS whole FROM ({_ONE} SELECT a, row_id, rank FROM r)),"""
+_LEVELS = "(VALUES (0.05e0), (0.1e0), (0.2e0), (0.4e0), (0.8e0)) l(level)"
 
 
-@query(_BOTH_RANKS + """ per AS (SELECT a, level, world, max(CASE WHEN rank <= level AND row_id = world THEN 1 ELSE 0 END) AS recovered, count(*) FILTER (rank <= level AND whole <= level)/greatest(count(*) FILTER (rank <= level OR whole <= level), 1) AS jaccard
-  FROM loo JOIN whole USING (a, row_id), (VALUES (0.05e0), (0.1e0), (0.2e0), (0.4e0), (0.8e0)) l(level) GROUP BY 1, 2, 3), by_level AS (SELECT a, level, avg(recovered) AS recovery, quantile_cont(jaccard, 0.5) AS median_jaccard FROM per GROUP BY 1, 2)
-SELECT a AS survey_area_id, level, round(recovery, 6) AS recovery, round(median_jaccard, 6) AS median_jaccard FROM by_level QUALIFY row_number() OVER (PARTITION BY a ORDER BY recovery < 0.5, CASE WHEN recovery >= 0.5 THEN level ELSE -level END) = 1""")
+# left-out prototypes are cells here too: their own distance is found again by their features
+@query(_LOO + f""", own AS (SELECT m.a, m.world, round(min(d), 9) AS own FROM (SELECT m.a, m.world, z.pid, sqrt(sum(pow(p.v/m.s - z.z, 2))) AS d FROM m JOIN p ON p.a = m.a AND p.j = m.j AND p.pid = m.world JOIN z ON z.a = m.a AND z.world = m.world AND z.j = m.j GROUP BY 1, 2, 3) m GROUP BY 1, 2),
+left_out AS (SELECT r.a, r.world, (count(*) FILTER (nearest < own) + (count(*) FILTER (nearest = own) + 2)/2e0)/(count(*) + 1) AS rank FROM r JOIN own ON own.a = r.a AND own.world = r.world GROUP BY 1, 2),
+recovery AS (SELECT a, level, avg(CASE WHEN rank <= level + 1e-12 THEN 1e0 ELSE 0e0 END) AS recovery FROM left_out, {_LEVELS} GROUP BY 1, 2),
+whole AS (SELECT a, row_id, rank AS whole FROM ({_ONE} SELECT a, row_id, rank FROM r)),
+per AS (SELECT r.a, level, world, count(*) FILTER (rank <= level + 1e-12 OR whole <= level + 1e-12) AS n, count(*) FILTER (rank <= level + 1e-12 AND whole <= level + 1e-12) AS met FROM r JOIN whole ON r.a = whole.a AND r.row_id = whole.row_id, {_LEVELS} GROUP BY 1, 2, 3),
+overlap AS (SELECT a, level, quantile_cont(CASE WHEN n > 0 THEN met/n ELSE 1e0 END, 0.5) AS median_jaccard FROM per GROUP BY 1, 2)
+SELECT a AS survey_area_id, level, round(recovery, 6) AS recovery, round(median_jaccard, 6) AS median_jaccard, coalesce(min(level) FILTER (recovery >= {{target}}) OVER (PARTITION BY a), 1e0) AS support_quantile FROM recovery JOIN overlap USING (a, level)""".replace("{target}", "0.5"))
 def e13_adaptive_threshold(v):
     universe, protos = _both(v)
-    return rounded(support.adaptive_threshold(universe, protos, FEATURES, AREA, [0.05, 0.1, 0.2, 0.4, 0.8], 0.5))
+    return rounded(support.adaptive_levels(universe, protos, FEATURES, AREA, [0.05, 0.1, 0.2, 0.4, 0.8], 0.5))
 
 
-@query(f"""WITH n AS (SELECT a.row_id, a.survey_area_id, min({_D})/1000 AS km FROM candidates a JOIN detections b ON a.survey_area_id = b.survey_area_id GROUP BY 1, 2), t AS (SELECT survey_area_id, quantile_cont(km, 0.95) AS p FROM n GROUP BY 1)
-SELECT row_id, round(least(1e0, km/p), 6) AS gap FROM n JOIN t USING (survey_area_id)""")
+# areas of every fifth number have no training points, and detections of one value make an area's distances small
+@query(f"""WITH n AS (SELECT a.row_id, a.survey_area_id, min({_D})/1000 AS km FROM candidates a LEFT JOIN detections b ON a.survey_area_id = b.survey_area_id AND b.survey_area_id%5 <> 0 GROUP BY 1, 2), t AS (SELECT survey_area_id, quantile_cont(km, 0.95) AS p FROM n GROUP BY 1)
+SELECT row_id, round(CASE WHEN km IS NULL THEN 1e0 ELSE greatest(0e0, least(1e0, km/greatest(p, 1e-6))) END, 6) AS gap FROM n JOIN t USING (survey_area_id)""")
 def e14_survey_gap(v):
-    near = joins.nearest_training_km(v("candidates"), v("detections").withColumnRenamed("row_id", "training_id"), AREA)
+    near = joins.nearest_training_km(v("candidates"), v("detections").filter("survey_area_id % 5 <> 0").withColumnRenamed("row_id", "training_id"), AREA)
     return rounded(support.survey_gap(near, "survey_area_id").select("row_id", "gap"))
 
 
+@query(f"""WITH d AS (SELECT a.survey_area_id, quantile_cont({_D}, 0.9)/1000 AS km FROM detections a JOIN detections b ON a.survey_area_id = b.survey_area_id AND a.row_id < b.row_id GROUP BY 1)
+SELECT survey_area_id, round(CASE WHEN n = 1 THEN 1e0 ELSE greatest(0.25e0, km) END, 6) AS spatial_scale_km FROM (SELECT survey_area_id, count(*) AS n FROM detections GROUP BY 1) LEFT JOIN d USING (survey_area_id)""")
+def e14_spatial_scale(v):
+    return rounded(support.spatial_scale(v("detections").select("survey_area_id", "row_id", "latitude", "longitude"), AREA))
+
+
 _TIERS = "(VALUES (0.1e0), (0.25e0), (0.5e0)) s(support_tier)"
 
 
@@ -345,11 +357,17 @@ def g9_distribution_regime(v):
     return graph.distribution_regime(regions, graph.region_table(regions, AREA), AREA)
 
 
-@query(f"""WITH p AS (SELECT DISTINCT a.survey_area_id, CAST(floor(a.row_id/4e0) AS BIGINT) AS patch, CAST(floor(b.row_id/4e0) AS BIGINT) AS target FROM candidates a JOIN candidates b ON a.survey_area_id = b.survey_area_id WHERE {_D} <= 2500)
-SELECT survey_area_id, patch, target, round(1e0/count(*) OVER (PARTITION BY survey_area_id, target), 6) AS weight FROM p""")
+_CATCHMENT = """WITH m AS (SELECT {g} AS g, survey_area_id AS part, {patch} AS patch, row_id, CASE WHEN row_id%23 <> 0 THEN latitude END AS latitude, longitude FROM candidates), every AS (SELECT DISTINCT g, part, patch AS target FROM m),
+pairs AS (SELECT DISTINCT a.g, a.part, a.patch, b.patch AS target FROM m a JOIN m b ON a.part = b.part AND {d} <= 2500 UNION SELECT g, part, target, target FROM every),
+raw AS (SELECT g, part, target, 1e0/degree/sqrt(size) AS raw, raw/sum(raw) OVER (PARTITION BY g) AS weight FROM (SELECT g, part, target, count(*) AS degree FROM pairs GROUP BY 1, 2, 3) JOIN (SELECT g, part, count(*) AS size FROM every GROUP BY 1, 2) USING (g, part)),
+catchment AS (SELECT g, part, patch, target, weight FROM pairs JOIN raw USING (g, part, target))"""
+
+
+# one candidate in 23 has no latitude; pools are of five areas, an area is a component
+@query(_CATCHMENT.format(g="survey_area_id%5", patch="CAST(floor(row_id/50e0) AS BIGINT)", d=_D) + " SELECT g AS pool, part AS survey_area_id, patch, target, round(weight, 9) AS weight FROM catchment")
 def g10_catchments(v):
-    members = v("candidates").withColumn("candidate_patch_id", F.floor(F.col("row_id") / 4))
-    return rounded(graph.catchments(members, 2500.0, AREA).select("survey_area_id", "patch", "target", "weight"))
+    members = v("candidates").withColumns({"pool": F.col("survey_area_id") % 5, "candidate_patch_id": F.floor(F.col("row_id") / 50), "latitude": F.when(F.col("row_id") % 23 != 0, F.col("latitude"))})
+    return rounded(graph.catchments(members, 2500.0, ["pool"]).select("pool", "survey_area_id", "patch", "target", "weight"), 9)
 
 
 @query(_ONE + "SELECT a AS survey_area_id, row_id%20 AS candidate_patch_id, pid AS prototype_id, round(max(exp(-0.5e0*pow(d.d/h, 2))), 6) AS responsibility FROM d JOIN kern USING (a, world) GROUP BY 1, 2, 3")
