@@ -149,6 +149,29 @@ def robustness_summary(runs: DataFrame, keys: list[str], value: str = "recall",
     return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.avg(F.col(success).cast("double")).alias("success_rate"), F.min(value).alias("least"), q[0].alias("q05"), q[1].alias("median"), q[2].alias("q95"))
 
 
+def design_similarity(selected: DataFrame, canonical: str, keys: list[str], design: str = "design", cell: str = "row_id") -> DataFrame:
+    """(keys, design, n_cells, jaccard): overlap of each design's cells with the canonical design's, which may be empty."""
+    cells = selected.select(*keys, design, cell).distinct()
+    own = cells.filter(F.col(design) == canonical).select(*keys, cell, F.lit(1).alias("_c"))
+    size = own.groupBy(*keys).agg(F.count("*").alias("_k"))
+    met = cells.join(own, [*keys, cell], "left").groupBy(*keys, design).agg(F.count("*").alias("n_cells"), F.count("_c").alias("_both"))
+    met = met.join(size, keys, "left") if keys else met.join(F.broadcast(size), F.lit(True), "left")
+    return met.select(*keys, design, "n_cells", (F.col("_both") / (F.col("n_cells") + F.coalesce("_k", F.lit(0)) - F.col("_both"))).alias("jaccard"))
+
+
+def robustness_by_kind(runs: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
+    """Complete recoveries, recovered detections, similarity to the canonical set, farthest detection and size over each kind of perturbation.
+
+    ``runs``: keys, kind, recovered, total, jaccard, max_nearest_km, n_cells.
+    """
+    q = lambda c, share: F.percentile(c, F.lit(share))
+    return runs.groupBy(*keys, kind).agg(
+        F.count("*").alias("n"), F.avg((F.col("recovered") == F.col("total")).cast("double")).alias("complete_recovery_rate"), F.avg("recovered").alias("mean_recovered"), F.min("recovered").alias("min_recovered"),
+        F.avg("jaccard").alias("mean_jaccard"), q("jaccard", 0.05).alias("q05_jaccard"), F.avg("max_nearest_km").alias("mean_max_nearest_km"), q("max_nearest_km", 0.95).alias("q95_max_nearest_km"),
+        F.avg("n_cells").alias("mean_cells"), q("n_cells", 0.05).alias("q05_cells"), q("n_cells", 0.95).alias("q95_cells"),
+    )
+
+
 def facet_counts(df: DataFrame, facet: str, least: int, keys: list[str] = ()) -> DataFrame:
     """Records per species, of those with at least ``least``."""
     return df.groupBy(*keys, facet).agg(F.count("*").alias("records")).filter(F.col("records") >= least)
@@ -160,10 +183,21 @@ def land_fraction(sampled: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def two_stage_means(metrics: DataFrame, first: list[str], then: list[str], value: str) -> DataFrame:
-    """Means of taxon means with their number (A19; the interval comes from ``bootstrap``)."""
+    """Means of taxon means with their number."""
     return metrics.groupBy(*first).agg(F.avg(value).alias(value)).groupBy(*then).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+def accuracy_summary(metrics: DataFrame, columns: list[str], draws: int, taxon: str = "taxon", algorithm: str = "algorithm", seed: int = 0) -> DataFrame:
+    """(algorithm, metric, successful_taxa, valid_folds, mean, ci_low, ci_high): each metric's mean over taxon means and its bootstrap interval."""
+    from .resampling import bootstrap
+
+    long = metrics.select(algorithm, taxon, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_x")).select(algorithm, taxon, "_x.metric", "_x.value")
+    means = long.groupBy(algorithm, "metric", taxon).agg(F.avg(F.when(~F.isnan("value"), F.col("value"))).alias("value"))
+    spread = bootstrap(means, draws, [algorithm, "metric"], "value", taxon, seed).select(algorithm, "metric", "mean", "ci_low", "ci_high")
+    counts = metrics.groupBy(algorithm).agg(F.countDistinct(taxon).alias("successful_taxa"), F.count("*").alias("valid_folds"))
+    return counts.join(spread, algorithm)
+
+
 def complete_folds(declared: DataFrame, folds: DataFrame, repeats: int, methods: list[str], keys: list[str]) -> DataFrame:
     """Every declared pair, repeat and method; what is missing has recall 0 and says so; duplicates are an error."""
     twice = folds.groupBy(*keys, "repeat", "method").count().filter("count > 1").limit(1).collect()

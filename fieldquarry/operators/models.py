@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import finite
 from ..functions.scoring import without_known_locations
 from ..sources.exports import leaked_columns
+from ..sources.scratch import materialise
 from .aggregates import recovered_fraction
 from .joins import fold_coverage
 from .resampling import draw_order, hashed_int, random_sets, spatial_folds
-from .selection import dual_maximin, environmental_maximin, geographic_maximin, heldout_oracle, score_top_k
+from .selection import dual_maximin, environmental_maximin, geographic_maximin, group_policy, heldout_oracle, score_top_k
 from .windows import percent_rank_average
 
 Builder = Callable[[DataFrame], DataFrame]
@@ -65,10 +67,14 @@ def dirichlet_weights(spark, draws: int, names: list[str], seed: int = 0) -> Dat
 def calibrate_weights(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, weights: DataFrame, names: list[str], k: int, keys: list[str], split: DataFrame, taxon: str = "taxon") -> DataFrame:
     """Mean recall of every weight on calibration and on unseen taxa, and which is best on the former (M3).
 
-    ``weights`` has at most a few hundred rows; ``split`` says which taxa are ``calibration``.
+    A candidate's score is the weighted mean of the components that it has, 0 without any. ``weights`` has at most a few
+    hundred rows; ``split`` says which taxa are ``calibration``.
     """
     scored = candidates.crossJoin(F.broadcast(weights.select("weight_id", *[F.col(n).alias(f"_w_{n}") for n in names])))
-    score = sum((F.coalesce(F.col(n), F.lit(0.0)) * F.col(f"_w_{n}") for n in names), F.lit(0.0))
+    part = [F.when(F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")), F.col(f"_w_{n}")) for n in names]
+    total = sum((F.coalesce(F.col(n) * w, F.lit(0.0)) for n, w in zip(names, part)), F.lit(0.0))
+    there = sum((F.coalesce(w, F.lit(0.0)) for w in part), F.lit(0.0))
+    score = F.when(there > 0, total / there).otherwise(0.0)
     w = Window.partitionBy(*keys, "weight_id").orderBy(F.round(score, 9).desc(), "cand_id")
     chosen = scored.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).select(*keys, "weight_id", "cand_id")
     all_ = heldout.groupBy(*keys).agg(F.countDistinct("occ_id").alias("_all"))
@@ -80,6 +86,35 @@ def calibrate_weights(candidates: DataFrame, coverage: DataFrame, heldout: DataF
     return by.withColumn("recommended", best == 1)
 
 
+# fixed values: what a change of weights needs
+CHANGE = {"taxa": 10, "lift": 0.02, "range": 1e-9}
+
+
+def calibration_summary(search: DataFrame, candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, weights: DataFrame, names: list[str], k: int, keys: list[str], split: DataFrame, default_id: int = 0, taxon: str = "taxon", draws: int = 100, seed: int = 0) -> DataFrame:
+    """One row: the chosen weights against the default, chance, the greedy oracle and each component alone, on unseen taxa (M3).
+
+    A change is recommended if calibration tells weights apart, there are at least ten taxa and two components, the lift
+    over the default is above 0.02 and the chosen weights are better than random sets of the same pools. The weights of a
+    single component are those rows of ``weights`` that have nothing else.
+    """
+    unseen = split.filter(~F.col("calibration")).select(taxon)
+    held, pool, met = (df.join(unseen, taxon, "left_semi") for df in (heldout, candidates, coverage))
+    chance = _draw_recall(random_sets(pool, k, draws, keys, "cand_id", seed), met, held, keys).agg(F.avg("random_recall").alias("random_unseen_recall"))
+    oracle = recovered_fraction(heldout_oracle(met, k, keys), met, held, keys).agg(F.avg("recall").alias("oracle_unseen_recall"))
+    alone = [F.max(F.when((F.col(n) == 1) & (F.greatest(*[F.col(m) for m in names if m != n], F.lit(0.0), F.lit(0.0)) == 0), F.col("unseen_recall"))).alias(f"{n}_only_unseen_recall") for n in names]
+    best = lambda c: F.max(F.when(F.col("recommended"), F.col(c)))
+    default = F.max(F.when(F.col("weight_id") == default_id, F.col("unseen_recall")))
+    told = search.join(F.broadcast(weights), "weight_id").agg(
+        best("weight_id").alias("selected_weight_id"), *[best(n).alias(f"selected_{n}") for n in names], best("calibration_recall").alias("selected_calibration_recall"), best("unseen_recall").alias("selected_unseen_recall"),
+        default.alias("default_unseen_recall"), (F.max("calibration_recall") - F.min("calibration_recall")).alias("calibration_recall_range"), *alone,
+    )
+    taxa = split.agg(F.count("*").alias("taxa"))
+    out = told.crossJoin(F.broadcast(chance)).crossJoin(F.broadcast(oracle)).crossJoin(F.broadcast(taxa))  # one row each
+    out = out.withColumns({"lift_over_default": F.col("selected_unseen_recall") - F.col("default_unseen_recall"), "calibration_informative": F.coalesce(F.col("calibration_recall_range") > CHANGE["range"], F.lit(False))})
+    gate = F.col("calibration_informative") & F.lit(len(names) > 1) & (F.col("taxa") >= CHANGE["taxa"]) & (F.col("lift_over_default") > CHANGE["lift"]) & (F.col("selected_unseen_recall") > F.col("random_unseen_recall"))
+    return out.withColumn("recommend_change", F.coalesce(gate, F.lit(False)))
+
+
 def multi_taxon(occurrences: DataFrame, builder: Builder, declared: DataFrame, names: list[str], weights: DataFrame, repeats: int, radius_km: float, k: int, least_taxa: int = 4, taxon: str = "taxon") -> tuple[DataFrame, DataFrame]:
     """(calibration, taxa with their status): every declared taxon in one job, those without folds kept as failures (M4)."""
     candidates, coverage, held = candidate_benchmark(occurrences, builder, [taxon], repeats, radius_km)
@@ -91,21 +126,42 @@ def multi_taxon(occurrences: DataFrame, builder: Builder, declared: DataFrame, n
     return calibrate_weights(candidates, coverage, held, weights, names, k, [taxon, "repeat"], good, taxon), status
 
 
-METHODS = ["score_top_k", "geographic_maximin", "environmental_maximin", "dual_space_maximin", "random_same_pool", "heldout_oracle"]
+METHODS = ["group_policy", "score_top_k", "geographic_maximin", "environmental_maximin", "dual_space_maximin", "random_same_pool", "heldout_oracle"]
+ENVIRONMENTAL = ["environmental_maximin", "dual_space_maximin"]
+
 
+def fold_comparator(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, k: int, keys: list[str], features: list[str] = (), draws: int = 50, seed: int = 0, group: str | None = None) -> DataFrame:
+    """(keys, method, status, selected_count, recall) of the seven selection rules on the same pools (M5).
 
-def fold_comparator(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, k: int, keys: list[str], features: list[str] = (), draws: int = 50, seed: int = 0) -> DataFrame:
-    """(keys, method, recall) of the selection rules on the same pools; environmental ones need usable features (M5)."""
+    Every fold with held-out points has a row for each method. ``group`` names the column of the pool's group, whose frozen policy
+    (K6) is then one of them. Environmental methods need ``features`` without a missing or non-finite value in the fold's
+    pool, else they are ``environmentally_ineligible``; without candidates all are ``missing_fold_candidates``; both have recall 0.
+    """
+    bad = F.lit(False)
+    for f in features:
+        bad = bad | ~F.coalesce(finite(f), F.lit(False))
+    pools = candidates.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(bad).alias("_bad"))
+    usable = candidates.join(pools.filter("not _bad").select(*keys), keys, "left_semi") if features else None
     sets = {"score_top_k": score_top_k(candidates, k, keys, ident="cand_id"), "geographic_maximin": geographic_maximin(candidates, k, keys, "cand_id"), "heldout_oracle": heldout_oracle(coverage, k, keys)}
+    if group:
+        sets["group_policy"] = group_policy(candidates, keys, group, ident="cand_id")
     if features:
-        sets["environmental_maximin"] = environmental_maximin(candidates, k, [*features], keys, "cand_id")
-        sets["dual_space_maximin"] = dual_maximin(candidates, k, [*features], keys, ident="cand_id")
+        sets["environmental_maximin"] = environmental_maximin(usable, k, [*features], keys, "cand_id")
+        sets["dual_space_maximin"] = dual_maximin(usable, k, [*features], keys, ident="cand_id")
     out = None
     for name, chosen in sets.items():
-        one = recovered_fraction(chosen, coverage, heldout, keys).select(*keys, F.lit(name).alias("method"), "recall")
+        count = chosen.groupBy(*keys).agg(F.count("*").alias("selected_count"))
+        one = recovered_fraction(chosen, coverage, heldout, keys).select(*keys, "recall").join(count, keys, "left").withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
     chance = _draw_recall(random_sets(candidates, k, draws, keys, "cand_id", seed), coverage, heldout, keys)
-    return out.unionByName(chance.select(*keys, F.lit("random_same_pool").alias("method"), F.col("random_recall").alias("recall")))
+    chance = chance.join(pools, keys).select(*keys, F.col("random_recall").alias("recall"), F.least(F.lit(k), "_n").alias("selected_count"), F.lit("random_same_pool").alias("method"))
+    names = [m for m in METHODS if group or m != "group_policy"]
+    frame = heldout.select(*keys).distinct().join(pools, keys, "left").withColumn("method", F.explode(F.array(*map(F.lit, names))))
+    hollow = F.col("method").isin(*ENVIRONMENTAL) & (F.lit(not features) | F.coalesce("_bad", F.lit(True)))
+    status = F.when(F.col("_n").isNull(), "missing_fold_candidates").when(hollow, "environmentally_ineligible").otherwise("ok")
+    got = frame.join(out.unionByName(chance), [*keys, "method"], "left").withColumn("status", status)
+    ok = F.col("status") == "ok"
+    return got.select(*keys, "method", "status", F.when(ok, F.coalesce("selected_count", F.lit(0))).otherwise(0).cast("long").alias("selected_count"), F.when(ok, F.coalesce("recall", F.lit(0.0))).otherwise(0.0).alias("recall"))
 
 
 def recovery_at_radii(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, radii_km: list[float], k: int, keys: list[str], draws: int = 50, seed: int = 0) -> DataFrame:
@@ -122,16 +178,31 @@ def recovery_at_radii(candidates: DataFrame, coverage: DataFrame, heldout: DataF
     return own.join(oracle, by, "left").join(chance, by, "left")
 
 
-def nested_policy_choice(inner: DataFrame, keys: list[str], policy: str = "policy", breadth: str = "q", tie: float = 1e-9) -> DataFrame:
-    """For each key the policy of largest mean paired lift over feasible inner folds, ties to the broader, else q = 1 (M7).
+def policy_lifts(inner: DataFrame, keys: list[str], folds: int, fold: str = "fold") -> DataFrame:
+    """(keys, k, q, folds, complete, mean_recall, control_recall, lift) of every policy with q < 1 against the control k = 1, q = 1 (M7).
+
+    ``inner``: keys, k, q, fold, feasible, recall. A policy is complete if it and the control are feasible with a recall in
+    all ``folds`` inner folds; only then it has means.
+    """
+    control = inner.filter("k = 1 and q >= 1").select(*keys, fold, F.col("feasible").alias("_cf"), F.col("recall").alias("_cr"))
+    paired = inner.filter("q < 1").join(control, [*keys, fold])
+    good = F.col("feasible") & F.col("_cf") & F.col("recall").isNotNull() & F.col("_cr").isNotNull()
+    by = paired.groupBy(*keys, "k", "q").agg(F.count("*").alias("folds"), F.count_if(good).alias("_good"), F.avg("recall").alias("_r"), F.avg("_cr").alias("_c"))
+    complete = (F.col("folds") == folds) & (F.col("_good") == folds)
+    by = by.withColumn("complete", complete)
+    when = lambda c: F.when(F.col("complete"), c)
+    return by.select(*keys, "k", "q", "folds", "complete", when(F.col("_r")).alias("mean_recall"), when(F.col("_c")).alias("control_recall"), when(F.col("_r") - F.col("_c")).alias("lift"))
+
+
+def nested_policy_choice(inner: DataFrame, keys: list[str], folds: int, fold: str = "fold", digits: int = 12) -> DataFrame:
+    """(keys, k, q, lift): for each key the complete policy of largest positive lift, ties to the larger q, then to the smaller k, else k = 1, q = 1 (M7).
 
-    ``inner``: keys, policy, q, fold, lift (null where the fold is not feasible). Outer folds see only this choice.
+    ``inner`` as in ``policy_lifts``; lifts tie at ``digits``. Outer folds see only this choice.
     """
-    mean = inner.filter(F.col("lift").isNotNull()).groupBy(*keys, policy, breadth).agg(F.avg("lift").alias("mean_lift"), F.count("*").alias("folds")).filter("mean_lift > 0")
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round(F.col("mean_lift") / tie) * tie), F.desc(breadth), policy)
-    best = mean.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    good = policy_lifts(inner, keys, folds, fold).filter("complete").withColumn("lift", F.round("lift", digits)).filter("lift > 0")
+    best = good.groupBy(*keys).agg(F.max(F.struct("lift", "q", (-F.col("k")).alias("_k"))).alias("_b"))
     out = inner.select(*keys).distinct().join(best, keys, "left")
-    return out.withColumns({policy: F.coalesce(policy, F.lit("fallback")), breadth: F.coalesce(breadth, F.lit(1.0))})
+    return out.select(*keys, F.coalesce(-F.col("_b._k"), F.lit(1)).cast("int").alias("k"), F.coalesce("_b.q", F.lit(1.0)).alias("q"), F.col("_b.lift").alias("lift"))
 
 
 def suitability_ensemble(train: DataFrame, score: DataFrame, features: list[str], label: str = "presence", seed: int = 7) -> DataFrame:
@@ -208,31 +279,76 @@ def probability_metrics(predictions: DataFrame, keys: list[str], label: str = "p
     return base.join(ap, keys).join(boyce, keys, "left")
 
 
-def calibration_line(predictions: DataFrame, label: str = "presence", p: str = "p") -> tuple[float, float]:
-    """(slope, intercept) of the logistic regression of labels on logits."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def calibration_lines(predictions: DataFrame, keys: list[str], label: str = "presence", p: str = "p", ridge: float = 1e-6, steps: int = 50) -> DataFrame:
+    """(keys, calibration_slope, calibration_intercept): the logistic regression of labels on logits of p, all keys at once.
 
-    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-    data = VectorAssembler(inputCols=["_l"], outputCol="_x").transform(predictions.select(F.col(label).cast("double").alias("_y"), F.log(q / (1 - q)).alias("_l")))
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=200, standardization=False).fit(data)
-    return float(model.coefficients[0]), float(model.intercept)
+    Newton's steps from 0: one aggregation of sums a step for all keys, from rows counted by (keys, p, label) once, until no
+    coefficient moves. The slope has a penalty of ``ridge`` / 2 times its square. Keys with one class only have null.
+    """
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p).cast("double")))
+    rows = predictions.filter(F.col(p).isNotNull() & F.col(label).isNotNull()).select(F.struct(*keys, F.lit(0).alias("_all")).alias("_g"), F.log(q / (1 - q)).alias("_l"), F.col(label).cast("double").alias("_y"))
+    rows = materialise(rows.groupBy("_g", "_l", "_y").agg(F.count("*").alias("_m")), "calibration")
+    fits = materialise(rows.groupBy("_g").agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi")).select("_g", (F.col("_lo") < F.col("_hi")).alias("_both"), F.lit(0.0).alias("_b"), F.lit(0.0).alias("_a")), "calibration-fits")
+    for _ in range(steps):
+        at = rows.join(fits.filter("_both"), "_g").withColumn("_p", 1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_l")))))
+        m, x, left, curve = F.col("_m"), F.col("_l"), F.col("_y") - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
+        sums = at.groupBy("_g", "_both", "_b", "_a").agg(F.sum(m * left).alias("_ga"), F.sum(m * left * x).alias("_gb"), F.sum(m * curve).alias("_haa"), F.sum(m * curve * x).alias("_hab"), F.sum(m * curve * x * x).alias("_hbb"))
+        gb, hbb = F.col("_gb") - ridge * F.col("_b"), F.col("_hbb") + ridge
+        det = F.col("_haa") * hbb - F.col("_hab") * F.col("_hab")
+        da, db = (hbb * F.col("_ga") - F.col("_hab") * gb) / det, (F.col("_haa") * gb - F.col("_hab") * F.col("_ga")) / det
+        moved = sums.select("_g", "_both", F.when(det > 0, F.col("_b") + db).otherwise(F.col("_b")).alias("_b"), F.when(det > 0, F.col("_a") + da).otherwise(F.col("_a")).alias("_a"), F.when(det > 0, F.greatest(F.abs(da), F.abs(db))).otherwise(0.0).alias("_move"))
+        moved = materialise(moved, "calibration-fits")
+        most = moved.agg(F.max("_move").alias("m")).first().m
+        fits = moved.drop("_move").unionByName(fits.filter("not _both"))
+        if most is None or most < 1e-12:
+            break
+    return fits.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.when(F.col("_both"), F.col("_b")).alias("calibration_slope"), F.when(F.col("_both"), F.col("_a")).alias("calibration_intercept"))
+
+
+def _ensemble(predictions: DataFrame, names: list[str], settings: DataFrame, prevalence: DataFrame, label: str, taxon: str, fold: str) -> DataFrame:
+    """Every prediction with every setting's probability ``_p``: the weighted mean shrunk towards the fold's training prevalence, its own mean where that is unknown."""
+    sizes = predictions.groupBy(taxon, fold).agg(F.count("*").alias("_n"), F.avg(F.col(label).cast("double")).alias("_own"))
+    prior = prevalence.select(taxon, fold, (F.col("training_presences") / F.col("training_rows")).alias("_prior")).dropDuplicates([taxon, fold])
+    sizes = sizes.join(prior, [taxon, fold], "left").select(taxon, fold, "_n", F.coalesce("_prior", "_own").alias("_prior"))
+    rows = predictions.join(sizes, [taxon, fold]).crossJoin(F.broadcast(settings.select("weight_id", "shrinkage", *[F.col(n).alias(f"_w_{n}") for n in names])))
+    mean = sum((F.col(n) * F.col(f"_w_{n}") for n in names), F.lit(0.0))
+    return rows.withColumn("_p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("_prior") + F.col("shrinkage") * (mean - F.col("_prior")))))
 
 
-def shrinkage_search(predictions: DataFrame, names: list[str], weights: DataFrame, shrinkages: list[float], calibration: DataFrame, label: str = "presence", taxon: str = "taxon", fold: str = "fold") -> DataFrame:
-    """Log loss and Brier score of every ensemble weight and shrinkage to the fold's prevalence, folds weighing alike, on calibration and on unseen taxa.
+def shrinkage_search(predictions: DataFrame, names: list[str], weights: DataFrame, shrinkages: list[float], calibration: DataFrame, prevalence: DataFrame, label: str = "presence", taxon: str = "taxon", fold: str = "fold") -> DataFrame:
+    """Log loss and Brier score of every ensemble weight and shrinkage on calibration taxa, folds weighing alike, and which is best.
 
-    One aggregation over settings: ``weights`` and ``shrinkages`` are declared lists of bounded size.
+    A probability is prior + shrinkage x (weighted mean - prior), where the prior is the fold's training prevalence
+    (``prevalence``: taxon, fold, training_presences, training_rows), never a label that is evaluated, unless it is unknown.
+    One aggregation over settings: ``weights`` and ``shrinkages`` are declared lists of bounded size. Unseen taxa take no
+    part: see ``shrinkage_summary``.
     """
-    base = predictions.withColumns({"_n": F.count("*").over(Window.partitionBy(taxon, fold)), "_prev": F.avg(F.col(label).cast("double")).over(Window.partitionBy(taxon, fold))})
-    settings = weights.select("weight_id", *[F.col(n).alias(f"_w_{n}") for n in names]).withColumn("shrinkage", F.explode(F.array(*map(F.lit, shrinkages))))
-    rows = base.crossJoin(F.broadcast(settings)).join(calibration, taxon)
-    mean = sum((F.col(n) * F.col(f"_w_{n}") for n in names), F.lit(0.0))
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (1 - F.col("shrinkage")) * mean + F.col("shrinkage") * F.col("_prev")))
+    settings = weights.withColumn("shrinkage", F.explode(F.array(*[F.lit(float(s)) for s in shrinkages])))
+    seen = predictions.join(calibration.filter("calibration").select(taxon), taxon, "left_semi")
+    rows = _ensemble(seen, names, settings, prevalence, label, taxon, fold)
     y, w = F.col(label).cast("double"), 1.0 / F.col("_n")
-    loss = -(y * F.log(p) + (1 - y) * F.log(1 - p))
-    part = lambda x, side: F.sum(F.when(side, x * w)) / F.sum(F.when(side, w))
-    seen = F.col("calibration")
-    out = rows.groupBy("weight_id", "shrinkage").agg(part(loss, seen).alias("calibration_log_loss"), part(F.pow(p - y, 2), seen).alias("calibration_brier"), part(loss, ~seen).alias("unseen_log_loss"), part(F.pow(p - y, 2), ~seen).alias("unseen_brier"))
-    best = F.row_number().over(Window.orderBy(F.round("calibration_log_loss", 9), "weight_id", "shrinkage"))  # one row for each setting
+    loss = -(y * F.log("_p") + (1 - y) * F.log(1 - F.col("_p")))
+    out = rows.groupBy("weight_id", "shrinkage").agg((F.sum(loss * w) / F.sum(w)).alias("calibration_log_loss"), (F.sum(F.pow(F.col("_p") - y, 2) * w) / F.sum(w)).alias("calibration_brier"))
+    best = F.row_number().over(Window.orderBy(F.round("calibration_log_loss", 9), F.round("calibration_brier", 9), "weight_id", "shrinkage"))  # one row for each setting
     return out.withColumn("recommended", best == 1)
+
+
+def shrinkage_summary(search: DataFrame, predictions: DataFrame, names: list[str], weights: DataFrame, calibration: DataFrame, prevalence: DataFrame, equal_id: int = 0, label: str = "presence", taxon: str = "taxon", fold: str = "fold") -> DataFrame:
+    """(setting, weight_id, shrinkage, log_loss, brier, roc_auc, recommend_change): the chosen and the equal setting on unseen taxa, means over folds.
+
+    A change is recommended if log loss falls by more than 0.01 and the Brier score falls.
+    """
+    chosen = search.filter("recommended").select("weight_id", "shrinkage", F.lit("selected").alias("setting"))
+    both = chosen.unionByName(chosen.select(F.lit(equal_id).cast("long").alias("weight_id"), F.lit(1.0).alias("shrinkage"), F.lit("equal").alias("setting")))
+    both = materialise(both.join(F.broadcast(weights), "weight_id"), "settings")  # two rows
+    unseen = predictions.join(calibration.filter(~F.col("calibration")).select(taxon), taxon, "left_semi")
+    out = None
+    for setting in ("selected", "equal"):
+        rows = _ensemble(unseen, names, both.filter(F.col("setting") == setting), prevalence, label, taxon, fold)
+        scores = probability_metrics(rows.select(taxon, fold, label, F.col("_p").alias("p")), [taxon, fold], label)
+        one = scores.agg(F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"), F.avg("roc_auc").alias("roc_auc")).crossJoin(F.broadcast(both.filter(F.col("setting") == setting).select("setting", "weight_id", "shrinkage")))
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy(F.lit(0))  # two rows
+    of = lambda c, s: F.max(F.when(F.col("setting") == s, F.col(c))).over(w)
+    better = (of("log_loss", "selected") < of("log_loss", "equal") - 0.01) & (of("brier", "selected") < of("brier", "equal"))
+    return out.withColumn("recommend_change", better).select("setting", "weight_id", "shrinkage", "log_loss", "brier", "roc_auc", "recommend_change")

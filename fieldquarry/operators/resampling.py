@@ -5,10 +5,13 @@ Every draw is an order by md5("seed:draw:id"), so draws depend neither on partit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import quantile_strata
+from ..sources.scratch import materialise
+from .windows import placed_quantiles, quantile_strata
 
 
 def draw_order(seed: int, *parts) -> Column:
@@ -153,44 +156,109 @@ def leave_one_out_range(values: DataFrame, keys: list[str], value: str = "lift",
     return leave_one_out_means(values, keys, value, order).groupBy(*keys).agg(F.min("mean_without").alias("least_mean"), F.max("mean_without").alias("largest_mean"))
 
 
-def half_subsets(values: DataFrame, keys: list[str] = (), value: str = "lift", order: str = "pair_id", most: int = 24) -> DataFrame:
-    """Over all subsets of half of each key's rows: their number and the share with a positive mean (R11); more than ``most`` rows are an error."""
+def half_subsets(values: DataFrame, keys: list[str] = (), value: str = "lift", order: str = "pair_id", threshold: float = 0.015, most: int = 3_000_000) -> DataFrame:
+    """(keys, n, computed, subset_size, subsets, positive_share, threshold_share, q025, q975) over the means of all subsets of half of each key's rows, rounded down.
+
+    ``threshold_share`` is of means of at least ``threshold``. Keys whose subsets are none or more than ``most`` are not
+    computed: the rest is null. A subset is a choice from each half of the rows, so just those of the right size are made.
+    """
     keys = [*keys]
     rows = values.filter(F.col(value).isNotNull())
-    lists = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]).alias("_vs"))
-    if (rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0) > most:
-        raise ValueError(f"subsets are for at most {most} values")
-    masks = lists.withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2), F.col("_n")) - 1).cast("long")))).filter(F.bit_count("_m") == F.floor(F.col("_n") / 2))
-    total = F.aggregate(F.transform("_vs", lambda v, i: F.when(F.expr("_m").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, v).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    return masks.select(*keys, total.alias("_t")).groupBy(*keys).agg(F.count("*").alias("subsets"), F.avg((F.col("_t") > 1e-12).cast("double")).alias("positive_share"))
-
-
-def clustered_inference(declared: DataFrame, folds: DataFrame, repeats: int, draws: int, keys: list[str], method: str, reference: str, pair: str = "pair_id", seed: int = 0) -> DataFrame:
-    """Lift of one method over another on intention-to-evaluate pair means, with its interval and sign-flip p."""
+    lists = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]).alias("_vs"))
+    sizes = {n: math.comb(n, n // 2) for n in range(2, 64) if math.comb(n, n // 2) <= most}
+    small = F.col("n").isin(*sizes)
+    k = F.floor(F.col("n") / 2).cast("int")
+
+    def sums(part) -> list:
+        picks = F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2), F.size(part)) - 1).cast("long"))
+        return [F.explode(picks).alias("_m"), part.alias("_part")]
+
+    taken = lambda v, i: F.when(F.expr("_m").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, v).otherwise(0.0)
+    total = F.aggregate(F.transform("_part", taken), F.lit(0.0), lambda s, x: s + x)
+    some = lists.filter(small)
+    left = some.select(*keys, k.alias("_size"), *sums(F.slice("_vs", F.lit(1), k))).select(*keys, "_size", (F.col("_size") - F.bit_count("_m")).alias("_rest"), total.alias("_a"))
+    right = some.select(*keys, *sums(F.slice("_vs", k + 1, F.col("n")))).select(*keys, F.bit_count("_m").alias("_rest"), total.alias("_b"))
+    means = materialise(left.join(right, [*keys, "_rest"]).select(*keys, ((F.col("_a") + F.col("_b")) / F.col("_size")).alias("_mean")), "subsets")
+    share = lambda c: F.avg(c.cast("double"))
+    by = means.groupBy(*keys).agg(F.count("*").alias("subsets"), share(F.col("_mean") > 1e-12).alias("positive_share"), share(F.col("_mean") >= threshold - 1e-12).alias("threshold_share"))
+    spread = placed_quantiles(means, "_mean", keys, [0.025, 0.975]).withColumnsRenamed({"q0": "q025", "q1": "q975"})
+    both = by.join(spread, keys) if keys else by.crossJoin(F.broadcast(spread))
+    frame = lists.select(*keys, "n", small.alias("computed"), F.when(small, k).alias("subset_size"))
+    return frame.join(both, keys, "left") if keys else frame.join(F.broadcast(both), F.lit(True), "left")
+
+
+def clustered_inference(declared: DataFrame, folds: DataFrame, repeats: int, draws: int, keys: list[str], method: str, reference: str, pair: str = "pair_id", seed: int = 0, oracle: str | None = None) -> DataFrame:
+    """Lift of one method over another on intention-to-evaluate pair means, with its interval and sign-flip p.
+
+    Also pairs and folds that were declared, came back and can be ranked, their rates, and each method's mean over declared
+    pairs (missing folds 0) and over rankable folds alone; the same of an ``oracle`` method, if one is named. A fold came
+    back if it has a row of ``method``.
+    """
     from .aggregates import intention_to_evaluate
 
-    means = intention_to_evaluate(declared.select(*keys, pair), folds, repeats, [method, reference], [], [*keys, pair])
-    wide = means.groupBy(*keys, pair).pivot("method", [method, reference]).agg(F.first("pair_mean"))
+    names = {"method": method, "reference": reference} | ({"oracle": oracle} if oracle else {})
+    pairs = declared.select(*keys, pair).distinct()
+    means = intention_to_evaluate(pairs, folds, repeats, [*names.values()], [], [*keys, pair])
+    wide = means.groupBy(*keys, pair).pivot("method", [*names.values()]).agg(F.first("pair_mean"))
     lifts = wide.withColumn("lift", F.col(f"`{method}`") - F.col(f"`{reference}`"))
-    return bootstrap(lifts, draws, keys, "lift", pair, seed).join(sign_flip(lifts, draws, keys, "lift", pair, seed).drop("mean"), keys)
+    expected = F.count("*") * repeats
+    frame = lifts.groupBy(*keys).agg(F.count("*").alias("declared_pairs"), expected.alias("expected_folds"), *[F.avg(f"`{m}`").alias(f"ite_{n}_recall") for n, m in names.items()])
+    inside = folds.join(pairs, [*keys, pair], "left_semi")
+    own, good = F.col("method") == method, F.col("rankable_fold")
+    counts = inside.groupBy(*keys).agg(F.count_if(own).alias("evaluated_folds"), F.count_if(own & good).alias("rankable_folds"), *[F.avg(F.when((F.col("method") == m) & good, F.col("recall"))).alias(f"rankable_{n}_recall") for n, m in names.items()])
+    out = bootstrap(lifts, draws, keys, "lift", pair, seed).join(sign_flip(lifts, draws, keys, "lift", pair, seed).drop("mean"), keys).join(frame, keys).join(counts, keys, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("evaluated_folds", "rankable_folds")})
+    return out.withColumns({"fold_completion_rate": F.col("evaluated_folds") / F.col("expected_folds"), "rankable_rate_of_expected": F.col("rankable_folds") / F.col("expected_folds")})
+
+
+def half_sample_means(values: DataFrame, draws: int, keys: list[str], value: str = "lift", order: str = "pair_id", seed: int = 0) -> DataFrame:
+    """(keys, draw, mean) of half of the rows, rounded up and two at least, without replacement in hash order."""
+    one = Window.partitionBy(*keys, "draw")
+    rows = values.filter(F.col(value).isNotNull()).select(*keys, order, F.col(value).alias("_v")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    k = F.row_number().over(one.orderBy(draw_order(seed, "draw", F.lit("half"), order), order))
+    rows = rows.withColumns({"_k": k, "_n": F.count("*").over(one)}).filter(F.col("_k") <= F.greatest(F.lit(2), F.ceil(F.col("_n") / 2)))
+    return rows.groupBy(*keys, "draw").agg(F.avg("_v").alias("mean"))
+
+
+# fixed values: what a stable lift needs of leave-one-out means, bootstrap means and half-sample means above zero
+STABLE = {"leave_one_out": 0.90, "bootstrap": 0.95, "half_samples": 0.80}
 
 
 def stability_audit(values: DataFrame, seeds: list[int], draws: int, keys: list[str], value: str = "lift", order: str = "pair_id") -> DataFrame:
-    """Whether the interval stays above zero for every seed and every pair left out."""
+    """Whether a positive mean lift survives other seeds, each pair left out and half of the pairs.
+
+    ``stable``: a positive mean, and shares above zero of at least ``STABLE``, the least over seeds for draws;
+    ``positive_but_composition_sensitive``: a positive mean without that; else ``not_stable``. Keys with fewer than two pairs
+    have no audit: the verdict is null.
+    """
+    some = values.filter(F.col(value).isNotNull())
     runs = None
     for s in seeds:
-        one = bootstrap(values, draws, keys, value, order, s).select(*keys, F.lit(s).alias("seed"), "mean", "ci_low", "ci_high")
+        spread = bootstrap(some, draws, keys, value, order, s).select(*keys, F.col("p_positive").alias("_boot"), "ci_low", "ci_high")
+        halves = half_sample_means(some, draws, keys, value, order, s).groupBy(*keys).agg(F.avg((F.col("mean") > 0).cast("double")).alias("_half"))
+        flips = sign_flip(some, draws, keys, value, order, s).select(*keys, F.col("p_two_sided").alias("_flip"))
+        one = spread.join(halves, keys).join(flips, keys).withColumn("seed", F.lit(s))
         runs = one if runs is None else runs.unionByName(one)
-    summary = runs.groupBy(*keys).agg(F.min("ci_low").alias("least_ci_low"), F.max("ci_low").alias("largest_ci_low"), F.first("mean").alias("mean"))
-    out = summary.join(leave_one_out_range(values, keys, value, order), keys)
-    return out.withColumn("verdict", F.when((F.col("least_ci_low") > 0) & (F.col("least_mean") > 0), "stable positive").when(F.col("largest_ci_low") > 0, "seed dependent").otherwise("not established"))
-
-
-def method_contrasts(results: DataFrame, reference: str, draws: int, pair: str = "pair_id", value: str = "pair_mean", seed: int = 0) -> DataFrame:
-    """Every other method less the reference on pairs that have both, with intervals."""
-    ref = results.filter(F.col("method") == reference).select(pair, F.col(value).alias("_r"))
-    joined = results.filter(F.col("method") != reference).join(ref, pair).withColumn("contrast", F.col(value) - F.col("_r")).filter(F.col("contrast").isNotNull())
-    return bootstrap(joined, draws, ["method"], "contrast", pair, seed)
+    by_seed = runs.groupBy(*keys).agg(F.min("_boot").alias("least_bootstrap_positive"), F.min("_half").alias("least_half_sample_positive"), F.max("_flip").alias("largest_sign_flip_p"), F.min("ci_low").alias("least_ci_low"), F.max("ci_high").alias("largest_ci_high"))
+    v = F.col(value)
+    whole = some.groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg(v).alias("mean"), F.avg((v > 0).cast("double")).alias("positive_share"), F.avg((v >= 0).cast("double")).alias("nonnegative_share"))
+    left = leave_one_out_means(some, keys, value, order).groupBy(*keys).agg(F.min("mean_without").alias("least_mean"), F.max("mean_without").alias("largest_mean"), F.avg((F.col("mean_without") > 0).cast("double")).alias("leave_one_out_positive"))
+    good = (F.col("leave_one_out_positive") >= STABLE["leave_one_out"]) & (F.col("least_bootstrap_positive") >= STABLE["bootstrap"]) & (F.col("least_half_sample_positive") >= STABLE["half_samples"])
+    verdict = F.when(F.col("pairs") < 2, None).when(F.col("mean") <= 0, "not_stable").when(good, "stable").otherwise("positive_but_composition_sensitive")
+    return whole.join(left, keys).join(by_seed, keys).withColumn("verdict", verdict)
+
+
+def method_contrasts(results: DataFrame, references: list[str], draws: int, keys: list[str] = (), pair: str = "pair_id", value: str = "pair_mean", seed: int = 0) -> DataFrame:
+    """(keys, method, reference_method, ...): every other method less each reference, on pairs that have both: mean, interval, share of positive means and two-sided sign-flip p."""
+    keys, out = [*keys], None
+    for reference in references:
+        ref = results.filter(F.col("method") == reference).select(*keys, pair, F.col(value).alias("_r"))
+        joined = results.filter(F.col("method") != reference).join(ref, [*keys, pair]).withColumn("contrast", F.col(value) - F.col("_r")).filter(F.col("contrast").isNotNull())
+        by = [*keys, "method"]
+        one = bootstrap(joined, draws, by, "contrast", pair, seed).join(sign_flip(joined, draws, by, "contrast", pair, seed).select(*by, F.col("p_two_sided").alias("sign_flip_p")), by)
+        one = one.withColumn("reference_method", F.lit(reference))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def claim_gates(summary: DataFrame, pairs: int, least_mean: float = 0.015, level: float = 0.05) -> DataFrame:

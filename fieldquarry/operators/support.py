@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import complete_features, finite
 from ..sources.scratch import materialise
 from .joins import pair_distances, radius_join
-from .windows import finite_rank, numbered, percent_rank_average
+from .windows import finite_rank, numbered, percent_rank_average, placed_quantiles
 
 MAX_PROTOTYPES = 32
 _MODEL = "world long, median array<double>, scale array<double>, prototypes array<array<double>>, ids array<long>, kernel double"
@@ -366,17 +366,13 @@ def survey_gap(rows: DataFrame, area: str, distance: str = "nearest_training_km"
 def spatial_scale(points: DataFrame, keys: list[str], ident: str = "row_id", floor_km: float = 0.25) -> DataFrame:
     """(keys, spatial_scale_km): the 90th percentile of the distances of a key's pairs, ``floor_km`` at least; 1 for a single point.
 
-    The percentile is of all pairs by definition: they are sorted by range partitions, and the two around it are taken by place.
+    The percentile is of all pairs by definition: see ``placed_quantiles``.
     """
     apart = pair_distances(points.withColumnRenamed(ident, "_a"), points.withColumnRenamed(ident, "_b"), keys, "_a", "_b").filter("_a < _b")
-    placed = numbered(apart.select(*keys, "distance_m", "_a", "_b"), ["distance_m", "_a", "_b"], "_k", keys)
-    n = points.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_h", F.lit(0.9) * (F.col("_n") * (F.col("_n") - 1) / 2 - 1))
-    met = placed.join(n, keys) if keys else placed.crossJoin(F.broadcast(n))
-    low, part = F.floor("_h"), F.col("_h") - F.floor("_h")
-    two = met.filter((F.col("_k") - 1 >= low) & (F.col("_k") - 1 <= low + 1)).withColumn("_w", F.when(F.col("_k") - 1 == low, 1 - part).otherwise(part))
-    at = two.groupBy(*keys).agg((F.sum(F.col("distance_m") * F.col("_w")) / 1000.0).alias("_km"))
-    whole = n.select(*keys, "_n").join(at, keys, "left") if keys else n.select("_n").crossJoin(F.broadcast(at))
-    return whole.select(*keys, F.when(F.col("_n") <= 1, 1.0).otherwise(F.greatest(F.lit(floor_km), "_km")).alias("spatial_scale_km"))
+    at = placed_quantiles(apart, "distance_m", keys, [0.9])
+    n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+    whole = n.join(at, keys, "left") if keys else n.join(F.broadcast(at), F.lit(True), "left")
+    return whole.select(*keys, F.when(F.col("_n") <= 1, 1.0).otherwise(F.greatest(F.lit(floor_km), F.col("q0") / 1000.0)).alias("spatial_scale_km"))
 
 
 def tier_masks(ranks: DataFrame, thresholds: list[float], rank: str = "consensus") -> DataFrame:

@@ -64,6 +64,21 @@ def numbered(df: DataFrame, order: list[str], out: str, keys: list[str] = ()) ->
     return dealt.join(totals, [*keys, "_p"]).withColumn(out, F.col("_base") + inside).drop("_p", "_base")
 
 
+def placed_quantiles(df: DataFrame, value: str, keys: list[str], shares: list[float]) -> DataFrame:
+    """(keys, q0, q1, ...): linear quantiles of a value that has too many rows for one task: they are numbered by range partitions and read by place."""
+    keys = [*keys]
+    rows = numbered(df.select(*keys, F.col(value).alias("_v")), ["_v"], "_k", keys)
+    n = rows.groupBy(*keys).agg(F.max("_k").alias("_n"))
+    rows = rows.join(n, keys) if keys else rows.crossJoin(F.broadcast(n))
+    out = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("_n") - 1)
+        part = at - F.floor(at)
+        weight = F.when(F.col("_k") - 1 == F.floor(at), 1 - part).when(F.col("_k") - 2 == F.floor(at), part)
+        out.append(F.sum(weight * F.col("_v")).alias(f"q{i}"))
+    return rows.groupBy(*keys).agg(*out)
+
+
 def spearman(df: DataFrame, a: str, b: str, keys: list[str], least: int = 3) -> DataFrame:
     """Pearson of average ranks; null with fewer than ``least`` pairs or without variation."""
     df = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
