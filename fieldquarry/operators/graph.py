@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,9 +12,10 @@ from ..functions.scoring import candidate_role, with_units
 from ..sources.scratch import discard, materialise
 from .joins import nearest_join, radius_join, within_radius
 from .pairs import distance_sums, metres
+from .tiles import in_tiles, link_step
 from .windows import numbered
 
-#: Points of a component that one task takes in order; larger components are taken in rounds.
+#: Points of a component that one task takes in order; larger components are taken in tiles.
 COMPONENT = 20_000
 
 
@@ -56,24 +55,6 @@ def distance_components(points: DataFrame, radius_m: float, keys: list[str], ide
     return points.join(components(near, nodes=nodes).withColumnRenamed("node", ident), ident)
 
 
-def in_waves(nodes: DataFrame, before: DataFrame, decide: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """Decisions over ``nodes`` (node) of which each needs those of all b in ``before`` (a, b), in as few rounds as that allows.
-
-    ``decide`` takes the nodes that wait for nothing, and all decisions so far (None at first), to one row per node.
-    """
-    open_, before, done, turn = materialise(nodes, "wave-open"), materialise(before.select("a", "b"), "wave-before"), None, 0
-    while not open_.isEmpty():
-        ready = materialise(open_.join(before.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "wave-ready")
-        got = materialise(decide(ready, done), "wave-done")
-        done, turn = got if done is None else done.unionByName(got), turn + 1
-        done = materialise(done, "wave-done") if turn % 16 == 0 else done
-        rest = materialise(open_.join(ready, "node", "left_anti"), "wave-open")
-        later = materialise(before.join(ready.withColumnRenamed("node", "b"), "b", "left_anti"), "wave-before")
-        discard(open_, before, ready)
-        open_, before = rest, later
-    return done if done is not None else decide(open_, None)
-
-
 def by_size(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of components that a task takes, and of those that are larger."""
     large = materialise(named.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") > COMPONENT).select("component"), "large")
@@ -86,8 +67,7 @@ def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str],
     In order of ids a point joins the patch whose farthest member is nearest, if that is within the threshold (ties:
     the older patch), else it founds one. A patch's members are all within the threshold of each other, so patches lie
     within components of the radius graph. Components of at most ``COMPONENT`` points are a group each. In larger ones
-    a point's choice depends on earlier points within twice the threshold alone, so rounds decide all points that wait
-    for none of these. ``threshold_m`` may name a column that is the same for all rows of a key.
+    a point's choice depends on earlier points within twice the threshold alone: see ``tiles``. ``threshold_m`` may name a column that is the same for all rows of a key.
     """
     points = materialise(points, "link-in")  # read again and again below
     placed = points.filter("latitude is not null and longitude is not null")
@@ -125,30 +105,12 @@ def complete_link(points: DataFrame, threshold_m: float | str, keys: list[str],
     kind = dict(slim.dtypes)[ident]
     found = small.groupBy("component").applyInPandas(group, f"{ident} {kind}, founder {kind}")
     if not large.isEmpty():
-        found = found.unionByName(_linked_in_waves(large, near, widest, keys, ident))
+        # a little wider than twice the threshold, as rounding must not part what is exactly that far away
+        rows = large.select(F.col(ident).alias("node"), "component", "latitude", "longitude", F.col("_limit").alias("limit"))
+        found = found.unionByName(in_tiles(rows, 2 * widest * (1 + 1e-9) + 1e-3, link_step, F.col("node")).select(F.col("node").alias(ident), F.col("value").alias("founder")))
     return points.join(found, ident)
 
 
-def _linked_in_waves(rows: DataFrame, near: DataFrame, widest: float, keys: list[str], ident: str) -> DataFrame:
-    """(ident, founder) of large components' points, the same that taking them in order gives."""
-    earlier = near.filter("b < a")
-    # a little wider, as rounding must not part what is exactly twice the threshold away
-    wide = within_radius(rows, 2 * widest * (1 + 1e-9) + 1e-3, keys, ident).filter("b < a")
-
-    def decide(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        if done is None:
-            return ready.select("node", F.col("node").alias("founder"))
-        met = earlier.join(ready.withColumnRenamed("node", "a"), "a").join(done.withColumnRenamed("node", "b"), "b")
-        met = met.groupBy("a", "founder").agg(F.max("distance_m").alias("far"), F.count("*").alias("n"))
-        # all decided members of a patch that it touches are earlier ones: it may join if it is near them all
-        sizes = done.groupBy("founder").agg(F.count("*").alias("size"))
-        best = met.join(sizes, "founder").filter("n = size").groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", "founder")).alias("m"))
-        return ready.join(best, "node", "left").select("node", F.coalesce("m.founder", "node").alias("founder"))
-
-    nodes = rows.select(F.col(ident).alias("node"))
-    return in_waves(nodes, wide, decide).withColumnRenamed("node", ident)
-
-
 def patches(cells: DataFrame, threshold_m: float, area: str = "survey_area_id", ident: str = "row_id", rank: str = "ecological_support_rank", keys: list[str] = ()) -> DataFrame:
     """One row per complete-link patch: zone_id, member count, radius from its representative (best rank, then site id), members."""
     keys = [*keys]

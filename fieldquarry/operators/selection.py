@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import finite, haversine_m
 from ..sources.scratch import discard, materialise
-from .graph import by_size, components, in_waves
+from .graph import by_size, components
 from .joins import radius_join, within_radius
 from .pairs import metres, pair_sums
+from .tiles import in_tiles, thin_step
 
 Order = Callable[[pd.DataFrame], tuple[list[int], list[float]]]
 
@@ -716,7 +717,7 @@ def distance_thinning(df: DataFrame, radius_m: float, keys: list[str], ident: st
     """Rows kept when taken in order, each only if farther than the radius from all kept ones.
 
     What is kept in one component of the radius graph depends on nothing outside it: a task per component of at most
-    ``COMPONENT`` rows. In larger ones a row waits for its earlier neighbours only, and rounds decide all that wait for none.
+    ``COMPONENT`` rows. In larger ones a row depends on its earlier neighbours only: see ``tiles``.
     """
     points = materialise(df.select(*keys, ident, "latitude", "longitude"), "thin-in")
     near = materialise(within_radius(points, radius_m, keys, ident).select("a", "b"), "thin-near")
@@ -734,17 +735,8 @@ def distance_thinning(df: DataFrame, radius_m: float, keys: list[str], ident: st
 
     kept = per_pool(small, ["component"], ["latitude", "longitude"], thin, ident, checked=True).select(ident)
     if not large.isEmpty():
-        earlier = near.filter("b < a")
-
-        def decide(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-            if done is None:
-                return ready.withColumn("kept", F.lit(True))
-            close = earlier.join(done.filter("kept").select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), F.lit(False).alias("far")).distinct()
-            return ready.join(close, "node", "left").select("node", F.coalesce("far", F.lit(True)).alias("kept"))
-
-        rows = large.select(F.col(ident).alias("node"))
-        own = earlier.join(rows.withColumnRenamed("node", "a"), "a", "left_semi")
-        kept = kept.unionByName(in_waves(rows, own, decide).filter("kept").select(F.col("node").alias(ident)))
+        rows = large.select(F.col(ident).alias("node"), "component", "latitude", "longitude", F.lit(float(radius_m)).alias("limit"))
+        kept = kept.unionByName(in_tiles(rows, radius_m, thin_step, F.lit(False)).filter("value").select(F.col("node").alias(ident)))
     return df.join(kept, ident, "left_semi")
 
 
