@@ -32,8 +32,15 @@ def int8_tile(k: int):
         # sums of products of int8 are exact in single precision up to 1,040 dimensions
         exact = np.float32 if x.shape[1] <= 1040 else np.float64
         codes = xc.astype(exact).T
+        top = np.abs(x).max()
 
-        def tile(q_ids: np.ndarray, q: np.ndarray):
+        def tile(q_ids: np.ndarray, q: np.ndarray, held: np.ndarray):
+            most = max(top, np.abs(q).max())
+            if not 1e-100 < most < 1e100:
+                # squares would leave the range of doubles: a power of two scales without rounding
+                unit = 2.0 ** np.floor(np.log2(most))
+                found = int8_tile(k)(ids, x / unit)(q_ids, q / unit, held / unit)
+                return found[0], found[1], found[2] * unit
             qc, qs, qe = quantise(q)
             m, qn = len(q), np.linalg.norm(q, axis=1)
             product = (qc.astype(exact) @ codes).astype(np.float64) * qs[:, None] * xs[None, :]
@@ -43,6 +50,7 @@ def int8_tile(k: int):
             own = q_ids[:, None] == ids[None, :]
             upper = np.where(own, np.inf, middle + slack)
             bar = np.partition(upper, k - 1, axis=1)[:, k - 1] if n > k else np.full(m, np.inf)
+            bar = np.minimum(bar, held**2 * (1 + 1e-9))
             asked, cand = np.nonzero((middle - slack <= bar[:, None]) & ~own)
             score = np.concatenate([np.sqrt(((q[asked[a : a + 65536]] - x[cand[a : a + 65536]]) ** 2).sum(axis=1)) for a in range(0, len(asked), 65536)] or [np.empty(0)])
             out_q, out_v, out_s = [], [], []
@@ -66,6 +74,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     ``is_query`` is a condition over ``id``, a column or SQL. All rows but the query's own are candidates, ties go to the smaller
     id, and all candidates return where there are fewer than k: the bounds make the search exact. Rows with a null id,
     or a vector that is null, empty, zero or holds null or non-finite components, take no part; other columns are
-    ignored. Vectors of another dimension than the query's are not its candidates.
+    ignored. Of several rows with one id that of the smallest vector counts; equal vectors of different ids are candidates
+    each, at distance 0. Vectors of another dimension than the query's are not its candidates. A table without queries or
+    without candidates gives no rows.
     """
     return block_search(usable(vectors, id_col, vector_col, zero=False), is_query, k, int8_tile(k), "double", ascending=True)

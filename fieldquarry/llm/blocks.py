@@ -16,21 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries of a group at most, and of a tile.
-CANDIDATES, QUERIES = 8192, 16384
+#: Candidates and queries of a group at most for vectors of up to ``DIMENSIONS``, fewer of longer ones, and of a tile.
+CANDIDATES, QUERIES, DIMENSIONS = 8192, 16384, 128
 TILE, TILE_QUERIES = 1024, 512
 
-#: (candidate ids, candidate matrix) to a function of (query ids, query matrix), which gives (query id, candidate id, score), at most k of each query
-Prepare = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: (candidate ids, candidate matrix) to a function of (query ids, query matrix, each query's k-th best score so far), which gives (query id, candidate id, score), at most k of each query
+Prepare = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
-    """(id, x array<double>) of rows with an id and a vector of finite components only; ``zero``: all-zero ones too."""
+    """(id, x array<double>) of rows with an id and a vector of finite components only; ``zero``: all-zero ones too.
+
+    Of several such rows with one id that of the smallest vector, component by component, counts.
+    """
     x = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter("id is not null and size(x) > 0")
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.filter(~F.coalesce(bad, F.lit(True)))
-    return rows if zero else rows.filter(F.exists("x", lambda v: v != 0))
+    rows = rows if zero else rows.filter(F.exists("x", lambda v: v != 0))
+    return rows.groupBy("id").agg(F.min("x").alias("x"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -46,14 +50,25 @@ def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, ascending: bool
     return q[first], v[first], s[first]
 
 
+def _kth(q_ids: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, none: float) -> np.ndarray:
+    """The k-th best score that each query has, ``none`` where it has fewer."""
+    out = np.full(len(q_ids), none)
+    q, _, s = held
+    lo, hi = np.searchsorted(q, q_ids), np.searchsorted(q, q_ids, "right")
+    full = hi - lo >= k
+    out[full] = s[lo[full] + k - 1]
+    return out
+
+
 def block_search(rows: DataFrame, is_query, k: int, prepare: Prepare, score_type: str, ascending: bool) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all other rows of its dimension, ties to the smaller id."""
     is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
-    size = rows.select(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    q_blocks = max(1, math.ceil(size.q / QUERIES))
+    size = rows.select(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("x")).alias("d")).first()
+    longer = max(1, math.ceil((size.d or 1) / DIMENSIONS))
+    q_blocks = max(1, math.ceil(size.q * longer / QUERIES))
     # no smaller than a tile, no larger than a group, and if there is choice enough groups for all tasks
     tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c_blocks = max(1, math.ceil(size.n / CANDIDATES), min(math.ceil(size.n / TILE), tasks // q_blocks))
+    c_blocks = max(1, math.ceil(size.n * longer / CANDIDATES), min(math.ceil(size.n / TILE), tasks // q_blocks))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
     rows = rows.withColumn("d", F.size("x"))
     cands = rows.withColumn("c", deal(c_blocks, 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>"))).withColumn("kind", F.lit(1))
@@ -67,14 +82,16 @@ def block_search(rows: DataFrame, is_query, k: int, prepare: Prepare, score_type
         kind = group["kind"].to_numpy()
         ids, x = group["id"].to_numpy(), _matrix(group["x"].combine_chunks())
         q_ids, q, ids, x = ids[kind == 0], x[kind == 0], ids[kind == 1], x[kind == 1]
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind_of.to_pandas_dtype()))]
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind_of.to_pandas_dtype()))
+        held = {b: none for b in range(0, len(q_ids), TILE_QUERIES)}
         for a in range(0, len(ids) if len(q_ids) else 0, TILE):
             tile = prepare(ids[a : a + TILE], x[a : a + TILE])
-            for b in range(0, len(q_ids), TILE_QUERIES):
-                found.append(tile(q_ids[b : b + TILE_QUERIES], q[b : b + TILE_QUERIES]))
-            if len(found) > 64:
-                found = [best_of(*map(np.concatenate, zip(*found)), k, ascending)]
-        best = best_of(*map(np.concatenate, zip(*found)), k, ascending)
+            for b in held:
+                own = q_ids[b : b + TILE_QUERIES]
+                # a candidate of a later tile must be at least as good as the k-th best of earlier ones
+                got = tile(own, q[b : b + TILE_QUERIES], _kth(own, held[b], k, np.inf if ascending else -np.inf))
+                held[b] = best_of(*map(np.concatenate, zip(held[b], got)), k, ascending)
+        best = tuple(map(np.concatenate, zip(none, *held.values())))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, t) for c, t in zip(best, (pa.int64(), pa.int64(), kind_of))))))
 
     found = both.groupBy("c", "q", "d").applyInArrow(run, f"query_id long, vec_id long, score {score_type}")

@@ -138,10 +138,15 @@ def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str
         of: list = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             of[rank] = token
+        def bytes_of(ids: list[int]) -> bytes:
+            if ids and not 0 <= min(ids) <= max(ids) < len(of):
+                raise ValueError("an id that the vocabulary has not")
+            return b"".join([of[i] for i in ids])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if ids is None else b"".join([of[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]) for ids in part.column(names.index(ids_col))]
+                texts = [None if ids is None else bytes_of(ids.values.to_numpy(zero_copy_only=False).tolist()) for ids in part.column(names.index(ids_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
 
     return in_batches(tokens, run, kind)

@@ -199,6 +199,10 @@ def _sorted_blocks(rows: DataFrame, parts: int | None) -> DataFrame:
     return spread.sortWithinPartitions("key", "conv_id")
 
 
+def _one_block(rows: DataFrame) -> DataFrame:
+    return rows.coalesce(1).sortWithinPartitions("key", "conv_id")
+
+
 def prefix_trie(keys: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Nodes of the trie of (conv_id, key, sizes): key of 16-byte turn ids, sizes the turns' bytes.
 
@@ -209,17 +213,18 @@ def prefix_trie(keys: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BY
     without turns are members of the root; a conversation's key must fit a row (2 GiB: 10^8 turns). No rows, no nodes.
     """
     blank = [F.lit(None).cast("array<long>").alias(c) for c in ("n", "first", "kids", "leaves", "saved")]
-    rows, number, levels, parts = keys.select("key", "conv_id", "sizes", *blank), 0, [], None
+    rows, number, levels, parts, before, least = keys.select("key", "conv_id", "sizes", *blank), 0, [], None, None, max(least, 8)
     while True:
         out = _level(_sorted_blocks(rows, parts), number, False, least, block_bytes)
         levels.append(out)
         rows = out.filter(F.col("kind") == PATH).select("key", "conv_id", "sizes", "n", "first", "kids", "leaves", "saved")
         left = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("key") * 4), F.lit(0)).alias("size")).first()
         number += 1
-        if left.rows <= 2 * least or left.size + 200 * left.rows <= block_bytes:
-            # one block is left, and with it every node
-            levels.append(_level(_sorted_blocks(rows, 1), number, True, least, block_bytes))
+        # one block is left, and with it every node; so it is where partitions are too many for records to become fewer
+        if left.rows <= 2 * least or left.size + 200 * left.rows <= block_bytes or (before and 2 * left.rows > before):
+            levels.append(_level(_one_block(rows), number, True, least, block_bytes))
             break
+        before = left.rows
         parts = -(-left.rows // (4 * least))
     everything = levels[0]
     for out in levels[1:]:

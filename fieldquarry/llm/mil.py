@@ -20,8 +20,8 @@ from .common import in_batches, slices
 from .hashed import buffers
 
 PASSAGE = 512
-#: Labelled rows that a model is fitted on at most, and passages of each of them, evenly spaced over its whole text.
-TRAIN_DOCS, TRAIN_PASSAGES = 6000, 32
+#: Labelled ids that a model is fitted on at most, each by all passages of its text, and passages of all of them together.
+TRAIN_DOCS, TRAIN_PASSAGES = 6000, 100_000
 #: Passages whose features are held at once.
 BLOCK = 1024
 PAIRS, HIDDEN, GATE = 128, 24, 12
@@ -164,26 +164,32 @@ def fit(x: np.ndarray, many: np.ndarray, label: np.ndarray, epochs: int = 25, ba
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> Model:
-    """A model of at most ``train_docs`` labelled rows, those first by a hash of the id (ties: the smaller id), each by at most ``train_passages`` passages.
+    """A model of at most ``train_docs`` labelled ids, those first by a hash of the id (ties: the smaller id), by all passages of their texts.
 
-    Of a longer text, passages are taken at even distances from its first to its last. Labels other than 0 and 1, and
-    null ids, don't count; of an id with several labels the larger counts; equal rows are learnt from each.
+    In that order an id is left out if its rows would bring the passages of all above ``train_passages``: the bound is on
+    labelled rows, every text is learnt from whole. Labels other than 0 and 1, and null ids, don't count; of an id with
+    several labels the larger counts; equal rows are learnt from each.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     marked = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # bounded by ``train_docs``
-    rows = rows.join(F.broadcast(marked), "id").select("id", "label", "text")
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)).cast("long")
+    # both broadcasts are bounded by ``train_docs``
+    sizes = rows.select("id", size.alias("n")).join(F.broadcast(marked), "id").groupBy("id", "label").agg(F.sum("n").alias("n")).select("id", "label", "n", F.xxhash64("id").alias("h")).collect()
+    taken, left = [], train_passages
+    for one in sorted(sizes, key=lambda r: (r.h, r.id)):
+        if one.n <= left:
+            taken.append((one.id, one.label))
+            left -= one.n
+    chosen = docs.sparkSession.createDataFrame(taken, "id long, label int")
+    rows = rows.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             data, edges, many = passages(batch.column(2))
-            first, taken = np.cumsum(many) - many, np.minimum(many, train_passages)
-            place = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
-            wanted = np.repeat(first, taken) + place * (np.repeat(many, taken) - 1) // np.maximum(np.repeat(taken, taken) - 1, 1)
-            x = np.concatenate([part[wanted[(wanted >= at) & (wanted < at + len(part))] - at] for at, part in feature_blocks(data, edges)])
-            ends = np.cumsum(taken)
-            packed = [x[b - k : b].tobytes() for b, k in zip(ends.tolist(), taken.tolist())]
+            x = np.concatenate([part for _, part in feature_blocks(data, edges)])
+            ends = np.cumsum(many)
+            packed = [x[b - k : b].tobytes() for b, k in zip(ends.tolist(), many.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "x"])
 
     got = in_batches(rows, run, "id long, label int, x binary").toArrow()

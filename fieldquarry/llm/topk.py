@@ -3,7 +3,7 @@
 In a block every dimension has its candidates sorted by component; a query reads a list from the end that its own
 component's sign makes best. After the first L entries of every list, a candidate's score lies between its seen part
 plus the least, and plus the most, that its unseen entries can still add. Reading goes deeper until, for each query,
-so few candidates can still reach the k-th lower bound that their scores are worth resolving.
+so few candidates can still reach the k-th lower bound, or the k-th score of tiles before, that their scores are worth resolving.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ def nra_tile(k: int):
         largest = np.abs(x).max(axis=0)
         ints = x.astype(np.int64)
 
-        def tile(q_ids: np.ndarray, q: np.ndarray):
+        def tile(q_ids: np.ndarray, q: np.ndarray, held: np.ndarray):
             m = len(q)
+            if q.shape[1] * max(1.0, largest.max()) * max(1.0, np.abs(q).max()) >= 2.0**62:
+                raise OverflowError("scores of such components may pass 64 bits")
             up, un = np.maximum(q, 0.0), np.minimum(q, 0.0)
             # bounds are sums of d products in floating point; this slack covers their rounding
             slack = 1e-9 * (np.abs(q) @ largest) + 1e-9
@@ -52,6 +54,7 @@ def nra_tile(k: int):
                 own = ids[:, None] == q_ids[live][None, :]
                 most[own], least[own] = -np.inf, -np.inf
                 bar = np.partition(least, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
+                bar = np.maximum(bar, held[live])
                 open_ = (most >= bar - 2 * slack[live]) & ~own
                 done = (open_.sum(axis=0) <= 4 * k) | (depth == n)
                 cand, col = np.nonzero(open_[:, done])
@@ -77,8 +80,10 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_
 
     ``is_query`` is a condition over ``id``, a column or SQL. All rows but the query's own are candidates; ties go to the smaller
     id; all candidates return where there are fewer than k. Rows with a null id, or a vector that is null, empty or
-    holds null or non-finite components, take no part; other columns are ignored. Components times ``scale`` are
-    expected below 2**24, so that sums are exact. Vectors of another dimension than the query's are not its candidates.
+    holds null or non-finite components, take no part; other columns are ignored. Of several
+    rows with one id that of the smallest vector counts; equal vectors of different ids are candidates each. Components
+    whose products could pass 64 bits are an error. Vectors of another dimension than the query's are not its candidates.
+    A table without queries or without candidates gives no rows.
     """
     rows = usable(vectors, id_col, vector_col, zero=True)
     rows = rows.withColumn("x", F.transform("x", lambda v: F.floor(v * scale).cast("double")))

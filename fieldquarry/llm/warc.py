@@ -21,8 +21,9 @@ from .common import fresh_path, in_batches, materialise
 
 #: Payloads under so many bytes are never stored as revisits.
 REVISIT_BYTES = 100
-#: Records in a file at most, and copies of one record that are dealt out together.
-FILE_RECORDS, RUN = 4000, 1000
+#: Records in a file at most, half as many for each doubling of their payload above ``SMALL`` bytes, so that a file has some
+#: 128 MB, a single larger record aside; and copies of one record that are dealt out together.
+FILE_RECORDS, SMALL, RUN = 4000, 32_000, 1000
 # fixed values: the two header layouts of the format and the profile name of revisit records
 FIELDS = {
     b"1": ("url", "ip", "date", "type", "length"),
@@ -32,7 +33,9 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, payload) of each record after the version block."""
+    """(header fields, payload) of each record after the version block; a gzip file, of one member or one a record, is inflated first."""
+    if content[:2] == b"\x1f\x8b":
+        content = b"".join(inflated(content))
     at, names = 0, None
     while at < len(content):
         if content[at] == 0x0A:  # separators between records
@@ -53,9 +56,17 @@ def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if names is None:
                 raise ValueError(f"unknown version {version!r}")
             continue
-        if len(parts) != len(names):
-            raise ValueError(f"{len(parts)} header fields where the version has {len(names)}")
-        yield dict(zip(names, (p.decode("utf-8", "replace") for p in parts))), block
+        yield dict(zip(names, (p.decode("utf-8", "replace") for p in _fields(parts, len(names))))), block
+
+
+def _fields(parts: list[bytes], many: int) -> list[bytes]:
+    """A header line's fields: URLs and content types may hold spaces, so they are what is left of the address before the date and right of the date."""
+    after = many - 4  # fields that follow the content type
+    for at in range(len(parts) - after - 2, 1, -1):
+        if parts[at].isdigit() and 4 <= len(parts[at]) <= 14 and any(c in parts[at - 1] for c in b".:-"):
+            middle = b" ".join(parts[at + 1 : len(parts) - after])
+            return [b" ".join(parts[: at - 1]), parts[at - 1], parts[at], middle, *parts[len(parts) - after :]]
+    raise ValueError(f"no address and date among {len(parts)} header fields")
 
 
 def iso_date(digits: str) -> str:
@@ -110,6 +121,8 @@ def _numbered(records: DataFrame, keys: DataFrame) -> DataFrame:
     Equal records are counted and stored once, then dealt out again in runs of ``RUN``, so no task takes a hot one's copies.
     """
     repeats = materialise(keys.groupBy("record_id").agg(F.count("*").alias("n")).filter("n > 1"), "warc-repeats")
+    if repeats.isEmpty():  # then no record is looked at twice
+        return records.withColumn("copy", F.lit(0).cast("long"))
     alone = records.join(repeats, "record_id", "left_anti").withColumn("copy", F.lit(0).cast("long"))
     once = records.join(repeats, "record_id").groupBy("record_id").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in records.columns if c != "record_id"])
     runs = once.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long")))).repartition("record_id", "run")
@@ -149,8 +162,13 @@ def write_warc(records: DataFrame, out: str) -> None:
         F.lit("\r\n"),
     )
     body = F.when(F.col("again"), F.lit("")).otherwise(F.col("payload").cast("string"))
-    values = joined.select(F.concat(head, body).alias("value"))
-    values.write.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(out)
+    # a file is read as one value again: larger records go to files of fewer
+    level = lambda size: F.when(size <= SMALL, 0).otherwise(F.ceil(F.log2(size / SMALL)).cast("int"))
+    levels = [r.l for r in keys.select(level(F.col("payload_bytes")).alias("l")).distinct().orderBy("l").collect()] or [0]
+    for one in levels:  # at most 17: a payload has less than 2 GiB
+        own = joined.filter(level(F.col("payload_bytes")) == one) if len(levels) > 1 else joined
+        values = own.select(F.concat(head, body).alias("value"))
+        values.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", max(1, FILE_RECORDS >> one)).text(out)
 
 
 def inflated(content: bytes | memoryview, step: int = 1 << 20) -> Iterator[bytes]:

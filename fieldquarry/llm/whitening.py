@@ -30,10 +30,12 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def integers(vectors: DataFrame, scale: int, shift: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, x array<long>) of rows whose vector has finite components only: floor(scale * c) + shift."""
+    """(id, d, x array<long>) of rows whose vector has d finite components only: floor(scale * c) + shift, null where that is beyond 2**60."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("size(v) > 0")
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return rows.filter(~F.coalesce(bad, F.lit(True))).select("id", F.transform("v", lambda c: F.floor(c * scale) + shift).alias("x"))
+    # Spark may look at x before it drops a row, so x must be safe for any c
+    x = F.transform("v", lambda c: F.when(F.abs(c) < 2.0**60 / scale, F.floor(c * scale) + shift))
+    return rows.filter(~F.coalesce(bad, F.lit(True))).select("id", F.size("v").alias("d"), x.alias("x"))
 
 
 def summed(df: DataFrame, block: Callable[[pa.RecordBatch], np.ndarray], width: int) -> np.ndarray:
@@ -70,14 +72,16 @@ def whiten(vectors: DataFrame, components: int = 32, scale: int = 64, shift: int
     """
     spark = vectors.sparkSession
     rows = integers(vectors, scale, shift, id_col, vector_col)
-    sized = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
+    sized = rows.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
     schema = f"`{id_col}` long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if sized is None:
         return spark.createDataFrame([], schema)
     d, n = sized.d, sized.n
-    rows = rows.filter(F.size("x") == d)
+    rows = rows.filter(F.col("d") == d)
     distinct = materialise(rows.groupBy("x").agg(F.count("*").alias("w")), "vectors")
-    sums = distinct.select("w", F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("c")).alias("s"), F.max(F.abs("c")).alias("most")).collect()
+    sums = distinct.select("w", F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("c")).alias("s"), F.max(F.abs("c")).alias("most"), F.max(F.col("c").isNull()).alias("beyond")).collect()
+    if any(r.beyond for r in sums):
+        raise OverflowError("components pass 60 bits")
     exact = {r.i: int(r.s) for r in sums}
     if n * max(int(r.most) for r in sums) >= 2**62:
         raise OverflowError("sums of components pass 64 bits")

@@ -172,7 +172,7 @@ def test_nra_tile_in_small_depths(monkeypatch):
     monkeypatch.setattr(topk, "FIRST_DEPTH", 2)
     rng = np.random.default_rng(3)
     x = rng.integers(-50, 50, (400, 5)).astype(float)
-    q, v, s = topk.nra_tile(3)(np.arange(400), x)(np.arange(20), x[:20])
+    q, v, s = topk.nra_tile(3)(np.arange(400), x)(np.arange(20), x[:20], np.full(20, -np.inf))
     for i in range(20):
         want = sorted((-int(x[i] @ x[j]), j) for j in range(400) if j != i)[:3]
         assert sorted((-b, a) for a, b in zip(v[q == i].tolist(), s[q == i].tolist())) == want
@@ -452,6 +452,45 @@ def test_arc_versions():
     assert warc.iso_date("19970302030405") == "1997-03-02T03:04:05Z" and warc.iso_date("19970302") == "1997-03-02T00:00:00Z"
     with pytest.raises(ValueError):
         list(warc.arc_records(two[:-3]))
+    odd = one.replace(b"http://u 1.2.3.4 199703 text/html 5", b"http://u/a b 20200101 1.2.3.4 199703 text/html; charset=utf-8 5")
+    got = list(warc.arc_records(gzip.compress(odd)))
+    assert [(h["url"], h["type"], p) for h, p in got] == [("http://u/a b 20200101", "text/html; charset=utf-8", b"hello"), ("http://v", "text/html", b"")]
+    assert list(warc.arc_records(gzip.compress(one[:60]) + gzip.compress(one[60:]))) == list(warc.arc_records(one))
+    with pytest.raises(ValueError):
+        list(warc.arc_records(one.replace(b"199703 text/html 5", b"text/html 5")))
+
+
+def test_large_records_go_to_files_of_few(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 4)
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    rows = [(i, "u", "x" * size) for i, size in enumerate([0, 10, 500, 900, 1000, 1500, 3000, 3500, 9000, 20_000, 999])]
+    got = warc.archive(pages(spark, rows), str(tmp_path / "out")).collect()
+    assert {r.page_id: r.payload_bytes for r in got} == {i: len(t) for i, _, t in rows}
+    assert max(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < 24_000
+
+
+def test_repeated_ids_and_huge_components(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(1, 60)] + [(0, [2.0, 1.0, 0.0]), (0, [1.0, 9.0, 9.0]), (100, [3.0, 3.0, 3.0]), (100, [0.0, 1.0, 2.0]), (7, [0.0, 0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    good: dict = {}
+    for i, v in rows:
+        good[i] = min(v, good.get(i, v))
+    high = lambda a, b: (lambda s: (-s, s))(sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b)))
+    assert sorted(map(tuple, topk.exact_topk(frame, "id % 100 = 0").collect())) == ranked(good, 10, high)
+    for unit in (1e160, 1e-160):
+        scaled = frame.withColumn("embedding", F.transform("embedding", lambda x: x * unit))
+        near = lambda a, b: (lambda s: (s, s))(math.dist(a, b))
+        got = sorted(map(tuple, ann.nearest(scaled, "id % 100 = 0").collect()))
+        want = ranked(good, 10, near)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] / unit for x in got], [x[3] for x in want], rtol=1e-12)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_topk(frame.withColumn("embedding", F.transform("embedding", lambda x: x * 1e9)), "id % 100 = 0").collect()
+
+
+def test_unknown_ids_are_errors(spark, tik):
+    for ids in ([-1], [10**6]):
+        with pytest.raises(Exception, match="vocabulary"):
+            bpe.bpe_decode(spark.createDataFrame([(ids,)], "ids array<int>"), P.path("byte_bpe_multi_50k.tiktoken")).collect()
 
 
 def test_token_files(spark, docs, texts):

@@ -102,17 +102,20 @@ def test_op5(spark, corpus, monkeypatch):
     assert len(pairs) > 5 and sum(pairs) >= 0.9 * len(pairs)
 
 
-def test_training_takes_passages_of_long_texts_and_no_label_of_the_held_out(spark, corpus):
-    folder, _ = corpus
+def test_training_takes_whole_texts_and_no_label_of_the_held_out(spark, corpus):
+    folder, rows = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.createDataFrame([(78, 0), (6, 1), (7, 1), (8, 1)], "doc_id long, quality int")
-    seen = {}
-    fit, mil.fit = mil.fit, lambda x, many, label: seen.update(many=many.tolist()) or fit(x, many, label)
+    whole = lambda i: max(1, -(-len((dict(rows)[i] or "").encode()) // mil.PASSAGE))
+    fit, seen = mil.fit, {}
+    mil.fit = lambda x, many, label: seen.update(many=sorted(many.tolist())) or fit(x, many, label)
     try:
-        mil.learn(docs, labels, "doc_id", "text", "quality", train_passages=3)
+        mil.learn(docs, labels, "doc_id", "text", "quality")
+        assert seen["many"] == sorted([whole(78), whole(6), whole(7), whole(7), whole(8)]) and seen["many"][-1] > 100  # two rows of document 7
+        mil.learn(docs, labels, "doc_id", "text", "quality", train_passages=whole(78) - 1)
+        assert seen["many"] == sorted([whole(6), whole(7), whole(7), whole(8)])  # a bag is whole or left out
     finally:
         mil.fit = fit
-    assert sorted(seen["many"])[-1] == 3 and len(seen["many"]) == 5  # two rows of document 7
     marks = spark.read.parquet(f"{folder}/labels.parquet")
     flipped = marks.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a = {r.doc_id: r.score for r in mil_q.scored(docs.select("doc_id", "text"), marks).collect()}
