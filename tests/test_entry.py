@@ -21,7 +21,7 @@ def test_the_rest_does_not_import_the_corpus_operators():
 def test_one_query_for_each_operator():
     if (ROOT / "fieldquarry/llm").exists() and entry._llm:
         numbers = sorted(int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q)))
-        assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+        assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_flagship(spark):
