@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, id_token
+from ..functions.geo import EARTH_RADIUS_M, haversine_m, id_token
 from ..functions.scoring import candidate_role, with_units
 from ..sources.scratch import discard, materialise
-from .joins import nearest_join, radius_join, within_radius
+from .joins import FARTHEST, nearest_join, radius_join, within_radius
 from .pairs import distance_sums, metres
 from .tiles import in_tiles, link_step
 from .windows import numbered
@@ -275,30 +277,61 @@ def survey_scope(points: DataFrame, keys: list[str], ident: str = "row_id", low_
     return named.join(sizes.select(*keys, "component", "size", kind.alias("scope_class"), few.alias("cluster_eps_m")), [*keys, "component"])
 
 
-def survey_regions(points: DataFrame, radius_m: float, keys: list[str] = (), ident: str = "row_id", most: int | None = None) -> DataFrame:
+def _dominant(left: DataFrame, radius_m: float, keys: list[str], ident: str) -> DataFrame:
+    """Points of ``left`` (members counted) that are surely better than all others within twice the radius: more members, or as many and a smaller id.
+
+    Only the best point of each cell, at most a radius high and wide, can be one. A better point within twice the
+    radius has a cell whose best is no farther than that and the cell's diagonal, so these bests alone are compared.
+    """
+    deg = math.degrees(radius_m / EARTH_RADIUS_M)
+    band = F.floor(F.col("latitude") / deg)
+    lowest = F.least(F.abs(band), F.abs(band + 1)) * deg
+    columns = F.greatest(F.lit(1), F.ceil(F.lit(360.0 / deg) * F.cos(F.radians(lowest))))
+    cell = F.floor((F.col("longitude") + 180.0) / 360.0 * columns)
+    order = F.struct((-F.col("members")).alias("n"), F.col(ident).alias("a"))
+    best = left.groupBy(*keys, band.alias("_band"), cell.alias("_cell")).agg(F.min(F.struct(order.alias("o"), "latitude", "longitude")).alias("b"))
+    best = materialise(best.select(*keys, F.col("b.o.a").alias(ident), F.col("b.o.n").alias("_n"), F.col("b.latitude").alias("latitude"), F.col("b.longitude").alias("longitude")), "hub-cells")
+    there = best.withColumnsRenamed({ident: "b", "_n": "_n2"})
+    near = radius_join(best, there, min(4 * radius_m, FARTHEST), keys, left_id=ident, right_id="b", carry=["_n2"])
+    beaten = near.join(best.select(*keys, ident, "_n"), [*keys, ident]).filter((F.col("_n2") < F.col("_n")) | ((F.col("_n2") == F.col("_n")) & (F.col("b") < F.col(ident)))).select(*keys, ident).distinct()
+    return best.join(beaten, [*keys, ident], "left_anti")
+
+
+def survey_regions(points: DataFrame, radius_m: float, keys: list[str] = (), ident: str = "row_id", most: int | None = None, told: list | None = None) -> DataFrame:
     """``points`` with ``hub`` and ``region_id``: again and again the point with the most points left around it, itself included, takes them.
 
-    Ties go to the smaller id. Rounds run for all keys side by side, up to ``most`` or until every point has its
-    region; each counts pairs anew among the points that are left, so no list of pairs is kept.
+    Ties go to the smaller id. A point that is better than all others within twice the radius keeps its members until its
+    turn, whatever is taken elsewhere, so a round takes all such points, and counts fall only near what it took. Turns go
+    by falling members, then ids, which gives the regions their numbers in the end; ``most`` keeps the first of each key.
+    The number of rounds goes to ``told``.
     """
-    keys = [*keys]
-    left = materialise(points.filter("latitude is not null and longitude is not null").select(*keys, ident, "latitude", "longitude"), "hubs")
-    taken, turn = None, 0
-    while not left.isEmpty() and (most is None or turn < most):
+    keys, radius = [*keys], float(radius_m)
+    placed = materialise(points.filter("latitude is not null and longitude is not null").select(*keys, ident, "latitude", "longitude"), "hubs")
+    counts = within_radius(placed, radius, keys, ident).groupBy(F.col("a").alias(ident)).agg(F.count("*").alias("members"))
+    left, taken, turn = materialise(placed.join(counts, ident), "hubs"), None, 0
+    while not left.isEmpty():
         turn += 1
-        near = within_radius(left, radius_m, keys, ident)
-        counts = near.groupBy(*keys, "a").agg(F.count("*").alias("members"))
-        best = materialise(counts.groupBy(*keys).agg(F.min(F.struct((-F.col("members")).alias("n"), "a")).alias("b")).select(*keys, F.col("b.a").alias("hub")), "hub")
-        centre = left.join(best.withColumnRenamed("hub", ident), [*keys, ident], "left_semi")
-        got = radius_join(centre.withColumnRenamed(ident, "hub"), left, radius_m, keys, left_id="hub", right_id=ident)
-        got = materialise(got.select(*keys, ident, "hub", F.lit(turn).alias("region_id")), "hubs-taken")
+        hubs = materialise(_dominant(left, radius, keys, ident).select(*keys, F.col(ident).alias("hub"), "latitude", "longitude"), "hub")
+        got = radius_join(hubs, left, radius, keys, left_id="hub", right_id=ident)
+        got = materialise(got.select(*keys, ident, "hub"), "hubs-taken")
+        gone = left.join(got.select(ident), ident, "left_semi").select(*keys, F.col(ident).alias("b"), "latitude", "longitude")
+        rest = left.join(got.select(ident), ident, "left_anti")
+        lost = radius_join(gone, rest, radius, keys, left_id="b", right_id=ident).groupBy(ident).agg(F.count("*").alias("_lost"))
+        rest = rest.join(lost, ident, "left").withColumn("members", F.col("members") - F.coalesce("_lost", F.lit(0))).drop("_lost")
+        rest = materialise(rest, "hubs")
         taken = got if taken is None else taken.unionByName(got)
-        rest = materialise(left.join(got.select(ident), ident, "left_anti"), "hubs")
-        discard(left)
+        if turn % 8 == 0:
+            taken = materialise(taken, "hubs-taken")
+        discard(left, hubs)
         left = rest
+    if told is not None:
+        told.append(turn)
     if taken is None:
         return points.limit(0).withColumns({"hub": F.col(ident), "region_id": F.lit(0)})
-    return points.join(taken.drop(*keys), ident)
+    regions = taken.groupBy(*keys, "hub").agg((-F.count("*")).alias("_n"))
+    regions = numbered(regions, ["_n", "hub"], "region_id", keys).select("hub", F.col("region_id").cast("int").alias("region_id"))
+    regions = regions if most is None else regions.filter(F.col("region_id") <= most)
+    return points.join(taken.select(ident, "hub").join(materialise(regions, "regions"), "hub"), ident)
 
 
 def region_hubs(points: DataFrame, radius_m: float, most: int, keys: list[str] = (), ident: str = "row_id") -> DataFrame:

@@ -334,7 +334,7 @@ def test_modes_by_hand(spark):
     assert [got[i][0] for i in range(6)] == [0, 0, 0, 1, 1, 1] and got[0][1] == pytest.approx(18.0)
     even = protos.withColumn("f1", F.col("row_id").cast("double"))
     assert {(r["mode"], r.gap) for r in support.environmental_modes(even, FEATURES, []).collect()} == {(0, 1.0)}
-    assert support._cut(np.array([1.0, 1.0, 1.0, 2.0]), 3.0) == 1.5 and support._cut(np.array([1.0]), 3.0) == math.inf
+    assert support._long_above(np.array([1.0, 1.0, 1.0, 2.0]), 3.0) == 1.5 and support._long_above(np.array([1.0]), 3.0) == math.inf
     universe = spark.createDataFrame([(i, float(x), 1.0) for i, x in enumerate([0, 1, 2, 3, 4, 20, 21, 22, 23, 9, 10, 11])], "row_id long, f1 double, f2 double")
     taken = support.mode_balanced(universe, protos, FEATURES, [], 0.5).orderBy("selection_rank").collect()
     ranks = support.finite_geometry(universe, protos, FEATURES, []).filter("support_rank <= 0.5").count()

@@ -175,3 +175,24 @@ def test_shrinkage_is_towards_the_training_prevalence(spark):
     prior = spark.createDataFrame([("t", 1, 1, 10)], "taxon string, fold int, training_presences int, training_rows int")
     got = {r.shrinkage: r for r in models.shrinkage_search(frame, ["a"], weights, [0.5, 1.0], split, prior).collect()}
     assert got[0.5].calibration_log_loss == pytest.approx(-math.log(0.1 + 0.5 * 0.4)) and got[1.0].recommended
+
+
+def test_regions_by_dominant_hubs_are_the_sequence(spark):
+    rng = random.Random(6)
+    rows = [(i, "ab"[i % 2], 35 + rng.choice([0, 0.4]) + rng.gauss(0, 0.05), 139 + rng.gauss(0, 0.1)) for i in range(160)]
+    rows += [(200 + i, "a", 36.5, 139.0 + 0.05 * i) for i in range(9)]  # equal counts in a row
+    want = {}
+    for area in "ab":
+        left, turn = [r for r in rows if r[1] == area], 0
+        while left:
+            turn += 1
+            lat, lon = np.array([r[2] for r in left]), np.array([r[3] for r in left])
+            inside = [metres(r[2], r[3], lat, lon) <= 6000.0 for r in left]
+            hub = min(range(len(left)), key=lambda i: (-inside[i].sum(), left[i][0]))
+            want |= {r[0]: (left[hub][0], turn) for r, near in zip(left, inside[hub]) if near}
+            left = [r for r, near in zip(left, inside[hub]) if not near]
+    told = []
+    frame = spark.createDataFrame(rows + [(999, "a", None, 139.0)], "row_id long, area string, latitude double, longitude double").repartition(3)
+    got = {r.row_id: (r.hub, r.region_id) for r in graph.survey_regions(frame, 6000.0, ["area"], told=told).collect()}
+    assert got == want and told[0] < max(t for _, t in want.values())
+    assert {i for i, (_, t) in want.items() if t <= 2} == {r.row_id for r in graph.survey_regions(frame, 6000.0, ["area"], most=2).collect()}
