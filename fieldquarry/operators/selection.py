@@ -350,6 +350,8 @@ def max_coverage(df: DataFrame, radius_km: float, sites: int, keys: list[str], g
         if best.isEmpty():
             break
         chosen = best if chosen is None else chosen.unionByName(best)
+        if turn == sites:  # nothing is chosen by what the last sites cover
+            break
         centre = points.join(best.select(*keys, "a"), [*keys, "a"], "left_semi").select(*by, F.col("a").alias("site"), "latitude", "longitude")
         now = radius_join(centre, points, radius, by, left_id="site", right_id="a", carry=["_y", "_x"]).select(*by, "a", F.col("_y").alias("latitude"), F.col("_x").alias("longitude"))
         now = materialise(now if covered is None else now.join(covered.select(*keys, "a"), [*keys, "a"], "left_anti"), "cover-now")
