@@ -14,6 +14,7 @@ from ..functions.scoring import candidate_role, with_units
 from ..sources.scratch import discard, materialise
 from .joins import FARTHEST, nearest_join, radius_join, within_radius
 from .pairs import distance_sums, metres
+from .paths import bounded_paths
 from .tiles import in_tiles, link_step
 from .windows import numbered
 
@@ -192,27 +193,6 @@ def clean_edges(edges: DataFrame, a: str = "from_node_id", b: str = "to_node_id"
     return ordered.groupBy(a, b).agg(F.min(weight).alias(weight))
 
 
-def bounded_paths(edges: DataFrame, sources: DataFrame, limit: float, a: str = "from_node_id", b: str = "to_node_id", weight: str = "distance_m", keys: list[str] = ()) -> DataFrame:
-    """(keys, source, node, cost): least cost of paths of at most ``limit`` from every source, itself included.
-
-    A frontier is relaxed along edges by an equi-join; only costs that improve go on, and rounds end when none does.
-    """
-    keys = [*keys]
-    light = edges.filter(F.col(weight) <= limit)
-    both = light.select(*keys, F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).alias("w")).union(light.select(*keys, b, a, weight))
-    both = materialise(both.filter("u <> v").groupBy(*keys, "u", "v").agg(F.min("w").alias("w")), "sp-edges")
-    best = materialise(sources.select(*keys, F.col("source"), F.col("source").alias("node"), F.lit(0.0).alias("cost")).distinct(), "sp-best")
-    frontier = best
-    while True:
-        step = frontier.withColumnRenamed("node", "u").join(both, [*keys, "u"]).select(*keys, "source", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).filter(F.col("cost") <= limit)
-        step = step.groupBy(*keys, "source", "node").agg(F.min("cost").alias("cost"))
-        better = step.join(best.withColumnRenamed("cost", "had"), [*keys, "source", "node"], "left").filter("had is null or cost < had").drop("had")
-        frontier = materialise(better, "sp-frontier")
-        if frontier.isEmpty():
-            return best
-        best = materialise(best.unionByName(frontier).groupBy(*keys, "source", "node").agg(F.min("cost").alias("cost")), "sp-best")
-
-
 def patch_reachability(patches_: DataFrame, nodes: DataFrame, edges: DataFrame, limit_m: float, access_m: float, patch_id: str = "candidate_patch_id", area: str = "survey_area_id") -> DataFrame:
     """(from_patch_id, to_patch_id, access and path metres) of patches whose access, path and access fit the limit.
 
@@ -221,7 +201,7 @@ def patch_reachability(patches_: DataFrame, nodes: DataFrame, edges: DataFrame,
     """
     snapped = nearest_join(patches_.select(patch_id, area, "latitude", "longitude"), nodes.select("network_node_id", area, "latitude", "longitude"), [area], patch_id, "network_node_id")
     snapped = materialise(snapped.filter(F.col("distance_m") <= access_m).select(patch_id, F.col("network_node_id").alias("node"), F.col("distance_m").alias("access")), "pr-snap")
-    paths = bounded_paths(edges, snapped.select(F.col("node").alias("source")).distinct(), limit_m)
+    paths = bounded_paths(edges, snapped.select(F.col("node").alias("source")).distinct(), limit_m, targets=snapped.select("node"))
     left = snapped.select(F.col(patch_id).alias("from_patch_id"), F.col("node").alias("source"), F.col("access").alias("from_access_m"))
     right = snapped.select(F.col(patch_id).alias("to_patch_id"), "node", F.col("access").alias("to_access_m"))
     met = left.join(paths, "source").join(right, "node").filter("from_patch_id < to_patch_id")

@@ -128,8 +128,7 @@ def ferry_relations(items: DataFrame, nodes: DataFrame, stops_only: bool = False
         ends = ferry_stops(items, nodes).filter("exact_terminal_usable").select(F.col("ferry_relation_id").alias("relation"), F.col("stop_node_id").alias("source")).distinct()
     land = _land(nodes).select(F.col("raw").cast("long").alias("source")).distinct()
     ends = ends.join(land, "source", "left_semi").select("relation", "source")
-    paths = bounded_paths(cut, ends, limit_m, "u", "v", keys=["relation"])
-    pairs = paths.join(ends.withColumnRenamed("source", "node"), ["relation", "node"], "left_semi").filter("source < node")
+    pairs = bounded_paths(cut, ends, limit_m, "u", "v", keys=["relation"], targets=ends.withColumnRenamed("source", "node")).filter("source < node")
     named = pairs.select(F.col("source").cast("string").alias("a_raw"), F.col("node").cast("string").alias("b_raw"), F.col("cost").alias("distance_m"), F.col("relation").cast("string").alias("ferry_relation_id"))
     return _ferry_edges(named, nodes, ["ferry_relation_id"])
 
