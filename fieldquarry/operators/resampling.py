@@ -23,18 +23,59 @@ def hashed_int(seed: int, *parts) -> Column:
     return F.conv(F.substring(draw_order(seed, *parts), 1, 15), 16, 10).cast("long")
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with equal keys, null ones too; without keys ``right`` has no more rows than there are draws."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in keys})
+    if not keys:
+        return left.crossJoin(F.broadcast(named))
+    out = left.join(named, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys], how)
+    return out.drop(*[f"_right_{c}" for c in keys])
+
+
+#: Standard deviations above a draw's size that its threshold lets through; fewer let more draws be filled up.
+SLACK = 6.0
+
+
+def bottom_draws(pool: DataFrame, sizes: DataFrame, draws: int, keys: list[str], ident: str, seed: int = 0, size: str = "quota", refilled: list | None = None) -> DataFrame:
+    """Rows (keys, ident, size, draw, _k) of the first ``size`` rows of each pool in each draw's order, as ``_k`` from 1.
+
+    Only rows whose hash is below a threshold are sorted: a pool of n rows lets about size + 6 sqrt(size) of them pass,
+    so what is shuffled grows with the draws' sizes and not with the pools. A draw that got fewer than it needs, which is
+    rare, is drawn again from its whole pool, so the sets are those of a complete order. ``sizes`` has one row for each
+    pool; pools without one, or of a size null or below 1, draw nothing. Ids that stand twice in a pool are two rows. The
+    number of draws filled up goes to ``refilled``.
+    """
+    rows = materialise(pool.select(*keys, ident), "draw-pool")
+    counted = _beside(rows.groupBy(*keys).agg(F.count("*").alias("_n")), sizes.select(*keys, size), keys).filter((F.col(size) >= 1) & (F.col("_n") >= 1))
+    share = (F.col(size) + SLACK * F.sqrt(F.col(size)) + SLACK) / F.col("_n")
+    # 13 hexadecimal digits are 52 bits, which a double holds exactly; from a share of 1 on every row passes
+    bar = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * float(2**52)).cast("long")), 13, "0"))).otherwise("g")
+    counted = materialise(counted.withColumn("_bar", bar), "draw-sizes")
+    turns, order = F.explode(F.sequence(F.lit(1), F.lit(draws))), draw_order(seed, "draw", ident)
+    few = _beside(rows, counted.select(*keys, size, "_bar"), keys).withColumn("draw", turns).withColumn("_h", order)
+    few = materialise(few.filter(F.col("_h") < F.col("_bar")).drop("_bar"), "draw-few")
+    every = counted.select(*keys, size, "_n").withColumn("draw", turns)
+    short = _beside(every, few.groupBy(*keys, "draw").agg(F.count("*").alias("_got")), [*keys, "draw"], "left")
+    short = materialise(short.filter(F.coalesce("_got", F.lit(0)) < F.least(F.col(size), F.col("_n"))).select(*keys, size, "draw"), "draw-short")
+    n = short.count()
+    if refilled is not None:
+        refilled.append(n)
+    if n:
+        enough = _beside(few, short.select(*keys, "draw"), [*keys, "draw"], "left_anti")
+        few = enough.unionByName(_beside(rows, short, keys).withColumn("_h", order))
+    w = Window.partitionBy(*keys, "draw").orderBy("_h", ident)
+    return few.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col(size)).drop("_h")
+
+
 def random_sets(pool: DataFrame, k: int, draws: int, keys: list[str], ident: str = "site_id", seed: int = 0) -> DataFrame:
     """``draws`` sets of k rows of each pool without replacement."""
-    rows = pool.select(*keys, ident).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = Window.partitionBy(*keys, "draw").orderBy(draw_order(seed, "draw", ident), ident)
-    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+    sizes = pool.select(*keys).distinct().withColumn("_size", F.lit(k)) if keys else pool.sparkSession.range(1).select(F.lit(k).alias("_size"))
+    return bottom_draws(pool, sizes, draws, keys, ident, seed, "_size").drop("_size", "_k")
 
 
 def area_quota_sets(pool: DataFrame, quotas: DataFrame, draws: int, keys: list[str], area: str, ident: str = "site_id", seed: int = 0) -> DataFrame:
     """Sets with each area's quota of rows (R2)."""
-    rows = pool.select(*keys, area, ident).join(quotas, [*keys, area]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = Window.partitionBy(*keys, area, "draw").orderBy(draw_order(seed, "draw", ident), ident)
-    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
+    return bottom_draws(pool, quotas, draws, [*keys, area], ident, seed).drop("_k", "quota")
 
 
 def random_recovery_test(observed: DataFrame, drawn: DataFrame, keys: list[str], value: str = "recall") -> DataFrame:

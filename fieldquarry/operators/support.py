@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import complete_features, finite
 from ..sources.scratch import materialise
 from .joins import pair_distances, radius_join
+from .resampling import bottom_draws
 from .windows import finite_rank, numbered, percent_rank_average, placed_quantiles
 
 MAX_PROTOTYPES = 32
@@ -395,9 +396,8 @@ def tier_evaluation(ranks: DataFrame, cells: DataFrame, detections: DataFrame, t
     declared = detections.groupBy(area).agg(F.countDistinct(detection_id).alias("n_detections"))
     out = tier_recovery(declared, seen, thresholds, [float(r) for r in radii_km], [area])
     quota = tiers.groupBy(area, "support_tier").agg(F.count("*").alias("_quota"))
-    drawn = cells.select(area, cell).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    k = F.row_number().over(Window.partitionBy(area, "draw").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "draw", cell)), cell))
-    drawn = drawn.withColumn("_k", k).join(quota, area).filter(F.col("_k") <= F.col("_quota"))
+    largest = quota.groupBy(area).agg(F.max("_quota").alias("_most"))
+    drawn = bottom_draws(cells, largest, draws, [area], cell, seed, "_most").drop("_most").join(quota, area).filter(F.col("_k") <= F.col("_quota"))
     got = drawn.join(near, [area, cell]).groupBy(*by, "draw").agg(F.countDistinct(detection_id).alias("_got"))
     chance = got.groupBy(*by).agg(F.sum("_got").alias("_sum"))
     out = out.join(chance, by, "left").withColumn("random_recall", F.coalesce(F.col("_sum") / (F.col("n_detections") * draws), F.lit(0.0))).drop("_sum")
