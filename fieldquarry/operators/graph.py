@@ -225,7 +225,9 @@ def detection_clusters(points: DataFrame, radius_m: float = 500.0, area: str = "
     named = materialise(distance_components(points, radius_m, [area], ident), "clusters")
     # sums are compared at a micrometre, so that equal ones tie whatever the order of addition
     sums = distance_sums(named, ["component"], ident).select(ident, F.round("total_m", 6).alias("_s"), F.col("far_m").alias("_m"))
-    medoid = named.join(sums, ident).groupBy(area, "component").agg(F.min(F.struct(F.col("_s").alias("s"), F.col(ident).alias("id"), "latitude", "longitude", "_m")).alias("_b"), F.count("*").alias("n_source_points"), F.array_sort(F.collect_list(ident)).alias("source_field_row_ids"))
+    # points without a sum aren't medoids
+    placed = named.filter("latitude is not null and longitude is not null").join(sums, ident, "left").withColumn("_s", F.coalesce("_s", F.lit(float("inf"))))
+    medoid = placed.groupBy(area, "component").agg(F.min(F.struct(F.col("_s").alias("s"), F.col(ident).alias("id"), "latitude", "longitude", "_m")).alias("_b"), F.count("*").alias("n_source_points"), F.array_sort(F.collect_list(ident)).alias("source_field_row_ids"))
     return medoid.select(F.col("component").alias("detection_cluster_id"), area, F.col("_b.latitude").alias("latitude"), F.col("_b.longitude").alias("longitude"), F.col("_b.id").alias("medoid_id"), "n_source_points", "source_field_row_ids", F.col("_b._m").alias("cluster_radius_m"))
 
 
@@ -331,8 +333,10 @@ def region_table(regions: DataFrame, keys: list[str] = (), ident: str = "row_id"
     """One row per region of ``survey_regions``: medoid, records and their share, extent, diameter and radius."""
     keys = [*keys]
     by = [*keys, "region_id"]
-    sums = distance_sums(regions, by, ident).select(ident, F.round("total_m", 6).alias("_s"), "far_m")
-    rows = regions.join(sums, ident).groupBy(*by).agg(
+    sums = distance_sums(regions, by, ident, farthest=True).select(ident, F.round("total_m", 6).alias("_s"), "far_m")
+    # rows without a sum are neither medoids nor ends of the longest distance
+    placed = regions.filter("latitude is not null and longitude is not null").join(sums, ident, "left").withColumn("_s", F.coalesce("_s", F.lit(float("inf"))))
+    rows = placed.groupBy(*by).agg(
         F.min(F.struct("_s", F.col(ident).alias("id"), "latitude", "longitude", "far_m")).alias("_c"), F.count("*").alias("record_count"), F.bround(F.max("far_m") / 1000.0, 1).alias("diameter_km"),
         F.min("latitude").alias("lat_min"), F.max("latitude").alias("lat_max"), F.min("longitude").alias("lon_min"), F.max("longitude").alias("lon_max"),
     )
@@ -400,7 +404,7 @@ def distribution_regime(regions: DataFrame, table: DataFrame, keys: list[str] =
     # of some direction within 0.3 rad of the span's own, its end is at least so near to what is seen
     share = F.when(F.col("_top") < 5e6, 0.93).otherwise(0.7)
     rim_points = beside(far, top).filter(F.col("_far") >= share * F.col("_top"))
-    span = distance_sums(rim_points, keys, ident).groupBy(*keys).agg((F.max("far_m") / 1000.0).alias("_km"))
+    span = distance_sums(rim_points, keys, ident, farthest=True).groupBy(*keys).agg((F.max("far_m") / 1000.0).alias("_km"))
     span = beside(span, rim.drop("_rim"))
     stable = table.groupBy(*keys).agg(F.count_if(F.col("record_count") >= 3).alias("stable_regions"))
     both = beside(span, stable)

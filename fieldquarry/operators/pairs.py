@@ -1,4 +1,4 @@
-"""Sums over all pairs of a pool, block by block."""
+"""Sums over the pairs of a pool, block by block, for the rows that may have the least or the greatest."""
 
 from __future__ import annotations
 
@@ -10,40 +10,116 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_RADIUS_M
 from ..sources.scratch import materialise
 
-#: Rows of a block.
+#: Rows of a block; pools of no more rows are computed whole.
 BLOCK = 1024
+#: Pivots of a pool of n rows: 4 sqrt(n), at most this number, twice that by rounding.
+PIVOTS = 1024
 
 
-def pair_sums(rows: DataFrame) -> DataFrame:
-    """(_g, _id, geo, geo_top, env, env_top): sum and maximum of each row's distances to all rows of its pool.
+def _distances(own: list, others: list, wg: float, we: float) -> np.ndarray:
+    def part(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([r["_lat"] for r in rows], float), np.array([r["_lon"] for r in rows], float), np.array([list(r["_z"]) for r in rows], float).reshape(len(rows), -1)
 
-    ``rows``: _g (the pool), _id, _lat, _lon, _z (features, scaled). All pairs are in the definition. Pools are dealt
-    into blocks, and each pair of blocks is a row of its own, so a hot pool is many tasks and no pair is a row.
-    """
-    many = rows.groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m"))
+    lat, lon, z = part(own)
+    lats, lons, zs = part(others)
+    out = np.zeros((len(own), len(others)))
+    if wg:
+        out += wg * metres(lat[:, None], lon[:, None], lats, lons)
+    if we:
+        square = np.zeros_like(out)
+        for j in range(z.shape[1]):
+            square += (z[:, j, None] - zs[:, j]) ** 2
+        out += we * np.sqrt(square)
+    return out
+
+
+def _blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Pools dealt into blocks of some BLOCK rows: ``by``, _n (rows of the pool), _m (its blocks), _b, _rows."""
+    many = rows.groupBy("_g").agg(F.count("*").alias("_n")).withColumn("_m", F.ceil(F.col("_n") / BLOCK).cast("long"))
     dealt = rows.join(many, "_g").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_m")))
-    blocks = materialise(dealt.groupBy("_g", "_m", "_b").agg(F.collect_list(F.struct("_id", "_lat", "_lon", "_z")).alias("_rows")), "maximin-blocks")
-    first = blocks.select("_g", "_b", F.col("_rows").alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_c"))
-    tiles = first.join(blocks.select("_g", F.col("_b").alias("_c"), "_rows"), ["_g", "_c"]).select("_g", "_own", "_rows").repartition(F.xxhash64("_g", "_own"))
+    return dealt.groupBy(*by, "_n", "_m", "_b").agg(F.collect_list(F.struct("_id", "_lat", "_lon", "_z")).alias("_rows"))
+
+
+def _possible(blocks: DataFrame, kinds: dict, most: bool, farthest: bool) -> DataFrame:
+    """The rows of large pools that the triangle inequality leaves: (_g, _id, _lat, _lon, _z, _wg, _we).
+
+    Some pivots of each pool meet all its rows, and each row belongs to its nearest pivot. The sum of x's distances then
+    differs from the sum over pivots of members times d(x, pivot) by no more than the distances of all rows to their
+    pivots, and x's largest distance is at most that of some d(x, pivot) plus the pivot's reach. A row stays if its bound
+    is no worse than the best pivot's own sum, or largest distance.
+    """
+    wanted = F.least(F.lit(PIVOTS), F.ceil(4 * F.sqrt("_n")))
+    some = blocks.filter(F.col("_b") < wanted).select("_g", F.slice("_rows", F.lit(1), F.ceil(wanted / F.least("_m", wanted)).cast("int")).alias("_p"))
+    pivots = materialise(some.groupBy("_g").agg(F.flatten(F.collect_list("_p")).alias("_pivots")), "pair-pivots")
+
+    def near(batches):
+        for batch in batches:
+            for g, rows, ps, wg, we in zip(batch["_g"], batch["_rows"], batch["_pivots"], batch["_wg"], batch["_we"]):
+                if ps is None:
+                    continue
+                d = _distances(rows, ps, wg, we)
+                mine, least = d.argmin(axis=1), d.min(axis=1)
+                reach = np.zeros(len(ps))
+                np.maximum.at(reach, mine, least)
+                yield pd.DataFrame({"_g": [g] * len(ps), "p": np.arange(len(ps)), "n": np.bincount(mine, minlength=len(ps)), "off": np.bincount(mine, least, len(ps)), "reach": reach, "total": d.sum(axis=0), "top": d.max(axis=0)})
+
+    # a pool whose first blocks are empty, which takes a great many equal ids, has no pivots and keeps all its rows
+    beside = blocks.join(pivots, "_g", "left").select("_g", "_rows", "_pivots", "_wg", "_we", "_n")
+    told = beside.mapInPandas(near, f"_g {kinds['_g']}, p int, n long, off double, reach double, total double, top double").groupBy("_g", "p")
+    told = told.agg(F.sum("n").alias("n"), F.sum("off").alias("off"), F.max("reach").alias("reach"), F.sum("total").alias("total"), F.max("top").alias("top"))
+    known = told.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("p", "n", "reach"))).alias("_known"), F.sum("off").alias("_off"), (F.max if most else F.min)("total").alias("_best"), F.max("top").alias("_far"))
+    known = materialise(known, "pair-known")
+
+    def left(batches):
+        for batch in batches:
+            for g, rows, ps, wg, we, n, ks, off, best, far in zip(*[batch[c] for c in ("_g", "_rows", "_pivots", "_wg", "_we", "_n", "_known", "_off", "_best", "_far")]):
+                kept = rows
+                if ks is not None:
+                    d = _distances(rows, ps, wg, we)
+                    count, reach = np.array([k["n"] for k in ks], float), np.array([k["reach"] for k in ks])
+                    # what is compared is rounded at a micrometre or at 12 digits of the largest distance
+                    slack = 2e-6 + 1e-9 * abs(best) + 1e-11 * n * far
+                    out = (d @ count + off < best - slack) if most else (d @ count - off > best + slack)
+                    if farthest:
+                        out &= (d + reach)[:, count > 0].max(axis=1) < far * (1 - 1e-9) - 2e-6
+                    kept = [r for r, gone in zip(rows, out) if not gone]
+                if len(kept) == 0:
+                    continue
+                yield pd.DataFrame({"_g": [g] * len(kept), "_id": [r["_id"] for r in kept], "_lat": [r["_lat"] for r in kept], "_lon": [r["_lon"] for r in kept], "_z": [list(r["_z"]) for r in kept], "_wg": wg, "_we": we})
+
+    return beside.join(known, "_g", "left").mapInPandas(left, f"_g {kinds['_g']}, _id {kinds['_id']}, _lat double, _lon double, _z array<double>, _wg double, _we double")
 
-    def part(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([r["_lat"] for r in rows], float), np.array([r["_lon"] for r in rows], float), np.array([list(r["_z"]) for r in rows], float).reshape(len(rows), -1)
+
+def extreme_sums(rows: DataFrame, most: bool = False, farthest: bool = False, told: dict | None = None) -> DataFrame:
+    """(_g, _id, total, top): sum and maximum of a row's distances to all rows of its pool, for the rows that may have the least sum.
+
+    ``rows``: _g (the pool), _id, _lat, _lon, _z (features, scaled), and the pool's weights _wg of metres and _we of the
+    distance of features. ``most``: for rows that may have the greatest sum. ``farthest``: also for rows that may have the
+    greatest maximum. All rows that tie for these are there, others may be. Pools are dealt into blocks and a pair of
+    blocks is a row of its own, so a hot pool is many tasks and no pair is a row. ``told`` gets the number of pairs
+    computed and of all.
+    """
+    by, kinds = ["_g", "_wg", "_we"], dict(rows.dtypes)
+    blocks = materialise(_blocks(rows, by), "pair-blocks")
+    large = blocks.filter("_m > 1")
+    kept = blocks.filter("_m = 1").select(*by, F.explode("_rows").alias("r")).select(*by, "r.*")
+    kept = materialise(kept.unionByName(_possible(large, kinds, most, farthest)), "pair-rows")
+    own = _blocks(kept, by).select(*by, F.col("_rows").alias("_own"))
+    tiles = own.join(blocks.select("_g", "_b", "_rows"), "_g").repartition(F.xxhash64("_g", "_own", "_b"))
 
     def run(batches):
         for batch in batches:
-            for g, own, others in zip(batch["_g"], batch["_own"], batch["_rows"]):
-                lat, lon, z = part(own)
-                lats, lons, zs = part(others)
-                geo = metres(lat[:, None], lon[:, None], lats, lons)
-                env = np.zeros_like(geo)
-                for j in range(z.shape[1]):
-                    env += (z[:, j, None] - zs[:, j]) ** 2
-                env = np.sqrt(env)
-                yield pd.DataFrame({"_g": [g] * len(own), "_id": [r["_id"] for r in own], "geo": geo.sum(axis=1), "geo_top": geo.max(axis=1), "env": env.sum(axis=1), "env_top": env.max(axis=1)})
+            for g, mine, others, wg, we in zip(batch["_g"], batch["_own"], batch["_rows"], batch["_wg"], batch["_we"]):
+                d = _distances(mine, others, wg, we)
+                yield pd.DataFrame({"_g": [g] * len(mine), "_id": [r["_id"] for r in mine], "total": d.sum(axis=1), "top": d.max(axis=1)})
 
-    kinds = dict(rows.dtypes)
-    out = tiles.mapInPandas(run, f"_g {kinds['_g']}, _id {kinds['_id']}, geo double, geo_top double, env double, env_top double")
-    return out.groupBy("_g", "_id").agg(F.sum("geo").alias("geo"), F.max("geo_top").alias("geo_top"), F.sum("env").alias("env"), F.max("env_top").alias("env_top"))
+    if told is not None:
+        sizes = blocks.select("_g", "_n").distinct().join(kept.groupBy("_g").agg(F.count("*").alias("_k")), "_g", "left").fillna(0, "_k")
+        met = F.col("_k") * F.col("_n") + F.when(F.col("_n") > BLOCK, 2 * F.col("_n") * F.least(F.lit(PIVOTS), F.ceil(4 * F.sqrt("_n")))).otherwise(0)
+        n = sizes.agg(F.sum(met).alias("c"), F.sum(F.col("_n") * F.col("_n")).alias("a")).first()
+        told.update(computed=int(n.c or 0), all=int(n.a or 0))
+    out = tiles.mapInPandas(run, f"_g {kinds['_g']}, _id {kinds['_id']}, total double, top double")
+    return out.groupBy("_g", "_id").agg(F.sum("total").alias("total"), F.max("top").alias("top"))
 
 
 def metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
@@ -52,8 +128,11 @@ def metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.nda
     return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
 
 
-def distance_sums(points: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    """(keys, ident, total_m, far_m): sum and maximum of each point's distances to all points of its keys."""
-    rows = points.select(F.struct(*keys, F.lit(0).alias("_all")).alias("_g"), F.col(ident).alias("_id"), F.col("latitude").cast("double").alias("_lat"), F.col("longitude").cast("double").alias("_lon"), F.array().cast("array<double>").alias("_z"))
-    sums = pair_sums(materialise(rows.filter("_lat is not null and _lon is not null"), "pairs"))
-    return sums.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col("_id").alias(ident), F.col("geo").alias("total_m"), F.col("geo_top").alias("far_m"))
+def distance_sums(points: DataFrame, keys: list[str], ident: str, farthest: bool = False, told: dict | None = None) -> DataFrame:
+    """(keys, ident, total_m, far_m) of the points that may be their keys' medoid: sum and maximum of the distances to all points of the keys.
+
+    ``farthest``: also of points that may have the largest ``far_m``. Points without coordinates are no part.
+    """
+    rows = points.select(F.struct(*keys, F.lit(0).alias("_all")).alias("_g"), F.col(ident).alias("_id"), F.col("latitude").cast("double").alias("_lat"), F.col("longitude").cast("double").alias("_lon"), F.array().cast("array<double>").alias("_z"), F.lit(1.0).alias("_wg"), F.lit(0.0).alias("_we"))
+    sums = extreme_sums(materialise(rows.filter("_lat is not null and _lon is not null"), "pairs"), farthest=farthest, told=told)
+    return sums.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col("_id").alias(ident), F.col("total").alias("total_m"), F.col("top").alias("far_m"))

@@ -20,7 +20,7 @@ from ..functions.geo import finite, haversine_m
 from ..sources.scratch import discard, materialise
 from .graph import by_size, components
 from .joins import radius_join, within_radius
-from .pairs import metres, pair_sums
+from .pairs import extreme_sums, metres
 from .tiles import in_tiles, thin_step
 
 Order = Callable[[pd.DataFrame], tuple[list[int], list[float]]]
@@ -246,20 +246,26 @@ def _maximin(df: DataFrame, k: int, keys: list[str], ident: str, features: list[
         rows = rows.withColumns({"_lat": F.lit(0.0), "_lon": F.lit(0.0)})
     rows = _scaled_features(rows, features) if features else rows.withColumn("_z", F.array().cast("array<double>"))
     rows = materialise(rows.select("_g", "_id", "_lat", "_lon", "_z"), "maximin")
-    sums = materialise(pair_sums(rows), "maximin-sums")
-    tops = sums.groupBy("_g").agg(F.max("geo_top").alias("_geo"), F.max("env_top").alias("_env"), F.count("*").alias("_n"))
-    if weight is not None:
-        shares = {"_geo": F.when(F.col("_geo") > 0, (1 - weight) / F.col("_geo")).otherwise(0.0), "_env": F.when(F.col("_env") > 0, weight / F.col("_env")).otherwise(0.0), "_top": F.lit(1.0)}
+    sums = lambda wg, we, df=rows: extreme_sums(df.withColumns({"_wg": wg, "_we": we}), most=True, farthest=weight is None or df is rows)
+    tops = rows.groupBy("_g").agg(F.count("*").alias("_n"))
+    if weight is None:
+        found = materialise(sums(F.lit(float(geographic)), F.lit(float(not geographic))), "maximin-sums")
+        tops = tops.join(found.groupBy("_g").agg(F.max("top").alias("_top")), "_g").withColumns({"_geo": F.lit(float(geographic)), "_env": F.lit(float(not geographic))})
     else:
-        shares = {"_geo": F.lit(float(geographic)), "_env": F.lit(float(not geographic)), "_top": F.col("_geo" if geographic else "_env")}
-    left = rows.join(sums.select("_g", "_id", "geo", "env"), ["_g", "_id"]).join(tops.select("_g", "_n", *[c.alias(n) for n, c in shares.items()]), "_g")
-    mean = (F.col("_geo") * F.col("geo") + F.col("_env") * F.col("env")) / F.col("_n")
+        for name, share, one in (("_geo", 1 - weight, (1.0, 0.0)), ("_env", weight, (0.0, 1.0))):
+            widest = sums(*map(F.lit, one)).groupBy("_g").agg(F.max("top").alias("_w"))
+            tops = tops.join(widest, "_g").withColumn(name, F.when(F.col("_w") > 0, share / F.col("_w")).otherwise(0.0)).drop("_w")
+        tops = materialise(tops.withColumn("_top", F.lit(1.0)), "maximin-tops")
+        mixed = rows.join(tops.select("_g", "_geo", "_env"), "_g")
+        found = materialise(sums(F.col("_geo"), F.col("_env"), mixed).select("_g", "_id", "total"), "maximin-sums")
+    # rows without a sum can't be first
+    left = rows.join(found.select("_g", "_id", "total"), ["_g", "_id"], "left").join(tops, "_g").withColumn("_near", F.col("total") / F.col("_n"))
     # means are compared at 12 digits of the largest distance, so that equal ones tie whatever the order of addition
-    left = left.withColumns({"_near": mean, "_by": F.round(mean / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0), 12)})
-    left = materialise(left.drop("geo", "env", "_n", "_top"), "maximin-left")
+    left = left.withColumn("_by", F.round(F.col("_near") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0), 12))
+    left = materialise(left.drop("total", "_n", "_top"), "maximin-left")
     chosen = None
     for turn in range(1, k + 1):
-        best = left.groupBy("_g").agg(F.min_by(F.struct("_id", "_lat", "_lon", "_z", "_near"), F.struct(-F.col("_by"), F.col("_id"))).alias("_c"))
+        best = left.filter("_by is not null").groupBy("_g").agg(F.min_by(F.struct("_id", "_lat", "_lon", "_z", "_near"), F.struct(-F.col("_by"), F.col("_id"))).alias("_c"))
         best = materialise(best, "maximin-best")
         if best.isEmpty():
             break
