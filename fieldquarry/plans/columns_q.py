@@ -50,7 +50,7 @@ def s17_sample_surfaces(v):
 
 @query("SELECT area, r, c FROM cells WHERE r % 3 = 0 AND c % 3 = 0")
 def s18_candidate_grid(v):
-    cells = v("cells").withColumns({"latitude": F.col("area") * 100.0 + F.col("r"), "longitude": F.col("c") * 1.0})
+    cells = v("cells").withColumns({"latitude": F.col("r") * 1.0, "longitude": F.col("area") * 100.0 + F.col("c")})
     return tables.candidate_grid(cells, 3).select("area", "r", "c")
 
 
