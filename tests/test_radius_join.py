@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from fieldquarry.operators import joins
+from fieldquarry.plans.views import rounded_metres
 
 
 def _plan(df) -> str:
@@ -37,4 +38,6 @@ def test_cells_of_few_longitudes(spark):
         assert sorted(got) == want and sorted((r.a, r.b) for r in other.collect()) == want
 
 
+def test_rounded_metres(spark):
     df = spark.createDataFrame([(0.0,), (1234.56789,), (1234.5674,), (0.0625,), (None,)], "m double")
+    assert [r.m for r in rounded_metres(df, "m").collect()] == [0.0, 1234.568, 1234.567, 0.063, None]
