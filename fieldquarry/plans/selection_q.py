@@ -173,10 +173,8 @@ _COVER = f"SELECT a.survey_area_id, a.detection_cluster_id AS occ_id, b.cand_id
 
 @query(cover_sql(f"SELECT DISTINCT survey_area_id AS g, cand_id AS a, occ_id AS b FROM ({_COVER})", 3) + "SELECT g AS survey_area_id, a AS cand_id, turn AS decision_rank, gain FROM every WHERE gain > 0")
 def k15_heldout_oracle(v):
-    from ..operators.joins import fold_coverage
-
     held = v("detections").select("survey_area_id", F.col("detection_cluster_id").alias("occ_id"), "latitude", "longitude")
-    return selection.heldout_oracle(fold_coverage(held, v("candidates"), 6.0, AREA, "occ_id", "cand_id"), 3, AREA)
+    return selection.heldout_oracle(joins.Coverage(held, v("candidates"), 6.0, AREA), 3, AREA)
 
 
 @query()
