@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+from .joins import Coverage, coverage_of, radius_join
 from .pairs import distance_sums
 from .windows import percent_rank_average
 
@@ -19,10 +21,12 @@ def medoid(points: DataFrame, keys: list[str], ident: str = "row_id") -> DataFra
     return best.select(*keys, F.col(f"b.{ident}").alias(ident), F.col("b.total_m").alias("total_m"))
 
 
-def recovered_fraction(selected: DataFrame, coverage: DataFrame, heldout: DataFrame, keys: list[str], candidate: str = "cand_id", occ: str = "occ_id") -> DataFrame:
+def recovered_fraction(selected: DataFrame, coverage: DataFrame | Coverage, heldout: DataFrame, keys: list[str], candidate: str = "cand_id", occ: str = "occ_id") -> DataFrame:
     """Distinct held-out ids that the selection covers, over all held-out ids; 0 where nothing is selected (A2)."""
     all_ = heldout.groupBy(*keys).agg(F.countDistinct(occ).alias("n_heldout"))
-    hit = selected.select(*keys, candidate).join(coverage, [*keys, candidate]).join(heldout.select(*keys, occ), [*keys, occ], "left_semi")
+    if isinstance(coverage, Coverage):  # the choice is read twice
+        selected = materialise(selected.select(*keys, candidate), "recovered-selected")
+    hit = selected.select(*keys, candidate).join(coverage_of(coverage, selected, keys, candidate), [*keys, candidate]).join(heldout.select(*keys, occ), [*keys, occ], "left_semi")
     hit = hit.groupBy(*keys).agg(F.countDistinct(occ).alias("n_recovered"))
     out = all_.join(hit, keys, "left").withColumn("n_recovered", F.coalesce("n_recovered", F.lit(0)))
     return out.withColumn("recall", F.col("n_recovered") / F.col("n_heldout"))
@@ -118,6 +122,33 @@ def budget_contrast(curve: DataFrame, method: str, reference: str) -> DataFrame:
     return a.select("budget", "radius_km", F.col("mean_recall").alias("_a")).join(b.select("budget", "radius_km", F.col("mean_recall").alias("_b")), ["budget", "radius_km"]).select("budget", "radius_km", (F.col("_a") - F.col("_b")).alias("contrast"))
 
 
+#: Rows of an order that ``covering_prefix`` takes first, and how the number grows.
+PREFIX, GROWTH = 64, 8
+
+
+def covering_prefix(declared: DataFrame, order: DataFrame, radius_km: float, keys: list[str], detection: str = "occ_id", candidate: str = "cand_id", rank: str = "decision_rank") -> DataFrame:
+    """(keys, detection, rank): the first place of an order that covers each declared detection within the radius.
+
+    Detections meet growing prefixes of the order and only those that a prefix leaves open meet the next, so there is no list of
+    all pairs. The last piece holds all ranks that are left.
+    """
+    todo = materialise(declared.select(*keys, detection, "latitude", "longitude"), "prefix-todo")
+    order = materialise(order.select(*keys, candidate, "latitude", "longitude", rank), "prefix-order")
+    most = order.agg(F.max(rank).alias("n")).first().n or 0
+    found, low, high = None, 0, PREFIX
+    while True:
+        piece = order.filter((F.col(rank) > low) & (F.col(rank) <= high))
+        got = radius_join(todo, piece, radius_km * 1000.0, keys, left_id=detection, right_id=candidate, carry=[rank]).groupBy(*keys, detection).agg(F.min(rank).alias(rank))
+        got = materialise(got, "prefix-found")
+        found = got if found is None else found.unionByName(got)
+        if high >= most:
+            return found
+        todo = materialise(todo.join(got, [*keys, detection], "left_anti"), "prefix-todo")
+        if todo.isEmpty():
+            return found
+        low, high = high, high * GROWTH
+
+
 def prefix_frontier(declared: DataFrame, covering: DataFrame, keys: list[str], detection: str = "occ_id", rank: str = "decision_rank") -> DataFrame:
     """The smallest prefix of an order that recovers every declared detection, null if it never does."""
     first = covering.groupBy(*keys, detection).agg(F.min(rank).alias("_r"))

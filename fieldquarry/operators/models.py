@@ -12,7 +12,7 @@ from ..functions.scoring import without_known_locations
 from ..sources.exports import leaked_columns
 from ..sources.scratch import materialise
 from .aggregates import recovered_fraction
-from .joins import fold_coverage
+from .joins import Coverage, coverage_of
 from .resampling import draw_order, hashed_int, random_sets, spatial_folds
 from .selection import dual_maximin, environmental_maximin, geographic_maximin, group_policy, heldout_oracle, score_top_k
 from .windows import percent_rank_average
@@ -20,11 +20,11 @@ from .windows import percent_rank_average
 Builder = Callable[[DataFrame], DataFrame]
 
 
-def candidate_benchmark(occurrences: DataFrame, builder: Builder, keys: list[str], repeats: int, radius_km: float, block: str = "block", occ: str = "occ_id", seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidate_benchmark(occurrences: DataFrame, builder: Builder, keys: list[str], repeats: int, radius_km: float, block: str = "block", occ: str = "occ_id", seed: int = 0) -> tuple[DataFrame, Coverage, DataFrame]:
     """(candidates, coverage, held-out) of every repeat (M2).
 
     ``builder`` gets the training points alone, with their keys and ``repeat``, and gives candidates with ``cand_id``;
-    known locations go, and coverage is joined only afterwards.
+    known locations go, and coverage is joined only afterwards, for what is chosen.
     """
     folds = spatial_folds(occurrences, repeats, keys, block=block, seed=seed)
     by = [*keys, "repeat"]
@@ -32,7 +32,7 @@ def candidate_benchmark(occurrences: DataFrame, builder: Builder, keys: list[str
     if told := leaked_columns(candidates):
         raise ValueError(f"candidates carry outcomes: {told}")
     held = folds.filter("held_out").select(*by, occ, "latitude", "longitude")
-    return candidates, fold_coverage(held, candidates, radius_km, by, occ, "cand_id"), held
+    return candidates, Coverage(held, candidates, radius_km, by, occ), held
 
 
 def recovery_validation(occurrences: DataFrame, builder: Builder, keys: list[str], repeats: int, radius_km: float, k: int, draws: int, score: str = "priority_score", seed: int = 0) -> DataFrame:
@@ -46,9 +46,10 @@ def recovery_validation(occurrences: DataFrame, builder: Builder, keys: list[str
     return got.join(chance, by, "left").withColumn("lift", F.col("top_k_recall") - F.col("random_recall"))
 
 
-def _draw_recall(drawn: DataFrame, coverage: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+def _draw_recall(drawn: DataFrame, coverage: DataFrame | Coverage, held: DataFrame, by: list[str]) -> DataFrame:
     all_ = held.groupBy(*by).agg(F.countDistinct("occ_id").alias("_all"))
-    hit = drawn.join(coverage, [*by, "cand_id"]).groupBy(*by, "draw").agg(F.countDistinct("occ_id").alias("_hit"))
+    drawn = materialise(drawn.select(*by, "draw", "cand_id"), "draws")
+    hit = drawn.join(coverage_of(coverage, drawn, by), [*by, "cand_id"]).groupBy(*by, "draw").agg(F.countDistinct("occ_id").alias("_hit"))
     frame = drawn.select(*by, "draw").distinct().join(hit, [*by, "draw"], "left").join(all_, by)
     return frame.groupBy(*by).agg(F.avg(F.coalesce("_hit", F.lit(0)) / F.col("_all")).alias("random_recall"))
 
@@ -64,7 +65,7 @@ def dirichlet_weights(spark, draws: int, names: list[str], seed: int = 0) -> Dat
     return fixed.unionByName(spark.range(len(rows), len(rows) + draws).withColumnRenamed("id", "weight_id").select("weight_id", *[(x / total).alias(n) for x, n in zip(e, names)]))
 
 
-def calibrate_weights(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, weights: DataFrame, names: list[str], k: int, keys: list[str], split: DataFrame, taxon: str = "taxon") -> DataFrame:
+def calibrate_weights(candidates: DataFrame, coverage: DataFrame | Coverage, heldout: DataFrame, weights: DataFrame, names: list[str], k: int, keys: list[str], split: DataFrame, taxon: str = "taxon") -> DataFrame:
     """Mean recall of every weight on calibration and on unseen taxa, and which is best on the former (M3).
 
     A candidate's score is the weighted mean of the components that it has, 0 without any. ``weights`` has at most a few
@@ -75,8 +76,15 @@ def calibrate_weights(candidates: DataFrame, coverage: DataFrame, heldout: DataF
     total = sum((F.coalesce(F.col(n) * w, F.lit(0.0)) for n, w in zip(names, part)), F.lit(0.0))
     there = sum((F.coalesce(w, F.lit(0.0)) for w in part), F.lit(0.0))
     score = F.when(there > 0, total / there).otherwise(0.0)
-    w = Window.partitionBy(*keys, "weight_id").orderBy(F.round(score, 9).desc(), "cand_id")
-    chosen = scored.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).select(*keys, "weight_id", "cand_id")
+    scored = scored.select(*keys, "weight_id", "cand_id", score.alias("_score"))
+    # candidates are dealt to k lots; no score below the worst of the lots' best ones is among the k best, so only few rows are put in order
+    lots = scored.groupBy(*keys, "weight_id", F.pmod(F.xxhash64("cand_id"), F.lit(k)).alias("_lot")).agg(F.max("_score").alias("_m"))
+    least = materialise(lots.groupBy(*keys, "weight_id").agg(F.when(F.count("*") == k, F.min("_m") - 2e-9).otherwise(F.lit(float("-inf"))).alias("_least")), "weight-least")
+    w = Window.partitionBy(*keys, "weight_id").orderBy(F.round("_score", 9).desc(), "cand_id")
+    few = scored.join(least, [*keys, "weight_id"]).filter(F.col("_score") >= F.col("_least"))
+    chosen = few.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).select(*keys, "weight_id", "cand_id")
+    chosen = materialise(chosen, "weight-chosen")
+    coverage = coverage_of(coverage, chosen, keys)
     all_ = heldout.groupBy(*keys).agg(F.countDistinct("occ_id").alias("_all"))
     hit = chosen.join(coverage.select(*keys, "cand_id", "occ_id"), [*keys, "cand_id"]).groupBy(*keys, "weight_id").agg(F.countDistinct("occ_id").alias("_hit"))
     frame = all_.crossJoin(F.broadcast(weights.select("weight_id"))).join(hit, [*keys, "weight_id"], "left")
@@ -90,7 +98,7 @@ def calibrate_weights(candidates: DataFrame, coverage: DataFrame, heldout: DataF
 CHANGE = {"taxa": 10, "lift": 0.02, "range": 1e-9}
 
 
-def calibration_summary(search: DataFrame, candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, weights: DataFrame, names: list[str], k: int, keys: list[str], split: DataFrame, default_id: int = 0, taxon: str = "taxon", draws: int = 100, seed: int = 0) -> DataFrame:
+def calibration_summary(search: DataFrame, candidates: DataFrame, coverage: DataFrame | Coverage, heldout: DataFrame, weights: DataFrame, names: list[str], k: int, keys: list[str], split: DataFrame, default_id: int = 0, taxon: str = "taxon", draws: int = 100, seed: int = 0) -> DataFrame:
     """One row: the chosen weights against the default, chance, the greedy oracle and each component alone, on unseen taxa (M3).
 
     A change is recommended if calibration tells weights apart, there are at least ten taxa and two components, the lift
@@ -98,7 +106,8 @@ def calibration_summary(search: DataFrame, candidates: DataFrame, coverage: Data
     single component are those rows of ``weights`` that have nothing else.
     """
     unseen = split.filter(~F.col("calibration")).select(taxon)
-    held, pool, met = (df.join(unseen, taxon, "left_semi") for df in (heldout, candidates, coverage))
+    held, pool = (df.join(unseen, taxon, "left_semi") for df in (heldout, candidates))
+    met = coverage.among(unseen, [taxon]) if isinstance(coverage, Coverage) else coverage.join(unseen, taxon, "left_semi")
     chance = _draw_recall(random_sets(pool, k, draws, keys, "cand_id", seed), met, held, keys).agg(F.avg("random_recall").alias("random_unseen_recall"))
     oracle = recovered_fraction(heldout_oracle(met, k, keys), met, held, keys).agg(F.avg("recall").alias("oracle_unseen_recall"))
     alone = [F.max(F.when((F.col(n) == 1) & (F.greatest(*[F.col(m) for m in names if m != n], F.lit(0.0), F.lit(0.0)) == 0), F.col("unseen_recall"))).alias(f"{n}_only_unseen_recall") for n in names]
@@ -130,7 +139,7 @@ METHODS = ["group_policy", "score_top_k", "geographic_maximin", "environmental_m
 ENVIRONMENTAL = ["environmental_maximin", "dual_space_maximin"]
 
 
-def fold_comparator(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, k: int, keys: list[str], features: list[str] = (), draws: int = 50, seed: int = 0, group: str | None = None) -> DataFrame:
+def fold_comparator(candidates: DataFrame, coverage: DataFrame | Coverage, heldout: DataFrame, k: int, keys: list[str], features: list[str] = (), draws: int = 50, seed: int = 0, group: str | None = None) -> DataFrame:
     """(keys, method, status, selected_count, recall) of the seven selection rules on the same pools (M5).
 
     Every fold with held-out points has a row for each method. ``group`` names the column of the pool's group, whose frozen policy
@@ -150,6 +159,7 @@ def fold_comparator(candidates: DataFrame, coverage: DataFrame, heldout: DataFra
         sets["dual_space_maximin"] = dual_maximin(usable, k, [*features], keys, ident="cand_id")
     out = None
     for name, chosen in sets.items():
+        chosen = materialise(chosen.select(*keys, "cand_id"), "fold-chosen")
         count = chosen.groupBy(*keys).agg(F.count("*").alias("selected_count"))
         one = recovered_fraction(chosen, coverage, heldout, keys).select(*keys, "recall").join(count, keys, "left").withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
@@ -164,8 +174,18 @@ def fold_comparator(candidates: DataFrame, coverage: DataFrame, heldout: DataFra
     return got.select(*keys, "method", "status", F.when(ok, F.coalesce("selected_count", F.lit(0))).otherwise(0).cast("long").alias("selected_count"), F.when(ok, F.coalesce("recall", F.lit(0.0))).otherwise(0.0).alias("recall"))
 
 
-def recovery_at_radii(candidates: DataFrame, coverage: DataFrame, heldout: DataFrame, radii_km: list[float], k: int, keys: list[str], draws: int = 50, seed: int = 0) -> DataFrame:
-    """Score top-k, random and oracle recall at several radii from one coverage table of the largest (M6)."""
+def recovery_at_radii(candidates: DataFrame, coverage: DataFrame | Coverage, heldout: DataFrame, radii_km: list[float], k: int, keys: list[str], draws: int = 50, seed: int = 0) -> DataFrame:
+    """Score top-k, random and oracle recall at several radii from one coverage table of the largest, or from a ``Coverage`` (M6)."""
+    if isinstance(coverage, Coverage):
+        chosen, drawn = score_top_k(candidates, k, keys, ident="cand_id").select(*keys, "cand_id"), random_sets(candidates, k, draws, keys, "cand_id", seed)
+        out = None
+        for r in map(float, radii_km):
+            met = coverage.within(r)
+            own = recovered_fraction(chosen, met, heldout, keys).select(*keys, F.lit(r).alias("radius_km"), F.col("recall").alias("default_recall"))
+            oracle = recovered_fraction(heldout_oracle(met, k, keys), met, heldout, keys).select(*keys, F.col("recall").alias("greedy_oracle_recall"))
+            one = own.join(oracle, keys, "left").join(_draw_recall(drawn, met, heldout, keys), keys, "left")
+            out = one if out is None else out.unionByName(one)
+        return out
     levels = F.explode(F.array(*map(F.lit, map(float, radii_km))))
     cover = coverage.withColumn("radius_km", levels).filter("dist_km <= radius_km")
     spread = lambda df: df.withColumn("radius_km", levels)

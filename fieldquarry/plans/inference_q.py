@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, models, resampling
-from ..operators.joins import fold_coverage, nearest_candidate_recovery
+from ..operators.joins import Coverage, nearest_candidate_recovery
 from ..operators.selection import score_top_k
 from .selection_q import cover_sql
 from .views import Book, hav, rounded, with_views
@@ -22,7 +22,7 @@ def _held(v):
 
 
 def _cover(v):
-    return fold_coverage(_held(v), v("candidates"), 6.0, AREA, "occ_id", "cand_id")
+    return Coverage(_held(v), v("candidates"), 6.0, AREA)
 
 
 @query(f"SELECT survey_area_id, arg_min(r, t) AS row_id, round(min(t), 2) AS total_m FROM (SELECT a.survey_area_id, a.row_id AS r, round(sum({_D}), 6) AS t FROM detections a JOIN detections b ON a.survey_area_id = b.survey_area_id GROUP BY 1, 2) GROUP BY 1")
@@ -121,8 +121,8 @@ def a11_budget_curve(v):
 f AS (SELECT h.survey_area_id, h.occ_id, min(k.k) AS r FROM (SELECT survey_area_id, detection_cluster_id AS occ_id FROM detections) h LEFT JOIN ({_COVER}) c ON c.occ_id = h.occ_id LEFT JOIN k ON k.cand_id = c.cand_id GROUP BY 1, 2)
 SELECT survey_area_id, CASE WHEN count(*) = count(r) THEN max(r) END AS prefix FROM f GROUP BY 1""")
 def a12_prefix_frontier(v):
-    order = score_top_k(v("candidates"), 10**9, AREA, ident="cand_id").select("survey_area_id", "cand_id", F.col("decision_rank").cast("long").alias("decision_rank"))
-    return aggregates.prefix_frontier(_held(v).select("survey_area_id", "occ_id"), _cover(v).join(order, ["survey_area_id", "cand_id"]), AREA)
+    order = score_top_k(v("candidates"), 10**9, AREA, ident="cand_id").withColumn("decision_rank", F.col("decision_rank").cast("long"))
+    return aggregates.prefix_frontier(_held(v).select("survey_area_id", "occ_id"), aggregates.covering_prefix(_held(v), order, 6.0, AREA), AREA)
 
 
 @query("SELECT row_id FROM candidates a WHERE NOT EXISTS (SELECT 1 FROM candidates b WHERE b.survey_area_id = a.survey_area_id AND b.slope <= a.slope AND b.aspect <= a.aspect AND (b.slope < a.slope OR b.aspect < a.aspect))")
