@@ -258,7 +258,7 @@ def _greedy_patches(v, spatial: bool = True):
 def _greedy_targets(v):
     """The patches' catchments."""
     members = v("candidates").withColumns({"pool": F.col("survey_area_id") % 5, "candidate_patch_id": F.col("row_id"), "latitude": F.when(F.col("row_id") % 23 != 0, F.col("latitude"))})
-    return graph.catchments(members, 2500.0, ["pool"])
+    return graph.Catchments(members, 2500.0, ["pool"])
 
 
 @query(patch_sql(6, 1.0, 0.25, 0.25, 0.1, 0.0, 0.0, 0.0))
